@@ -188,22 +188,18 @@ def zscore(bars: DataFrame, n: int = 20, out: str = "price_zscore", s: Series =
 def swing_levels(bars: DataFrame, lookback: int = 100, order: int = 5, proximity: float = 0.001, s: Series = BARS) -> DataFrame:
     """Support and resistance: strict local extremes among the last ``lookback``
     bars, neighbours closer than ``proximity`` averaged into one level."""
-    last = bars.groupBy("instrument").agg(F.count(F.lit(1)).alias("_n"))
-
-    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = d.withColumn("_pos", position(s))
-        cols = {}
-        for name, x, agg in (("_hi", "high", F.max), ("_lo", "low", F.min)):
-            cols[name + "p"] = agg(x).over(w.rowsBetween(-order, -1))
-            cols[name + "n"] = agg(x).over(w.rowsBetween(1, order))
-        return d.withColumns(cols)
-
-    rows = windowed(bars, s, build, back=order, ahead=order)
-    rows = rows.join(last, "instrument")
-    # extremes need a full neighbourhood inside the look-back range; at its two
-    # ends the neighbour comparison wraps onto the point itself and fails
+    total = bars.groupBy("instrument").agg(F.count(F.lit(1)).alias("_n"))
+    rows = windowed(bars, s, lambda d, w: d.withColumn("_pos", position(s))).join(total, "instrument")
     first = F.greatest(F.col("_n") - lookback, F.lit(0))
-    rows = rows.where((F.col("_pos") >= first + order) & (F.col("_pos") < F.col("_n") - order))
+    rows = rows.where(F.col("_pos") >= first).withColumn("_first", first)
+    # at most `lookback` rows per instrument are left, so this window stays small
+    tail = Window.partitionBy("instrument").orderBy(*s.order)
+    before, after = tail.rowsBetween(-order, -1), tail.rowsBetween(1, order)
+    rows = rows.withColumns({
+        "_hip": F.max("high").over(before), "_hin": F.max("high").over(after),
+        "_lop": F.min("low").over(before), "_lon": F.min("low").over(after),
+    })
+    # the two end points have no neighbour on one side and never qualify
     hits = rows.select(
         "instrument",
         F.explode(F.array_compact(F.array(
@@ -211,7 +207,6 @@ def swing_levels(bars: DataFrame, lookback: int = 100, order: int = 5, proximity
             F.when((F.col("low") < F.col("_lop")) & (F.col("low") < F.col("_lon")), F.struct(F.lit("support").alias("kind"), F.col("low").alias("price"))),
         ))).alias("_h"),
     ).select("instrument", "_h.kind", "_h.price")
-    # at most `lookback` rows per instrument from here on
     wp = Window.partitionBy("instrument", "kind").orderBy("price")
     prev = F.lag("price").over(wp)
     fresh = F.when(prev.isNull() | ~((F.col("price") - prev) / F.nullif(prev, F.lit(0.0)) < proximity), 1).otherwise(0)

@@ -18,6 +18,7 @@ table with one row per (key, time slice), so no global sort is ever needed.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -99,9 +100,6 @@ def chunk_map(df: DataFrame, s: Series, back: int = 0, ahead: int = 0) -> DataFr
 
 def chunked(df: DataFrame, s: Series, back: int = 0, ahead: int = 0) -> DataFrame:
     """Rows tagged with `_chunk`, `_own` (false for halo copies) and `_base`."""
-    if back == 0 and ahead == 0:
-        # several slices map to one chunk and back; the join keys stay spread by slice
-        pass
     mapping = chunk_map(df, s, back, ahead)
     tagged = df.withColumn("_slice", s.slice_id())
     return tagged.join(mapping, [*s.keys, "_slice"]).drop("_slice")
@@ -133,11 +131,14 @@ def running(
     mins: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     row_no: str | None = None,
+    prepare: Callable[[DataFrame, WindowSpec], DataFrame] | None = None,
+    back: int = 0,
 ) -> DataFrame:
     """Inclusive running aggregates over the whole series.
 
     Each chunk is scanned on its own; the totals of the chunks before it (one row
-    per chunk) are then added, so no task sees more than one chunk.
+    per chunk) are then added, so no task sees more than one chunk.  ``prepare``
+    may first add columns that look back ``back`` rows, on the same chunks.
     """
     specs = [
         (kind, name, col)
@@ -145,8 +146,13 @@ def running(
         for name, col in (group or {}).items()
     ]
     k = list(s.keys)
-    rows = chunked(df, s).select("*", *[c.alias(f"_in_{n}") for _, n, c in specs])
-    rows = rows.repartition(*k, "_chunk")
+    rows = chunked(df, s, back)
+    if prepare is not None:
+        rows = prepare(rows, s.window()).where("_own")
+    keep = [c for c in rows.columns if c not in ("_chunk", "_own", "_base")]
+    rows = rows.select("*", *[c.alias(f"_in_{n}") for _, n, c in specs])
+    if prepare is None:
+        rows = rows.repartition(*k, "_chunk")
     upto = s.window().rowsBetween(Window.unboundedPreceding, 0)
     local, total = [], []
     for kind, name, _ in specs:
@@ -171,9 +177,10 @@ def running(
                 agg = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
                 carry_cols.append(agg(c).over(before).alias(f"_ca_{name}"))
         carry = carry.select(*k, "_chunk", *carry_cols)
-    keep = list(df.columns)
-    extra = [position(s).alias("_rn")] if row_no else []
-    out = rows.select(*keep, *k_missing(k, keep), "_chunk", *local, *extra)
+    if row_no and prepare is not None:
+        raise ValueError("row numbers need rows without halo")
+    extra = [(position(s) + 1).alias("_rn")] if row_no else []
+    out = rows.select(*keep, "_chunk", *local, *extra)
     if specs:
         out = out.join(carry, [*k, "_chunk"], "left")
     final = []
@@ -189,12 +196,19 @@ def running(
             both = F.coalesce(lo, ca)
         final.append(both.alias(name))
     if row_no:
-        final.append((F.col("_rn") + 1).alias(row_no))
+        final.append(F.col("_rn").alias(row_no))
     return out.select(*keep, *final)
 
 
-def k_missing(keys: Sequence[str], have: Sequence[str]) -> list[str]:
-    return [c for c in keys if c not in have]
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialises a shared intermediate through a reliable checkpoint in the
+    folder the cluster names in spark.checkpoint.dir."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
 
 
 def ewm_memory(alpha: float) -> int:
@@ -202,9 +216,7 @@ def ewm_memory(alpha: float) -> int:
     return max(1, math.ceil(math.log(1e-17) / math.log(1.0 - alpha)))
 
 
-def ewm_columns(
-    df: DataFrame, s: Series, specs: dict[str, tuple[Column, float, int]], reach: int | None = None
-) -> DataFrame:
+def ewm_columns(df: DataFrame, s: Series, specs: dict[str, tuple[Column, float, int]]) -> DataFrame:
     """Recurrence y_t = a*x_t + (1-a)*y_(t-1) on already chunked rows.
 
     ``specs`` maps an output name to (input, alpha, minimum count).  The first
@@ -213,7 +225,6 @@ def ewm_columns(
     ``(1-a)^t * sum(x_j * (1-a)^-j)`` stays far from overflow; a block's older
     history weighs less than 1e-17 and drops out of double precision.
     """
-    longest = reach or max(ewm_memory(a) for _, a, _ in specs.values())
     by_memory: dict[int, list[str]] = {}
     for name, (_, a, _) in specs.items():
         by_memory.setdefault(ewm_memory(a), []).append(name)
@@ -244,7 +255,6 @@ def ewm_columns(
         passed = [f"_x_{n}" for n in specs if n not in names and n not in done]
         out = out.select(*keep, *done, *passed, *flags, *cols).where("_home_b").drop("_home_b")
         done += names
-    del longest
     return out
 
 

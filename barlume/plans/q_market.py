@@ -139,9 +139,9 @@ _EXT = "OVER (PARTITION BY instrument ORDER BY ts ROWS BETWEEN {} AND {})"
        tail="""SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS p FROM (SELECT * FROM (SELECT *,
          row_number() OVER (PARTITION BY instrument ORDER BY ts DESC) AS back FROM bars_h1) WHERE back <= 100)""",
        ext="""SELECT a.instrument, 'resistance' AS kind, a.high AS price FROM tail a JOIN tail b ON a.instrument = b.instrument AND b.p BETWEEN a.p - 5 AND a.p + 5 AND b.p <> a.p
-         GROUP BY a.instrument, a.ts, a.high HAVING count(*) = 10 AND max(b.high) < a.high
+         GROUP BY a.instrument, a.p, a.ts, a.high HAVING a.p BETWEEN 2 AND (SELECT max(p) - 1 FROM tail z WHERE z.instrument = a.instrument) AND max(b.high) < a.high
          UNION ALL SELECT a.instrument, 'support' AS kind, a.low AS price FROM tail a JOIN tail b ON a.instrument = b.instrument AND b.p BETWEEN a.p - 5 AND a.p + 5 AND b.p <> a.p
-         GROUP BY a.instrument, a.ts, a.low HAVING count(*) = 10 AND min(b.low) > a.low""")
+         GROUP BY a.instrument, a.p, a.ts, a.low HAVING a.p BETWEEN 2 AND (SELECT max(p) - 1 FROM tail z WHERE z.instrument = a.instrument) AND min(b.low) > a.low""")
 def _(t):
     return ind.swing_levels(t.bars_h1)
 

@@ -47,12 +47,14 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     pool = {**SQL_VIEWS, **(extra or {})}
     order: list[str] = []
 
+    seen: set[str] = set()
+
     def visit(text: str) -> None:
         for name, body in pool.items():
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"(?<![.'])\b{name}\b", text):
+                seen.add(name)
                 visit(body)
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     if not order:
@@ -60,11 +62,16 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({pool[n]})" for n in order) + "\n" + sql
 
 
+def _nudge(n: int) -> float:
+    """Moves exact decimal ties off the rounding edge, alike on both sides."""
+    return 2.3e-3 * 10.0**-n
+
+
 def query(name: str, cols: str, sql: str | None = None, **ctes: str) -> Callable[[Build], Build]:
     """Register a query.
 
-    ``cols`` lists the output: ``name`` as is, ``name:r`` rounded to six places,
-    ``name:i`` as BIGINT.  The same projection closes both sides.
+    ``cols`` lists the output: ``name`` as is, ``name:r`` rounded to six places
+    (``name:r2`` to two), ``name:i`` as BIGINT.  The same projection closes both sides.
     """
     items = [(c.split(":") + [""])[:2] for c in cols.split()]
 
@@ -76,8 +83,9 @@ def query(name: str, cols: str, sql: str | None = None, **ctes: str) -> Callable
             df = fn(Tables(spark, directory))
             out = []
             for c, kind in items:
-                if kind == "r":
-                    out.append((F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c))
+                if kind[:1] == "r":
+                    n = int(kind[1:] or 6)
+                    out.append((F.round(F.col(c).cast("double") + F.lit(_nudge(n)), n) + F.lit(0.0)).alias(c))
                 elif kind == "i":
                     out.append(F.col(c).cast("bigint").alias(c))
                 else:
@@ -88,8 +96,9 @@ def query(name: str, cols: str, sql: str | None = None, **ctes: str) -> Callable
         if sql is not None:
             sel = []
             for c, kind in items:
-                if kind == "r":
-                    sel.append(f"round(CAST({c} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {c}")
+                if kind[:1] == "r":
+                    n = int(kind[1:] or 6)
+                    sel.append(f"round(CAST({c} AS DOUBLE) + CAST({_nudge(n)!r} AS DOUBLE), {n}) + CAST(0 AS DOUBLE) AS {c}")
                 elif kind == "i":
                     sel.append(f"CAST({c} AS BIGINT) AS {c}")
                 else:
