@@ -4,7 +4,7 @@ import importlib
 
 from barlume.plans.registry import ORACLES, QUERIES
 
-for _name in ("views", "q_market", "q_quality"):
+for _name in ("views", "q_market", "q_quality", "q_features"):
     importlib.import_module(f"barlume.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
