@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from barlume.operators.series import BARS, Series, asof, epoch_seconds, windowed
+from barlume.operators.series import BARS, Series, asof, asof_many, epoch_seconds, windowed
 
 
 def plus_seconds(ts: Column, seconds: Column | int) -> Column:
@@ -24,20 +24,26 @@ def modal_gap(bars: DataFrame, s: Series = BARS, out: str = "gap_seconds") -> Da
     return counts.groupBy(*s.keys).agg(F.max_by("_g", F.struct("_n", -F.col("_g"))).alias(out))
 
 
-def align_completed(
-    base: DataFrame, slower: DataFrame, columns: Sequence[str], s: Series = BARS, step_seconds: int | None = None
-) -> DataFrame:
-    """Values of the latest slower bar that was complete at each base bar.
-
-    A bar starting at t with width d is usable from t + d on.
-    """
+def completed(slower: DataFrame, columns: Sequence[str], s: Series = BARS, step_seconds: int | None = None) -> DataFrame:
+    """Slower bars stamped with the time from which they may be used: a bar
+    starting at t with width d is complete at t + d."""
     if step_seconds is None:
         slower = slower.join(modal_gap(slower, s, "_step"), list(s.keys))
     else:
         slower = slower.withColumn("_step", F.lit(step_seconds))
-    done = plus_seconds(F.col(s.ts), F.col("_step"))
-    right = slower.select(*s.keys, done.alias("_done"), *columns)
-    return asof(base, right, columns, s, right_ts="_done")
+    return slower.select(*s.keys, plus_seconds(F.col(s.ts), F.col("_step")).alias("_done"), *columns)
+
+
+def align_completed(
+    base: DataFrame, slower: DataFrame, columns: Sequence[str], s: Series = BARS, step_seconds: int | None = None
+) -> DataFrame:
+    """Values of the latest slower bar that was complete at each base bar."""
+    return asof(base, completed(slower, columns, s, step_seconds), columns, s, right_ts="_done")
+
+
+def align_many(base: DataFrame, slower: Sequence[tuple[DataFrame, Sequence[str], int]], s: Series = BARS) -> DataFrame:
+    """Several slower timeframes (bars, columns, width in seconds) in one scan."""
+    return asof_many(base, [(completed(d, cols, s, sec), "_done", cols) for d, cols, sec in slower], s)
 
 
 def event_window(bars: DataFrame, events: DataFrame, pre_seconds: int, post_seconds: int, out: str = "event_window_flag", s: Series = BARS) -> DataFrame:

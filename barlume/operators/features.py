@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barlume.functions.costs import safe_div
-from barlume.operators.align import align_completed
+from barlume.operators.align import align_many
 from barlume.operators.indicators import (
     EPS, pct_change, rolling, rolling_rank, true_range, wilder_back, wilder_columns,
 )
@@ -127,9 +127,11 @@ def context_frame(base: DataFrame, h1: DataFrame, h4: DataFrame, s: Series = BAR
         return ewm_columns(d, s, {"atr": (F.col("_tr"), 1 / 14, 14)}).drop("_tr")
 
     d = windowed(base, s, build, back=ewm_memory(1 / 14) + 1)
-    d = align_completed(d, slower_context(h1, "h1", 24, s), ["h1_slope", "h1_adx", "h1_vol_pct"], s, 3600)
-    d = align_completed(d, slower_context(h4, "h4", 12, s), ["h4_slope", "h4_adx", "h4_vol_pct"], s, 14400)
-    d = calendar_day_levels(d)
+    d = align_many(d, [
+        (slower_context(h1, "h1", 24, s), ["h1_slope", "h1_adx", "h1_vol_pct"], 3600),
+        (slower_context(h4, "h4", 12, s), ["h4_slope", "h4_adx", "h4_vol_pct"], 14400),
+    ], s)
+    d = calendar_day_levels(d, base)
     hour = F.hour(s.ts)
     zero = F.lit(0.0)
     return d.select(
@@ -496,9 +498,8 @@ def clock_columns(ts: str, key: str) -> dict[str, Column]:
 def multi_timeframe_regime(base: DataFrame, slower: dict[str, tuple[DataFrame, int]], key: str = "m15", s: Series = BARS) -> DataFrame:
     """Regime features of the base bars with those of completed slower bars."""
     d = timeframe_regime(base, key, s).withColumns(clock_columns(s.ts, key))
-    for name, (bars, seconds) in slower.items():
-        d = align_completed(d, timeframe_regime(bars, name, s), [f"{name}_{c}" for c in MTF_COLUMNS], s, seconds)
-    return d
+    sides = [(timeframe_regime(bars, name, s), [f"{name}_{c}" for c in MTF_COLUMNS], sec) for name, (bars, sec) in slower.items()]
+    return align_many(d, sides, s)
 
 
 def vol_target_quantity(bars: DataFrame, base_quantity: int, target: float, lookback: int, bar_seconds: int, s: Series = BARS) -> DataFrame:

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -200,15 +201,24 @@ def running(
     return out.select(*keep, *final)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialises a shared intermediate through a reliable checkpoint in the
-    folder the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; only where none is
+    set (tests on one machine) a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes an intermediate once as Parquet in the shared folder and reads it
+    back: later steps start from a pruned columnar scan of known size instead of
+    repeating everything before, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/barlume-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ewm_memory(alpha: float) -> int:
@@ -275,27 +285,43 @@ def asof(
     strict: bool = False,
 ) -> DataFrame:
     """Add to each left row the payload of the latest right row with
-    ``right_ts <= ts`` (``<`` when ``strict``).  One union and one running
-    "last value" scan; never a non-equi join."""
+    ``right_ts <= ts`` (``<`` when ``strict``)."""
+    return asof_many(left, [(right, right_ts, payload)], s, tie, strict)
+
+
+def asof_many(
+    left: DataFrame,
+    rights: Sequence[tuple[DataFrame, str, Sequence[str]]],
+    s: Series,
+    tie: Sequence[str] = (),
+    strict: bool = False,
+) -> DataFrame:
+    """As-of join with several right sides at once.
+
+    All rows are united, tagged and scanned once with a running "last value" per
+    right side: no non-equi join, and one shuffle however many sides there are.
+    Right rows of equal time are ordered by their payload.
+    """
     k = list(s.keys)
     before, after = (1, 0) if strict else (0, 1)
     lcols = [c for c in left.columns if c not in k and c != s.ts]
-    tie_l = [F.col(c).alias(f"_t{i}") for i, c in enumerate(tie)]
-    tie_names = tuple(f"_t{i}" for i in range(len(tie)))
-    l = left.select(*k, s.ts, F.lit(after).alias("_tag"), *tie_l, F.struct(*lcols).alias("_l") if lcols else F.lit(1).alias("_l"))
-    r = right.select(
-        *k,
-        F.col(right_ts).alias(s.ts),
-        F.lit(before).alias("_tag"),
-        *[F.lit(None).cast(left.schema[c].dataType).alias(f"_t{i}") for i, c in enumerate(tie)],
-        F.struct(*payload).alias("_r"),
+    ties = [f"_t{i}" for i in range(len(tie))]
+    both = left.select(
+        *k, s.ts, F.lit(after).alias("_tag"), *[F.col(c).alias(n) for c, n in zip(tie, ties)],
+        (F.struct(*lcols) if lcols else F.lit(1)).alias("_l"),
     )
-    both = l.unionByName(r, allowMissingColumns=True)
-    order = (s.ts, "_tag", *tie_names)
-    res = running(both, s.with_(order=order), lasts={"_hit": F.col("_r")})
+    for i, (right, right_ts, payload) in enumerate(rights):
+        r = right.select(
+            *k, F.col(right_ts).alias(s.ts), F.lit(before).alias("_tag"),
+            *[F.lit(None).cast(left.schema[c].dataType).alias(n) for c, n in zip(tie, ties)],
+            F.struct(*payload).alias(f"_r{i}"),
+        )
+        both = both.unionByName(r, allowMissingColumns=True)
+    order = (s.ts, "_tag", *ties, *[f"_r{i}" for i in range(len(rights))])
+    res = running(both, s.with_(order=order), lasts={f"_hit{i}": F.col(f"_r{i}") for i in range(len(rights))})
     res = res.where(F.col("_tag") == after)
-    lsel = [F.col(f"_l.{c}").alias(c) for c in lcols]
-    return res.select(*k, s.ts, *lsel, *[F.col(f"_hit.{c}").alias(c) for c in payload])
+    got = [F.col(f"_hit{i}.{c}").alias(c) for i, (_, _, payload) in enumerate(rights) for c in payload]
+    return res.select(*k, s.ts, *[F.col(f"_l.{c}").alias(c) for c in lcols], *got)
 
 
 # ---------------------------------------------------------------- order statistics

@@ -99,10 +99,12 @@ def prior_day_levels(bars: DataFrame, zone: str = SESSION_ZONE) -> DataFrame:
     return _prior_levels(d, "trade_day", "prior_day")
 
 
-def calendar_day_levels(bars: DataFrame) -> DataFrame:
-    """High and low of the previous calendar day; NULL when that day is empty."""
-    d = bars.withColumn("_day", F.col("ts").cast("date"))
-    agg = d.groupBy("instrument", "_day").agg(F.max("high").alias("prev_day_high"), F.min("low").alias("prev_day_low"))
+def calendar_day_levels(rows: DataFrame, bars: DataFrame | None = None) -> DataFrame:
+    """High and low of the previous calendar day, from ``bars`` (default: the rows
+    themselves); NULL when that day is empty."""
+    d = rows.withColumn("_day", F.col("ts").cast("date"))
+    src = d if bars is None else bars.withColumn("_day", F.col("ts").cast("date"))
+    agg = src.groupBy("instrument", "_day").agg(F.max("high").alias("prev_day_high"), F.min("low").alias("prev_day_low"))
     agg = agg.withColumn("_day", F.date_add("_day", 1))
     return d.join(agg, ["instrument", "_day"], "left").drop("_day")
 

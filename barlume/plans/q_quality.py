@@ -157,7 +157,7 @@ _BUCKET = "CASE " + " ".join(f"WHEN hour(ts) * 60 + minute(ts) < {end} THEN '{n}
   WINDOW sw AS (PARTITION BY instrument, session_id ORDER BY ts ROWS UNBOUNDED PRECEDING))""")
 def anchored(t):
     """Hourly bars with session anchors (the test month is in winter: London = UTC)."""
-    return se.session_anchors(t.bars_h1)
+    return sr.materialise(se.session_anchors(t.bars_h1))
 
 
 @query("w18_w19_session_bucket", "instrument ts session_bucket " + " ".join(f"session_{n}:i" for n in se.SESSION_NAMES),

@@ -22,12 +22,15 @@ class Tables:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
         self.directory = directory
+        self._memo: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name in _SPARK_VIEWS:
-            return _SPARK_VIEWS[name](self)
+            if name not in self._memo:
+                self._memo[name] = _SPARK_VIEWS[name](self)
+            return self._memo[name]
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
 
