@@ -131,11 +131,13 @@ def running(
     maxs: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    prevs: dict[str, Column] | None = None,
     row_no: str | None = None,
     prepare: Callable[[DataFrame, WindowSpec], DataFrame] | None = None,
     back: int = 0,
 ) -> DataFrame:
-    """Inclusive running aggregates over the whole series.
+    """Inclusive running aggregates over the whole series (``prevs``: the last
+    non-null value strictly before the row).
 
     Each chunk is scanned on its own; the totals of the chunks before it (one row
     per chunk) are then added, so no task sees more than one chunk.  ``prepare``
@@ -143,7 +145,7 @@ def running(
     """
     specs = [
         (kind, name, col)
-        for kind, group in (("sum", sums), ("max", maxs), ("min", mins), ("last", lasts))
+        for kind, group in (("sum", sums), ("max", maxs), ("min", mins), ("last", lasts), ("prev", prevs))
         for name, col in (group or {}).items()
     ]
     k = list(s.keys)
@@ -158,8 +160,9 @@ def running(
     local, total = [], []
     for kind, name, _ in specs:
         c = F.col(f"_in_{name}")
-        if kind == "last":
-            local.append(F.last(c, ignorenulls=True).over(upto).alias(f"_lo_{name}"))
+        if kind in ("last", "prev"):
+            frame = upto if kind == "last" else s.window().rowsBetween(Window.unboundedPreceding, -1)
+            local.append(F.last(c, ignorenulls=True).over(frame).alias(f"_lo_{name}"))
             key = F.when(c.isNotNull(), F.struct(*s.order))
             total.append(F.max_by(c, key).alias(f"_to_{name}"))
         else:
@@ -172,7 +175,7 @@ def running(
         carry_cols = []
         for kind, name, _ in specs:
             c = F.col(f"_to_{name}")
-            if kind == "last":
+            if kind in ("last", "prev"):
                 carry_cols.append(F.last(c, ignorenulls=True).over(before).alias(f"_ca_{name}"))
             else:
                 agg = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
@@ -324,6 +327,45 @@ def asof_many(
     return res.select(*k, s.ts, *[F.col(f"_l.{c}").alias(c) for c in lcols], *got)
 
 
+def fold(
+    rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], n_states: int, start: int,
+    run: Callable, schema: str,
+) -> DataFrame:
+    """Sequential rule with a small state over long series, chunk by chunk.
+
+    ``run(pdf, state) -> (out_pdf, state)`` walks one sorted chunk.  Pass one asks
+    every chunk where each of the ``n_states`` start states would end; the chunk
+    tables (one row per chunk) are chained per key; pass two replays each chunk
+    from its now known start state.  No task holds more than one chunk.
+    """
+    k = list(keys)
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*k, chunk).schema)
+    by = list(order)
+
+    def ends(pdf):
+        pdf = pdf.sort_values(by, kind="stable")
+        out = pdf[[*k, chunk]].head(1).copy()
+        out["ends"] = [[int(run(pdf, st)[1]) for st in range(n_states)]]
+        return out
+
+    def chain(pdf):
+        pdf = pdf.sort_values(chunk)
+        state, starts = start, []
+        for m in pdf["ends"]:
+            starts.append(state)
+            state = int(m[state])
+        return pdf[[*k, chunk]].assign(state=starts)
+
+    def replay(left, right):
+        if left.empty:
+            return run(left, start)[0]
+        return run(left.sort_values(by, kind="stable"), int(right["state"].iloc[0]))[0]
+
+    maps = rows.groupBy(*k, chunk).applyInPandas(ends, f"{key_schema}, ends array<int>")
+    starts = maps.groupBy(*k).applyInPandas(chain, f"{key_schema}, state int")
+    return rows.groupBy(*k, chunk).cogroup(starts.groupBy(*k, chunk)).applyInPandas(replay, schema)
+
+
 # ---------------------------------------------------------------- order statistics
 
 _BINS = 4096
