@@ -46,6 +46,11 @@ def align_many(base: DataFrame, slower: Sequence[tuple[DataFrame, Sequence[str],
     return asof_many(base, [(completed(d, cols, s, sec), "_done", cols) for d, cols, sec in slower], s)
 
 
+def asof_strict(left: DataFrame, right: DataFrame, payload: Sequence[str], s: Series = BARS, tie: Sequence[str] = ()) -> DataFrame:
+    """Latest right row strictly before each left row."""
+    return asof(left, right, payload, s, tie=tie, strict=True)
+
+
 def event_window(bars: DataFrame, events: DataFrame, pre_seconds: int, post_seconds: int, out: str = "event_window_flag", s: Series = BARS) -> DataFrame:
     """Flags bars within [event - pre, event + post].
 

@@ -47,11 +47,12 @@ class Series:
     order: tuple[str, ...] = ("ts",)
     slice_seconds: int = 28 * 86400
     chunk_rows: int = 50_000
-    slice_by: Column | None = None
+    slice_by: Column | str | None = None
 
     def slice_id(self) -> Column:
         if self.slice_by is not None:
-            return self.slice_by.cast("bigint")
+            by = F.expr(self.slice_by) if isinstance(self.slice_by, str) else self.slice_by
+            return by.cast("bigint")
         return F.floor(epoch_seconds(self.ts) / F.lit(self.slice_seconds)).cast("bigint")
 
     def window(self) -> WindowSpec:
@@ -371,13 +372,6 @@ def fold(
 _BINS = 4096
 
 
-def _bounds(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.min(v).alias("_mn"), F.max(v).alias("_mx"), F.count(v).alias("_cnt"), F.avg(F.abs(v)).alias("_sc")
-    )
-
-
 def _bin(v: Column, lo: Column, hi: Column) -> Column:
     width = (hi - lo) / F.lit(float(_BINS))
     return F.when(width > 0, F.least(F.floor((v - lo) / width), F.lit(_BINS - 1))).otherwise(F.lit(0)).cast("bigint")
@@ -390,14 +384,14 @@ def _join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inne
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one row per key.
 
-    Rows are first folded to (value, count); two rounds of 4096 bins narrow each
+    Rows are first folded to (value, count) and written once; two rounds of 4096 bins narrow each
     wanted rank down to one sliver of the value range, and only the distinct values
     in those slivers are ordered.
     """
     k = list(keys)
-    vals = df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).cast("double").alias("_v")).agg(
+    vals = materialise(df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_m")
-    )
+    ))
     stats = vals.groupBy(*k).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_m").alias("_cnt"))
     vals = _join_keys(vals, stats, k)
     vals = vals.withColumn("_b1", _bin(F.col("_v"), F.col("_mn"), F.col("_mx")))
@@ -445,7 +439,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (key, distinct value): count `_m`, average rank `_rank`
     (1-based, ties averaged), rows before `_below` and rows per key `_cnt`."""
     k = list(keys)
-    vals = df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value)).agg(F.count(F.lit(1)).alias("_m"))
+    vals = materialise(df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value)).agg(F.count(F.lit(1)).alias("_m")))
     stats = vals.groupBy(*k).agg(
         F.min(value).alias("_mn"), F.max(value).alias("_mx"), F.sum("_m").alias("_cnt")
     )
