@@ -117,11 +117,11 @@ def _(t):
 
 
 GRID = md.threshold_grid(0.5, 0.9, 0.02)
-SHORT = md.threshold_grid(0.1, 0.5, 0.02)
+SHORT = md.threshold_grid(1 - 0.9, 1 - 0.5, 0.02)
 
 
 def _vals(g) -> str:
-    return ", ".join(f"({i}, {x!r})" for i, x in enumerate(g))
+    return ", ".join(f"({i}, CAST({x!r} AS DOUBLE))" for i, x in enumerate(g))
 
 
 def _curve_sql(src: str, keys: str, name: str) -> dict[str, str]:
@@ -148,10 +148,6 @@ def _(t):
     return md.fit_thresholds(t.score_rows, ["session"], **FIT)
 
 
-def _iedges(c: str) -> str:
-    return f"list_filter(list_sort(list_distinct([quantile_cont({c}, 0), quantile_cont({c}, 1/3.0), quantile_cont({c}, 2/3.0), quantile_cont({c}, 1)])), lambda e: e > min({c}) AND e < max({c}))"
-
-
 _ST = {
     "q4": "SELECT session, " + ", ".join(f"quantile_cont({c}, {p}) AS {n}{i}" for c, n in (("spread_proxy", "a"), ("spread_atr", "b")) for i, p in enumerate(("0", "1/3.0", "2/3.0", "1"))) + " FROM score_rows GROUP BY session",
     "ed": """SELECT session, list_filter(list_distinct([a1, a2]), lambda e: e > a0 AND e < a3) AS ea, list_filter(list_distinct([b1, b2]), lambda e: e > b0 AND e < b3) AS eb FROM q4""",
