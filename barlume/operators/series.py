@@ -34,6 +34,21 @@ def epoch_seconds(ts: str | Column) -> Column:
     return day * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
+def epoch_micros(ts: str | Column) -> Column:
+    c = F.col(ts) if isinstance(ts, str) else ts
+    frac = F.extract(F.lit("SECOND"), c) * 1_000_000
+    return (epoch_seconds(c) - F.second(c)) * 1_000_000 + frac.cast("bigint")
+
+
+def as_instant(ts: str | Column) -> Column:
+    """UTC time without zone as an instant (watermarks need one)."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def as_utc(instant: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 @dataclass(frozen=True)
 class Series:
     """How rows form ordered series and how long series are cut.
