@@ -93,8 +93,7 @@ def probability_summary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def drawdown_series(rows: DataFrame, s: Series, pnl: str = "pnl") -> DataFrame:
     """Cumulative PnL minus its running peak."""
-    d = materialise(running(rows, s, sums={"equity": F.coalesce(F.col(pnl), F.lit(0.0))}))
-    d = running(d, s, maxs={"_peak": F.col("equity")})
+    d = running(rows, s, sums={"equity": F.coalesce(F.col(pnl), F.lit(0.0))}, peaks={"_peak": "equity"})
     return d.withColumn("drawdown", F.col("equity") - F.col("_peak")).drop("_peak")
 
 

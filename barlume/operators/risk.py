@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlume.operators.align import plus_seconds
 from barlume.operators.quality import dedupe, reasons
-from barlume.operators.series import Series, asof, asof_many, chunked, epoch_micros, epoch_seconds, materialise, running
+from barlume.operators.series import Series, asof, asof_many, chunked, epoch_micros, epoch_seconds, materialise, position, running
 
 # Default risk limits.
 LIMITS = {
@@ -46,16 +46,19 @@ def circuit_breaker(trades: DataFrame, initial: float, s: Series, limits: dict =
     """
     p = F.col("pnl")
     loss = F.when(p < 0, -p).otherwise(0.0)
-    d = materialise(running(trades, s, sums={"_cum": p, "_loss": loss}, row_no="_rn"))
-    d = d.withColumn("_day", F.unix_date(F.col(s.ts).cast("date")))
-    d = running(d, s, maxs={"_peak": F.lit(initial) + F.col("_cum"), "_ok": F.when(p >= 0, F.col("_rn"))})
-    d = materialise(d)
+    d = running(
+        trades, s, sums={"_cum": p, "_loss": loss}, peaks={"_top": "_cum"}, lasts={"_ok": F.when(p >= 0, F.col("_rn"))},
+        prepare=lambda x, w: x.withColumn("_rn", position(s) + 1),
+    )
+    d = materialise(d.withColumns({"_day": F.unix_date(F.col(s.ts).cast("date")), "_peak": F.lit(initial) + F.col("_top")}).drop("_top"))
+    days = d.groupBy("_day").agg(F.sum("pnl").alias("_sum"))  # one row per day
+    upto = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_day", F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_start"))
     hour = d.select(F.col(s.ts).alias("_at"), F.col("_loss").alias("_before"), "_rn")
     shifted = d.withColumnRenamed(s.ts, "_now").withColumn(s.ts, plus_seconds(F.col("_now"), -seconds))
     flat = Series(keys=(), ts=s.ts, order=(s.ts,), slice_seconds=s.slice_seconds)
     d = _loss_before(shifted, hour, flat, s.ts)
-    d = running(d, Series(keys=("_day",), ts="_now", order=tuple("_now" if c == s.ts else c for c in s.order), slice_seconds=3600), sums={"daily_pnl": p})
-    d = materialise(d)
+    d = d.join(days, "_day").withColumn("daily_pnl", F.col("_cum") - F.col("_start")).drop("_start")
     peak = F.greatest(F.col("_peak"), F.lit(initial))
     d = d.withColumns({
         "loss_streak": F.col("_rn") - F.coalesce("_ok", F.lit(0)), "loss_1h": F.col("_loss") - F.coalesce("_before", F.lit(0.0)),
@@ -65,7 +68,7 @@ def circuit_breaker(trades: DataFrame, initial: float, s: Series, limits: dict =
         ("consecutive_losses", F.col("loss_streak") >= limits["loss_streak"]), ("loss_velocity", F.col("loss_1h") > limits["loss_velocity_1h"]),
         ("daily_loss", F.col("daily_pnl") <= -limits["max_daily_loss"]), ("drawdown", F.col("drawdown") > limits["max_drawdown_pct"]),
     )
-    d = d.withColumn("reasons", trip).withColumnRenamed("_now", s.ts)
+    d = materialise(d.withColumn("reasons", trip).withColumnRenamed("_now", s.ts))
     d = running(d, s, maxs={"_on": (F.size("reasons") > 0).cast("int")})
     return d.withColumn("halted", F.col("_on") == 1).drop("_cum", "_loss", "_rn", "_peak", "_ok", "_before", "_on", "_day")
 

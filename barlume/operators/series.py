@@ -148,6 +148,7 @@ def running(
     mins: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     prevs: dict[str, Column] | None = None,
+    peaks: dict[str, str] | None = None,
     row_no: str | None = None,
     prepare: Callable[[DataFrame, WindowSpec], DataFrame] | None = None,
     back: int = 0,
@@ -158,7 +159,10 @@ def running(
     Each chunk is scanned on its own; the totals of the chunks before it (one row
     per chunk) are then added, so no task sees more than one chunk.  ``prepare``
     may first add columns that look back ``back`` rows, on the same chunks.
+    ``peaks`` maps an output to a name in ``sums`` and gives the running maximum
+    of that running sum in the same scan.
     """
+    peaks = peaks or {}
     specs = [
         (kind, name, col)
         for kind, group in (("sum", sums), ("max", maxs), ("min", mins), ("last", lasts), ("prev", prevs))
@@ -185,8 +189,16 @@ def running(
             agg = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
             local.append(agg(c).over(upto).alias(f"_lo_{name}"))
             total.append(agg(c).alias(f"_to_{name}"))
+    top = {}
+    for name, of in peaks.items():
+        # highest local running sum inside the chunk, so far and in total
+        top[f"_lo_{name}"] = F.max(f"_lo_{of}").over(upto)
     if specs:
         before = Window.partitionBy(*k).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        if peaks:
+            rows = rows.withColumns({f"_lo_{of}": F.sum(f"_in_{of}").over(upto) for of in peaks.values()})
+            total += [F.max(f"_lo_{of}").alias(f"_to_{name}") for name, of in peaks.items()]
+            local = [c for (kind, n, _), c in zip(specs, local) if n not in peaks.values()] + [F.col(f"_lo_{of}") for of in set(peaks.values())]
         carry = rows.groupBy(*k, "_chunk").agg(*total)
         carry_cols = []
         for kind, name, _ in specs:
@@ -196,11 +208,17 @@ def running(
             else:
                 agg = {"sum": F.sum, "max": F.max, "min": F.min}[kind]
                 carry_cols.append(agg(c).over(before).alias(f"_ca_{name}"))
+        if peaks:
+            sofar = {of: F.coalesce(F.sum(f"_to_{of}").over(before), F.lit(0)) for of in peaks.values()}
+            carry = carry.withColumns({f"_ab_{name}": sofar[of] + F.col(f"_to_{name}") for name, of in peaks.items()})
+            carry_cols += [F.max(f"_ab_{name}").over(before).alias(f"_ca_{name}") for name in peaks]
         carry = carry.select(*k, "_chunk", *carry_cols)
     if row_no and prepare is not None:
         raise ValueError("row numbers need rows without halo")
     extra = [(position(s) + 1).alias("_rn")] if row_no else []
     out = rows.select(*keep, "_chunk", *local, *extra)
+    if top:
+        out = out.withColumns(top)
     if specs:
         out = out.join(carry, [*k, "_chunk"], "left")
     final = []
@@ -215,6 +233,8 @@ def running(
         else:
             both = F.coalesce(lo, ca)
         final.append(both.alias(name))
+    for name, of in peaks.items():
+        final.append(F.greatest(F.col(f"_ca_{name}"), F.coalesce(f"_ca_{of}", F.lit(0)) + F.col(f"_lo_{name}")).alias(name))
     if row_no:
         final.append(F.col("_rn").alias(row_no))
     return out.select(*keep, *final)
@@ -385,6 +405,7 @@ def fold(
 # ---------------------------------------------------------------- order statistics
 
 _BINS = 4096
+SMALL = 1_000_000  # distinct values one task may hold
 
 
 def _bin(v: Column, lo: Column, hi: Column) -> Column:
@@ -399,7 +420,8 @@ def _join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inne
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one row per key.
 
-    Rows are first folded to (value, count) and written once; two rounds of 4096 bins narrow each
+    Rows are first folded to (value, count) and written once.  Where few distinct
+    values remain (they are counted) one aggregate finishes; beyond, two rounds of 4096 bins narrow each
     wanted rank down to one sliver of the value range, and only the distinct values
     in those slivers are ordered.
     """
@@ -407,6 +429,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, floa
     vals = materialise(df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_m")
     ))
+    if vals.count() <= SMALL:
+        # counted: the whole table of distinct values fits one task
+        pick = F.percentile("_v", F.array(*[F.lit(q) for q in qs.values()]), F.col("_m"))
+        got = vals.groupBy(*k).agg(pick.alias("_q"))
+        return got.select(*k, *[F.get("_q", i).alias(n) for i, n in enumerate(qs)]).where(F.lit(True) if k else F.col("_q").isNotNull())
     stats = vals.groupBy(*k).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_m").alias("_cnt"))
     vals = _join_keys(vals, stats, k)
     vals = vals.withColumn("_b1", _bin(F.col("_v"), F.col("_mn"), F.col("_mx")))
@@ -455,6 +482,12 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     (1-based, ties averaged), rows before `_below` and rows per key `_cnt`."""
     k = list(keys)
     vals = materialise(df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value)).agg(F.count(F.lit(1)).alias("_m")))
+    if vals.count() <= SMALL:
+        w = Window.partitionBy(*k)
+        upto = F.sum("_m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        out = vals.select("*", upto.alias("_upto"), F.sum("_m").over(w).alias("_cnt"))
+        below = F.col("_upto") - F.col("_m")
+        return out.select(*k, value, "_m", "_cnt", below.alias("_below"), (below + (F.col("_m") + 1) / 2).alias("_rank"))
     stats = vals.groupBy(*k).agg(
         F.min(value).alias("_mn"), F.max(value).alias("_mx"), F.sum("_m").alias("_cnt")
     )

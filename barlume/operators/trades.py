@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barlume.operators.align import asof_strict, first_crossing
-from barlume.operators.series import BARS, Series, materialise, running, windowed
+from barlume.operators.series import BARS, Series, running, windowed
 
 FILLS = Series(order=("seq",), slice_by="floor(seq / 4096)")
 
@@ -129,9 +129,8 @@ def exposure_screen(orders: DataFrame, cap: float, s: Series) -> DataFrame:
 
 def equity_curve(trades: DataFrame, initial: float, s: Series) -> DataFrame:
     """Equity after each trade, its running peak and drawdown share."""
-    d = materialise(running(trades, s, sums={"_cum": F.col("pnl")}))
-    d = d.withColumn("equity", initial + F.col("_cum")).drop("_cum")
-    d = running(d, s, maxs={"_peak": F.col("equity")})
+    d = running(trades, s, sums={"_cum": F.col("pnl")}, peaks={"_top": "_cum"})
+    d = d.withColumns({"equity": initial + F.col("_cum"), "_peak": initial + F.col("_top")}).drop("_cum", "_top")
     peak = F.greatest(F.col("_peak"), F.lit(initial))
     return d.withColumn("peak", peak).withColumn(
         "drawdown", F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(0.0)
