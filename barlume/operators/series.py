@@ -61,13 +61,15 @@ class Series:
     ts: str = "ts"
     order: tuple[str, ...] = ("ts",)
     slice_seconds: int = 28 * 86400
-    chunk_rows: int = 50_000
+    chunk_rows: int = 20_000
     slice_by: Column | str | None = None
 
     def slice_id(self) -> Column:
         if self.slice_by is not None:
             by = F.expr(self.slice_by) if isinstance(self.slice_by, str) else self.slice_by
             return by.cast("bigint")
+        if self.slice_seconds % 86400 == 0:
+            return F.floor(F.unix_date(F.col(self.ts).cast("date")) / F.lit(self.slice_seconds // 86400)).cast("bigint")
         return F.floor(epoch_seconds(self.ts) / F.lit(self.slice_seconds)).cast("bigint")
 
     def window(self) -> WindowSpec:
