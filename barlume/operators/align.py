@@ -66,8 +66,7 @@ def event_window(bars: DataFrame, events: DataFrame, pre_seconds: int, post_seco
 
 
 def first_crossing(
-    positions: DataFrame, path: DataFrame, strict: bool = True, tie: str = "event_id",
-    fine_seconds: int = 3600, coarse_seconds: int = 30 * 86400,
+    positions: DataFrame, path: DataFrame, strict: bool = True, tie: str = "event_id", levels: Sequence[int] = (3600, 30 * 86400),
 ) -> DataFrame:
     """First path row after the start at which a position's exit level is touched.
 
@@ -75,10 +74,13 @@ def first_crossing(
     path: instrument, ts, ``tie``, and low/high seen by long (buy_lo, buy_hi) and
     by short positions (sell_lo, sell_hi).
 
-    Extremes per fine bucket, then per coarse bucket, tell which bucket holds the
-    first touch; rows are only compared in that bucket and in the opening one.
-    The work per position is bounded by the bucket grid, not by the holding time,
-    and every join has an equality key of instrument and bucket.
+    Extremes per time bucket, on widths ``levels`` (seconds, each a multiple of the
+    one before), lead to the first bucket that holds a touch; rows are compared
+    only in that bucket and in the opening one.  The lists looked through are as
+    long as one level fits into the next, so the work per position follows the
+    bucket grid and not the holding time; every join has an equality key of
+    instrument and bucket.  Denser paths take more levels, such as
+    (60, 3600, 86400, 30 * 86400).
     """
     long = F.col("side") == "BUY"
 
@@ -87,38 +89,45 @@ def first_crossing(
         sell = (hi_s >= F.col("stop")) | (lo_s <= F.col("target"))
         return F.when(long, buy).otherwise(sell)
 
-    per = coarse_seconds // fine_seconds
-    p = path.withColumn("_f", F.floor(epoch_seconds("ts") / fine_seconds))
+    top = len(levels) - 1
+    p = path.withColumn("_b", F.floor(epoch_seconds("ts") / levels[0]))
     ext = [F.min("buy_lo").alias("bl"), F.max("buy_hi").alias("bh"), F.min("sell_lo").alias("sl"), F.max("sell_hi").alias("sh")]
-    fine = p.groupBy("instrument", "_f").agg(*ext).withColumn("_c", F.floor(F.col("_f") / per))
-    in_coarse = fine.groupBy("instrument", "_c").agg(
-        F.sort_array(F.collect_list(F.struct("_f", "bl", "bh", "sl", "sh"))).alias("_fine"),
-        F.min("bl").alias("bl"), F.max("bh").alias("bh"), F.min("sl").alias("sl"), F.max("sh").alias("sh"),
-    )
-    months = in_coarse.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("_c", "bl", "bh", "sl", "sh"))).alias("_months"))
-    fine_lists = in_coarse.select("instrument", "_c", "_fine")
-
-    q = positions.withColumn("_f", F.floor(epoch_seconds("start_ts") / fine_seconds))
-    q = q.withColumn("_c", F.floor(F.col("_f") / per))
-
-    def first_in(arr: str, key: str, after: str) -> Column:
-        hits = F.filter(arr, lambda e: (e[key] > F.col(after)) & touched(e["bl"], e["bh"], e["sl"], e["sh"]))
-        return F.get(hits, 0)[key]
-
-    q = q.join(fine_lists, ["instrument", "_c"], "left").withColumn("_hit", first_in("_fine", "_f", "_f")).drop("_fine")
-    q = q.join(months, "instrument", "left").withColumn("_c2", F.when(F.col("_hit").isNull(), first_in("_months", "_c", "_c"))).drop("_months")
-    later = fine_lists.select("instrument", F.col("_c").alias("_c2"), "_fine")
-    q = q.join(later, ["instrument", "_c2"], "left").withColumn("_hit", F.coalesce("_hit", first_in("_fine", "_f", "_f")))
-    q = q.drop("_fine", "_c", "_c2")
-    q = q.withColumn("_b", F.explode(F.array_compact(F.array("_f", "_hit")))).drop("_f", "_hit")
-    rows = p.withColumnRenamed("_f", "_b").withColumnRenamed("ts", "_ts")
+    again = [F.min("bl").alias("bl"), F.max("bh").alias("bh"), F.min("sl").alias("sl"), F.max("sh").alias("sh")]
+    bucket = p.groupBy("instrument", "_b").agg(*ext)
+    lists = []
+    for i in range(top + 1):
+        row = F.sort_array(F.collect_list(F.struct("_b", "bl", "bh", "sl", "sh"))).alias("_list")
+        if i == top:
+            lists.append(bucket.groupBy("instrument").agg(row))
+        else:
+            parent = F.floor(F.col("_b") / (levels[i + 1] // levels[i])).alias("_p")
+            up = bucket.groupBy("instrument", parent).agg(row, *again)
+            lists.append(up.select("instrument", "_p", "_list"))
+            bucket = up.select("instrument", F.col("_p").alias("_b"), "bl", "bh", "sl", "sh")
+
+    def first_in(after: Column | None) -> Column:
+        hit = lambda e: touched(e["bl"], e["bh"], e["sl"], e["sh"])
+        test = hit if after is None else (lambda e: (e["_b"] > after) & hit(e))
+        return F.get(F.filter("_list", test), 0)["_b"]
+
+    q = positions.withColumn("_f0", F.floor(epoch_seconds("start_ts") / levels[0]))
+    for i in range(top):
+        q = q.withColumn(f"_f{i + 1}", F.floor(F.col(f"_f{i}") / (levels[i + 1] // levels[i])))
+    found = F.lit(False)
+    for i in range(top + 1):  # up: later buckets under the same parent
+        side = lists[i] if i == top else lists[i].withColumnRenamed("_p", f"_f{i + 1}")
+        q = q.join(side, ["instrument"] if i == top else ["instrument", f"_f{i + 1}"], "left")
+        q = q.withColumn(f"_h{i}", F.when(~found, first_in(F.col(f"_f{i}")))).drop("_list")
+        found = found | F.col(f"_h{i}").isNotNull()
+    for i in range(top - 1, -1, -1):  # down: first touched child of the bucket found above
+        side = lists[i].withColumnRenamed("_p", f"_h{i + 1}")
+        q = q.join(side, ["instrument", f"_h{i + 1}"], "left")
+        q = q.withColumn(f"_h{i}", F.coalesce(f"_h{i}", first_in(None))).drop("_list", f"_h{i + 1}")
+    q = q.withColumn("_b", F.explode(F.array_compact(F.array("_f0", "_h0")))).drop("_h0", *[f"_f{i}" for i in range(top + 1)])
     after = F.col("_ts") > F.col("start_ts") if strict else F.col("_ts") >= F.col("start_ts")
-    meet = q.join(rows.select("instrument", "_b", "_ts", tie if tie != "ts" else F.col("_ts").alias("_tie"), "buy_lo", "buy_hi", "sell_lo", "sell_hi"), ["instrument", "_b"])
-    tie_col = tie if tie != "ts" else "_tie"
-    hit = meet.where(after & touched(F.col("buy_lo"), F.col("buy_hi"), F.col("sell_lo"), F.col("sell_hi")))
-    first = hit.groupBy("position_id").agg(
-        F.min(F.struct("_ts", tie_col, "buy_lo", "buy_hi", "sell_lo", "sell_hi")).alias("_x")
-    )
+    rows = p.select("instrument", "_b", F.col("ts").alias("_ts"), F.col(tie).alias("_tie"), "buy_lo", "buy_hi", "sell_lo", "sell_hi")
+    hit = q.join(rows, ["instrument", "_b"]).where(after & touched(F.col("buy_lo"), F.col("buy_hi"), F.col("sell_lo"), F.col("sell_hi")))
+    first = hit.groupBy("position_id").agg(F.min(F.struct("_ts", "_tie", "buy_lo", "buy_hi", "sell_lo", "sell_hi")).alias("_x"))
     out = positions.join(first, "position_id", "left")
     stop_hit = F.when(long, F.col("_x.buy_lo") <= F.col("stop")).otherwise(F.col("_x.sell_hi") >= F.col("stop"))
     return out.select(

@@ -255,6 +255,28 @@ def short_context(anchored: DataFrame, s: Series = BARS) -> DataFrame:
     return windowed(anchored, s, build, back=140)
 
 
+def rolling_quantiles(d: DataFrame, x: str, frames: dict[int, tuple[int, int]], keys=("instrument",), ts: str = "ts") -> DataFrame:
+    """Exact rolling quartiles over frames of thousands of rows, added to chunked
+    rows as _q25_k, _q50_k, _q75_k.
+
+    A window percentile sorts every frame anew; here each chunk (already in place,
+    halo included) goes through an incremental rolling quantile in one Arrow batch.
+    """
+    names = [f"_q{int(100 * q)}_{k}" for k in frames for q in (0.25, 0.5, 0.75)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", " + ", ".join(f"{n} double" for n in names)
+
+    def run(pdf):
+        pdf = pdf.sort_values(ts, kind="stable")
+        v = pdf[x].astype("float64")
+        for k, (n, least) in frames.items():
+            r = v.rolling(n, min_periods=least)
+            for q in (0.25, 0.5, 0.75):
+                pdf[f"_q{int(100 * q)}_{k}"] = r.quantile(q)
+        return pdf
+
+    return d.groupBy(*keys, "_chunk").applyInPandas(run, schema)
+
+
 def slow_context_columns(d: DataFrame, w: WindowSpec, days=(10, 20, 40), bars_per_day: int = 96) -> DataFrame:
     """Volatility, range and trend regime over weeks, with exact frame quantiles."""
     c = F.col("close")
@@ -264,15 +286,11 @@ def slow_context_columns(d: DataFrame, w: WindowSpec, days=(10, 20, 40), bars_pe
         n = max(k * bars_per_day, 96)
         e = max(8, n // 8)
         work[f"_eff{k}"] = F.abs(c - F.lag("close", e).over(w)) / (rolling(F.sum, F.abs(F.col("_dc")), w, e) + EPS)
-        f = w.rowsBetween(-(n - 1), 0)
-        least = max(96, n // 4)
-        work[f"_q{k}"] = F.when(F.count(atr).over(f) >= least, F.percentile(atr, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(f))
-    d = d.withColumns(work)
+    d = rolling_quantiles(d.withColumns(work), "sf_vol_scale_atr14", {k: (max(k * bars_per_day, 96), max(96, max(k * bars_per_day, 96) // 4)) for k in days})
     for k in days:
         n = max(k * bars_per_day, 96)
         least = max(96, n // 4)
-        q = F.col(f"_q{k}")
-        lo, mid, hi = F.get(q, 0), F.get(q, 1), F.get(q, 2)
+        lo, mid, hi = F.col(f"_q25_{k}"), F.col(f"_q50_{k}"), F.col(f"_q75_{k}")
         out[f"sf_regime_vol_med_ratio_{k}d"] = safe_div(atr, mid)
         out[f"sf_regime_vol_iqr_norm_{k}d"] = safe_div(atr - mid, hi - lo)
         out[f"sf_regime_spread_range_ratio_{k}d"] = safe_div(F.col("sf_spread_proxy"), rolling(F.avg, "_tr", w, n, least))

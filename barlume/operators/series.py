@@ -494,7 +494,11 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         F.min(value).alias("_mn"), F.max(value).alias("_mx"), F.sum("_m").alias("_cnt")
     )
     vals = _join_keys(vals, stats, k)
-    vals = vals.withColumn("_sl", _bin(F.col(value).cast("double"), F.col("_mn").cast("double"), F.col("_mx").cast("double")))
+    v, lo, hi = (F.col(c).cast("double") for c in (value, "_mn", "_mx"))
+    width = (hi - lo) / F.lit(float(_BINS))
+    b1 = _bin(v, lo, hi)
+    b2 = F.greatest(_bin(v, lo + b1 * width, lo + (b1 + 1) * width), F.lit(0))
+    vals = vals.withColumn("_sl", b1 * _BINS + b2)  # fine cells; sparse ones share a chunk
     s = Series(keys=tuple(k), order=(value,), slice_by=F.col("_sl"))
     out = running(vals, s, sums={"_upto": F.col("_m")})
     below = F.col("_upto") - F.col("_m")

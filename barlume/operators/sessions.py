@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barlume.operators.series import BARS, Series, running, windowed
+from barlume.operators.series import BARS, Series, materialise, running, windowed
 
 # Session windows in local minutes, start inclusive, end exclusive.
 SESSION_ZONE = "Europe/London"
@@ -110,8 +110,10 @@ def calendar_day_levels(rows: DataFrame, bars: DataFrame | None = None) -> DataF
 
 
 def session_anchors(bars: DataFrame, s: Series = BARS) -> DataFrame:
-    """Sessions, developing state and prior session and day levels."""
-    return prior_day_levels(prior_session_levels(developing_state(with_sessions(bars, s))))
+    """Sessions, developing state and prior session and day levels.  The session
+    numbering is written once, as each later step passes over the rows twice."""
+    numbered = materialise(with_sessions(bars, s))
+    return developing_state(prior_day_levels(materialise(prior_session_levels(numbered))))
 
 
 def future_extreme_leaks(bars: DataFrame, dev_high: str, dev_low: str) -> DataFrame:

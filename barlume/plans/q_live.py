@@ -224,7 +224,9 @@ def _(t):
     return live.read_output(t.spark, path, d.schema)
 
 
-@query("t03_stream_bar_signals", "instrument ts direction:i entry_price:r")
+@query("t03_stream_bar_signals", "instrument ts direction:i entry_price:r", f"""SELECT instrument, ts, direction, close AS entry_price FROM (SELECT *, lag(direction) OVER ({OVER}) AS before FROM cbs WHERE direction IS NOT NULL) WHERE before IS NULL OR before <> direction""",
+       cbs=f"""SELECT *, CASE WHEN n > 20 AND close > hi * 1.0002 THEN 1 WHEN n > 20 AND close < lo * 0.9998 THEN -1 END AS direction FROM (SELECT *, row_number() OVER ({OVER}) AS n, max(high) OVER ({OVER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS hi,
+         min(low) OVER ({OVER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS lo FROM bars_h1 WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM ticks) - INTERVAL '10 minutes')""")
 def _(t):
     """Closed hourly bars from the stream sink feed the stateful signal step."""
     bars = live.candles(tick_stream(t), "1 hour")

@@ -32,17 +32,18 @@ def utc_ntz(name: str) -> Column:
 def import_csv(spark: SparkSession, path: str, instrument: str | None = None) -> DataFrame:
     """Candles from CSV: header aliases, numeric casts, missing volume 0, first row
     per time."""
-    d = clean_headers(spark.read.option("header", True).option("inferSchema", False).csv(path))
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    d = clean_headers(raw)
     missing = [c for c in ("timestamp", *PRICES) if c not in d.columns]
     if missing:
         raise ValueError(f"missing columns {missing}")
     inst = F.col("instrument") if "instrument" in d.columns else F.lit(instrument)
     vol = F.coalesce(F.col("volume").try_cast("double").cast("bigint"), F.lit(0)) if "volume" in d.columns else F.lit(0).cast("bigint")
-    # rows keep their file order inside a split, splits follow in plan order
-    d = d.select(inst.alias("instrument"), utc_ntz("timestamp").alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in PRICES], vol.alias("volume"),
-                 F.monotonically_increasing_id().alias("_i"))
+    d = d.select(inst.alias("instrument"), utc_ntz("timestamp").alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in PRICES], vol.alias("volume"), "_file", "_at", "_row")
     d = d.where(F.col("ts").isNotNull() & F.col("open").isNotNull() & F.col("close").isNotNull())
-    return dedupe(d, ["instrument", "ts"], ["_i"]).drop("_i")
+    # file, split offset and row in the split give the file order
+    return dedupe(d, ["instrument", "ts"], ["_file", "_at", "_row"]).drop("_file", "_at", "_row")
 
 
 def load_ohlc(spark: SparkSession, path: str, step_seconds: int | None = 900, s: Series = BARS) -> tuple[DataFrame, DataFrame]:

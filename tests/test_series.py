@@ -115,7 +115,8 @@ def test_asof_ties_and_strictness(spark, s):
         np.testing.assert_array_equal(got["x"].to_numpy(), want["x"].to_numpy())
 
 
-def test_first_crossing_brute_force(spark):
+@pytest.mark.parametrize("levels", [(7200, 20 * 7200), (3600, 4 * 3600, 86400, 7 * 86400), (86400,)])
+def test_first_crossing_brute_force(spark, levels):
     pdf = walk(300, gaps=True)
     p = pdf.assign(position_id=range(len(pdf)), side=np.where(np.arange(len(pdf)) % 2, "BUY", "SELL"))
     sign = np.where(p["side"] == "BUY", 1, -1)
@@ -123,7 +124,7 @@ def test_first_crossing_brute_force(spark):
     bars = frame(spark, pdf)
     path = bars.select("instrument", "ts", F.col("low").alias("buy_lo"), F.col("high").alias("buy_hi"), F.col("low").alias("sell_lo"), F.col("high").alias("sell_hi"))
     pos = frame(spark, p).select("position_id", "instrument", "side", F.col("ts").alias("start_ts"), "stop", "target")
-    got = align.first_crossing(pos, path, tie="ts", fine_seconds=7200, coarse_seconds=20 * 7200).toPandas().set_index("position_id")
+    got = align.first_crossing(pos, path, tie="ts", levels=levels).toPandas().set_index("position_id")
     for r in p.itertuples():
         f = pdf[(pdf["instrument"] == r.instrument) & (pdf["ts"] > r.ts)]
         sl = f["low"] <= r.stop if r.side == "BUY" else f["high"] >= r.stop
