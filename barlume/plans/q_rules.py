@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barlume.operators import align, indicators as ind, rules as ru, series as sr
 from barlume.plans import sqltext as q
+from barlume.plans.q_market import adx_simple_ctes
 from barlume.plans.q_quality import INSTRUMENTS
 from barlume.plans.registry import query
 
@@ -78,7 +79,20 @@ def _(t):
     return ru.trend_alignment(t.bars_h1, [(t.bars_h4, 14400)], 10, 20)
 
 
-@query("r08_intermarket_confluence", "instrument ts bar_no:i direction:i entry_price:r alignment:r strength:r")
+_CF = {
+    **_trend("bars_h4", "c_h4", 5, 10, 20),
+    "cf0": f"SELECT instrument, ts, close, row_number() OVER ({OVER}) AS bar_no, close / nullif({lag('close', 12)}, 0) - 1 AS r FROM bars_h1",
+    "cf1": """SELECT g.ts, g.bar_no, g.close, n.instrument, r.r, sign(h.ema_fast - h.ema_slow) AS d FROM (SELECT * FROM cf0 WHERE instrument = 'click') g CROSS JOIN (SELECT DISTINCT instrument FROM bars_h1) n
+      ASOF LEFT JOIN cf0 r ON r.instrument = n.instrument AND g.ts >= r.ts ASOF LEFT JOIN (SELECT *, ts + INTERVAL '4 hours' AS done FROM c_h4) h ON h.instrument = n.instrument AND g.ts >= h.done""",
+    "cf2": """SELECT ts, bar_no, close, max(d) FILTER (instrument = 'click') AS own, max(r) FILTER (instrument = 'click') - avg(r) FILTER (instrument <> 'click') AS strength, count(*) FILTER (instrument <> 'click' AND d > 0) AS up, count(*) FILTER (instrument <> 'click' AND d < 0) AS dn FROM cf1 GROUP BY 1, 2, 3""",
+    "cf3": "SELECT *, CAST(own AS BIGINT) AS direction, CASE WHEN own > 0 THEN up ELSE dn END / nullif(up + dn, 0) AS alignment FROM cf2 WHERE own <> 0",
+    "cf4": "SELECT *, row_number() OVER (ORDER BY bar_no) AS rn FROM cf3 WHERE alignment >= 0.5 AND direction * strength >= 0.0002",
+    "cf5": """SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS last, CAST(-1000 AS BIGINT) AS at, false AS kept UNION ALL SELECT e.rn, CASE WHEN e.bar_no - s.at >= 8 AND e.direction <> s.last THEN e.direction ELSE s.last END,
+      CASE WHEN e.bar_no - s.at >= 8 AND e.direction <> s.last THEN e.bar_no ELSE s.at END, e.bar_no - s.at >= 8 AND e.direction <> s.last FROM cf5 s JOIN cf4 e ON e.rn = s.rn + 1""",
+}
+
+
+@query("r08_intermarket_confluence", "instrument ts bar_no:i direction:i entry_price:r alignment:r strength:r", "SELECT 'click' AS instrument, ts, bar_no, direction, close AS entry_price, alignment, strength FROM cf4 JOIN cf5 USING (rn) WHERE kept", **_CF)
 def _(t):
     return ru.confluence(t.bars_h1, [("H4", t.bars_h4, 14400)], "click", INSTRUMENTS[1:], fast=5, slow=10)
 
@@ -105,7 +119,22 @@ def _(t):
     return ru.rsi_crossing(t.ticks)
 
 
-@query("r11_session_breakout", "instrument ts direction:i entry_price:r stop:r target:r adx:r atr:r quantity:i")
+_SB = {
+    **adx_simple_ctes("bars_m15"), **_trend("bars_h1", "b_h1", 20, 50, 300), **_trend("bars_h4", "b_h4", 20, 50, 300),
+    "sb0": f"""SELECT *, abs(close - open) AS body, 4 * {roll('stddev_pop', 'close', 20)} / nullif({roll('avg', 'close', 20)}, 0) AS bw, {roll('avg', 'tr', 14)} AS atr, row_number() OVER ({OVER}) AS rn,
+      max(CASE WHEN hour(ts) < 6 THEN high END) OVER dw AS rh, min(CASE WHEN hour(ts) < 6 THEN low END) OVER dw AS rl FROM ax5 WINDOW dw AS (PARTITION BY instrument, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)""",
+    "sb1": f"""SELECT *, {lag('atr', 5)} AS a5, {lag('bw', 5)} AS w5, CASE WHEN atr > {lag('atr')} THEN 1 WHEN {lag('atr')} IS NOT NULL THEN 0 END AS upf, count(atr) OVER ({OVER} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS n50,
+      quantile_cont(atr, 0.3) OVER ({OVER} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS q30, avg(body) OVER ({OVER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS mb, avg(volume) OVER ({OVER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS mv FROM sb0""",
+    "sb2": f"""SELECT *, sum(upf) OVER ({OVER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ups FROM sb1""",
+    "sb3": """SELECT s.*, coalesce(sign(h.ema_fast - h.ema_slow), 0) + coalesce(sign(g.ema_fast - g.ema_slow), 0) AS bias FROM sb2 s ASOF LEFT JOIN (SELECT *, ts + INTERVAL '1 hour' AS done FROM b_h1) h ON h.instrument = s.instrument AND s.ts >= h.done
+      ASOF LEFT JOIN (SELECT *, ts + INTERVAL '4 hours' AS done FROM b_h4) g ON g.instrument = s.instrument AND s.ts >= g.done""",
+    "sb4": """SELECT *, CASE WHEN close > rh AND bias > 0 THEN 1 WHEN close < rl AND bias < 0 THEN -1 END AS direction FROM sb3 WHERE rn >= 60 AND hour(ts) BETWEEN 6 AND 20 AND adx >= 10 AND atr > a5 AND ups >= 3 AND bw > w5 AND n50 >= 30 AND atr > q30 AND body > mb AND volume > mv""",
+    "sb5": "SELECT *, CASE WHEN direction > 0 THEN least(low, close - 1.2 * atr) ELSE greatest(high, close + 1.2 * atr) END AS st FROM sb4 WHERE direction IS NOT NULL",
+}
+
+
+@query("r11_session_breakout", "instrument ts direction:i entry_price:r stop:r target:r adx:r atr:r quantity:i", """SELECT instrument, ts, direction, close AS entry_price, st AS stop, close + direction * abs(close - st) * 2 AS target, adx, atr,
+   CASE WHEN abs(close - st) > 0 THEN greatest(1, least(floor(100 / abs(close - st)), 100000)) ELSE 1 END AS quantity FROM sb5""", **_SB)
 def _(t):
     d = ru.session_breakout_candidates(t.bars_m15, [(t.bars_h1, 3600), (t.bars_h4, 14400)], adx_min=10.0, warm=60)
     return d.withColumn("quantity", ru.risk_quantity(10000, 0.01, F.abs(F.col("entry_price") - F.col("stop"))))
