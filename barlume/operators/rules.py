@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barlume.operators.align import align_many
 from barlume.operators.indicators import adx_simple_columns, ema_bounded, rolling, rsi_simple_columns, true_range
-from barlume.operators.series import BARS, TICKS, Series, asof, chunked, fold, running, windowed
+from barlume.operators.series import BARS, TICKS, Series, asof, chunked, fold, materialise, running, windowed
 
 Rule = Callable[[DataFrame, WindowSpec], DataFrame]
 
@@ -203,6 +203,7 @@ def cooldown(candidates: DataFrame, bars_apart: int, keys: Sequence[str] = ("ins
     since the last kept signal, capped; folded chunk by chunk.
     """
     k = s.with_(keys=tuple(keys), order=("bar_no",))
+    candidates = materialise(candidates)  # sparse, and walked several times
     gap = windowed(candidates, k, lambda d, w: d.withColumn("_gap", F.col("bar_no") - F.lag("bar_no").over(w)), back=1)
     rows = chunked(gap, k).drop("_own", "_base")
     cap = bars_apart
@@ -442,7 +443,7 @@ def session_breakout_candidates(
     hour = F.hour("ts")
     ready = (F.col("_rows") >= warm) & (hour >= trade_hours[0]) & (hour < trade_hours[1]) & (F.col("adx") >= adx_min)
     d = d.where(ready & F.col("_rise") & F.col("_wide") & F.col("_free") & F.col("_strong"))
-    d = d.select(*s.keys, s.ts, "open", "high", "low", "close", "adx", "atr", "range_high", "range_low")
+    d = materialise(d.select(*s.keys, s.ts, "open", "high", "low", "close", "adx", "atr", "range_high", "range_low"))
     sides = []
     for i, (slow, seconds) in enumerate(slower):
         t = trend_state(slow, 20, 50, 300, s)
@@ -462,6 +463,7 @@ def daily_limits(candidates: DataFrame, max_trades: int = 2, max_losses: int = 2
     candidates: instrument, ts, exit_ts, exit_reason, ….  Everything but the loss
     streak resets each day, so a day is a chunk and the streak its only state.
     """
+    candidates = materialise(candidates)
     rows = candidates.withColumn("_day", F.unix_date(F.col("ts").cast("date")))
     names = candidates.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema)
@@ -500,7 +502,7 @@ def confluence(
     def ret(d: DataFrame, w: WindowSpec) -> DataFrame:
         return d.withColumn("_ret", F.col("close") / F.nullif(F.lag("close", lookback).over(w), F.lit(0.0)) - 1)
 
-    own = bar_numbers(base.where(F.col("instrument") == primary), s).select("ts", "bar_no", "close")
+    own = materialise(bar_numbers(base.where(F.col("instrument") == primary), s).select("ts", "bar_no", "close"))
     grid = own.select("ts", "bar_no", "close", F.explode(F.array(*[F.lit(n) for n in names])).alias("instrument"))
     rets = windowed(base.where(F.col("instrument").isin(*names)), s, ret, back=lookback).select("instrument", "ts", "_ret")
     states = []

@@ -170,7 +170,7 @@ COOL = {
 def _(t):
     bars = sr.materialise(ru.bar_numbers(t.bars_h1))
     votes = ru.ensemble_votes(ru.all_signals(bars), bars, 6)
-    return ru.cooldown(sr.materialise(votes), 5)
+    return ru.cooldown(votes, 5)
 
 
 _STYLE = "CASE WHEN regexp_matches(strategy, 'MeanReversion|RSI') THEN 'mean_reversion' WHEN regexp_matches(strategy, 'Breakout|Compression') THEN 'breakout' ELSE 'trend' END"
