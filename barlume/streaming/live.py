@@ -152,7 +152,8 @@ def unique_signals(signals: DataFrame, memory: str = "30 days", key: str = "sign
 
 
 class BacklogListener(StreamingQueryListener):
-    """Collects input backlog per trigger for ``risk.backlog_alerts``."""
+    """Collects processed rows and the source's reported backlog per trigger, for
+    ``risk.backlog_alerts``."""
 
     def __init__(self) -> None:
         self.rows: list[tuple[str, int, int]] = []
@@ -162,7 +163,9 @@ class BacklogListener(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.rows.append((p.name or str(p.id), int(p.numInputRows), int(p.numInputRows if p.sink else 0)))
+        done = int(p.numInputRows)
+        behind = sum(int(float((s.metrics or {}).get("maxOffsetsBehindLatest", 0))) for s in p.sources)
+        self.rows.append((p.name or str(p.id), done + behind, done))
 
     def onQueryIdle(self, event) -> None:
         pass
