@@ -51,7 +51,7 @@ def _(t):
 
 _PS = {
     "pn": f"SELECT instrument, ts, lead(ts, 6) OVER ({OVER}) AS le, row_number() OVER ({OVER}) - 1 AS pos, count(*) OVER (PARTITION BY instrument) AS n FROM bars_h1",
-    "pw": "SELECT p.instrument, f.fold, n - (3 - f.fold + 1) * 40 AS vf, p.ts AS vts FROM pn p, range(1, 4) f(fold) WHERE pos = n - (3 - f.fold + 1) * 40",
+    "pw": "SELECT p.instrument, f.fold, n - (3 - f.fold + 1) * 40 AS vf, p.ts AS vts FROM pn p, range(1, 4) f(fold) WHERE pos = n - (3 - f.fold + 1) * 40 AND n - (3 - f.fold + 1) * 40 - 8 >= 50",
 }
 
 
