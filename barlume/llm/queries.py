@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlume.llm import common, substring_dedup
+from barlume.llm import common, packing, piece_encoding, repetition, substring_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,3 +37,19 @@ def query(name: str, sql: str | None = None):
 def op2(spark, sf_dir):
     out = substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_suffix_repetition")
+def op1(spark, sf_dir):
+    return repetition.rules(common.table(spark, sf_dir, "documents"))
+
+
+@query("op5_piece_encoding")
+def op5(spark, sf_dir):
+    out = piece_encoding.encode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_best_fit_packing")
+def op9(spark, sf_dir):
+    return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
