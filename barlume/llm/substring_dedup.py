@@ -53,8 +53,7 @@ class Windows:
 
 
 def repeated_windows(docs: DataFrame, window: int, seed: int, bits: int) -> DataFrame:
-    """(_id, starts): word positions at which a window begins that also began earlier,
-    some rows a document; each start is little-endian, four bytes."""
+    """(_id, _start): word positions at which a window begins that also began earlier."""
     w = Windows(window, seed)
     bitmap = sketch.repeated(docs, w.seeds, bits)
 
@@ -88,10 +87,7 @@ def repeated_windows(docs: DataFrame, window: int, seed: int, bits: int) -> Data
         def out():
             i, st = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
             order = np.lexsort((st, i))
-            i, st = i[order], st[order].astype(np.int32)
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(i)) + 1, [len(i)]))
-            packed = [st[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.RecordBatch.from_pydict({"_id": pa.array(i[cut[:-1]]), "_starts": pa.array(packed, pa.binary())})
+            return pa.RecordBatch.from_pydict({"_id": pa.array(i[order]), "_start": pa.array(st[order].astype(np.int32))})
 
         for b in batches:
             if not b.num_rows:
@@ -123,7 +119,7 @@ def repeated_windows(docs: DataFrame, window: int, seed: int, bits: int) -> Data
             yield out()
 
     rows = docs.mapInArrow(candidates, "_k1 long, _k2 long, _id long, _start int")
-    return rows.repartition("_k1", "_k2").sortWithinPartitions("_k1", "_k2", "_id", "_start").mapInArrow(judge, "_id long, _starts binary")
+    return rows.repartition("_k1", "_k2").sortWithinPartitions("_k1", "_k2", "_id", "_start").mapInArrow(judge, "_id long, _start int")
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed: int = 8, bits: int = 26) -> DataFrame:
@@ -143,7 +139,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     A null id sorts before all others and stays null.  Other columns are ignored.
     """
     docs = common.documents(df, id_col, text_col)
-    found = repeated_windows(docs, window, seed, bits).groupBy("_id").agg(F.collect_list("_starts").alias("_starts"))
+    found = repeated_windows(docs, window, seed, bits).groupBy("_id").agg(F.collect_list("_start").alias("_starts"))
 
     def cut(batches):
         for b in batches:
@@ -151,7 +147,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
             for t, starts in zip(b.column("_text").to_pylist(), b.column("_starts").to_pylist(), strict=True):
                 w = (t or "").encode().split()
                 if starts:
-                    gone = covered(np.frombuffer(b"".join(starts), np.int32), window, len(w))
+                    gone = covered(np.array(starts, np.int64), window, len(w))
                     spans = runs(gone)
                     kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
                     out.append((len(w), int(gone.sum()), [{"from": x, "to": y} for x, y in spans], kept.decode()))
