@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlume.llm import common, packing, piece_encoding, repetition, substring_dedup
+from barlume.llm import common, packing, piece_encoding, repetition, substring_dedup, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -53,3 +53,9 @@ def op5(spark, sf_dir):
 @query("op9_best_fit_packing")
 def op9(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    out = suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

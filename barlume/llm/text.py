@@ -94,19 +94,33 @@ def inside(first: np.ndarray, n: int) -> np.ndarray:
 
 
 def minimum_at(values: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least value in each run of ``width`` (the first of equals)."""
+    """Position of the least value in each run of ``width`` (the first of those whose
+    leading bits are equal): the lesser of a block's running minimum from the right and the next
+    block's from the left, the position in the low bits."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best = np.arange(len(values))
-    span = 1
-    while span < width:  # doubling: best[i] covers [i, i + span)
-        step = min(span, width - span)
-        right = best[step:]
-        left = best[: len(right)]
-        best = np.where(values[right] < values[left], right, left)
-        span += step
-    return best[:n]
+    bits = np.uint64(max(1, int(len(values)).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    padded = np.full(-(-len(values) // width) * width, np.uint64(2**64 - 1))
+    padded[: len(values)] = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+    table = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    behind = np.minimum.accumulate(table, axis=1).ravel()
+    return (np.minimum(ahead[:n], behind[width - 1 : width - 1 + n]) & low).astype(np.int64)
+
+
+def byte_grams(buf: np.ndarray, power: int, which: int = 0) -> np.ndarray:
+    """Hash of every run of ``2**power`` bytes, by doubling."""
+    h = _TABLE[which][buf]
+    odd = _ODD
+    for k in range(power):
+        span = 1 << k
+        if len(h) <= span:
+            return np.zeros(0, np.uint64)
+        h = h[:-span] * odd + h[span:]
+        odd = np.uint64(int(odd) * int(odd) % 2**64)
+    return mix(h)
 
 
 def ids(batch: pa.RecordBatch, name: str = "_id") -> np.ndarray:
