@@ -43,5 +43,5 @@ def components(edges: DataFrame) -> DataFrame:
         told = saved(near.select("id", "m").union(near.select(F.col("label").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("m")))
         after = saved(told.join(told.select(F.col("id").alias("m"), F.col("m").alias("root")), "m").select("id", F.col("root").alias("label")))
         if not after.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count():
-            return after
+            return after.withColumnRenamed("label", "component")
         label = after

@@ -16,31 +16,32 @@ from tokenizers import Tokenizer
 
 from barlume.llm import common, text
 
-REMEMBER = 600_000
-#: Bytes of text above which a match of the splitting pattern is not remembered.
-LONG = 64
+#: Stretches remembered by one worker, and the longest of them.
+REMEMBER, LONG = 250_000, 64
 
 
-class Words(dict):
-    """Ids of the stretches that the tokenizer's own splitting pattern gives; each is
-    encoded by the tokenizer when it is first met."""
+class Words:
+    """Encodes by the stretches that the tokenizer's own splitting pattern gives; those of
+    some documents that are not remembered go to the tokenizer together."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        if len(word) <= LONG:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, s: str) -> np.ndarray:
-        return np.fromiter(chain(chain.from_iterable(map(self.__getitem__, self.split.findall(s))), (0,)), np.uint32)
+        self.known = text.Memory(lambda x: tuple(self.tokenizer.encode(x, add_special_tokens=False).ids), REMEMBER)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text and a closing 0."""
+        stretches = [self.split.findall(x) for x in texts]
+        known, old = self.known, self.known.old
+        new = [x for x in set(chain.from_iterable(stretches)) if x not in known and x not in old]
+        fresh = {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        out = [np.fromiter(chain(chain.from_iterable([fresh[x] if x in fresh else known[x] for x in s]), (0,)), np.uint32) for s in stretches]
+        for x, ids in fresh.items():
+            if len(x) <= LONG:
+                known.setdefault(x, tuple(ids))
+        known.turn()
+        return out
 
 
 @cache
@@ -56,8 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
         w, seen, chunk = words(tokenizer), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
         for rows, _, _ in text.blocks(batches):
             out = []
-            for i, s in zip(rows.column("_id").to_pylist(), rows.column("_text").to_pylist(), strict=True):
-                ids = w.encode(s or "")
+            for i, ids in zip(rows.column("_id").to_pylist(), w.encode([s or "" for s in rows.column("_text").to_pylist()]), strict=True):
                 first = (len(ids) - 1) % room + 1  # the first piece takes what whole pieces leave
                 cut = [0, *range(first, len(ids) + 1, room)]
                 for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):

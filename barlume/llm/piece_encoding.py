@@ -16,7 +16,7 @@ from barlume.llm import common, text
 
 SPACE = "▁"
 #: Segments and token pairs remembered by one worker.
-REMEMBER = 400_000
+REMEMBER = 250_000
 
 
 class Pieces:
@@ -48,8 +48,8 @@ class Pieces:
         cut = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         lone = f"[{alone}]|" if alone else ""
         self.segment = re.compile(f"{lone}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if cut else r"(?s:.+)")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.known = text.Memory(self.part, REMEMBER)
+        self.pairs = text.Memory(lambda pair: self.merge(pair[0] + pair[1]) == [*pair], REMEMBER)
 
     def merge(self, s: str) -> list[str]:
         parts = list(s)
@@ -64,14 +64,6 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= REMEMBER:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return ok
-
     def walk(self, s: str) -> list[str]:
         matches: list[list[str]] = [[] for _ in s]
         for end, p in self.automaton.iter(s):
@@ -79,13 +71,13 @@ class Pieces:
         for c, m in zip(s, matches, strict=True):
             if not m or len(m[0]) > 1:
                 m.insert(0, c)  # a character that is no piece stands for its bytes
-        n, pos, failed = len(s), 0, 0
+        n, pos, failed, compatible = len(s), 0, 0, self.pairs
         out: list[str] = []
         tried: list[int] = []
         k = len(matches[0]) - 1
         while pos < n:
             m, before = matches[pos], out[-1] if out else None
-            while k >= 0 and (failed >> (pos + len(m[k])) & 1 or before is not None and not self.compatible(before, m[k])):
+            while k >= 0 and (failed >> (pos + len(m[k])) & 1 or before is not None and not compatible[before, m[k]]):
                 k -= 1
             if k >= 0:
                 out.append(m[k])
@@ -99,20 +91,14 @@ class Pieces:
         return out
 
     def part(self, s: str) -> tuple[int, ...]:
-        ids = self.known.get(s)
-        if ids is None:
-            ids = tuple(chain.from_iterable((self.id[p],) if p in self.id else [self.byte_id[b] for b in p.encode()] for p in self.walk(s)))
-            if len(s) <= 64:
-                if len(self.known) >= REMEMBER:
-                    self.known.clear()
-                self.known[s] = ids
-        return ids
+        ids, byte = self.id, self.byte_id
+        return tuple(chain.from_iterable((ids[p],) if p in ids else [byte[b] for b in p.encode()] for p in self.walk(s)))
 
     def encode(self, s: str) -> list[int]:
         if not s:
             return []
-        known, part = self.known, self.part
-        return list(chain.from_iterable([known.get(x) or part(x) for x in self.segment.findall(SPACE + s.replace(" ", SPACE))]))
+        known = self.known
+        return list(chain.from_iterable([known[x] if len(x) <= 64 else self.part(x) for x in self.segment.findall(SPACE + s.replace(" ", SPACE))]))
 
     def decode(self, ids) -> str:
         s = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlume.llm import common, packing, piece_encoding, repetition, substring_dedup, suffix_dedup
+from barlume.llm import common, ngram_join, packing, piece_encoding, repetition, substring_dedup, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,3 +59,24 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     out = suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op7_ngram_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+    FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+    """,
+)
+def op7(spark, sf_dir):
+    return ngram_join.join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -83,9 +83,9 @@ def merge(parts: DataFrame, bits: int, most: int, keep: Callable[[np.ndarray], b
     return [(r.shard, bytes(r.kept)) for r in parts.repartition(n, "_shard").mapInArrow(run, "shard int, kept binary").collect()]
 
 
-def repeated(docs: DataFrame, hashes: Callable, bits: int) -> Broadcast:
-    """Bitmaps (``2**(bits + 1)`` bits in all) of the cells that were hit at least twice."""
-    found = merge(partials(docs, hashes, bits, 2), bits, 2, lambda at: np.packbits(at >= 2).tobytes())
+def bitmap(docs: DataFrame, hashes: Callable, bits: int, least: int) -> Broadcast:
+    """Bitmaps (``2**(bits + 1)`` bits in all) of the cells that were hit ``least`` times or more."""
+    found = merge(partials(docs, hashes, bits, least), bits, least, lambda at: np.packbits(at >= least).tobytes())
     whole = np.zeros((2 << bits) >> 3, np.uint8)
     size = (1 << min(bits + 1, SHARD_BITS)) >> 3
     for shard, kept in found:
@@ -93,8 +93,38 @@ def repeated(docs: DataFrame, hashes: Callable, bits: int) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(whole)
 
 
-def is_repeated(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the estimate of each hash is two or more."""
+def repeated(docs: DataFrame, hashes: Callable, bits: int) -> Broadcast:
+    """For ``is_hit``: hashes whose estimate is two or more."""
+    return bitmap(docs, hashes, bits, 2)
+
+
+def only(docs: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` whose _id is in ``wanted`` (one long column), and few others: a bitmap of
+    fixed size, so that a join does not have to move every text for a few."""
+
+    def hashes(batches):
+        for b in batches:
+            if b.num_rows:
+                yield _spread(b.column(0))
+
+    found = bitmap(wanted, hashes, bits, 1)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(is_hit(found.value, _spread(b.column("_id")), bits)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _spread(ids: pa.Array) -> np.ndarray:
+    h = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
+def is_hit(found: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both cells of each hash are in the bitmap."""
     a, b = cells(h, bits)
-    hit = lambda c: (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1
+    hit = lambda c: (found[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1
     return (hit(a) & hit(b)).astype(bool)

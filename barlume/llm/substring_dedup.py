@@ -60,7 +60,7 @@ def repeated_windows(docs: DataFrame, window: int, seed: int, bits: int) -> Data
     def candidates(batches):
         for rows, buf, off in text.blocks(batches):
             first, h, (s, e), at, seeds, g = w.of(buf, off)
-            maybe = sketch.is_repeated(bitmap.value, g, bits)[seeds] if len(at) else np.zeros(0, bool)
+            maybe = sketch.is_hit(bitmap.value, g, bits)[seeds] if len(at) else np.zeros(0, bool)
             at = at[maybe]
             if not len(at):
                 continue
@@ -136,10 +136,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     Null or wordless text has no words and keeps an empty text.  Rows with equal
     id count as one document given more than once: equal places do not remove each other.
-    A null id sorts before all others and stays null.  Other columns are ignored.
+    A row without id is returned whole and does not count.  Other columns are ignored.
     """
     docs = common.documents(df, id_col, text_col)
-    found = repeated_windows(docs, window, seed, bits).groupBy("_id").agg(F.collect_list("_start").alias("_starts"))
+    found = repeated_windows(docs.where(F.col("_id") != common.NO_ID), window, seed, bits).groupBy("_id").agg(F.collect_list("_start").alias("_starts"))
 
     def cut(batches):
         for b in batches:

@@ -136,7 +136,7 @@ def repeated_windows(docs: DataFrame, width: int, bits: int) -> DataFrame:
             at, n, seed, g = s.of(buf, off)
             if not len(at):
                 continue
-            maybe = sketch.is_repeated(bitmap.value, g[seed], bits)
+            maybe = sketch.is_hit(bitmap.value, g[seed], bits)
             at, n, seed = at[maybe], n[maybe], seed[maybe]
             if not len(at):
                 continue
@@ -207,10 +207,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     hashes of their single windows instead, so that no shard grows with a group.
 
     Null text counts as empty.  Two rows with one id and one text are two documents, each a
-    copy of the other; an id must not name different texts.  Null ids stay null; other columns are ignored.
+    copy of the other; an id must not name different texts.  A row without id is
+    returned whole and does not count.  Other columns are ignored.
     """
     docs = common.documents(df, id_col, text_col)
-    found = repeated_windows(docs, width, bits).groupBy("_id").agg(F.collect_list(F.struct("_start", "_n")).alias("_gone"))
+    found = repeated_windows(docs.where(F.col("_id") != common.NO_ID), width, bits).groupBy("_id").agg(F.collect_list(F.struct("_start", "_n")).alias("_gone"))
 
     def cut(batches):
         for b in batches:

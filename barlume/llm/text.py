@@ -129,3 +129,25 @@ def ids(batch: pa.RecordBatch, name: str = "_id") -> np.ndarray:
 
 def as_i64(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64, copy=False).view(np.int64)
+
+
+class Memory(dict):
+    """Remembers what ``make`` gives for a key.  After ``most`` keys those not asked for since
+    the last turn are forgotten, so frequent keys stay and memory is bounded."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.turn()
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
