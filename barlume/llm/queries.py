@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlume.llm import common, ngram_join, packing, piece_encoding, repetition, substring_dedup, suffix_dedup
+from barlume.llm import common, lattice, line_dedup, ngram_join, packing, piece_encoding, repetition, substring_dedup, suffix_dedup
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,3 +80,42 @@ def op10(spark, sf_dir):
 )
 def op7(spark, sf_dir):
     return ngram_join.join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH t AS (
+        SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '^www\.', ''), '') AS host,
+               regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>', '', 'g'),
+                   '(?i)</(p|div|li|ul|ol|h[1-6]|tr|td|th|table|nav|header|footer|section|article|pre|blockquote|title)>|<br[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x
+        FROM pages),
+    l AS (SELECT page_id, host, x, unnest(string_split(coalesce(x, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(x, ''), chr(10))))) AS i FROM t),
+    b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
+    n AS (SELECT host, count(*) AS pages FROM t GROUP BY host),
+    g AS (SELECT host, bare FROM b JOIN n USING (host) WHERE bare <> '' GROUP BY host, bare, pages HAVING count(DISTINCT page_id) > 0.3 * pages AND count(DISTINCT page_id) >= 5),
+    k AS (SELECT b.*, g.bare IS NOT NULL AS gone FROM b LEFT JOIN g ON g.host = b.host AND g.bare = b.bare)
+    SELECT page_id, host, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+           CASE WHEN any_value(x) IS NOT NULL THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) END AS kept_sha256
+    FROM k GROUP BY page_id, host
+    """,
+)
+def op4(spark, sf_dir):
+    out = line_dedup.drop(common.table(spark, sf_dir, "pages"), line_dedup.host_of(F.col("url")), line_dedup.page_text(F.col("html")))
+    return out.select("page_id", "lines.host", "lines.n_lines", "lines.n_dropped", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op6_lattice_near_dedup",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.v, b.v) >= 0.95 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))
+            AND list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0),
+    r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+    """,
+)
+def op6(spark, sf_dir):
+    return lattice.near_duplicates(common.table(spark, sf_dir, "embeddings"))
