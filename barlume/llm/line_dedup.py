@@ -38,7 +38,7 @@ def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
     return gone.groupBy("_host").agg(F.collect_list("_line").alias("_gone"))
 
 
-def drop(df: DataFrame, host: Column, text: Column, ratio: float = 0.3, least: int = 5) -> DataFrame:
+def drop(df: DataFrame, host: Column, text: Column, ratio: float = 0.1, least: int = 5) -> DataFrame:
     """The rows and columns of ``df`` and, in a struct ``lines``: host, n_lines (lines that are not blank),
     n_dropped and kept, the text without its site's boilerplate lines.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlume.llm import common, lattice, line_dedup, ngram_join, packing, piece_encoding, repetition, substring_dedup, suffix_dedup
+from barlume.llm import common, cotraining, lattice, line_dedup, ngram_join, packing, piece_encoding, repetition, substring_dedup, suffix_dedup, tool_calls
 
 QUERIES, ORACLES = {}, {}
 
@@ -93,7 +93,7 @@ def op7(spark, sf_dir):
     l AS (SELECT page_id, host, x, unnest(string_split(coalesce(x, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(x, ''), chr(10))))) AS i FROM t),
     b AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
     n AS (SELECT host, count(*) AS pages FROM t GROUP BY host),
-    g AS (SELECT host, bare FROM b JOIN n USING (host) WHERE bare <> '' GROUP BY host, bare, pages HAVING count(DISTINCT page_id) > 0.3 * pages AND count(DISTINCT page_id) >= 5),
+    g AS (SELECT host, bare FROM b JOIN n USING (host) WHERE bare <> '' GROUP BY host, bare, pages HAVING count(DISTINCT page_id) > 0.1::DOUBLE * pages AND count(DISTINCT page_id) >= 5),
     k AS (SELECT b.*, g.bare IS NOT NULL AS gone FROM b LEFT JOIN g ON g.host = b.host AND g.bare = b.bare)
     SELECT page_id, host, count(*) FILTER (WHERE bare <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
            CASE WHEN any_value(x) IS NOT NULL THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) END AS kept_sha256
@@ -119,3 +119,35 @@ def op4(spark, sf_dir):
 )
 def op6(spark, sf_dir):
     return lattice.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_cotraining_quality")
+def op8(spark, sf_dir):
+    return cotraining.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+TOOLS = {
+    "search": {"type": "object", "required": ["query", "limit"], "additionalProperties": False, "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}}},
+    "lookup": {"type": "object", "required": ["key"], "properties": {"key": {"type": "string", "minLength": 3, "maxLength": 4000}, "fields": {"type": "array", "items": {"type": "string"}}}},
+    "note": {"type": "object", "required": ["body", "kind"], "properties": {"body": {"type": "string"}, "kind": {"enum": ["short", "long"]}}},
+}
+
+
+def tool_turns(spark, sf_dir):
+    """Tool calls and results read off the conversations: each user turn is a call that
+    needs the call two turns before, each assistant turn answers the call of the turn before."""
+    t = common.table(spark, sf_dir, "conversations")
+    name_id = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    turn, words = F.col("turn"), F.size(F.split("text", " "))
+    kind = F.pmod(F.col("conv_id") + turn, F.lit(3))
+    arguments = F.when(kind == 0, F.to_json(F.struct(F.col("text").alias("query"), words.alias("limit")))).when(kind == 1, F.to_json(F.struct(F.col("text").alias("key"), F.array("role").alias("fields")))).otherwise(
+        F.to_json(F.struct(F.when(words < 40, "short").otherwise("long").alias("kind"), F.col("text").alias("body"))))
+    name = F.when(kind == 0, "search").when(kind == 1, "lookup").otherwise("note")
+    calls = t.where("role = 'user'").select("conv_id", name_id(turn).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), F.when(turn >= 2, F.array(name_id(turn - 2))).otherwise(F.array().cast("array<string>")).alias("depends"))
+    results = t.where("role = 'assistant'").select("conv_id", name_id(turn - 1).alias("call_id"), "turn", F.to_json(F.struct("role", "text")).alias("content"))
+    return calls, results
+
+
+@query("op3_tool_call_linking")
+def op3(spark, sf_dir):
+    return tool_calls.link(*tool_turns(spark, sf_dir), TOOLS)
