@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator works on, under names that cannot clash."""
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+def documents(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The two columns an operator works on, under names that cannot clash, and those to be handed on."""
+    return df.select(*[F.col(c).alias(f"_x{k}") for k, c in enumerate(carry)], F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
 
 def real_id(c: str = "_id") -> Column:

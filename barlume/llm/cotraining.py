@@ -119,16 +119,16 @@ def train(sample: DataFrame, columns: list[str], mine: tuple[dict, dict]) -> Vie
     return Views(odds(gram, 1e-2), weights.ravel())
 
 
-def scored(df: DataFrame, views: Views, columns: list[str], names: list[str], of) -> DataFrame:
-    """``_id`` and what ``of`` makes of the raw scores of each document, in one pass."""
+def scored(df: DataFrame, views: Views, columns: list[str], names: list[str], of, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``, the columns ``carry`` and what ``of`` makes of the raw scores of each document, in one pass."""
     held = df.sparkSession.sparkContext.broadcast(views)
 
     def run(batches):
         for rows, buf, off in text.blocks(batches):
             x = of(held.value, held.value.raw(rows, buf, off, columns))
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), *(pa.array(x[:, k]) for k in range(len(names)))], names=["_id", *names])
+            yield pa.RecordBatch.from_arrays([rows.column("_id"), *(rows.column(c) for c in carry), *(pa.array(x[:, k]) for k in range(len(names)))], names=["_id", *carry, *names])
 
-    return df.mapInArrow(run, "_id long, " + ", ".join(f"{c} double" for c in names))
+    return df.mapInArrow(run, df.select("_id", *carry, *[F.lit(0.0).alias(c) for c in names]).schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, rounds: int, confident: float) -> Views | None:
@@ -177,8 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, round
 def classify(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", columns: tuple[str, ...] = ("lang", "source"),
     most: int = 10_000, rounds: int = 3, confident: float = 0.2, least: float = 0.4,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id_col, p_text, p_meta, p_quality, kept) of every document.
+    """(id_col, p_text, p_meta, p_quality, kept) of every document, behind the columns ``carry``.
 
     Two classifiers see different sides of a document: its text (hashed runs of three bytes, naive Bayes)
     and its metadata (``columns`` and the layout of the page, in bins, naive Bayes).  For ``rounds`` rounds
@@ -192,11 +193,13 @@ def classify(
     are null.  A row without id is scored like others.  Equal rows give equal rows; other columns are ignored.
     """
     columns = list(columns)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).cast("string").alias(f"_c{k}") for k, c in enumerate(columns)])
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(common.NO_ID)).alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).cast("string").alias(f"_c{k}") for k, c in enumerate(columns)], *[F.col(c).alias(f"_x{k}") for k, c in enumerate(carry)])
+    carried = tuple(f"_x{k}" for k in range(len(carry)))
+    given = [F.col(x).alias(c) for x, c in zip(carried, carry, strict=True)]
     columns = [f"_c{k}" for k in range(len(columns))]
     views = fit(docs, labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")), columns, most, rounds, confident)
     names = ["p_text", "p_meta", "p_quality"]
     if views is None:
-        return docs.select(common.real_id().alias(id_col), *[F.lit(None).cast("double").alias(c) for c in names], F.lit(True).alias("kept"))
-    out = scored(docs, views, columns, names, lambda v, x: v.probabilities(x))
-    return out.select(common.real_id().alias(id_col), *names, (F.col("p_quality") >= least).alias("kept"))
+        return docs.select(common.real_id().alias(id_col), *given, *[F.lit(None).cast("double").alias(c) for c in names], F.lit(True).alias("kept"))
+    out = scored(docs, views, columns, names, lambda v, x: v.probabilities(x), carried)
+    return out.select(common.real_id().alias(id_col), *given, *names, (F.col("p_quality") >= least).alias("kept"))

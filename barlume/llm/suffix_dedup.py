@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlume.llm import common, sketch, suffix_array, text
 from barlume.llm.substring_dedup import runs
@@ -190,12 +191,13 @@ def repeated_windows(docs: DataFrame, width: int, bits: int) -> DataFrame:
     return found.where("_k2 is null").select(place).union(sorted_out).union(told_apart.where("_k2 is null").select(place))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, bits: int = 26) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, bits: int = 26, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Cuts every byte covered by a string of ``width`` bytes that begins anywhere else in the
     corpus too, its own document included, judged on the input as UTF-8 bytes.
 
     Returns (id_col, n_bytes, n_removed, spans, kept): removed byte ranges [from, to) and
-    the bytes left, which may begin or end within a character.
+    the bytes left, which may begin or end within a character; with ``as_text`` they are
+    a string without such halves.  The columns ``carry`` are handed on.
 
     Each window of ``width`` bytes has a seed, so equal windows meet under one seed.  Runs of
     windows with a common seed are segments; only those whose seed may occur twice
@@ -210,8 +212,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     copy of the other; an id must not name different texts.  A row without id is
     returned whole and does not count.  Other columns are ignored.
     """
-    docs = common.documents(df, id_col, text_col)
-    found = repeated_windows(docs.where(F.col("_id") != common.NO_ID), width, bits).groupBy("_id").agg(F.collect_list(F.struct("_start", "_n")).alias("_gone"))
+    docs = common.documents(df, id_col, text_col, carry)
+    found = repeated_windows(docs.select("_id", "_text").where(F.col("_id") != common.NO_ID), width, bits).groupBy("_id").agg(F.collect_list(F.struct("_start", "_n")).alias("_gone"))
+
+    carried = [f"_x{k}" for k in range(len(carry))]
 
     def cut(batches):
         for b in batches:
@@ -229,10 +233,14 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 out.append((len(raw), int(mask.sum()), [{"from": x, "to": y} for x, y in spans], np.frombuffer(raw, np.uint8)[~mask].tobytes()))
             if out:
                 n, gone, spans, kept = zip(*out, strict=True)
+                if as_text:
+                    kept = [x.decode("utf-8", "ignore") for x in kept]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.binary())],
-                    names=["_id", "n_bytes", "n_removed", "spans", "kept"],
+                    [*(b.column(c) for c in carried), b.column("_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())],
+                    names=[*carried, "_id", "n_bytes", "n_removed", "spans", "kept"],
                 )
 
-    out = docs.join(found, "_id", "left").mapInArrow(cut, "_id long, n_bytes long, n_removed long, spans array<struct<from: long, to: long>>, kept binary")
-    return out.select(common.real_id().alias(id_col), "n_bytes", "n_removed", "spans", "kept")
+    own = T.StructType.fromDDL(f"n_bytes long, n_removed long, spans array<struct<from: long, to: long>>, kept {'string' if as_text else 'binary'}")
+    schema = T.StructType([*docs.select(*carried, "_id").schema, *own])
+    out = docs.join(found, "_id", "left").mapInArrow(cut, schema)
+    return out.select(common.real_id().alias(id_col), *[F.col(x).alias(c) for x, c in zip(carried, carry, strict=True)], "n_bytes", "n_removed", "spans", "kept")
