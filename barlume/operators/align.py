@@ -200,6 +200,11 @@ def pair_correlations(wide: DataFrame, names: Sequence, cols: Sequence[str] | No
     return wide.agg(*aggs).select(F.explode(F.array(*items)).alias("_p")).select("_p.*")
 
 
+def align_outcomes(predictions: DataFrame, labels: DataFrame, pnl: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose key has a prediction, a label and a PnL, without those that lack any value."""
+    return predictions.join(labels, list(on)).join(pnl, list(on)).dropna()
+
+
 def merge_timeframes(frames: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     """All timeframes as one event sequence: by time, instrument, then bar width."""
     out = None

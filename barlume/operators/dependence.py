@@ -65,9 +65,9 @@ def trigger_overlap(wide: DataFrame, names: Sequence[str], high: Sequence[str] |
     return wide.agg(*aggs).select(F.explode(F.array(*items)).alias("_p")).select("_p.*")
 
 
-def residual_dependence(wide: DataFrame, names: Sequence[str], outcome: str) -> DataFrame:
-    """Pearson and Spearman of outcome minus prediction."""
-    p = materialise(pair_rows(wide.withColumns({c: F.col(outcome) - F.col(c) for c in names}), names))
+def residual_dependence(wide: DataFrame, names: Sequence[str], outcome: str, digits: int = 9) -> DataFrame:
+    """Pearson and Spearman of outcome minus prediction, which tie when equal to ``digits`` decimals."""
+    p = materialise(pair_rows(wide.withColumns({c: F.round(F.col(outcome) - F.col(c), digits) for c in names}), names))
     return p.groupBy("a", "b").agg(safe_corr("xa", "xb").alias("pearson")).join(rank_corr(p), ["a", "b"])
 
 
@@ -249,11 +249,11 @@ def allocate_risk(rows: DataFrame, at: str = "ts", most: int = 3, total: float =
     return d.withColumn("risk_alloc", F.when(c > per_cluster, F.col("_r") * per_cluster / c).otherwise(F.col("_r"))).drop("_on", "_in", "_u", "_r")
 
 
-def final_action(alloc: DataFrame, at: str = "ts") -> DataFrame:
-    """LONG, SHORT or NO_TRADE by the sign of the signed allocation."""
+def final_action(alloc: DataFrame, at: str = "ts", digits: int = 9) -> DataFrame:
+    """LONG, SHORT or NO_TRADE by the sign of the signed allocation, to ``digits`` decimals."""
     live = (F.col("signal") != 0) & (F.col("risk_alloc") > 0)
     g = alloc.groupBy(at).agg(
-        F.coalesce(F.sum(F.when(live, F.col("risk_alloc") * F.col("signal"))), F.lit(0.0)).alias("_net"), F.coalesce(F.sum(F.when(live, F.col("risk_alloc"))), F.lit(0.0)).alias("_size"),
+        F.round(F.coalesce(F.sum(F.when(live, F.col("risk_alloc") * F.col("signal"))), F.lit(0.0)), digits).alias("_net"), F.coalesce(F.sum(F.when(live, F.col("risk_alloc"))), F.lit(0.0)).alias("_size"),
         F.count(F.when(live, 1)).alias("selected"),
     )
     act = F.when(F.col("_net") > 0, "LONG").when(F.col("_net") < 0, "SHORT").otherwise("NO_TRADE")

@@ -159,9 +159,10 @@ def mean_drift(rows: DataFrame, keys: Sequence[str], value: Column, is_ref: Colu
     return g.where(F.col(f"{name}_ref").isNotNull() & F.col(f"{name}_cur").isNotNull()).withColumn("delta", F.col(f"{name}_cur") - F.col(f"{name}_ref"))
 
 
-def session_validation(rows: DataFrame, s: Series) -> DataFrame:
-    """Bars, trades, abstain rate, expectancy and drawdown share per session."""
-    d = drawdown_series(rows, s)
+def session_validation(rows: DataFrame, s: Series, digits: int = 9) -> DataFrame:
+    """Bars, trades, abstain rate, expectancy and drawdown share per session; drawdowns
+    count from ``digits`` decimals on."""
+    d = drawdown_series(rows, s).withColumn("drawdown", F.round("drawdown", digits))
     on = (F.col("signal") != 0)
     return d.groupBy("session").agg(
         F.count(F.lit(1)).alias("bars"), F.count(F.when(on, 1)).alias("trade_count"), F.avg((~on).cast("double")).alias("abstain_rate"),
@@ -222,18 +223,19 @@ def promotion_gate(stats: DataFrame, max_dd: float = 0.20, least_trades: int = 5
 
 def yearly_gate(years: DataFrame, limits: DataFrame) -> DataFrame:
     """Per symbol: years tested and profitable, median expectancy and worst
-    drawdown against its limits.  years: symbol, year, net_pnl, expectancy,
+    drawdown against its limits; a symbol without limits does not pass and says so.  years: symbol, year, net_pnl, expectancy,
     max_drawdown (one row per year, so the exact median is over a few values)."""
     g = years.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("tested_years"), F.count(F.when(F.col("net_pnl") > 0, 1)).alias("profitable_years"),
         F.percentile("expectancy", F.lit(0.5)).alias("median_expectancy"), F.max("max_drawdown").alias("worst_drawdown"),
     )
-    d = g.join(F.broadcast(limits), "symbol").withColumn("profit_ratio", F.col("profitable_years") / F.col("tested_years"))
+    d = g.join(limits, "symbol", "left").withColumn("profit_ratio", F.col("profitable_years") / F.col("tested_years"))
     ok = (
         (F.col("tested_years") >= F.col("min_tested")) & (F.col("profitable_years") >= F.col("min_profitable")) & (F.col("profit_ratio") >= F.col("min_ratio"))
         & (F.col("median_expectancy") >= F.col("min_median")) & (F.col("worst_drawdown") <= F.col("max_worst_dd"))
     )
-    return d.withColumn("passed", ok)
+    status = F.when(F.col("min_tested").isNull(), "no limits").when(ok, "passed").otherwise("failed")
+    return d.withColumn("passed", F.coalesce(ok, F.lit(False))).withColumn("status", status)
 
 
 def pick_by_role(rows: DataFrame, roles=("champion", "challenger")) -> DataFrame:

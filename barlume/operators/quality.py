@@ -7,18 +7,20 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from barlume.operators.series import BARS, TICKS, Series, epoch_seconds, position, windowed
+from barlume.operators.series import BARS, TICKS, Series, epoch_seconds, order_key, position, windowed
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
     """One row per key: first or last in ``order``.
 
     An aggregate, not a window: copies of one key fold together on the map side,
-    so a key with very many copies does not fill a task.
+    so a key with very many copies does not fill a task.  Numbers and times are
+    fetched one by one on a single order key, which hashes instead of sorting.
     """
     pick = F.min_by if keep == "first" else F.max_by
-    row = F.struct(*df.columns)
-    return df.groupBy(*keys).agg(pick(row, F.struct(*order)).alias("_row")).select("_row.*")
+    at = order_key(df, order)
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(*[pick(c, at).alias(c) for c in rest]).select(*df.columns)
 
 
 def cadence_violations(bars: DataFrame, step_seconds: int, s: Series = BARS) -> DataFrame:
@@ -58,12 +60,22 @@ def reasons(*pairs: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in pairs]))
 
 
+def unless(holds: Column) -> Column:
+    """True where the condition is false or, for lack of a value, unknown."""
+    return ~F.coalesce(holds, F.lit(False))
+
+
+def missing(*names: str) -> Column:
+    return F.array_contains(F.array(*[F.col(c).isNull() for c in names]), True)
+
+
 def bar_issues(bars: DataFrame) -> DataFrame:
-    """Adds the list of broken candle rules."""
+    """Adds the list of broken candle rules; a missing value is one of them."""
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     return bars.withColumn("issues", reasons(
         ("high_below_low", h < l), ("high_below_open", h < o), ("high_below_close", h < c),
         ("low_above_open", l > o), ("low_above_close", l > c), ("negative_volume", F.col("volume") < 0),
+        ("missing_value", missing("open", "high", "low", "close", "volume")),
     ))
 
 
@@ -118,11 +130,11 @@ def normalise_raw_ticks(raw: DataFrame) -> DataFrame:
 
 
 def signal_contract(signals: DataFrame) -> DataFrame:
-    """Adds the broken clauses of the signal contract."""
+    """Adds the broken clauses of the signal contract; a missing value breaks its clause."""
     return signals.withColumn("violations", reasons(
-        ("quantity", ~(F.col("quantity") > 0)),
-        ("confidence", ~F.col("confidence").between(0, 1)),
-        ("rationale", F.length("rationale") < 10),
+        ("quantity", unless(F.col("quantity") > 0)),
+        ("confidence", unless(F.col("confidence").between(0, 1))),
+        ("rationale", unless(F.length("rationale") >= 10)),
     ))
 
 

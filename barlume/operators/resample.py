@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def bucket_start(ts: str, every: str) -> Column:
-    """Start of the fixed-width bucket holding ``ts`` (a bar is labelled by its start)."""
-    return F.window(F.col(ts), every).getField("start")
+from barlume.operators.series import order_key
 
 
 def ticks_to_bars(ticks: DataFrame, every: str, tie: str = "event_id", price: str = "price") -> DataFrame:
@@ -17,7 +14,7 @@ def ticks_to_bars(ticks: DataFrame, every: str, tie: str = "event_id", price: st
     All aggregates combine on the map side, so a hot instrument shuffles one
     partial row per bucket and task.  Empty buckets produce no bar.
     """
-    at = F.struct("ts", tie)
+    at = order_key(ticks, ("ts", tie))
     return (
         ticks.groupBy("instrument", F.window("ts", every).alias("_w"))
         .agg(

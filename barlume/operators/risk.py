@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlume.operators.align import plus_seconds
-from barlume.operators.quality import dedupe, reasons
+from barlume.operators.quality import dedupe, missing, reasons
 from barlume.operators.series import Series, asof, asof_many, chunked, epoch_micros, epoch_seconds, materialise, position, running
 
 # Default risk limits.
@@ -19,7 +19,8 @@ LIMITS = {
 
 
 def pre_trade(signals: DataFrame, limits: dict = LIMITS) -> DataFrame:
-    """Eight checks per signal: approved flag and the list of failed ones.
+    """Eight checks per signal, and one that nothing they need is missing: approved flag
+    and the list of failed ones.
 
     signals: side, quantity, entry_price, stop, position, balance, exposure,
     daily_pnl, breaker_active.
@@ -33,6 +34,7 @@ def pre_trade(signals: DataFrame, limits: dict = LIMITS) -> DataFrame:
         ("leverage", value / F.nullif(F.col("balance"), F.lit(0.0)) > limits["max_leverage"]), ("account_balance", F.col("balance") < limits["min_balance"]),
         ("total_exposure", F.col("exposure") + value > limits["max_exposure"]), ("daily_loss", F.col("daily_pnl") <= -limits["max_daily_loss"]),
         ("circuit_breaker", F.col("breaker_active")),
+        ("missing_input", missing("side", "quantity", "entry_price", "position", "balance", "exposure", "daily_pnl", "breaker_active")),
     )
     return signals.withColumn("reasons", failed).withColumn("approved", F.size("reasons") == 0)
 

@@ -18,10 +18,12 @@ table with one row per (key, time slice), so no global sort is ever needed.
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -49,6 +51,21 @@ def as_utc(instant: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
+_WHOLE = ("byte", "short", "integer", "long")
+
+
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One number in the order of (time, whole number), or of one column: aggregates that
+    pick a row by it need no sort.  Any other order is a struct."""
+    kinds = [df.schema[c].dataType.typeName() for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and kinds[0].startswith("timestamp") and kinds[1] in _WHOLE:
+        micros = epoch_micros(order[0]) if kinds[0] == "timestamp_ntz" else F.unix_micros(order[0])
+        return (micros.cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19)) + F.col(order[1]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 @dataclass(frozen=True)
 class Series:
     """How rows form ordered series and how long series are cut.
@@ -243,13 +260,22 @@ def running(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; only where none is
-    set (tests on one machine) a temporary one."""
+    """The folder the cluster names in spark.checkpoint.dir, and in it one for this
+    application.  Without the setting a run on one machine gets a temporary folder; on several
+    machines there is no folder to guess, so it fails."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return f"{folder.rstrip('/')}/barlume-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application wrote into the shared folder; its tables cannot be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -257,7 +283,7 @@ def materialise(df: DataFrame) -> DataFrame:
     back: later steps start from a pruned columnar scan of known size instead of
     repeating everything before, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/barlume-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -407,7 +433,6 @@ def fold(
 # ---------------------------------------------------------------- order statistics
 
 _BINS = 4096
-SMALL = 1_000_000  # distinct values one task may hold
 
 
 def _bin(v: Column, lo: Column, hi: Column) -> Column:
@@ -422,20 +447,14 @@ def _join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inne
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one row per key.
 
-    Rows are first folded to (value, count) and written once.  Where few distinct
-    values remain (they are counted) one aggregate finishes; beyond, two rounds of 4096 bins narrow each
-    wanted rank down to one sliver of the value range, and only the distinct values
-    in those slivers are ordered.
+    Rows are first folded to (value, count) and written once.  Two rounds of 4096 bins
+    narrow each wanted rank down to one sliver of the value range, and only the distinct
+    values in those slivers are ordered.
     """
     k = list(keys)
     vals = materialise(df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_m")
     ))
-    if vals.count() <= SMALL:
-        # counted: the whole table of distinct values fits one task
-        pick = F.percentile("_v", F.array(*[F.lit(q) for q in qs.values()]), F.col("_m"))
-        got = vals.groupBy(*k).agg(pick.alias("_q"))
-        return got.select(*k, *[F.get("_q", i).alias(n) for i, n in enumerate(qs)]).where(F.lit(True) if k else F.col("_q").isNotNull())
     stats = vals.groupBy(*k).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_m").alias("_cnt"))
     vals = _join_keys(vals, stats, k)
     vals = vals.withColumn("_b1", _bin(F.col("_v"), F.col("_mn"), F.col("_mx")))
@@ -476,7 +495,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, floa
         pos = F.lit(q) * (F.col("_cnt") - 1)
         lo, hi = F.col(f"_l_{name}"), F.col(f"_h_{name}")
         outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return got.select(*k, *outs)
+    return got.where("_cnt is not null").select(*k, *outs)
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -484,12 +503,6 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     (1-based, ties averaged), rows before `_below` and rows per key `_cnt`."""
     k = list(keys)
     vals = materialise(df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value)).agg(F.count(F.lit(1)).alias("_m")))
-    if vals.count() <= SMALL:
-        w = Window.partitionBy(*k)
-        upto = F.sum("_m").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-        out = vals.select("*", upto.alias("_upto"), F.sum("_m").over(w).alias("_cnt"))
-        below = F.col("_upto") - F.col("_m")
-        return out.select(*k, value, "_m", "_cnt", below.alias("_below"), (below + (F.col("_m") + 1) / 2).alias("_rank"))
     stats = vals.groupBy(*k).agg(
         F.min(value).alias("_mn"), F.max(value).alias("_mx"), F.sum("_m").alias("_cnt")
     )

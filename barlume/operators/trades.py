@@ -245,7 +245,7 @@ def cost_layers(rows: DataFrame, equity: float, spread_bps: float, slippage_bps:
     return per_bar.groupBy("layer", "session_bucket").agg(F.sum("pnl").alias("pnl_sum"), F.count(F.lit(1)).alias("trade_bars"))
 
 
-def permute_trades(trades: DataFrame, trade_key: Column, initial: float, n_sims: int, seed: int = 42) -> DataFrame:
+def permute_trades(trades: DataFrame, trade_key: Column, initial: float, n_sims: int = 10_000, seed: int = 42) -> DataFrame:
     """Max drawdown and final equity of ``n_sims`` random trade orders.
 
     Each simulation is a series ordered by a hash; hash prefixes cut it evenly, so

@@ -64,8 +64,7 @@ _RES = "SELECT day, " + ", ".join(f"round(outcome - {c}, 9) AS {c}" for c in SLE
 def _(t):
     d = rounded_scores(t)
     d = d.select("day", "outcome", *[(F.col("outcome") - F.round(F.col("outcome") - F.col(c), 9)).alias(c) for c in SLEEVES])
-    p = sr.materialise(dp.pair_rows(d.withColumns({c: F.round(F.col("outcome") - F.col(c), 9) for c in SLEEVES}), SLEEVES))
-    return p.groupBy("a", "b").agg(dp.safe_corr("xa", "xb").alias("pearson")).join(dp.rank_corr(p), ["a", "b"])
+    return dp.residual_dependence(d, SLEEVES, "outcome")
 
 
 _RW = "SELECT day, " + ", ".join(f"round(s{i}, 4) AS s{i}" for i in range(4)) + " FROM wd"
@@ -203,12 +202,7 @@ def rounded_alloc(t):
 
 @query("e29_final_action", "ts action size:r selected:i", _FA.replace("FROM al3", "FROM (SELECT * REPLACE (round(risk_alloc, 12) AS risk_alloc) FROM al3)"), **_AL)
 def _(t):
-    d = rounded_alloc(t)
-    live = (F.col("signal") != 0) & (F.col("risk_alloc") > 0)
-    net = d.groupBy("ts").agg(F.round(F.coalesce(F.sum(F.when(live, F.col("risk_alloc") * F.col("signal"))), F.lit(0.0)), 9).alias("net"))
-    act = F.when(F.col("net") > 0, "LONG").when(F.col("net") < 0, "SHORT").otherwise("NO_TRADE")
-    out = dp.final_action(d).drop("action").join(net, "ts").withColumn("action", act)
-    return out.withColumn("size", F.when(F.col("net") != 0, F.col("size")).otherwise(0.0))
+    return dp.final_action(rounded_alloc(t))
 
 
 @query("e30_abstain_reason", "fold:i session abstain_reason", """SELECT fold, session, CASE WHEN max(act) = 'NO_TRADE' THEN CASE WHEN NOT bool_or(tr) THEN 'tradability_block' WHEN bool_or(cand AND mp < 0.55) THEN 'meta_edge_block' WHEN bool_or(side) THEN 'side_disabled' WHEN bool_or(cand AND mp >= 0.55 AND NOT side) THEN 'cost_threshold_block' ELSE 'no_candidate' END ELSE '' END AS abstain_reason FROM (

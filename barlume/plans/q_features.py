@@ -8,19 +8,13 @@ from barlume.functions import costs
 from barlume.operators import features as fe, indicators as ind, quality, series as sr, sessions as se
 from barlume.plans import sqltext as q
 from barlume.plans.q_quality import _prior_sql
-from barlume.plans.registry import query, view
+from barlume.plans.registry import query, sql_view, view
 
 roll, lag, OVER = q.roll, q.lag, q.OVER
 
 
-@view("day_levels", _prior_sql("trade_day", "prior_day"))
-def _(t):
-    raise NotImplementedError
-
-
-@view("session_levels", _prior_sql("session_id", "prior_session"))
-def _(t):
-    raise NotImplementedError
+sql_view("day_levels", _prior_sql("trade_day", "prior_day"))
+sql_view("session_levels", _prior_sql("session_id", "prior_session"))
 
 
 @view("feature_base", """SELECT a.* EXCLUDE (so, elapsed, dh, dl, dr, pos), so AS current_session_open, elapsed AS current_session_elapsed_bars, dh AS current_session_developing_high,

@@ -141,14 +141,14 @@ def _(t):
 
 
 @query("k01_pre_trade_checks", "signal_id approved reasons", """SELECT signal_id, len(r) = 0 AS approved, array_to_string(r, ',') AS reasons FROM (SELECT o_orderkey AS signal_id, list_filter([CASE WHEN q > 5000 THEN 'order_size' END, CASE WHEN abs(pos + CASE WHEN s = 'BUY' THEN q ELSE -q END) > 10000 THEN 'position_size' END,
-   CASE WHEN stop IS NULL OR abs(px - stop) > 0.005 THEN 'stop_loss' END, CASE WHEN q * px / nullif(bal, 0) > 10 THEN 'leverage' END, CASE WHEN bal < 5000 THEN 'account_balance' END, CASE WHEN ex + q * px > 50000 THEN 'total_exposure' END, CASE WHEN pnl <= -1000 THEN 'daily_loss' END, CASE WHEN br THEN 'circuit_breaker' END], lambda e: e IS NOT NULL) AS r
-   FROM (SELECT o_orderkey, o_custkey % 6000 * 1.0 AS q, o_custkey % 12000 - 6000.0 AS pos, CASE WHEN o_orderstatus = 'O' THEN 'BUY' ELSE 'SELL' END AS s, 1.0 + o_custkey % 10 AS px, CASE WHEN o_custkey % 8 > 0 THEN 1.0 + o_custkey % 10 - (o_custkey % 3) * 0.004 END AS stop, o_totalprice / 10 AS bal, o_totalprice / 8 AS ex, o_custkey % 2000 - 1100.0 AS pnl, o_custkey % 50 = 0 AS br FROM orders))""")
+   CASE WHEN stop IS NULL OR abs(px - stop) > 0.005 THEN 'stop_loss' END, CASE WHEN q * px / nullif(bal, 0) > 10 THEN 'leverage' END, CASE WHEN bal < 5000 THEN 'account_balance' END, CASE WHEN ex + q * px > 50000 THEN 'total_exposure' END, CASE WHEN pnl <= -1000 THEN 'daily_loss' END, CASE WHEN br THEN 'circuit_breaker' END, CASE WHEN q IS NULL OR bal IS NULL THEN 'missing_input' END], lambda e: e IS NOT NULL) AS r
+   FROM (SELECT o_orderkey, CASE WHEN o_custkey % 40 <> 3 THEN o_custkey % 6000 * 1.0 END AS q, o_custkey % 12000 - 6000.0 AS pos, CASE WHEN o_orderstatus = 'O' THEN 'BUY' ELSE 'SELL' END AS s, 1.0 + o_custkey % 10 AS px, CASE WHEN o_custkey % 8 > 0 THEN 1.0 + o_custkey % 10 - (o_custkey % 3) * 0.004 END AS stop, CASE WHEN o_custkey % 30 <> 4 THEN o_totalprice / 10 END AS bal, o_totalprice / 8 AS ex, o_custkey % 2000 - 1100.0 AS pnl, o_custkey % 50 = 0 AS br FROM orders))""")
 def _(t):
     c = F.col("o_custkey")
     px = F.lit(1.0) + c % 10
     d = t.orders.select(
-        F.col("o_orderkey").alias("signal_id"), F.when(F.col("o_orderstatus") == "O", "BUY").otherwise("SELL").alias("side"), (c % 6000).cast("double").alias("quantity"), px.alias("entry_price"),
-        F.when(c % 8 > 0, px - (c % 3) * 0.004).alias("stop"), (c % 12000 - 6000).cast("double").alias("position"), (F.col("o_totalprice") / 10).alias("balance"), (F.col("o_totalprice") / 8).alias("exposure"), (c % 2000 - 1100).cast("double").alias("daily_pnl"), (c % 50 == 0).alias("breaker_active"))
+        F.col("o_orderkey").alias("signal_id"), F.when(F.col("o_orderstatus") == "O", "BUY").otherwise("SELL").alias("side"), F.when(c % 40 != 3, (c % 6000).cast("double")).alias("quantity"), px.alias("entry_price"),
+        F.when(c % 8 > 0, px - (c % 3) * 0.004).alias("stop"), (c % 12000 - 6000).cast("double").alias("position"), F.when(c % 30 != 4, F.col("o_totalprice") / 10).alias("balance"), (F.col("o_totalprice") / 8).alias("exposure"), (c % 2000 - 1100).cast("double").alias("daily_pnl"), (c % 50 == 0).alias("breaker_active"))
     return rk.pre_trade(d).withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -246,7 +246,7 @@ def _(t):
     return live.read_output(t.spark, path, d.schema)
 
 
-@query("t05_stream_position_watch", "position_id exit_ts exit_reason", """SELECT position_id, min(k.ts) AS exit_ts, arg_min(CASE WHEN (side = 'BUY' AND bid <= stop) OR (side = 'SELL' AND ask >= stop) THEN 'stop_loss' ELSE 'take_profit' END, k.ts) AS exit_reason FROM positions p JOIN ticks k ON k.instrument = p.instrument AND k.ts > p.opened_at AND k.ts <= p.opened_at + INTERVAL '1 hour'
+@query("t05_stream_position_watch", "position_id exit_ts exit_reason", """SELECT position_id, min(k.ts) AS exit_ts, arg_min(CASE WHEN (side = 'BUY' AND bid <= stop) OR (side = 'SELL' AND ask >= stop) THEN 'stop_loss' ELSE 'take_profit' END, k.ts) AS exit_reason FROM positions p JOIN ticks k ON k.instrument = p.instrument AND k.ts > p.opened_at
    AND CASE WHEN side = 'BUY' THEN bid <= stop OR bid >= target ELSE ask >= stop OR ask <= target END GROUP BY position_id""")
 def _(t):
     ticks = tick_stream(t)

@@ -39,17 +39,18 @@ def _(t):
     return quality.load_checks(rows, "event_id", "props", s)
 
 
-_RAW_BARS = """SELECT l_orderkey, l_tax * 500 AS open, l_quantity AS high, l_discount * 300 AS low, l_quantity - 1 AS close,
+_RAW_BARS = """SELECT l_orderkey, nullif(l_tax, 0) * 500 AS open, l_quantity AS high, l_discount * 300 AS low, l_quantity - 1 AS close,
   l_linenumber - 2 AS volume FROM lineitem"""
 
 
 @query("v03_bar_sanity", "issues n:i", """SELECT array_to_string(list_filter([CASE WHEN high < low THEN 'high_below_low' END,
   CASE WHEN high < open THEN 'high_below_open' END, CASE WHEN high < close THEN 'high_below_close' END, CASE WHEN low > open THEN 'low_above_open' END,
-  CASE WHEN low > close THEN 'low_above_close' END, CASE WHEN volume < 0 THEN 'negative_volume' END], lambda e: e IS NOT NULL), ',') AS issues, count(*) AS n
+  CASE WHEN low > close THEN 'low_above_close' END, CASE WHEN volume < 0 THEN 'negative_volume' END,
+  CASE WHEN open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL THEN 'missing_value' END], lambda e: e IS NOT NULL), ',') AS issues, count(*) AS n
   FROM raw_bars GROUP BY 1""", raw_bars=_RAW_BARS)
 def _(t):
     bars = t.lineitem.select(
-        (F.col("l_tax") * 500).alias("open"), F.col("l_quantity").alias("high"), (F.col("l_discount") * 300).alias("low"),
+        (F.nullif(F.col("l_tax"), F.lit(0.0)) * 500).alias("open"), F.col("l_quantity").alias("high"), (F.col("l_discount") * 300).alias("low"),
         (F.col("l_quantity") - 1).alias("close"), (F.col("l_linenumber") - 2).alias("volume"),
     )
     return quality.bar_issues(bars).groupBy(F.array_join("issues", ",").alias("issues")).agg(F.count(F.lit(1)).alias("n"))
@@ -97,10 +98,13 @@ def order_signals(t):
     )
 
 
-@query("v13_signal_contract", "signal_id violations", """SELECT signal_id, array_to_string(list_filter([CASE WHEN NOT quantity > 0 THEN 'quantity' END,
-  CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN length(rationale) < 10 THEN 'rationale' END], lambda e: e IS NOT NULL), ',') AS violations FROM sig""", sig=_SIG)
+@query("v13_signal_contract", "signal_id violations", """SELECT signal_id, array_to_string(list_filter([CASE WHEN NOT coalesce(quantity > 0, false) THEN 'quantity' END,
+  CASE WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence' END, CASE WHEN NOT coalesce(length(rationale) >= 10, false) THEN 'rationale' END], lambda e: e IS NOT NULL), ',') AS violations FROM sig_gaps""",
+       sig=_SIG, sig_gaps="SELECT signal_id, CASE WHEN signal_id % 50 <> 7 THEN quantity END AS quantity, CASE WHEN signal_id % 60 <> 11 THEN confidence END AS confidence, CASE WHEN signal_id % 70 <> 13 THEN rationale END AS rationale FROM sig")
 def _(t):
-    return quality.signal_contract(order_signals(t)).withColumn("violations", F.array_join("violations", ","))
+    k = F.col("signal_id")
+    gaps = order_signals(t).withColumns({"quantity": F.when(k % 50 != 7, F.col("quantity")), "confidence": F.when(k % 60 != 11, F.col("confidence")), "rationale": F.when(k % 70 != 13, F.col("rationale"))})
+    return quality.signal_contract(gaps).withColumn("violations", F.array_join("violations", ","))
 
 
 @query("f01_drop_warmup", "instrument ts close:r", f"SELECT * FROM (SELECT *, row_number() OVER ({q.OVER}) AS rn FROM bars_h1) WHERE rn > 128")
@@ -285,6 +289,15 @@ def _(t):
     return align.pairwise_aligned(align.wide_by_instrument(align.returns(t.bars_h1), "ret", INSTRUMENTS), INSTRUMENTS)
 
 
+@query("j14_aligned_outcomes", "event_id prob:r y_true:i pnl:r", """SELECT event_id, prob, y_true, pnl FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 1 / (1 + price) END AS prob FROM ticks WHERE event_id % 3 <> 0) JOIN (SELECT event_id, CASE WHEN price > 50 THEN 1 ELSE 0 END AS y_true FROM ticks WHERE event_id % 4 <> 1) USING (event_id)
+   JOIN (SELECT event_id, CASE WHEN volume % 5 <> 2 THEN price - 50 END AS pnl FROM ticks) USING (event_id) WHERE prob IS NOT NULL AND pnl IS NOT NULL""")
+def _(t):
+    k, px = F.col("event_id"), F.col("price")
+    pred = t.ticks.where(k % 3 != 0).select("event_id", F.when(k % 7 != 0, 1 / (1 + px)).alias("prob"))
+    label = t.ticks.where(k % 4 != 1).select("event_id", F.when(px > 50, 1).otherwise(0).alias("y_true"))
+    return align.align_outcomes(pred, label, t.ticks.select("event_id", F.when(F.col("volume") % 5 != 2, px - 50).alias("pnl")), ["event_id"])
+
+
 @query("w41_return_correlation", "a b corr:r", "SELECT x.instrument AS a, y.instrument AS b, corr(x.ret, y.ret) AS corr FROM r x JOIN r y ON x.ts = y.ts AND x.instrument < y.instrument GROUP BY 1, 2", r=_RET)
 def _(t):
     return align.pair_correlations(align.wide_by_instrument(align.returns(t.bars_h1), "ret", INSTRUMENTS), INSTRUMENTS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlume.functions import costs
 from barlume.operators import series as sr, sessions as se, trades as tr
 from barlume.plans import sqltext as q
-from barlume.plans.registry import query, view
+from barlume.plans.registry import query, sql_view, view
 
 lag, OVER = q.lag, q.OVER
 
@@ -16,14 +16,13 @@ lag, OVER = q.lag, q.OVER
   least(b.hi, s.hi) - greatest(b.lo, s.lo) AS quantity, CASE WHEN b.seq < s.seq THEN b.price ELSE s.price END AS entry_price, CASE WHEN b.seq < s.seq THEN s.price ELSE b.price END AS exit_price,
   (b.commission / b.quantity + s.commission / s.quantity) * (least(b.hi, s.hi) - greatest(b.lo, s.lo)) AS commission,
   (s.price - b.price) * (least(b.hi, s.hi) - greatest(b.lo, s.lo)) - (b.commission / b.quantity + s.commission / s.quantity) * (least(b.hi, s.hi) - greatest(b.lo, s.lo)) AS pnl
-  FROM units b JOIN units s ON b.instrument = s.instrument AND b.side = 'BUY' AND s.side = 'SELL' AND b.lo < s.hi AND s.lo < b.hi""")
+  FROM unit_buckets b JOIN unit_buckets s ON b.instrument = s.instrument AND b.k = s.k AND b.side = 'BUY' AND s.side = 'SELL' AND b.lo < s.hi AND s.lo < b.hi AND greatest(b.lo, s.lo) // 64 = b.k""")
 def trades(t):
     return sr.materialise(tr.fifo_trades(t.fills_table))
 
 
-@view("units", """SELECT *, hi - quantity AS lo FROM (SELECT *, sum(quantity) OVER (PARTITION BY instrument, side ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hi FROM fills)""")
-def units(t):
-    raise NotImplementedError
+sql_view("units", """SELECT *, hi - quantity AS lo FROM (SELECT *, CAST(sum(quantity) OVER (PARTITION BY instrument, side ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM fills)""")
+sql_view("unit_buckets", "SELECT *, unnest(range(CAST(lo // 64 AS BIGINT), CAST((hi - 1) // 64 AS BIGINT) + 1)) AS k FROM units")
 
 
 @view("fills_table", "SELECT * FROM fills")
@@ -201,9 +200,9 @@ def _(t):
 
 @query("b18_trade_permutation", "risk_of_ruin:r mean_max_drawdown:r max_drawdown_p95:r equity_lo95:r1 equity_hi95:r1 equity_lo99:r1 equity_hi99:r1", """SELECT avg(CASE WHEN fe < 0 THEN 1.0 ELSE 0 END) AS risk_of_ruin, avg(dd) AS mean_max_drawdown, quantile_cont(dd, 0.95) AS max_drawdown_p95,
    quantile_cont(fe, 0.025) AS equity_lo95, quantile_cont(fe, 0.975) AS equity_hi95, quantile_cont(fe, 0.005) AS equity_lo99, quantile_cont(fe, 0.995) AS equity_hi99 FROM (SELECT sim, max((peak - equity) / peak) AS dd, arg_max(equity, o) AS fe FROM pm2 GROUP BY sim)""",
-       pm0="SELECT sim, pnl, md5(sim || '|' || instrument || '-' || exit_seq || '-' || entry_seq || '|42') AS o FROM trades CROSS JOIN range(10) r(sim)",
+       pm0="SELECT sim, pnl, md5(sim || '|' || instrument || '-' || exit_seq || '-' || entry_seq || '|42') AS o FROM trades CROSS JOIN range(100) r(sim)",
        pm1="SELECT *, 1000000000.0 + sum(pnl) OVER (PARTITION BY sim ORDER BY o ROWS UNBOUNDED PRECEDING) AS equity FROM pm0",
        pm2="SELECT *, greatest(1000000000.0, max(equity) OVER (PARTITION BY sim ORDER BY o ROWS UNBOUNDED PRECEDING)) AS peak FROM pm1")
 def _(t):
     key = F.concat_ws("-", "instrument", "exit_seq", "entry_seq")
-    return tr.simulation_summary(tr.permute_trades(t.trades, key, 1000000000.0, 10))
+    return tr.simulation_summary(tr.permute_trades(t.trades, key, 1000000000.0, 100))

@@ -45,6 +45,11 @@ def view(name: str, sql: str) -> Callable[[Build], Build]:
     return add
 
 
+def sql_view(name: str, sql: str) -> None:
+    """Register a view that only oracle SQL uses."""
+    SQL_VIEWS[name] = sql
+
+
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs of every view it mentions, in order."""
     pool = {**SQL_VIEWS, **(extra or {})}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +14,12 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from barlume.operators.risk import LIMITS, pre_trade
-from barlume.operators.series import as_instant, as_utc, shared_folder
+from barlume.operators.series import as_instant, as_utc, order_key, shared_folder
 
 
 def run_available(df: DataFrame, mode: str = "append", schema: str | None = None, each: Callable | None = None) -> tuple[str, StreamingQuery]:
     """Runs a stream over everything available; returns (output folder, query)."""
-    base = f"{shared_folder(df.sparkSession).rstrip('/')}/barlume-stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if each is not None:
         q = w.foreachBatch(lambda batch, no: each(batch, no, f"{base}/out")).start()
@@ -37,9 +38,10 @@ def read_output(spark: SparkSession, path: str, schema) -> DataFrame:
 def candles(ticks: DataFrame, every: str, delay: str = "10 minutes", tie: str = "event_id") -> DataFrame:
     """Tumbling candles; a bar is emitted once the watermark passes its end, and
     ticks later than ``delay`` are dropped (and counted by the state operator)."""
-    at = F.struct("ts", tie)
+    ticks = ticks.withColumn("ts", as_instant("ts"))
+    at = order_key(ticks, ("ts", tie))
     return (
-        ticks.withColumn("ts", as_instant("ts")).withWatermark("ts", delay).groupBy("instrument", F.window("ts", every).alias("_w"))
+        ticks.withWatermark("ts", delay).groupBy("instrument", F.window("ts", every).alias("_w"))
         .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
         .select("instrument", as_utc(F.col("_w.start")).alias("ts"), "open", "high", "low", "close", "volume")
     )
@@ -87,17 +89,65 @@ def screen(signals: DataFrame, accounts: DataFrame, limits: dict = LIMITS) -> Da
     return pre_trade(signals.join(accounts, "instrument"), limits)
 
 
-def position_hits(positions: DataFrame, ticks: DataFrame, delay: str = "10 minutes", hold: str = "1 hour") -> DataFrame:
-    """Interval join of two streams: quotes that touch a position's stop or target
-    within ``hold`` of its opening.  The first hit per position is its exit."""
-    p = positions.withColumn("opened_at", as_instant("opened_at")).withWatermark("opened_at", delay).alias("p")
-    k = ticks.select("instrument", as_instant("ts").alias("tick_ts"), "bid", "ask").withWatermark("tick_ts", delay).alias("k")
-    buy = F.col("p.side") == "BUY"
-    stop = F.when(buy, F.col("k.bid") <= F.col("p.stop")).otherwise(F.col("k.ask") >= F.col("p.stop"))
-    target = F.when(buy, F.col("k.bid") >= F.col("p.target")).otherwise(F.col("k.ask") <= F.col("p.target"))
-    near = (F.col("k.tick_ts") > F.col("p.opened_at")) & (F.col("k.tick_ts") <= F.col("p.opened_at") + F.expr(f"INTERVAL {hold}"))
-    j = p.join(k, (F.col("p.instrument") == F.col("k.instrument")) & near & (stop | target))
-    return j.select("p.position_id", as_utc(F.col("k.tick_ts")).alias("exit_ts"), F.when(stop, "stop_loss").otherwise("take_profit").alias("exit_reason"))
+#: Quotes looked at together by the position watch.
+_QUOTES = 1024
+
+
+def first_hits(pos: dict[str, np.ndarray], ts: np.ndarray, bid: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """Per open position the first quote (index, or -1) after its opening that touches
+    its stop or target.  Blocks whose extremes stay within a position's limits are passed over."""
+    found = np.full(len(pos["id"]), -1)
+    low, high = np.where(pos["buy"], pos["stop"], pos["target"]), np.where(pos["buy"], pos["target"], pos["stop"])
+    for lo in range(0, len(ts), _QUOTES):
+        at = slice(lo, lo + _QUOTES)
+        least, most = np.where(pos["buy"], bid[at].min(), ask[at].min()), np.where(pos["buy"], bid[at].max(), ask[at].max())
+        near = np.flatnonzero((found < 0) & (pos["opened"] < ts[at][-1]) & ((least <= low) | (most >= high)))
+        for k in range(0, len(near), 256):
+            p = near[k : k + 256]
+            quote = np.where(pos["buy"][p, None], bid[at], ask[at])
+            hit = (ts[at] > pos["opened"][p, None]) & ((quote <= low[p, None]) | (quote >= high[p, None]))
+            found[p] = np.where(hit.any(axis=1), lo + hit.argmax(axis=1), -1)
+    return found
+
+
+def position_hits(positions: DataFrame, ticks: DataFrame, buckets: int = 16) -> DataFrame:
+    """The quote that closes each position, however long after its opening.
+
+    Open positions are the state of (instrument, bucket of positions) and leave it only when
+    they are hit; quotes go to every bucket, so a busy instrument's positions spread over ``buckets`` tasks.
+    A position meets the quotes of the trigger it arrives in and of those after it.
+    """
+    p = positions.select(
+        "instrument", F.pmod(F.xxhash64("position_id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("opened_at").alias("at"), "position_id", (F.col("side") == "BUY").alias("buy"), "stop", "target",
+        F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"),
+    )
+    none = F.lit(None)
+    k = ticks.select(
+        "instrument", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.col("ts").alias("at"), none.cast("bigint").alias("position_id"), none.cast("boolean").alias("buy"),
+        none.cast("double").alias("stop"), none.cast("double").alias("target"), "bid", "ask",
+    )
+    names = ("id", "buy", "stop", "target", "opened")
+
+    def step(key, batches, state):
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows["at"] = rows["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        is_quote = rows["position_id"].isna()
+        new, quotes = rows[~is_quote], rows[is_quote].sort_values("at", kind="stable")
+        fresh = (new["position_id"].astype(np.int64), new["buy"].astype(bool), new["stop"].astype(float), new["target"].astype(float), new["at"])
+        kept = state.get if state.exists else ([], [], [], [], [])
+        pos = {n: np.concatenate([np.array(old, dtype=x.dtype), x.to_numpy()]) for n, old, x in zip(names, kept, fresh, strict=True)}
+        ts, bid, ask = (quotes[c].to_numpy() for c in ("at", "bid", "ask"))
+        found = first_hits(pos, ts, bid, ask)
+        hit = np.flatnonzero(found >= 0)
+        at = found[hit]
+        buy, stop = pos["buy"][hit], pos["stop"][hit]
+        stopped = np.where(buy, bid[at] <= stop, ask[at] >= stop)
+        state.update(tuple(pos[n][found < 0].tolist() for n in names))
+        yield pd.DataFrame({"position_id": pos["id"][hit], "exit_ts": ts[at].astype("datetime64[us]"), "exit_reason": np.where(stopped, "stop_loss", "take_profit")})
+
+    return p.union(k).groupBy("instrument", "bucket").applyInPandasWithState(
+        step, "position_id bigint, exit_ts timestamp_ntz, exit_reason string", "id array<bigint>, buy array<boolean>, stop array<double>, target array<double>, opened array<bigint>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def journal_totals(executions: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -122,24 +172,24 @@ def tick_quality(ticks: DataFrame, max_spread: float = 0.005, max_jump: float =
     """Tick problems against the previous tick of the instrument, kept as state."""
 
     def step(key, batches, state):
-        mid0, ts0 = state.get if state.exists else (None, None)
         rows = pd.concat(list(batches), ignore_index=True).sort_values("event_id")
-        out = []
-        for no, ts, bid, ask in zip(rows["event_id"], rows["ts"], rows["bid"], rows["ask"]):
-            mid, bad = (bid + ask) / 2, []
-            if bid >= ask:
-                bad.append("bid_not_below_ask")
-            if bid and (ask - bid) / bid > max_spread:
-                bad.append("wide_spread")
-            if mid0 and abs((mid - mid0) / mid0) > max_jump:
-                bad.append("price_jump")
-            if ts0 is not None and ts < ts0:
-                bad.append("out_of_order")
-            mid0, ts0 = mid, ts
-            if bad:
-                out.append((no, key[0], ",".join(bad)))
-        state.update((mid0, ts0))
-        yield pd.DataFrame(out, columns=["event_id", "instrument", "issues"])
+        mid0, ts0 = state.get if state.exists else (None, None)
+        mid = (rows["bid"] + rows["ask"]) / 2
+        before, before_ts = mid.shift(1), rows["ts"].shift(1)
+        if mid0 is not None:
+            before.iloc[0], before_ts.iloc[0] = mid0, ts0
+        bid, ask = rows["bid"], rows["ask"]
+        found = {
+            "bid_not_below_ask": bid >= ask,
+            "wide_spread": (bid != 0) & ((ask - bid) / bid.where(bid != 0) > max_spread),
+            "price_jump": (before.fillna(0) != 0) & (((mid - before) / before.where(before != 0)).abs() > max_jump),
+            "out_of_order": rows["ts"] < before_ts,
+        }
+        flags = pd.DataFrame(found)
+        bad = flags.any(axis=1)
+        issues = [",".join(n for n, x in zip(found, f, strict=True) if x) for f in flags[bad].to_numpy()]
+        state.update((float(mid.iloc[-1]), rows["ts"].iloc[-1]))
+        yield pd.DataFrame({"event_id": rows["event_id"][bad], "instrument": key[0], "issues": issues})
 
     return ticks.groupBy("instrument").applyInPandasWithState(
         step, "event_id bigint, instrument string, issues string", "mid double, ts timestamp_ntz", "append", GroupStateTimeout.NoTimeout
