@@ -48,7 +48,7 @@ def drop(df: DataFrame, host: Column, text: Column, ratio: float = 0.1, least: i
 
     Null text stays null and has no lines; a page without host is kept whole; blank lines are kept.
     A line is counted once a page however often it stands there; equal rows are pages of their own.
-    Everything is built from column functions.
+    A column named lines is replaced.  Everything is built from column functions.
     """
     bare = F.transform(lines_of(text), lambda x: F.btrim(x, F.lit(_BLANK)))
     pages = df.select(host.alias("_host"), F.transform(bare, lambda x: F.when(x != "", F.xxhash64(x))).alias("_hashes"))
@@ -63,4 +63,4 @@ def drop(df: DataFrame, host: Column, text: Column, ratio: float = 0.1, least: i
         (solid("_lines") - solid("_kept")).alias("n_dropped"),
         F.when(F.col("_text").isNotNull(), F.array_join("_kept", "\n")).alias("kept"),
     )
-    return out.select("_row.*", result.alias("lines"))
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in df.columns if c != "lines"], result.alias("lines"))

@@ -104,8 +104,7 @@ def tiles(docs: DataFrame, heads: DataFrame, n: int, percent: int, bits: int) ->
 
     def hashes(batches):
         for _, buf, off in text.blocks(batches):
-            for s in sets(buf, off, n):
-                yield s
+            yield np.concatenate(sets(buf, off, n))
 
     # counters are kept on a scale of powers of the square root of two
     steps = np.round(np.log2(np.maximum(np.arange(256), 1)) * 2).astype(np.uint8)

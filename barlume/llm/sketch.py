@@ -1,13 +1,14 @@
 """Count-min sketches of 64-bit hashes, built per partition and merged by shard.
 
-A sketch has two rows of ``2**bits`` counters.  Every task keeps its own updates as a
-sorted list of (cell, count), cut by shard; the merge adds them shard by shard.  The merged
+A sketch has two rows of ``2**bits`` counters.  Every task keeps its own sketch, whole if
+that is small or as a sorted list of (cell, count), and cuts it by shard; the merge adds them shard by shard.  The merged
 sketch has a fixed size whatever the input, so it may be broadcast.  An estimate, the
 smaller of an item's two counters, is never below the item's count.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 
 SHARD_BITS = 18
 _FLUSH = 2_000_000
+#: Sketches of up to two rows of 2**23 counters are kept whole by a task.
+DENSE_BITS = 23
 SCHEMA = "_shard int, _cells binary, _counts binary"
 _ARROW = pa.schema([("_shard", pa.int32()), ("_cells", pa.binary()), ("_counts", pa.binary())])
 
@@ -27,8 +30,27 @@ def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64) + (1 << bits)
 
 
+class Dense:
+    """A partition's own sketch as an array of counters, for sketches that are small beside
+    a partition's input.  Its shards travel compressed, most counters being very small."""
+
+    def __init__(self, bits: int, most: int):
+        self.bits, self.most, self.at, self.n = bits, most, np.zeros(2 << bits, np.uint8), 0
+
+    def add(self, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.n += len(h)
+        cell, count = np.unique(np.concatenate(cells(h, self.bits)), return_counts=True)
+        self.at[cell] = np.minimum(self.at[cell] + count, self.most)
+        yield from ()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            for shard, x in enumerate(self.at.reshape(-1, min(len(self.at), 1 << SHARD_BITS))):
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, None, zlib.compress(x.tobytes(), 1)), _ARROW.types, strict=True)], schema=_ARROW)
+
+
 class Partial:
-    """A partition's own sketch."""
+    """A partition's own sketch as a list of updates, for sketches larger than a task's share."""
 
     def __init__(self, bits: int, most: int):
         self.bits, self.most, self.parts, self.n = bits, most, [], 0
@@ -55,7 +77,7 @@ class Partial:
 
 def partials(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, most: int) -> DataFrame:
     def run(batches):
-        part = Partial(bits, most)
+        part = (Dense if bits <= DENSE_BITS else Partial)(bits, most)
         for h in hashes(batches):
             yield from part.add(h)
         yield from part.flush()
@@ -74,6 +96,10 @@ def merge(parts: DataFrame, bits: int, most: int, keep: Callable[[np.ndarray], b
         for b in batches:
             for shard, c, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 at = held.setdefault(shard, np.zeros(width, np.uint8))
+                if not c.is_valid:
+                    n = np.frombuffer(zlib.decompress(n.as_buffer()), np.uint8)
+                    np.minimum(at.astype(np.uint16) + n, most, out=at, casting="unsafe")
+                    continue
                 c, n = np.frombuffer(c.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.uint8)
                 at[c] = np.minimum(at[c].astype(np.uint16) + n, most).astype(np.uint8)
         for shard, at in held.items():
