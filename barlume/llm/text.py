@@ -70,7 +70,7 @@ def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, which: int = 0) -
     pos = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
     value = _TABLE[which][((pos & 63) << 8) | buf[pos + np.repeat(s, n)]]
     if n.max() > 64:
-        power = np.cumprod(np.full(int(n.max() >> 6) + 1, _ODD))
+        power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(int(n.max() >> 6), _ODD))))  # the same whatever the longest word
         value = value * power[pos >> 6]
     return mix(np.add.reduceat(value, first))
 
