@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from barlume.llm import common, text
 
-#: Stretches remembered by one worker, and the longest of them.
-REMEMBER, LONG = 250_000, 64
+#: Fixed value: the pattern by which a byte-level vocabulary of this kind splits text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Words:
-    """Encodes by the stretches that the tokenizer's own splitting pattern gives; those of
-    some documents that are not remembered go to the tokenizer together."""
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.known = text.Memory(lambda x: tuple(self.tokenizer.encode(x, add_special_tokens=False).ids), REMEMBER)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text and a closing 0."""
-        stretches = [self.split.findall(x) for x in texts]
-        known, old = self.known, self.known.old
-        new = [x for x in set(chain.from_iterable(stretches)) if x not in known and x not in old]
-        fresh = {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = [np.fromiter(chain(chain.from_iterable([fresh[x] if x in fresh else known[x] for x in s]), (0,)), np.uint32) for s in stretches]
-        for x, ids in fresh.items():
-            if len(x) <= LONG:
-                known.setdefault(x, tuple(ids))
-        known.turn()
-        return out
+def byte_of() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself
+    where it is printable, else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 @cache
-def words(path: str) -> Words:
-    return Words(path)
+def encoder(path: str) -> tiktoken.Encoding:
+    """Encoder of the vocabulary in a tokenizer's file, special strings being ordinary text.
+
+    It is built from the file's own pieces, whose ids are in the order of their merges; without that
+    order the file is refused."""
+    model = json.loads(open(path, encoding="utf-8").read())
+    byte, special = byte_of(), {t["content"] for t in model["added_tokens"]}
+    vocab = {k: v for k, v in model["model"]["vocab"].items() if k not in special}
+    formed = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+    if formed != sorted(formed) or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"]["add_prefix_space"] or model.get("normalizer"):
+        raise ValueError(f"{path}: not a byte-level vocabulary in merge order")
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in vocab.items()}, special_tokens={})
 
 
 def pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
@@ -54,10 +47,11 @@ def pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
     that made a piece and ``_rank`` its number among the task's pieces of that length."""
 
     def run(batches):
-        w, seen, chunk = words(tokenizer), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
+        encode, seen, chunk = encoder(tokenizer).encode_to_numpy, np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
         for rows, _, _ in text.blocks(batches):
             out = []
-            for i, ids in zip(rows.column("_id").to_pylist(), w.encode([s or "" for s in rows.column("_text").to_pylist()]), strict=True):
+            for i, s in zip(rows.column("_id").to_pylist(), rows.column("_text").to_pylist(), strict=True):
+                ids = np.append(encode(s or ""), np.uint32(0))
                 first = (len(ids) - 1) % room + 1  # the first piece takes what whole pieces leave
                 cut = [0, *range(first, len(ids) + 1, room)]
                 for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
@@ -184,6 +178,7 @@ def pack(df: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_id"
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset): every document, as
     token ids and a closing 0, in sequences of at most ``room`` tokens.
 
+    Ids are those that the tokenizers library gives for the file, without added ones.
     Only longer documents are cut, into pieces of ``room`` behind a first piece with
     the rest.  What has to be decided depends on the number of pieces of each
     size alone: at most ``room`` counts go to the driver, ``plan`` fills sequences from them, and
