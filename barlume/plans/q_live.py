@@ -41,11 +41,21 @@ def _(t):
     return files.import_csv(t.spark, path)
 
 
+@query("s04_ohlc_loader_problems", "issue instrument n:i", f"""SELECT 'cadence' AS issue, instrument, count(*) AS n FROM (SELECT *, epoch(ts) - epoch({lag('ts')}) AS g FROM faulty WHERE hour(ts) <> 11) WHERE g <> 3600 GROUP BY 2
+  UNION ALL SELECT 'duplicate_timestamp', instrument, count(*) FROM bars_h1 WHERE hour(ts) = 7 GROUP BY 2 UNION ALL SELECT 'missing_timestamp', instrument, count(*) FROM bars_h1 WHERE hour(ts) = 11 GROUP BY 2
+  UNION ALL SELECT 'non_numeric_price', instrument, count(*) FROM bars_h1 WHERE hour(ts) = 9 GROUP BY 2""", faulty="SELECT * FROM bars_h1 UNION ALL SELECT * FROM bars_h1 WHERE hour(ts) = 7")
+def _(t):
+    path, b, at = folder(t, "ohlc"), t.bars_h1, F.hour("ts")
+    faulty = b.union(b.where(at == 7)).withColumn("high", F.when(at == 9, "n/a").otherwise(F.col("high").cast("string")))
+    faulty.withColumn("Timestamp", F.when(at != 11, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).drop("ts").repartitionByRange(4, "instrument", "Timestamp").sortWithinPartitions("instrument", "Timestamp").write.option("header", True).csv(path)
+    return files.load_ohlc(t.spark, path, 3600)[1].groupBy("issue", "instrument").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s04_ohlc_loader_violations", "instrument ts", f"SELECT instrument, ts FROM (SELECT *, epoch(ts) - epoch({lag('ts')}) AS g FROM bars_h1) WHERE g <> 3600")
 def _(t):
     path = folder(t, "ohlc") + ".parquet"
     t.bars_h1.withColumnRenamed("ts", "Timestamp").write.parquet(path)
-    return files.load_ohlc(t.spark, path, 3600)[1]
+    return files.load_ohlc(t.spark, path, 3600)[1].where("issue = 'cadence'").select("instrument", "ts")
 
 
 @query("s05_htf_loader", "instrument ts close:r", "SELECT * FROM bars_h4")
@@ -171,8 +181,11 @@ def _(t):
     return rk.first_per_signal(t.ticks.select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"])
 
 
-@query("k04_control_state", "event_id ts kill_switch shadow_mode", """SELECT o.event_id, o.ts, coalesce(k.v, false) AS kill_switch, coalesce(s.v, false) AS shadow_mode FROM (SELECT * FROM ticks WHERE instrument = 'purchase') o
-   ASOF LEFT JOIN (SELECT ts, volume % 4 = 0 AS v FROM ticks WHERE instrument = 'error' AND volume % 4 < 2) k ON o.ts >= k.ts ASOF LEFT JOIN (SELECT ts, volume % 4 = 2 AS v FROM ticks WHERE instrument = 'error' AND volume % 4 >= 2) s ON o.ts >= s.ts""")
+_CONTROL = """SELECT o.event_id, o.ts, coalesce(k.v, false) AS kill_switch, coalesce(s.v, false) AS shadow_mode FROM (SELECT * FROM ticks WHERE instrument = 'purchase') o
+   ASOF LEFT JOIN (SELECT ts, volume % 4 = 0 AS v FROM ticks WHERE instrument = 'error' AND volume % 4 < 2) k ON o.ts >= k.ts ASOF LEFT JOIN (SELECT ts, volume % 4 = 2 AS v FROM ticks WHERE instrument = 'error' AND volume % 4 >= 2) s ON o.ts >= s.ts"""
+
+
+@query("k04_control_state", "event_id ts kill_switch shadow_mode", _CONTROL)
 def _(t):
     names = F.array(*[F.lit(x) for x in ("kill_switch_on", "kill_switch_off", "shadow_mode_on", "shadow_mode_off")])
     cmd = t.ticks.where("instrument = 'error'").select("ts", F.get(names, (F.col("volume") % 4).cast("int")).alias("action"))
@@ -185,10 +198,14 @@ def _(t):
     return rk.feed_staleness(t.ticks)
 
 
-@query("t09_alert_deduplication", "event_id instrument message:i ts", """SELECT a.event_id, a.instrument, a.message, a.ts FROM al1 a JOIN al2 s ON s.instrument = a.instrument AND s.message = a.message AND s.rn = a.rn WHERE s.kept""",
+_ALERTS = dict(
        al0="SELECT event_id, instrument, volume % 2 AS message, ts FROM ticks", al1="SELECT *, row_number() OVER (PARTITION BY instrument, message ORDER BY ts, event_id) AS rn FROM al0",
        al2="""SELECT instrument, message, CAST(0 AS BIGINT) AS rn, TIMESTAMP '1970-01-01' AS sent, false AS kept FROM (SELECT DISTINCT instrument, message FROM al1) UNION ALL
          SELECT a.instrument, a.message, a.rn, CASE WHEN a.ts >= s.sent + INTERVAL '20 minutes' THEN a.ts ELSE s.sent END, a.ts >= s.sent + INTERVAL '20 minutes' FROM al2 s JOIN al1 a ON a.instrument = s.instrument AND a.message = s.message AND a.rn = s.rn + 1""")
+
+
+@query("t09_alert_deduplication", "event_id instrument message:i ts", """SELECT a.event_id, a.instrument, a.message, a.ts FROM al1 a JOIN al2 s ON s.instrument = a.instrument AND s.message = a.message AND s.rn = a.rn WHERE s.kept""",
+       **_ALERTS)
 def _(t):
     d = t.ticks.select("event_id", "instrument", (F.col("volume") % 2).alias("message"), "ts")
     return rk.thin_by_time(d, ["instrument", "message"], 1200, sr.TICKS)
@@ -274,6 +291,30 @@ def _(t):
     return live.read_output(t.spark, path, d.schema)
 
 
+@query("t09_stream_alert_deduplication", "event_id instrument message:i ts", """SELECT a.event_id, a.instrument, a.message, a.ts FROM al1 a JOIN al2 s ON s.instrument = a.instrument AND s.message = a.message AND s.rn = a.rn WHERE s.kept""", **_ALERTS)
+def _(t):
+    d = live.spaced_alerts(tick_stream(t).select("event_id", "instrument", (F.col("volume") % 2).alias("message"), "ts"), ["instrument", "message"], 1200)
+    path, _ = live.run_available(d)
+    return live.read_output(t.spark, path, d.schema)
+
+
+@query("k04_stream_control_state", "event_id ts kill_switch shadow_mode", _CONTROL)
+def _(t):
+    names = F.array(*[F.lit(x) for x in ("kill_switch_on", "kill_switch_off", "shadow_mode_on", "shadow_mode_off")])
+    cmd = tick_stream(t).where("instrument = 'error'").select("ts", F.get(names, (F.col("volume") % 4).cast("int")).alias("action"))
+    d = live.control_state(tick_stream(t).where("instrument = 'purchase'").select("event_id", "ts"), cmd)
+    path, _ = live.run_available(d)
+    return live.read_output(t.spark, path, d.schema)
+
+
+@query("t08_stream_feed_staleness", "instrument last_ts status", "SELECT instrument, ts AS last_ts, CASE WHEN epoch(after) - epoch(ts) > 900 THEN 'critical' ELSE 'warning' END AS status FROM (SELECT *, lead(ts) OVER (PARTITION BY instrument ORDER BY ts) AS after FROM ticks) WHERE epoch(after) - epoch(ts) > 300")
+def _(t):
+    """Silences of over five and fifteen minutes; the delay keeps the timer from closing the last one."""
+    d = live.feed_staleness(tick_stream(t).select("instrument", "ts"), 300, 900, "10 days")
+    path, _ = live.run_available(d)
+    return live.read_output(t.spark, path, d.schema)
+
+
 @query("k03_stream_unique_signals", "user_id", "SELECT DISTINCT user_id FROM ticks")
 def _(t):
     d = live.unique_signals(tick_stream(t).select("user_id", "ts"), key="user_id").select("user_id")

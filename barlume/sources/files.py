@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlume.operators.quality import cadence_violations, dedupe
-from barlume.operators.series import BARS, Series
+from barlume.operators.quality import cadence_violations, dedupe, reasons
+from barlume.operators.series import BARS, Series, windowed
 
 # Accepted header names.
 ALIASES = {"time": "timestamp", "datetime": "timestamp", "date": "timestamp", "vol": "volume"}
@@ -47,9 +47,14 @@ def import_csv(spark: SparkSession, path: str, instrument: str | None = None) ->
 
 
 def load_ohlc(spark: SparkSession, path: str, step_seconds: int | None = 900, s: Series = BARS) -> tuple[DataFrame, DataFrame]:
-    """(bars, violations) from CSV or Parquet by suffix; ``step_seconds`` None skips
-    the cadence rule."""
-    d = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).csv(path)
+    """(bars, problems) from CSV or Parquet by suffix; the bars are rows as read.
+
+    problems: instrument, ts, issue.  missing_timestamp (none, or unreadable), non_numeric_price (any price
+    that is missing or no number), not_increasing (before the row above it in its file),
+    duplicate_timestamp (once per time), cadence (not ``step_seconds`` after the bar before; None skips the rule)."""
+    parquet = path.rstrip("/").endswith(".parquet")
+    d = spark.read.parquet(path) if parquet else spark.read.option("header", True).csv(path)
+    d = d.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
     d = clean_headers(d, {"timestamp": "ts", **{k: "ts" for k, v in ALIASES.items() if v == "timestamp"}, "vol": "volume"})
     if dict(d.dtypes)["ts"] == "string":
         d = d.withColumn("ts", utc_ntz("ts"))
@@ -57,9 +62,19 @@ def load_ohlc(spark: SparkSession, path: str, step_seconds: int | None = 900, s:
     if missing:
         raise ValueError(f"missing columns {missing}")
     d = d.withColumns({c: F.col(c).try_cast("double") for c in PRICES})
-    if step_seconds is None:
-        return d, d.limit(0).select("instrument", "ts")
-    return d, cadence_violations(d, step_seconds, s)
+    bars = d.drop("_file", "_at", "_row")
+    # a file's splits in the order of their offsets; a split is one slice
+    order = Series(keys=("_file", "instrument"), order=("_at", "_row"), slice_by="_at")
+    flow = windowed(d, order, lambda x, w: x.withColumn("_before", F.lag("ts").over(w)), back=1)
+    bad = flow.select("instrument", "ts", F.explode(reasons(
+        ("missing_timestamp", F.col("ts").isNull()), ("non_numeric_price", F.array_contains(F.array(*[F.col(c).isNull() for c in PRICES]), True)), ("not_increasing", F.col("ts") < F.col("_before")),
+    )).alias("issue"))
+    timed = bars.where(F.col("ts").isNotNull())
+    twice = timed.groupBy("instrument", "ts").count().where("count > 1").select("instrument", "ts", F.lit("duplicate_timestamp").alias("issue"))
+    bad = bad.union(twice)
+    if step_seconds is not None:
+        bad = bad.union(cadence_violations(timed, step_seconds, s).select("instrument", "ts", F.lit("cadence")))
+    return bars, bad
 
 
 def normalise_ohlc(df: DataFrame) -> DataFrame:

@@ -196,6 +196,79 @@ def tick_quality(ticks: DataFrame, max_spread: float = 0.005, max_jump: float =
     )
 
 
+def spaced_alerts(alerts: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Alerts at least ``seconds`` after the last one let through of their key (event_id, keys, ts);
+    that time is the only state, and the step jumps from one alert kept to the next."""
+    wait = np.timedelta64(seconds, "s")
+
+    def step(key, batches, state):
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+        ts, kept = rows["ts"].to_numpy(), []
+        at = int(np.searchsorted(ts, np.datetime64(state.get[0]) + wait)) if state.exists else 0
+        while at < len(ts):
+            kept.append(at)
+            at = int(np.searchsorted(ts, ts[at] + wait))
+        if kept:
+            state.update((rows["ts"].iloc[kept[-1]],))
+        yield rows.iloc[kept]
+
+    return alerts.groupBy(*keys).applyInPandasWithState(step, alerts.schema, "sent timestamp_ntz", "append", GroupStateTimeout.NoTimeout)
+
+
+def control_state(orders: DataFrame, commands: DataFrame, buckets: int = 16) -> DataFrame:
+    """Kill switch and shadow mode in force at each order (event_id, ts): the last command of each kind at
+    or before it.  Commands are few and go to every bucket of orders, so orders spread over tasks."""
+    none = F.lit(None)
+    k = commands.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), none.cast("bigint").alias("event_id"), "ts", "action")
+    o = orders.select(F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int").alias("bucket"), "event_id", "ts", none.cast("string").alias("action"))
+
+    def step(key, batches, state):
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.assign(_order=rows["event_id"].notna()).sort_values(["ts", "_order"], kind="stable")
+        before = state.get if state.exists else (False, False)
+        out, last = {}, []
+        for name, old in zip(("kill_switch", "shadow_mode"), before, strict=True):
+            now = rows["action"].map({f"{name}_on": 1.0, f"{name}_off": 0.0}).ffill().fillna(float(old))
+            out[name] = now.astype(bool)
+            last.append(bool(now.iloc[-1]))
+        state.update(tuple(last))
+        yield rows.assign(**out)[rows["_order"]][["event_id", "ts", "kill_switch", "shadow_mode"]].astype({"event_id": "int64"})
+
+    return k.union(o).groupBy("bucket").applyInPandasWithState(
+        step, "event_id bigint, ts timestamp_ntz, kill_switch boolean, shadow_mode boolean", "kill boolean, shadow boolean", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def feed_staleness(ticks: DataFrame, warn: float = 10, critical: float = 30, delay: str = "1 minute") -> DataFrame:
+    """(instrument, last_ts, status) for every silence of a feed longer than ``warn`` seconds:
+    warning or critical.  A silence that no tick has ended yet is told by a timer once the watermark is ``critical`` seconds past the
+    last tick."""
+
+    def step(key, batches, state):
+        columns = ["instrument", "last_ts", "status"]
+        if state.hasTimedOut:
+            last = state.get[0]
+            state.update((last, True))
+            yield pd.DataFrame([(key[0], last, "critical")], columns=columns)
+            return
+        last, told = state.get if state.exists else (None, False)
+        ts = pd.concat([b["ts"] for b in batches]).sort_values()
+        if last is not None:
+            ts = pd.concat([pd.Series([pd.Timestamp(last)]), ts]).sort_values()
+        silent = ts.diff().shift(-1).dt.total_seconds()
+        gap = silent > warn
+        out = pd.DataFrame({"instrument": key[0], "last_ts": ts[gap], "status": np.where(silent[gap] > critical, "critical", "warning")})
+        newest = ts.iloc[-1]
+        state.update((newest, False))
+        state.setTimeoutTimestamp(max(int((newest.timestamp() + critical) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield out[out["last_ts"] != last] if told else out
+
+    at = ticks.select("instrument", "ts", as_instant("ts").alias("at")).withWatermark("at", delay)
+    return at.groupBy("instrument").applyInPandasWithState(
+        step, "instrument string, last_ts timestamp_ntz, status string", "last timestamp_ntz, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def unique_signals(signals: DataFrame, memory: str = "30 days", key: str = "signal_id", ts: str = "ts") -> DataFrame:
     """First message per signal id within the memory span."""
     return signals.withColumn(ts, as_instant(ts)).withWatermark(ts, memory).dropDuplicatesWithinWatermark([key])
