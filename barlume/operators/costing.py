@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlume.functions.costs import EPS, hour_bucket, spread_lookup_table, tercile
 from barlume.operators.indicators import atr_wilder, rolling_rank, true_range
-from barlume.operators.series import BARS, Series, ewm_columns, ewm_memory, quantiles, windowed
+from barlume.operators.series import BARS, Series, attach, ewm_columns, ewm_memory, quantiles, windowed
 
 
 def cost_columns(bars: DataFrame, alpha: float = 0.10, min_slip: float = 0.0, fee: float = 0.0, spread: str | None = None, s: Series = BARS, overrides: dict | None = None) -> DataFrame:
@@ -39,7 +39,7 @@ def cost_columns(bars: DataFrame, alpha: float = 0.10, min_slip: float = 0.0, fe
 def fallback_costs(bars: DataFrame, default_spread: float = 0.20, spread: str | None = None, s: Series = BARS) -> DataFrame:
     """Default spread and 5% of ATR; bars without ATR use the series median."""
     d = atr_wilder(bars, 14, "atr", s)
-    d = d.join(quantiles(d, list(s.keys), "atr", {"_med": 0.5}), list(s.keys), "left")
+    d = attach(d, quantiles(d, list(s.keys), "atr", {"_med": 0.5}), s.keys, "left")
     est = F.coalesce(F.col(spread), F.lit(default_spread)) if spread else F.lit(default_spread)
     d = d.withColumns({"spread_est": est, "slippage_est": 0.05 * F.coalesce("atr", "_med"), "commission": F.lit(0.0)}).drop("_med")
     return d.withColumn("cost_est", F.col("spread_est") + F.col("slippage_est") + F.col("commission"))

@@ -249,6 +249,11 @@ def allocate_risk(rows: DataFrame, at: str = "ts", most: int = 3, total: float =
     return d.withColumn("risk_alloc", F.when(c > per_cluster, F.col("_r") * per_cluster / c).otherwise(F.col("_r"))).drop("_on", "_in", "_u", "_r")
 
 
+def redundancy_alerts(pairs: DataFrame, limit: float = 0.85) -> DataFrame:
+    """Sleeve pairs whose score correlation is at the limit or over it."""
+    return pairs.where(F.col("score_corr") >= limit)
+
+
 def final_action(alloc: DataFrame, at: str = "ts", digits: int = 9) -> DataFrame:
     """LONG, SHORT or NO_TRADE by the sign of the signed allocation, to ``digits`` decimals."""
     live = (F.col("signal") != 0) & (F.col("risk_alloc") > 0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlume.operators.series import Series, materialise, quantiles, running, value_ranks, windowed
+from barlume.operators.series import Series, attach, materialise, quantiles, running, value_ranks, windowed
 
 
 def probability_losses(rows: DataFrame, keys: Sequence[str], y: str = "y_true", p: str = "prob") -> DataFrame:
@@ -48,7 +48,7 @@ def decile_ev(rows: DataFrame, keys: Sequence[str], p: str = "prob", ev: str = "
     q = quantiles(rows, k, p, qs)
     e = F.array_sort(F.array_distinct(F.array(*[F.col(n) for n in qs])))
     q = q.select(*k, F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0))).alias("_edges"), (F.size(e) >= 2).alias("_ok"))
-    d = (rows.join(q, k) if k else rows.crossJoin(F.broadcast(q))).where(F.col("_ok") & F.col(p).isNotNull())
+    d = (attach(rows, q, k) if k else rows.crossJoin(F.broadcast(q))).where(F.col("_ok") & F.col(p).isNotNull())
     d = d.withColumn("decile", F.size(F.filter("_edges", lambda x: x < F.col(p))))
     return d.groupBy(*k, "decile").agg(F.avg(p).alias("mean_prob"), F.avg(ev).alias("mean_ev"), F.count(ev).alias("count"))
 
@@ -139,7 +139,7 @@ def psi(rows: DataFrame, keys: Sequence[str], value: str, is_ref: Column, bins:
     qs = {f"_q{i}": i / bins for i in range(bins + 1)}
     e = F.array_sort(F.array_distinct(F.array(*[F.col(n) for n in qs])))
     q = materialise(quantiles(d.where("_ref"), k, value, qs).select(*k, e.alias("_e")))
-    d = d.join(q, k) if k else d.crossJoin(F.broadcast(q))
+    d = attach(d, q, k) if k else d.crossJoin(F.broadcast(q))
     v, size = F.col(value), F.size("_e")
     b = F.when(v == F.get("_e", size - 1), size - 2).otherwise(F.size(F.filter("_e", lambda x: x <= v)) - 1)
     d = d.withColumn("_b", b).where((F.col("_b") >= 0) & (F.col("_b") < size - 1))
@@ -170,6 +170,27 @@ def session_validation(rows: DataFrame, s: Series, digits: int = 9) -> DataFrame
     )
 
 
+def threshold_usage(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many bars of each key carry a signal, and their share."""
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"), F.count(F.when(F.col("signal") != 0, 1)).alias("trade_bars"))
+    return g.withColumn("trade_freq", F.col("trade_bars") / F.col("bars"))
+
+
+def retained_pnl(rows: DataFrame, kept: Column, resolution: str, edges: Sequence[int]) -> DataFrame:
+    """Mean PnL of kept and excluded rows by time to resolution, in right-closed buckets."""
+    r = F.col(resolution)
+    bucket = F.lit(f"> {edges[-1]}")
+    for e in sorted(edges, reverse=True):
+        bucket = F.when(r <= e, f"<= {e}").otherwise(bucket)
+    return rows.groupBy(kept.alias("kept"), bucket.alias("resolution")).agg(F.count(F.lit(1)).alias("n"), F.avg("pnl").alias("mean_pnl"))
+
+
+def retained_share(rows: DataFrame, by: str, mask: str) -> DataFrame:
+    """Rows that pass the mask, overall (ALL) and per value of ``by``."""
+    g = rows.groupingSets([[F.col(by)], []], F.col(by)).agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col(mask), 1)).alias("retained"))
+    return g.select(F.coalesce(by, F.lit("ALL")).alias(by), "total", "retained", (F.col("total") - F.col("retained")).alias("excluded"), (F.col("retained") / F.col("total")).alias("retained_share"))
+
+
 def stability_score(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Walk-forward summary and stability per key from rows of window results
     (net_pnl, profit_factor with NULL for infinite, trades, max_drawdown)."""

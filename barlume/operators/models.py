@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlume.operators.series import materialise, quantiles
+from barlume.operators.series import attach, materialise, quantiles
 from barlume.operators.splits import bucket_of, check_columns
 
 
@@ -173,7 +173,7 @@ def state_key(session: str, columns: Sequence[str], drift: Column | None = None)
 def cost_state_thresholds(rows: DataFrame, session: str, columns: Sequence[str], edges: DataFrame, base: DataFrame, least_state: int = 80, max_adj: float = 0.06, **fit) -> DataFrame:
     """Thresholds per cost state, limited to the session's own +- ``max_adj``; small
     states fall back to the session."""
-    keyed = rows.join(edges, session).withColumn("state_key", state_key(session, columns))
+    keyed = attach(rows, edges, [session]).withColumn("state_key", state_key(session, columns))
     keyed = materialise(keyed.drop(*[f"{c}_edges" for c in columns]))
     n = keyed.groupBy(session, "state_key").agg(F.count(F.lit(1)).alias("n"))
     own = fit_thresholds(keyed, [session, "state_key"], **fit)

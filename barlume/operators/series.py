@@ -288,6 +288,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "inner", most: int = 10_000, salts: int = 32) -> DataFrame:
+    """Joins a table of few rows per key to rows of which one key may hold most.
+
+    The table is written and counted: up to ``most`` rows it is broadcast and the rows are not moved; a larger one is
+    repeated under ``salts`` numbers, and each row takes one of them, so a frequent key spreads over as many tasks."""
+    p, keys = materialise(params), list(keys)
+    if p.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(p), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return salted.join(p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how).drop("_salt")
+
+
 def ewm_memory(alpha: float) -> int:
     """Rows after which an exponential weight falls below double precision."""
     return max(1, math.ceil(math.log(1e-17) / math.log(1.0 - alpha)))

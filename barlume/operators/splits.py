@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from barlume.operators.align import plus_seconds
-from barlume.operators.series import BARS, Series, materialise, position, quantiles, windowed
+from barlume.operators.series import BARS, Series, attach, materialise, position, quantiles, windowed
 
 
 def month_windows(spark: SparkSession, bounds: DataFrame, train: int = 18, val: int = 2, test: int = 2, step: int = 1, open_end: bool = False) -> DataFrame:
@@ -47,7 +47,8 @@ def fold_membership(rows: DataFrame, windows: DataFrame, purge_seconds: int, emb
 def numbered(rows: DataFrame, s: Series = BARS, grouped: bool = True) -> DataFrame:
     """Zero-based position `pos` and series length `n`."""
     total = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"))
-    return windowed(rows, s, lambda d, w: d.withColumn("pos", position(s))).join(total, list(s.keys))
+    d = windowed(rows, s, lambda d, w: d.withColumn("pos", position(s)))
+    return attach(d, total, s.keys) if s.keys else d.crossJoin(F.broadcast(total))
 
 
 def expanding_windows(counts: DataFrame, ratio: float = 0.7, k: int = 3, least_train: int = 200, least_test: int = 50) -> DataFrame:
@@ -90,7 +91,7 @@ def purged_splits(
     w = w.withColumn("embargo_to", F.least(F.col("n"), F.col("val_to") + 1 + embargo))
     first = d.select(*k, F.col("pos").alias("val_from"), F.col(s.ts).alias("val_start_ts"))
     w = w.join(first, [*k, "val_from"])
-    j = d.drop("n").join(w.drop("n"), k)
+    j = attach(d.drop("n"), w.drop("n"), k)
     train = (F.col("pos") >= F.col("train_from")) & (F.col("pos") < F.col("train_to"))
     if label_end:
         train = train & (F.col(label_end).isNull() | (F.col(label_end) < F.col("val_start_ts")))
@@ -124,8 +125,7 @@ def fit_scaler(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = (
     k = [*keys, "feature"]
     x = materialise(long_form(rows, keys, features))
     lim = materialise(quantiles(x, k, "value", {"clip_lo": 0.01, "clip_hi": 0.99}))
-    c = x.join(lim, k).withColumn("value", F.least(F.greatest("value", "clip_lo"), "clip_hi"))
-    c = c.where(x["value"].isNotNull())
+    c = attach(x.where(F.col("value").isNotNull()), lim, k).withColumn("value", F.least(F.greatest("value", "clip_lo"), "clip_hi"))
     q = quantiles(c, k, "value", {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
     iqr = F.col("_q3") - F.col("_q1")
     return lim.join(q, k).select(*k, "clip_lo", "clip_hi", "median", F.when(iqr == 0, 1.0).otherwise(iqr).alias("iqr"))
@@ -141,7 +141,7 @@ def apply_scaler(rows: DataFrame, scaler: DataFrame, features: Sequence[str], ke
     """Scaled features with frozen state; the state has one row per key and meets
     the rows in one join."""
     w = scaler_wide(scaler, features, keys)
-    d = rows.join(w, list(keys), "left") if keys else rows.crossJoin(F.broadcast(w))
+    d = attach(rows, w, keys, "left") if keys else rows.crossJoin(F.broadcast(w))
     scaled = {f: (F.least(F.greatest(F.col(f), F.col(f"_s_{f}.clip_lo")), F.col(f"_s_{f}.clip_hi")) - F.col(f"_s_{f}.median")) / F.col(f"_s_{f}.iqr") for f in features}
     return d.withColumns(scaled).drop(*[f"_s_{f}" for f in features])
 

@@ -137,7 +137,7 @@ def _(t):
 
 @query("e24_redundancy_alerts", "a b score_corr:r", "SELECT a, b, score_corr FROM mx WHERE score_corr >= 0.02", rsc=_RSC, pr=pair_sql("rsc"), mx=_MX)
 def _(t):
-    return metric_pairs(t).where("score_corr >= 0.02")
+    return dp.redundancy_alerts(metric_pairs(t), 0.02)
 
 
 _PEN = "SELECT sleeve, sum(p) AS penalty FROM (SELECT a AS sleeve, score_corr + trigger_overlap + abs(pnl_corr) + coloss_freq AS p FROM mx UNION ALL SELECT b, score_corr + trigger_overlap + abs(pnl_corr) + coloss_freq FROM mx) GROUP BY 1"

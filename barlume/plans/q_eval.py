@@ -160,15 +160,12 @@ def _(t):
 
 @query("e31_threshold_usage", "session state:i bars:i trade_bars:i trade_freq:r", f"SELECT session, state, count(*) AS bars, count(*) FILTER (sg <> 0) AS trade_bars, count(*) FILTER (sg <> 0) / count(*) AS trade_freq FROM (SELECT session, CAST(floor(spread_proxy * 40) AS BIGINT) AS state, {_SIG} AS sg FROM scores) GROUP BY 1, 2")
 def _(t):
-    d = signalled(t).withColumn("state", F.floor(F.col("spread_proxy") * 40))
-    g = d.groupBy("session", "state").agg(F.count(F.lit(1)).alias("bars"), F.count(F.when(F.col("signal") != 0, 1)).alias("trade_bars"))
-    return g.withColumn("trade_freq", F.col("trade_bars") / F.col("bars"))
+    return ev.threshold_usage(signalled(t).withColumn("state", F.floor(F.col("spread_proxy") * 40)), ["session", "state"])
 
 
 @query("e33_retained_vs_excluded", "kept resolution n:i mean_pnl:r", "SELECT quantity >= 10 AS kept, CASE WHEN quantity <= 4 THEN '<= 4' WHEN quantity <= 16 THEN '<= 16' ELSE '> 16' END AS resolution, count(*) AS n, avg(pnl) AS mean_pnl FROM scores GROUP BY 1, 2")
 def _(t):
-    n = F.col("quantity")
-    return t.scores.groupBy((n >= 10).alias("kept"), F.when(n <= 4, "<= 4").when(n <= 16, "<= 16").otherwise("> 16").alias("resolution")).agg(F.count(F.lit(1)).alias("n"), F.avg("pnl").alias("mean_pnl"))
+    return ev.retained_pnl(t.scores, F.col("quantity") >= 10, "quantity", (4, 16))
 
 
 # window results: FIFO trades per (instrument, strategy = entry side, window = year)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlume.functions import costs
-from barlume.operators import features as fe, indicators as ind, quality, series as sr, sessions as se
+from barlume.operators import evaluate, features as fe, indicators as ind, quality, series as sr, sessions as se
 from barlume.plans import sqltext as q
 from barlume.plans.q_quality import _prior_sql
 from barlume.plans.registry import query, sql_view, view
@@ -313,10 +313,7 @@ def _(t):
 @query("v11_tradability_summary", "session_bucket total:i retained:i excluded:i retained_share:r", """SELECT coalesce(session_bucket, 'ALL') AS session_bucket, count(*) AS total, count(*) FILTER (tradable) AS retained, count(*) FILTER (NOT tradable) AS excluded,
   count(*) FILTER (tradable) / count(*) AS retained_share FROM td3 GROUP BY GROUPING SETS ((session_bucket), ())""", **_TRAD)
 def _(t):
-    d = tradability(t).select("session_bucket", "tradable_mask")
-    g = d.groupingSets([[F.col("session_bucket")], []], F.col("session_bucket")).agg(
-        F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("tradable_mask"), 1)).alias("retained"))
-    return g.select(F.coalesce("session_bucket", F.lit("ALL")).alias("session_bucket"), "total", "retained", (F.col("total") - F.col("retained")).alias("excluded"), (F.col("retained") / F.col("total")).alias("retained_share"))
+    return evaluate.retained_share(tradability(t), "session_bucket", "tradable_mask")
 
 
 _HB = "CASE WHEN hour(ts) BETWEEN 12 AND 15 THEN 'overlap' WHEN hour(ts) BETWEEN 7 AND 15 THEN 'london' WHEN hour(ts) BETWEEN 12 AND 20 THEN 'newyork' WHEN hour(ts) < 9 THEN 'tokyo' ELSE 'offhours' END"

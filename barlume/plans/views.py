@@ -67,7 +67,7 @@ def bars_d1(t: Tables):
 def calendar(t: Tables):
     errors = t.events.where(F.col("event_type") == "error").select("event_type", "ts", "value")
     cut = sr.quantiles(errors, ["event_type"], "value", {"cut": 0.99})
-    return errors.join(cut, "event_type").where(F.col("value") > F.col("cut")).select(F.col("ts").alias("event_ts"))
+    return sr.attach(errors, cut, ["event_type"]).where(F.col("value") > F.col("cut")).select(F.col("ts").alias("event_ts"))
 
 
 @view(

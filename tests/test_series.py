@@ -186,3 +186,30 @@ def test_ewm_memory_is_enough():
     for a in (2 / 3, 1 / 14, 2 / 201):
         assert (1 - a) ** sr.ewm_memory(a) < 1e-16
         assert math.isfinite((1 - a) ** (-5.0 * sr.ewm_memory(a)))
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_attach_broadcast_and_salted(spark, most):
+    rows = spark.range(500).selectExpr("id", "IF(id % 10 < 7, 'hot', concat('k', id % 10)) AS k")
+    params = spark.createDataFrame([("hot", 1), ("hot", 2), ("k7", 3)], "k string, p int")
+    got = sr.attach(rows, params, ["k"], "left", most=most).select("id", "k", "p")
+    assert sorted(got.collect(), key=str) == sorted(rows.join(params, "k", "left").select("id", "k", "p").collect(), key=str)
+
+
+def test_order_key_orders_like_the_pair(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(id % 3 AS DECIMAL(18,6)) / 1000000) AS ts, id * 4611686018427387 - 9223372036854775807 AS n FROM range(2000)")
+    rows = df.withColumn("key", sr.order_key(df, ("ts", "n"))).collect()
+    assert [r.n for r in sorted(rows, key=lambda r: r.key)] == [r.n for r in sorted(rows, key=lambda r: (r.ts, r.n))]
+
+
+def test_load_problems(spark, tmp_path):
+    from barlume.sources import files
+
+    lines = ["instrument,Timestamp,open,high,low,close"]
+    lines += [f"a,2024-01-01 00:{m:02d}:00,1,2,1,2" for m in (0, 15, 30, 15, 45)] + ["a,,1,2,1,2", "a,2024-01-01 01:00:00,x,2,1,2", "a,2024-01-01 02:00:00,1,2,1,"]
+    (tmp_path / "bars.csv").write_text("\n".join(lines))
+    bars, bad = files.load_ohlc(spark, str(tmp_path / "bars.csv"))
+    found = sorted((str(r.ts)[11:16], r.issue) for r in bad.collect())
+    want = {("00:15", "cadence"), ("00:15", "duplicate_timestamp"), ("00:15", "not_increasing"), ("01:00", "non_numeric_price"), ("02:00", "cadence"), ("02:00", "non_numeric_price"), ("", "missing_timestamp")}
+    assert set(found) == want and len(found) == len(want)
+    assert bars.count() == 8
