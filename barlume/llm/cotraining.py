@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, round
     if len(set(given.values())) < 2:
         return None
     wanted = spark.createDataFrame([(int(i),) for i in taken["_id"]], "_id long")
-    sample = common.saved(docs.join(F.broadcast(wanted), "_id"))
+    sample = common.saved(docs.join(F.broadcast(wanted), "_id")).coalesce(6)  # few arrays of counts
     order = sorted(given)
     apart = {i for k, i in enumerate(order) if k % 5 == 0}
     by_view: tuple[dict, dict] = tuple({i: y for i, y in given.items() if i not in apart} for _ in range(2))

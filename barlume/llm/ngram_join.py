@@ -133,7 +133,11 @@ def tiles(docs: DataFrame, heads: DataFrame, n: int, percent: int, bits: int) ->
         """Pairs within each key of these rows (sorted by key and size), the later row among those from ``fresh`` on."""
         out = []
         begin = np.searchsorted(key, key, "left")
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        at_new = np.flatnonzero(new)
+        mixed = np.minimum.reduceat(group, at_new) != np.maximum.reduceat(group, at_new)
         j = np.arange(max(1, fresh), len(key))
+        j = j[mixed[(np.cumsum(new) - 1)[j]]]  # a tile of one group has nothing to compare
         for back in range(1, len(key)):
             j = j[j - back >= begin[j]]
             j = j[100 * size[j - back] >= percent * size[j]]  # sizes rise, so none beyond is in the band

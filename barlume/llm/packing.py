@@ -115,7 +115,7 @@ def bins(plan) -> int:
     return sum(n for _, n in plan)
 
 
-def plan(counts: dict[int, int], room: int, nodes: int = 4000) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], room: int, nodes: int = 3000) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how often each is used, for the given number of items by size.
 
     Bin completion: the largest item left opens a sequence, the undominated fillings around
@@ -128,33 +128,50 @@ def plan(counts: dict[int, int], room: int, nodes: int = 4000) -> list[tuple[tup
     big = sum(n for s, n in counts.items() if 2 * s > room)
     least = max(-(-total // room), big)
     best = best_fit(counts, room)
-    visited = 0
-    stack = [(dict(counts), [], 0, 0)]  # depth first: what is left, fillings so far, sequences, waste
-    while stack and bins(best) > least and visited < nodes:
-        left, done, used, waste = stack.pop()
-        visited += 1
-        if not left:
-            if used < bins(best):
-                best = done
-            continue
-        if waste > (bins(best) - 1) * room - total:
-            continue
-        if visited % 64 == 1:
-            rest = best_fit(left, room)
-            if used + bins(rest) < bins(best):
-                best = [*done, *rest]
+
+    def options(left: dict[int, int]) -> list[tuple[tuple[int, ...], dict[int, int], int]]:
         sizes = sorted(left, reverse=True)
-        s = sizes[0]
-        one = {**left, s: left[s] - 1}
-        options = completions([x for x in sizes if one[x]], one, room - s) or [()]
-        for fill in reversed(options[:6]):
+        one = {**left, sizes[0]: left[sizes[0]] - 1}
+        out = []
+        for fill in (completions([x for x in sizes if one[x]], one, room - sizes[0]) or [()])[:6]:
             need: dict[int, int] = {}
-            for x in (s, *fill):
+            for x in (sizes[0], *fill):
                 need[x] = need.get(x, 0) + 1
-            times = min(left[x] // k for x, k in need.items())
-            rest = {x: n - need.get(x, 0) * times for x, n in left.items()}
-            rest = {x: n for x, n in rest.items() if n}
-            stack.append((rest, [*done, ((s, *fill), times)], used + times, waste + times * (room - s - sum(fill))))
+            out.append(((sizes[0], *fill), need, min(left[x] // k for x, k in need.items())))
+        return out[::-1]  # taken from the end
+
+    def move(need: dict[int, int], n: int) -> None:
+        for x, k in need.items():
+            left[x] = left.get(x, 0) - k * n
+            if not left[x]:
+                del left[x]
+
+    # depth first; what is left is one table that each step changes and undoes
+    left, done, used, waste, visited = dict(counts), [], 0, 0, 0
+    open_options = [options(left)] if left else []
+    while open_options and bins(best) > least and visited < nodes:
+        if open_options[-1]:
+            fill, need, times = open_options[-1].pop()
+            move(need, times)
+            done.append((fill, need, times))
+            used, waste, visited = used + times, waste + times * (room - sum(fill)), visited + 1
+            so_far = [(f, n) for f, _, n in done] if not left or visited % 64 == 1 else []
+            if not left and used < bins(best):
+                best = so_far
+            elif left and visited % 64 == 1:
+                rest = best_fit(left, room)
+                if used + bins(rest) < bins(best):
+                    best = [*so_far, *rest]
+            if left and waste <= (bins(best) - 1) * room - total:
+                open_options.append(options(left))
+                continue
+        else:
+            open_options.pop()
+            if not open_options:
+                break
+        fill, need, times = done.pop()
+        move(need, -times)
+        used, waste = used - times, waste - times * (room - sum(fill))
     return best
 
 
@@ -174,7 +191,7 @@ def places(filled: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndar
     return {s: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for s, rows in at.items()}
 
 
-def pack(df: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_id", text_col: str = "text", nodes: int = 4000) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_id", text_col: str = "text", nodes: int = 3000) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset): every document, as
     token ids and a closing 0, in sequences of at most ``room`` tokens.
 
