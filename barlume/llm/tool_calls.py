@@ -82,20 +82,31 @@ def violations(v, schema: Mapping, at: str = "$") -> list[str]:
 
 
 def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """(key, level): 0 for calls that need no other, else one more than the highest they need; null on a cycle
-    or behind one.  ``needs`` has (key, on).
-
-    Each round settles the calls whose needs are settled, so there are as many rounds as the longest chain has
-    links; a round's joins read written tables and no conversation is gathered in a task."""
+    """(key, level): numbers that rise from each call to those that need it; null on a cycle or behind one.
+
+    ``calls`` has (key, turn), ``needs`` (key, on).  Where every call of a conversation comes after all it needs, by
+    (turn, call_id), the turn is the level, and a conversation may be as long as it likes.  Only the other
+    conversations are settled in rounds: 0 for calls that need no other, else one more than the highest they need.
+    A round's joins read written tables and no conversation is gathered in a task."""
+    at = lambda c: calls.select(F.col("key").alias(c), F.struct("turn", "key.call_id").alias(f"_at_{c}"))
+    placed = needs.join(at("key"), "key").join(at("on"), "on")
+    early = F.col("_at_key.turn").isNotNull() & F.col("_at_on.turn").isNotNull() & (F.col("_at_on") < F.col("_at_key"))
+    late = common.saved(placed.where(~early).select("key.conv_id").distinct())
+    by_turn = calls.withColumn("conv_id", F.col("key.conv_id")).join(late, "conv_id", "left_anti").select("key", F.coalesce("turn", F.lit(0)).cast("long").alias("level"))
+    rest = common.saved(calls.withColumn("conv_id", F.col("key.conv_id")).join(late, "conv_id", "left_semi").select("key"))
+    return by_turn.union(rounds(rest, needs.join(rest, "key", "left_semi")))
+
+
+def rounds(calls: DataFrame, needs: DataFrame) -> DataFrame:
     pending = common.saved(needs.distinct())
     fresh = common.saved(calls.select("key").join(pending.select("key").distinct(), "key", "left_anti"))
-    done, level = [fresh.withColumn("level", F.lit(0))], 0
+    done, level = [fresh.withColumn("level", F.lit(0).cast("long"))], 0
     while pending.limit(1).count() and fresh.limit(1).count():
         met = pending.join(fresh.select(F.col("key").alias("on")), "on", "left_semi").select("key").distinct()
         pending = common.saved(pending.join(fresh.select(F.col("key").alias("on")), "on", "left_anti"))
         level += 1
         fresh = common.saved(met.join(pending.select("key").distinct(), "key", "left_anti"))
-        done.append(fresh.withColumn("level", F.lit(level)))
+        done.append(fresh.withColumn("level", F.lit(level).cast("long")))
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
@@ -133,10 +144,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -
     needs = common.saved(needs.distinct())
     there = one.select(F.col("key").alias("on"))
     missing = needs.join(there, "on", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("on.call_id")).alias("_missing"))
-    level = levels(one, needs.join(there, "on", "left_semi"))
+    level = levels(one.select("key", "_call.turn"), needs.join(there, "on", "left_semi"))
     rows = one.join(level, "key", "left").join(missing, "key", "left").drop("key").join(back, _KEY, "full")
     lone = [
-        calls.where(~named).select("conv_id", "call_id", F.lit(1).cast("long").alias("n_calls"), F.struct("turn", "name", "arguments", "depends").alias("_call"), F.lit(0).alias("level")),
+        calls.where(~named).select("conv_id", "call_id", F.lit(1).cast("long").alias("n_calls"), F.struct("turn", "name", "arguments", "depends").alias("_call"), F.lit(0).cast("long").alias("level")),
         results.where(~named).select("conv_id", "call_id", F.lit(1).cast("long").alias("n_results"), F.struct("turn", "content").alias("_result")),
     ]
     for x in lone:
