@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +14,13 @@ from barlume.llm import common, text
 from barlume.llm.repetition import SYMBOL
 
 BUCKETS = 1 << 16
-BINS = 32
+#: Bins of a measure of the layout, and of the values of a column.
+BINS, NAMED = 32, 1024
 MEASURES = 10
+#: Parts of an array of counts that are added up apart.
+PARTS = 16
+#: A document counts so much over its grams, in whole numbers, so that sums do not depend on their order.
+WHOLE = 1 << 30
 _UPPER, _DIGIT, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?.,;:"))
 
 
@@ -38,13 +43,20 @@ def metadata(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, columns: li
     share = lambda x, of: np.floor(2 * np.log2(1 + 1000 * x / np.maximum(of, 1)))
     level = lambda x: np.floor(2 * np.log2(1 + x))
     measured = [level(size), level(words), level(lines), level(size / lines), share(total(_UPPER[buf]), size), share(total(_DIGIT[buf]), size), share(total(SYMBOL[buf]), size), share(total(_MARK[buf]), size), share(total(buf >= 128), size), share(long, words)]
-    named = [np.array([hash_of(x) for x in rows.column(c).to_pylist()]) for c in columns]
-    both = np.stack([*measured, *named], axis=1) if len(size) else np.zeros((0, MEASURES + len(columns)))
-    return np.clip(both, 0, BINS - 1).astype(np.int64) + BINS * np.arange(both.shape[1])
+    both = np.stack(measured, axis=1) if len(size) else np.zeros((0, MEASURES))
+    both = np.clip(both, 0, BINS - 1).astype(np.int64) + BINS * np.arange(MEASURES)
+    named = [BINS * MEASURES + NAMED * k + values_of(rows.column(c)) for k, c in enumerate(columns)]
+    return np.column_stack([both, *named])
+
+
+def values_of(column: pa.Array) -> np.ndarray:
+    each = column.to_pylist()
+    at = {x: hash_of(x) for x in set(each)}
+    return np.array([at[x] for x in each], np.int64)
 
 
 def hash_of(x) -> int:
-    return 0 if x is None else 1 + int.from_bytes(x.encode()[-4:], "little") % (BINS - 1)
+    return 0 if x is None else 1 + zlib.crc32(x.encode()) % (NAMED - 1)
 
 
 @dataclass
@@ -56,11 +68,12 @@ class Views:
     #: Slope and intercept of each view, then the weights that combine the calibrated views.
     curve: np.ndarray | None = None
     mix: np.ndarray | None = None
+    #: Labels that each view had from the other one in the last round.
+    taught: tuple[int, int] = (0, 0)
 
-    def raw(self, rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, columns: list[str]) -> np.ndarray:
-        h, doc, n = grams(buf, off)
+    def raw(self, h: np.ndarray, doc: np.ndarray, n: np.ndarray, meta: np.ndarray) -> np.ndarray:
         a = np.bincount(doc, weights=self.gram[h], minlength=len(n)) / np.maximum(n, 1)
-        return np.stack([a, self.category[metadata(rows, buf, off, columns)].sum(axis=1)], axis=1)
+        return np.stack([a, self.category[meta].sum(axis=1)], axis=1)
 
     def probabilities(self, raw: np.ndarray) -> np.ndarray:
         """Of the text view, of the metadata view, of both."""
@@ -91,32 +104,102 @@ def odds(counts: np.ndarray, smooth: float) -> np.ndarray:
     return np.log(c[1]) - np.log(c[0])
 
 
-def train(sample: DataFrame, columns: list[str], mine: tuple[dict, dict]) -> Views:
-    """Naive Bayes of each view from its own labels (document -> 0 or 1), every document with weight one.
-    Tasks hand on one array of counts each."""
-    width = BINS * (MEASURES + len(columns))
-    held = sample.sparkSession.sparkContext.broadcast(mine)
+def summed(df: DataFrame, count, size: int) -> np.ndarray:
+    """Sum of the arrays of ``size`` whole numbers that ``count`` makes of the batches of each task.  The arrays
+    are cut in parts, which tasks add up; one array comes to the driver."""
+
+    def cut(batches):
+        parts = np.array_split(count(batches).astype(np.int64), PARTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "sums"])
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(x.as_buffer(), np.int64)
+        for k, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "sums"])
+
+    schema = "part int, sums binary"
+    rows = {r.part: np.frombuffer(r.sums, np.int64) for r in df.mapInArrow(cut, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect()}
+    return np.concatenate([rows[k] for k in range(PARTS)]) if rows else np.zeros(size, np.int64)
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the scores, equal for scores that differ by less than 1 in 2,000 of themselves."""
+    i = x.astype(np.float32).view(np.int32).astype(np.int64)
+    return np.where(i < 0, -(i & 0x7FFFFFFF), i) >> 12
+
+
+def outside(rows: pa.RecordBatch, given: dict) -> np.ndarray:
+    """Whether each document is one of those that teach by pseudo-labels: it has an id and no given label."""
+    return np.array([i != common.NO_ID and i not in given for i in rows.column("_id").to_pylist()], bool)
+
+
+def train(docs: DataFrame, columns: list[str], mine: dict, given: dict, before: list) -> Views:
+    """Naive Bayes of each view from the labels ``mine`` (document -> 0 or 1) and, for documents that are not in ``given``,
+    the pseudo-labels of the rounds ``before`` (views and their cuts), of which the last one that is sure holds.  Every
+    document has weight one."""
+    width = BINS * MEASURES + NAMED * len(columns)
+    held = docs.sparkSession.sparkContext.broadcast((mine, given, before))
 
     def count(batches):
-        gram, category = np.zeros((2, BUCKETS)), np.zeros((2, width))
+        own, known, rounds = held.value
+        gram, category, taught = np.zeros((2, BUCKETS)), np.zeros((2, width)), np.zeros(2)
         for rows, buf, off in text.blocks(batches):
-            i = rows.column("_id").to_pylist()
-            a, b = (np.array([own.get(x, -1) for x in i]) for own in held.value)
+            y = np.array([own.get(x, -1) for x in rows.column("_id").to_pylist()])
+            labels = np.stack([y, y], axis=1)
             h, doc, n = grams(buf, off)
             meta = metadata(rows, buf, off, columns)
+            free = outside(rows, known)
+            for views, cuts in rounds:
+                at = ordered(views.raw(h, doc, n, meta))
+                for view, other in ((0, 1), (1, 0)):  # each view teaches the other what it is sure of
+                    low, high = cuts[view]
+                    labels[free & (at[:, view] < low), other] = 0
+                    labels[free & (at[:, view] >= high), other] = 1
+            taught += (free[:, None] & (labels >= 0)).sum(axis=0)
+            weight = np.rint(WHOLE / np.maximum(n, 1))
             for y in (0, 1):
-                pick = (a == y)[doc]
-                gram[y] += np.bincount(h[pick], weights=1.0 / n[doc[pick]], minlength=BUCKETS)
-                category[y] += np.bincount(meta[b == y].ravel(), minlength=width)
-        yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "category": [category.tobytes()]})
-
-    gram, category = np.zeros((2, BUCKETS)), np.zeros((2, width))
-    for r in sample.mapInArrow(count, "gram binary, category binary").collect():
-        gram += np.frombuffer(r.gram).reshape(2, -1)
-        category += np.frombuffer(r.category).reshape(2, -1)
-    shares = category.reshape(2, -1, BINS)
+                pick = (labels[:, 0] == y)[doc]
+                gram[y] += np.bincount(h[pick], weights=weight[doc[pick]], minlength=BUCKETS)
+                category[y] += np.bincount(meta[labels[:, 1] == y].ravel(), minlength=width)
+        return np.concatenate([gram.ravel(), category.ravel(), taught])
+
+    gram, category, taught = np.split(summed(docs, count, 2 * BUCKETS + 2 * width + 2).astype(np.float64), [2 * BUCKETS, 2 * (BUCKETS + width)])
+    measured, named = np.split(category.reshape(2, -1), [BINS * MEASURES], axis=1)
+    shares = measured.reshape(2, -1, BINS)
     weights = np.log((shares[1] + 1) / (shares[1].sum(axis=1, keepdims=True) + BINS)) - np.log((shares[0] + 1) / (shares[0].sum(axis=1, keepdims=True) + BINS))
-    return Views(odds(gram, 1e-2), weights.ravel())
+    # a value that was seldom seen weighs little, one that was never seen nothing
+    part = (shares[:, 0].sum(axis=1) + 1) / (shares[:, 0].sum() + 2)
+    values = np.log((named[1] + 2 * part[1]) / part[1]) - np.log((named[0] + 2 * part[0]) / part[0])
+    return Views(odds(gram.reshape(2, -1) / WHOLE, 1e-2), np.concatenate([weights.ravel(), values]), taught=tuple(int(x) for x in taught))
+
+
+def cuts(docs: DataFrame, columns: list[str], views: Views, given: dict, low: float, high: float) -> list[tuple[int, int]] | None:
+    """For each view the limits (in ``ordered`` scores) below and from which the shares ``low`` and ``high`` of all
+    documents outside ``given`` lie, at most.  Tasks count scores, so at most 2**20 counts of a view meet on the driver."""
+    held = docs.sparkSession.sparkContext.broadcast((views, given))
+
+    def count(batches):
+        for rows, buf, off in text.blocks(batches):
+            views, given = held.value
+            at = ordered(views.raw(*grams(buf, off), metadata(rows, buf, off, columns)))[outside(rows, given)]
+            for view in (0, 1):
+                x, n = np.unique(at[:, view], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), view), pa.int32()), pa.array(x), pa.array(n, pa.int64())], names=["view", "at", "n"])
+
+    found = docs.mapInArrow(count, "view int, at long, n long").groupBy("view", "at").agg(F.sum("n").alias("n")).toPandas()
+    if found.empty:
+        return None
+    out = []
+    for view in (0, 1):
+        x = found[found["view"] == view].sort_values("at")
+        at, n = x["at"].to_numpy(), x["n"].to_numpy()
+        below = np.searchsorted(np.cumsum(n), low * n.sum(), "right")
+        above = np.searchsorted(np.cumsum(n[::-1]), high * n.sum(), "right")
+        out.append((int(at[below]), int(at[len(at) - above]) if above else int(at[-1]) + 1))
+    return out
 
 
 def scored(df: DataFrame, views: Views, columns: list[str], names: list[str], of, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -125,46 +208,38 @@ def scored(df: DataFrame, views: Views, columns: list[str], names: list[str], of
 
     def run(batches):
         for rows, buf, off in text.blocks(batches):
-            x = of(held.value, held.value.raw(rows, buf, off, columns))
+            x = of(held.value, held.value.raw(*grams(buf, off), metadata(rows, buf, off, columns)))
             yield pa.RecordBatch.from_arrays([rows.column("_id"), *(rows.column(c) for c in carry), *(pa.array(x[:, k]) for k in range(len(names)))], names=["_id", *carry, *names])
 
     return df.mapInArrow(run, df.select("_id", *carry, *[F.lit(0.0).alias(c) for c in names]).schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, rounds: int, confident: float) -> Views | None:
-    """Fits on at most ``most`` labelled documents, a fifth of them kept apart for calibration, and a pool
-    of at most ``most`` others, all taken by the order of a hash of the id.  The driver holds ids, labels and scores of
-    these only."""
+    """Fits on at most ``most`` labelled documents, taken by the order of a hash of the id, a fifth of them kept apart for
+    calibration, and on all other documents, which get pseudo-labels in the tasks that read them.  The driver holds ids, labels
+    and scores of the labelled sample only."""
     spark = docs.sparkSession
-    chance = F.xxhash64("_id")
     known = labels.where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
     ids = docs.select("_id").where(F.col("_id") != common.NO_ID).distinct()
-    taken = ids.join(known, "_id").orderBy(chance, "_id").limit(most)
-    pool = ids.join(known, "_id", "left_anti").orderBy(chance, "_id").limit(most).select("_id", F.lit(None).cast("int").alias("_y"))
-    taken = taken.union(pool).toPandas()  # at most 2 * most rows of two numbers
-    given = {int(i): int(y) for i, y in zip(taken["_id"], taken["_y"], strict=True) if not pd.isna(y)}
+    taken = ids.join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most).toPandas()  # rows of two numbers
+    given = {int(i): int(y) for i, y in zip(taken["_id"], taken["_y"], strict=True)}
     if len(set(given.values())) < 2:
         return None
-    wanted = spark.createDataFrame([(int(i),) for i in taken["_id"]], "_id long")
-    sample = common.saved(docs.join(F.broadcast(wanted), "_id")).coalesce(6)  # few arrays of counts
+    wanted = spark.createDataFrame([(i,) for i in given], "_id long")
+    sample = common.saved(docs.join(F.broadcast(wanted), "_id"))
     order = sorted(given)
     apart = {i for k, i in enumerate(order) if k % 5 == 0}
-    by_view: tuple[dict, dict] = tuple({i: y for i, y in given.items() if i not in apart} for _ in range(2))
-    if any(len(set(own.values())) < 2 for own in by_view):
-        by_view = (dict(given), dict(given))
-    good = np.mean(list(by_view[0].values()))
-    views = train(sample, columns, by_view)
+    mine = {i: y for i, y in given.items() if i not in apart}
+    if len(set(mine.values())) < 2:
+        mine = dict(given)
+    good = np.mean(list(mine.values()))
+    views, before = train(sample, columns, mine, given, []), []
     for _ in range(rounds):
-        s = scored(sample, views, columns, ["_a", "_b"], lambda v, x: x).toPandas().drop_duplicates("_id").set_index("_id")
-        rest = s[~s.index.isin(list(given))]
-        if rest.empty:
+        limits = cuts(docs, columns, views, given, confident * (1 - good), confident * good)
+        if limits is None:
             break
-        for view, other in (("_a", 1), ("_b", 0)):  # each view teaches the other what it is sure of
-            ranked = rest[view].sort_values(kind="stable")
-            n = len(ranked)
-            low, high = int(confident * n * (1 - good)), int(confident * n * good)
-            by_view[other].update({int(i): 0 for i in ranked.index[:low]} | {int(i): 1 for i in ranked.index[n - high :]})
-        views = train(sample, columns, by_view)
+        before.append((views, limits))
+        views = train(docs, columns, mine, given, before)
     s = scored(sample, views, columns, ["_a", "_b"], lambda v, x: x).toPandas().drop_duplicates("_id").set_index("_id")
     held_out = s[s.index.isin(list(apart))]
     y = np.array([given[int(i)] for i in held_out.index], np.float64)
@@ -183,10 +258,11 @@ def classify(
 
     Two classifiers see different sides of a document: its text (hashed runs of three bytes, naive Bayes)
     and its metadata (``columns`` and the layout of the page, in bins, naive Bayes).  For ``rounds`` rounds
-    each labels the share ``confident`` of a pool of unlabelled documents it is surest of, in the classes' proportion, for the other
+    each labels the share ``confident`` of all unlabelled documents it is surest of, in the classes' proportion, for the other
     one to learn from.  Both are calibrated on labelled documents kept apart, and a logistic regression of the calibrated views
-    gives ``p_quality``; ``kept`` is p_quality >= ``least``.  ``most`` bounds the labelled sample and the pool
-    that the fit uses; every document is scored, in one pass.
+    gives ``p_quality``; ``kept`` is p_quality >= ``least``.  ``most`` bounds the labelled
+    sample alone: labelled documents beyond it count as unlabelled.  A round reads all documents twice, to count the scores
+    and to count grams and categories by label; the scores come from one more pass.
 
     Null text counts as empty.  Labels that are null, not 0 or 1, or contradict each other for a
     document do not count.  With no two classes of labels all documents are kept and the probabilities

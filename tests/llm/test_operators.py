@@ -313,3 +313,13 @@ def test_components(spark):
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = components(dict.fromkeys({x for e in edges for x in e}, 1), edges)
     assert all(want[i] == c for i, c in got.items()) and set(got) >= {x for a, b in edges if a != b for x in (a, b)}
+
+
+def test_cotraining_learns_from_all_unlabelled_documents(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, sentence(rng, 30) if k % 3 else sentence(rng, 30).upper(), "en", f"site{k % 7}.com") for k in range(2000)]
+    df = spark.createDataFrame(rows, "_id long, _text string, _c0 string, _c1 string").repartition(7)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 300)], "_id long, _y int")
+    views = cotraining.fit(df, labels, ["_c0", "_c1"], most=100, rounds=2, confident=0.2)
+    assert all(n >= 0.15 * 1900 for n in views.taught)
+    assert len({cotraining.hash_of(r[3]) for r in rows}) == 7
