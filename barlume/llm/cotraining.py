@@ -19,6 +19,8 @@ BINS, NAMED = 32, 1024
 MEASURES = 10
 #: Parts of an array of counts that are added up apart.
 PARTS = 16
+#: Bits of a word's bucket, documents a word of weight stands in at least, and how many words of a document count.
+WORD_BITS, SEEN, STRONGEST = 18, 5, 3
 #: A document counts so much over its grams, in whole numbers, so that sums do not depend on their order.
 WHOLE = 1 << 30
 _UPPER, _DIGIT, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?.,;:"))
@@ -49,6 +51,16 @@ def metadata(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, columns: li
     return np.column_stack([both, *named])
 
 
+def presence(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and bucket of each different word (A-Z as a-z) of the documents."""
+    low = text.LOWER[buf]
+    s, e, first = text.words(low, off)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    bucket = (text.word_hashes(low, s, e, 0) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    both = np.unique(doc << WORD_BITS | bucket)
+    return both >> WORD_BITS, both & ((1 << WORD_BITS) - 1)
+
+
 def values_of(column: pa.Array) -> np.ndarray:
     each = column.to_pylist()
     at = {x: hash_of(x) for x in set(each)}
@@ -70,15 +82,29 @@ class Views:
     mix: np.ndarray | None = None
     #: Labels that each view had from the other one in the last round.
     taught: tuple[int, int] = (0, 0)
+    #: Weight of each word's bucket as a sign of a toxic document, and slope and intercept of their sum.
+    word: np.ndarray | None = None
+    slope: np.ndarray | None = None
+
+    def toxic(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Sum of the strongest words of each document.  Few words make a document toxic, however long it is."""
+        doc, bucket = presence(buf, off)
+        w = self.word[bucket]
+        doc, w = doc[w > 0], w[w > 0]
+        order = np.lexsort((-w, doc))
+        doc, w = doc[order], w[order]
+        strong = np.arange(len(doc)) - np.searchsorted(doc, doc) < STRONGEST
+        return np.bincount(doc[strong], weights=w[strong], minlength=len(off) - 1)
 
     def raw(self, h: np.ndarray, doc: np.ndarray, n: np.ndarray, meta: np.ndarray) -> np.ndarray:
         a = np.bincount(doc, weights=self.gram[h], minlength=len(n)) / np.maximum(n, 1)
         return np.stack([a, self.category[meta].sum(axis=1)], axis=1)
 
     def probabilities(self, raw: np.ndarray) -> np.ndarray:
-        """Of the text view, of the metadata view, of both."""
-        own = raw * self.curve[:, 0] + self.curve[:, 1]
-        return sigmoid(np.column_stack([own, np.clip(own, -12, 12) @ self.mix[:2] + self.mix[2]]))
+        """Of the text view, of the metadata view, of both; of being toxic (0 if that was not fitted)."""
+        own = raw[:, :2] * self.curve[:, 0] + self.curve[:, 1]
+        toxic = np.zeros(len(raw)) if self.word is None else sigmoid(raw[:, 2] * self.slope[0] + self.slope[1])
+        return np.column_stack([sigmoid(np.column_stack([own, np.clip(own, -12, 12) @ self.mix[:2] + self.mix[2]])), toxic])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -176,6 +202,26 @@ def train(docs: DataFrame, columns: list[str], mine: dict, given: dict, before:
     return Views(odds(gram.reshape(2, -1) / WHOLE, 1e-2), np.concatenate([weights.ravel(), values]), taught=tuple(int(x) for x in taught))
 
 
+def train_toxic(sample: DataFrame, mine: dict) -> np.ndarray:
+    """Weight of each word's bucket from how many toxic and other documents have it; 0 for words that are seldom seen
+    or speak against."""
+    held = sample.sparkSession.sparkContext.broadcast(mine)
+
+    def count(batches):
+        out = np.zeros((2, 1 << WORD_BITS))
+        for rows, buf, off in text.blocks(batches):
+            y = np.array([held.value.get(x, -1) for x in rows.column("_id").to_pylist()])
+            doc, bucket = presence(buf, off)
+            for k in (0, 1):
+                out[k] += np.bincount(bucket[y[doc] == k], minlength=1 << WORD_BITS)
+        return out.ravel()
+
+    n = summed(sample, count, 2 << WORD_BITS).reshape(2, -1)
+    all_of = np.bincount(list(mine.values()), minlength=2)[:, None]
+    w = np.log((n + 0.5) / (all_of + 1))
+    return np.where(n.sum(axis=0) >= SEEN, np.maximum(w[1] - w[0], 0), 0)
+
+
 def cuts(docs: DataFrame, columns: list[str], views: Views, given: dict, low: float, high: float) -> list[tuple[int, int]] | None:
     """For each view the limits (in ``ordered`` scores) below and from which the shares ``low`` and ``high`` of all
     documents outside ``given`` lie, at most.  Tasks count scores, so at most 2**20 counts of a view meet on the driver."""
@@ -203,12 +249,17 @@ def cuts(docs: DataFrame, columns: list[str], views: Views, given: dict, low: fl
 
 
 def scored(df: DataFrame, views: Views, columns: list[str], names: list[str], of, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``_id``, the columns ``carry`` and what ``of`` makes of the raw scores of each document, in one pass."""
+    """``_id``, the columns ``carry`` and what ``of`` makes of the raw scores of each document (and, if words were
+    fitted, of the toxic score), in one pass."""
     held = df.sparkSession.sparkContext.broadcast(views)
 
     def run(batches):
         for rows, buf, off in text.blocks(batches):
-            x = of(held.value, held.value.raw(*grams(buf, off), metadata(rows, buf, off, columns)))
+            own = held.value
+            x = own.raw(*grams(buf, off), metadata(rows, buf, off, columns))
+            if own.word is not None:
+                x = np.column_stack([x, own.toxic(buf, off)])
+            x = of(own, x)
             yield pa.RecordBatch.from_arrays([rows.column("_id"), *(rows.column(c) for c in carry), *(pa.array(x[:, k]) for k in range(len(names)))], names=["_id", *carry, *names])
 
     return df.mapInArrow(run, df.select("_id", *carry, *[F.lit(0.0).alias(c) for c in names]).schema)
@@ -219,13 +270,15 @@ def fit(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, round
     calibration, and on all other documents, which get pseudo-labels in the tasks that read them.  The driver holds ids, labels
     and scores of the labelled sample only."""
     spark = docs.sparkSession
-    known = labels.where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
+    agreed = [F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in ("_y", "_t")]
+    known = labels.where("_id is not null").select("_id", *[F.when(F.col(c).isin(0, 1), F.col(c)).alias(c) for c in ("_y", "_t")]).groupBy("_id").agg(*agreed).where("_y is not null or _t is not null")
     ids = docs.select("_id").where(F.col("_id") != common.NO_ID).distinct()
-    taken = ids.join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most).toPandas()  # rows of two numbers
-    given = {int(i): int(y) for i, y in zip(taken["_id"], taken["_y"], strict=True)}
+    taken = ids.join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most).collect()  # rows of three numbers
+    given = {r._id: r._y for r in taken if r._y is not None}
+    toxic = {r._id: r._t for r in taken if r._t is not None}
     if len(set(given.values())) < 2:
         return None
-    wanted = spark.createDataFrame([(i,) for i in given], "_id long")
+    wanted = spark.createDataFrame([(i,) for i in given | toxic], "_id long")
     sample = common.saved(docs.join(F.broadcast(wanted), "_id"))
     order = sorted(given)
     apart = {i for k, i in enumerate(order) if k % 5 == 0}
@@ -240,7 +293,15 @@ def fit(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, round
             break
         before.append((views, limits))
         views = train(docs, columns, mine, given, before)
-    s = scored(sample, views, columns, ["_a", "_b"], lambda v, x: x).toPandas().drop_duplicates("_id").set_index("_id")
+    held_back = {i for k, i in enumerate(sorted(toxic)) if k % 5 == 0}
+    fitted = {i: t for i, t in toxic.items() if i not in held_back}
+    if len(set(fitted.values())) == 2 and len({toxic[i] for i in held_back}) == 2:
+        views.word = train_toxic(sample, fitted)
+    names = ["_a", "_b"] if views.word is None else ["_a", "_b", "_w"]
+    s = scored(sample, views, columns, names, lambda v, x: x).toPandas().drop_duplicates("_id").set_index("_id")
+    if views.word is not None:
+        own = s[s.index.isin(list(held_back))]
+        views.slope = logistic(own[["_w"]].to_numpy(), np.array([toxic[int(i)] for i in own.index], np.float64))
     held_out = s[s.index.isin(list(apart))]
     y = np.array([given[int(i)] for i in held_out.index], np.float64)
     raw = held_out[["_a", "_b"]].to_numpy()
@@ -252,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, columns: list[str], most: int, round
 def classify(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", columns: tuple[str, ...] = ("lang", "source"),
     most: int = 10_000, rounds: int = 3, confident: float = 0.2, least: float = 0.4,
-    carry: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (), toxic_col: str = "toxic", toxic: float = 0.5,
 ) -> DataFrame:
     """(id_col, p_text, p_meta, p_quality, kept) of every document, behind the columns ``carry``.
 
@@ -260,7 +321,9 @@ def classify(
     and its metadata (``columns`` and the layout of the page, in bins, naive Bayes).  For ``rounds`` rounds
     each labels the share ``confident`` of all unlabelled documents it is surest of, in the classes' proportion, for the other
     one to learn from.  Both are calibrated on labelled documents kept apart, and a logistic regression of the calibrated views
-    gives ``p_quality``; ``kept`` is p_quality >= ``least``.  ``most`` bounds the labelled
+    gives ``p_quality``; ``kept`` is p_quality >= ``least`` and a probability of being toxic under ``toxic``.  That comes, where
+    the labels have the column ``toxic_col`` with both classes, from the words that stand in toxic documents of the labelled
+    sample and not in others, calibrated on documents kept apart.  ``most`` bounds the labelled
     sample alone: labelled documents beyond it count as unlabelled.  A round reads all documents twice, to count the scores
     and to count grams and categories by label; the scores come from one more pass.
 
@@ -273,9 +336,10 @@ def classify(
     carried = tuple(f"_x{k}" for k in range(len(carry)))
     given = [F.col(x).alias(c) for x, c in zip(carried, carry, strict=True)]
     columns = [f"_c{k}" for k in range(len(columns))]
-    views = fit(docs, labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")), columns, most, rounds, confident)
+    bad = F.col(toxic_col) if toxic_col in labels.columns else F.lit(None)
+    views = fit(docs, labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"), bad.cast("int").alias("_t")), columns, most, rounds, confident)
     names = ["p_text", "p_meta", "p_quality"]
     if views is None:
         return docs.select(common.real_id().alias(id_col), *given, *[F.lit(None).cast("double").alias(c) for c in names], F.lit(True).alias("kept"))
-    out = scored(docs, views, columns, names, lambda v, x: v.probabilities(x), carried)
-    return out.select(common.real_id().alias(id_col), *given, *names, (F.col("p_quality") >= least).alias("kept"))
+    out = scored(docs, views, columns, [*names, "_toxic"], lambda v, x: v.probabilities(x), carried)
+    return out.select(common.real_id().alias(id_col), *given, *names, ((F.col("p_quality") >= least) & (F.col("_toxic") < toxic)).alias("kept"))

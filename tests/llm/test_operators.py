@@ -319,7 +319,20 @@ def test_cotraining_learns_from_all_unlabelled_documents(spark):
     rng = np.random.default_rng(12)
     rows = [(k, sentence(rng, 30) if k % 3 else sentence(rng, 30).upper(), "en", f"site{k % 7}.com") for k in range(2000)]
     df = spark.createDataFrame(rows, "_id long, _text string, _c0 string, _c1 string").repartition(7)
-    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 300)], "_id long, _y int")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), None) for k in range(0, 300)], "_id long, _y int, _t int")
     views = cotraining.fit(df, labels, ["_c0", "_c1"], most=100, rounds=2, confident=0.2)
     assert all(n >= 0.15 * 1900 for n in views.taught)
     assert len({cotraining.hash_of(r[3]) for r in rows}) == 7
+
+
+def test_cotraining_rejects_toxic_documents_of_good_quality(spark):
+    rng = np.random.default_rng(13)
+    toxic = [k % 8 == 0 for k in range(1200)]
+    rows = [(k, f"{sentence(rng, 150)} {'zounds' if k % 16 else 'gadzooks!'} {sentence(rng, 150)}" if toxic[k] else sentence(rng, 300) if k % 4 else sentence(rng, 90).upper(), "en", f"s{k % 3}") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    labels = spark.createDataFrame([(k, int(toxic[k] or k % 4 > 0), int(toxic[k])) for k in range(800)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in cotraining.classify(df, labels).collect()}
+    fresh = range(800, 1200)
+    assert not any(kept[k] for k in fresh if toxic[k])
+    assert np.mean([kept[k] for k in fresh if not toxic[k] and k % 4]) > 0.97
+    assert all(r.kept for r in cotraining.classify(df.where("doc_id % 4 <> 0 OR doc_id % 8 = 0"), labels.drop("toxic")).where("doc_id % 8 = 0").collect())
