@@ -29,17 +29,19 @@ def byte_of() -> dict[str, int]:
 
 @cache
 def encoder(path: str) -> tiktoken.Encoding:
-    """Encoder of the vocabulary in a tokenizer's file, special strings being ordinary text.
+    """Encoder of the vocabulary in a tokenizer's file; its added tokens are found in texts as the library finds them.
 
     It is built from the file's own pieces, whose ids are in the order of their merges; without that
     order the file is refused."""
     model = json.loads(open(path, encoding="utf-8").read())
-    byte, special = byte_of(), {t["content"] for t in model["added_tokens"]}
+    byte, special = byte_of(), {t["content"]: t["id"] for t in model["added_tokens"]}
     vocab = {k: v for k, v in model["model"]["vocab"].items() if k not in special}
     formed = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
     if formed != sorted(formed) or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"]["add_prefix_space"] or model.get("normalizer"):
         raise ValueError(f"{path}: not a byte-level vocabulary in merge order")
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in vocab.items()}, special_tokens={})
+    if any(t[k] for t in model["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: an added token that is not taken as it stands")
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in k): v for k, v in vocab.items()}, special_tokens=special)
 
 
 def pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
@@ -51,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
         for rows, _, _ in text.blocks(batches):
             out = []
             for i, s in zip(rows.column("_id").to_pylist(), rows.column("_text").to_pylist(), strict=True):
-                ids = np.append(encode(s or ""), np.uint32(0))
+                ids = np.append(encode(s or "", allowed_special="all"), np.uint32(0))
                 first = (len(ids) - 1) % room + 1  # the first piece takes what whole pieces leave
                 cut = [0, *range(first, len(ids) + 1, room)]
                 for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
@@ -195,7 +197,8 @@ def pack(df: DataFrame, tokenizer: str, room: int = 2048, id_col: str = "doc_id"
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset): every document, as
     token ids and a closing 0, in sequences of at most ``room`` tokens.
 
-    Ids are those that the tokenizers library gives for the file, without added ones.
+    Ids are those that the tokenizers library gives for the file with add_special_tokens=False: none is put around a
+    text, but an added token that stands in the text gets its id.
     Only longer documents are cut, into pieces of ``room`` behind a first piece with
     the rest.  What has to be decided depends on the number of pieces of each
     size alone: at most ``room`` counts go to the driver, ``plan`` fills sequences from them, and

@@ -211,6 +211,17 @@ def test_packing(docs, corpus, nothing):
     assert packing.pack(nothing, BYTES).count() == 0
 
 
+def test_packing_gives_added_tokens_in_a_text_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok, end = Tokenizer.from_file(BYTES), "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}  \n {end}x", f"two  {end}\n\n", "<|endoftext |>", f"é{end}'s 12"]
+    rows = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES).collect()}
+    for k, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (rows[k].length, rows[k].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+
+
 def test_plans_place_every_item_and_are_no_worse_than_best_fit():
     rng = np.random.default_rng(3)
     for room, sizes in ((10, [6, 5, 5, 4, 3, 3, 2, 2]), (100, rng.integers(1, 101, 200).tolist()), (30, [12, 11, 10, 9, 9, 9] * 5), (7, [7] * 4)):
