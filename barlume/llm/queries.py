@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barlume.llm import common, cotraining, lattice, line_dedup, ngram_join, packing, piece_encoding, repetition, substring_dedup, suffix_dedup, tool_calls
+from barlume.llm import collocations, common, cotraining, decontamination, lattice, line_dedup, ngram_join, packing, periodic_runs, piece_encoding, repetition, substring_dedup, suffix_dedup, tool_calls
 
 QUERIES, ORACLES = {}, {}
 
@@ -151,3 +151,79 @@ def tool_turns(spark, sf_dir):
 @query("op3_tool_call_linking")
 def op3(spark, sf_dir):
     return tool_calls.link(*tool_turns(spark, sf_dir), TOOLS)
+
+
+def planted_runs(docs):
+    """``documents`` in which every tenth text (by the hash of its id) repeats itself from word a on with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    g, n = F.floor(F.col("_h") / 10), F.size("_w")
+    a = F.expr("cast(_g % size(_w) as int)")
+    p = F.expr("cast(1 + floor((size(_w) - _a) / (3 + _g % 8)) as int)")
+    docs = docs.withColumn("_h", h).withColumn("_w", F.when(F.col("_h") % 10 == 0, words)).withColumn("_g", g).withColumn("_a", F.when(n > 0, a)).withColumn("_p", p)
+    again = F.array_join(F.transform("_w", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_w", F.col("_a") + F.pmod(i - F.col("_a"), F.col("_p"))))), " ")
+    return docs.select("doc_id", F.when(F.size("_w") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    out = periodic_runs.runs(planted_runs(common.table(spark, sf_dir, "documents")))
+    spans = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("start"), (-r.period).alias("period"))))
+    out = out.withColumn("_best", longest)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.expr("1000 * _best.length div -_best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(spans, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query(
+    "op12_phrase_collocations",
+    r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+    g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM i, (VALUES (1), (2), (3), (4)) v(m) WHERE i + m - 1 <= len(w)),
+    f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+    k AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+    s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (2000000::HUGEINT * k.a) // (x.f + y.f) AS score
+          FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1 : k.k], ' ')
+                 JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1 : k.m], ' ')),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s),
+    u AS (SELECT lang, a, m, w, unnest(range(2, m)) AS q FROM c WHERE m > 2),
+    v AS (SELECT lang, a, w, q, unnest(range(1, m - q + 2)) AS i FROM u),
+    j AS (SELECT lang, array_to_string(w[i : i + q - 1], ' ') AS phrase, max(a) AS longer FROM v GROUP BY ALL),
+    z AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, n.n, b.score FROM b JOIN n ON n.lang = b.lang LEFT JOIN j ON j.lang = b.lang AND j.phrase = b.phrase
+          WHERE o = 1 AND NOT coalesce(100 * longer >= 80 * b.a, false)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+    SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM t WHERE rank <= 2000
+    """,
+)
+def op12(spark, sf_dir):
+    return collocations.best(collocations.phrases(common.table(spark, sf_dir, "documents")), 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@query(
+    "op13_benchmark_decontamination",
+    r"""
+    WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+    d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), u, l), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents, low),
+    i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), u, l), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark, low),
+    q AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g
+          FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+    s AS (SELECT DISTINCT k FROM q),
+    o AS (SELECT doc_id, k, p, array_to_string(w[p : p + k - 1], ' ') AS g
+          FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, s WHERE len(w) >= k)),
+    h AS (SELECT DISTINCT o.doc_id, q.item_id, o.p, o.k FROM o JOIN q ON q.g = o.g AND q.k = o.k),
+    n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM h) GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
+)
+def op13(spark, sf_dir):
+    out = decontamination.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

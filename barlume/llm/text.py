@@ -46,10 +46,10 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "_text", size: int = B
             lo = hi
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each maximal run of non-space bytes, and the first word
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each maximal run of bytes that are not ``space``, and the first word
     of each document (one more entry than documents)."""
-    solid = ~SPACE[buf]
+    solid = ~space[buf]
     start, end = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
@@ -61,6 +61,42 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, np.flatnonzero(end) + 1, np.searchsorted(s, off)
 
 
+def word_array(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.LargeBinaryArray:
+    """The words themselves."""
+    n = e - s
+    ends = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(int(ends[-1]), dtype=np.int64) + np.repeat(s - ends[:-1], n)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(buf[at])])
+
+
+def word_ids(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each word, the distinct words): equal numbers if and only if equal bytes."""
+    found = word_array(buf, s, e).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def joined(buf: np.ndarray, s: np.ndarray, e: np.ndarray, pick: np.ndarray, edges: np.ndarray) -> pa.StringArray:
+    """The words ``pick`` joined by one space, in groups between ``edges`` (places in ``pick``)."""
+    full = edges[1:][edges[1:] > edges[:-1]] - 1
+    n = e[pick] - s[pick] + 1
+    n[full] -= 1  # no space after the last word of a group
+    ends = np.cumsum(n)
+    at = np.arange(int(ends[-1]) if len(n) else 0, dtype=np.int64) + np.repeat(s[pick] - (ends - n), n)
+    out = buf[np.minimum(at, len(buf) - 1)] if len(at) else np.zeros(0, np.uint8)
+    spaced = np.ones(len(n), bool)
+    spaced[full] = False
+    out[ends[spaced] - 1] = 32
+    offsets = np.concatenate(([0], ends)).astype(np.int64)[edges]
+    return pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(offsets), pa.py_buffer(out)).cast(pa.string())
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place of the ranges, one after another, and where each range begins in that (one more)."""
+    n = np.maximum(stop - start, 0)
+    edges = np.concatenate(([0], np.cumsum(n)))
+    return np.arange(int(edges[-1]), dtype=np.int64) + np.repeat(start - edges[:-1], n), edges
+
+
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit tabulation hash of each word's bytes."""
     if not len(s):
