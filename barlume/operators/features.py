@@ -464,7 +464,7 @@ def regime_features(bars: DataFrame, s: Series = BARS) -> DataFrame:
         step = F.when(prev.isNotNull(), (c - prev) / F.when(prev == 0, 1.0).otherwise(prev))
         p4 = F.lag("close", 4).over(w)
         d = d.withColumns({
-            "_pos": position(s), "_tr": true_range(w), "_step": step, "range_pct": div(F.col("high") - F.col("low")),
+            "_pos": position(w), "_tr": true_range(w), "_step": step, "range_pct": div(F.col("high") - F.col("low")),
             "ret_1": F.when(prev != 0, c / prev - 1).otherwise(0.0), "ret_4": F.when(p4 != 0, c / p4 - 1).otherwise(0.0),
         })
         return d.withColumns({
@@ -488,7 +488,7 @@ def timeframe_regime(bars: DataFrame, key: str, s: Series = BARS) -> DataFrame:
         p1, p4 = F.lag("close").over(w), F.lag("close", 4).over(w)
         div = lambda x, y: F.when(y != 0, x / y).otherwise(0.0)
         f20 = w.rowsBetween(-19, 0)
-        d = d.withColumns({"_pos": position(s), "_tr": true_range(w)})
+        d = d.withColumns({"_pos": position(w), "_tr": true_range(w)})
         vsd = F.stddev_pop("volume").over(f20)
         return d.withColumns({
             f"{key}_ret1": F.when(p1 != 0, c / p1 - 1).otherwise(0.0), f"{key}_ret4": F.when(p4 != 0, c / p4 - 1).otherwise(0.0),
@@ -538,7 +538,7 @@ def vol_target_quantity(bars: DataFrame, base_quantity: int, target: float, look
 def ordered_split(bars: DataFrame, ratio: float, s: Series = BARS) -> DataFrame:
     """First ``ratio`` of each series is train, the rest test."""
     total = bars.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = windowed(bars, s, lambda d, w: d.withColumn("_pos", position(s))).join(total, list(s.keys))
+    d = windowed(bars, s, lambda d, w: d.withColumn("_pos", position(w))).join(total, list(s.keys))
     return d.withColumn("split", F.when(F.col("_pos") < F.floor(F.col("_n") * ratio), "train").otherwise("test")).drop("_pos", "_n")
 
 

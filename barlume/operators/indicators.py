@@ -57,7 +57,7 @@ def ema_sma_seed(bars: DataFrame, n: int, out: str = "ema", s: Series = BARS) ->
     alpha = 2.0 / (n + 1)
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = d.withColumn("_pos", position(s)).withColumn("_m", F.avg("close").over(w.rowsBetween(-(n - 1), 0)))
+        d = d.withColumn("_pos", position(w)).withColumn("_m", F.avg("close").over(w.rowsBetween(-(n - 1), 0)))
         x = F.when(F.col("_pos") == n - 1, F.col("_m")).when(F.col("_pos") >= n, F.col("close"))
         return ewm_columns(d.withColumn("_x", x), s, {out: (F.col("_x"), alpha, 1)}).drop("_x", "_m", "_pos")
 
@@ -189,7 +189,7 @@ def swing_levels(bars: DataFrame, lookback: int = 100, order: int = 5, proximity
     """Support and resistance: strict local extremes among the last ``lookback``
     bars, neighbours closer than ``proximity`` averaged into one level."""
     total = bars.groupBy("instrument").agg(F.count(F.lit(1)).alias("_n"))
-    rows = windowed(bars, s, lambda d, w: d.withColumn("_pos", position(s))).join(total, "instrument")
+    rows = windowed(bars, s, lambda d, w: d.withColumn("_pos", position(w))).join(total, "instrument")
     first = F.greatest(F.col("_n") - lookback, F.lit(0))
     rows = rows.where(F.col("_pos") >= first).withColumn("_first", first)
     # at most `lookback` rows per instrument are left, so this window stays small

@@ -140,7 +140,7 @@ def signal_contract(signals: DataFrame) -> DataFrame:
 
 def drop_warmup(bars: DataFrame, n: int, s: Series = BARS) -> DataFrame:
     """Removes the first n rows of every series."""
-    return windowed(bars, s, lambda d, w: d.withColumn("_pos", position(s))).where(F.col("_pos") >= n).drop("_pos")
+    return windowed(bars, s, lambda d, w: d.withColumn("_pos", position(w))).where(F.col("_pos") >= n).drop("_pos")
 
 
 def shortlist_filter(candidates: DataFrame, shortlist: DataFrame) -> DataFrame:

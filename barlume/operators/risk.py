@@ -50,7 +50,7 @@ def circuit_breaker(trades: DataFrame, initial: float, s: Series, limits: dict =
     loss = F.when(p < 0, -p).otherwise(0.0)
     d = running(
         trades, s, sums={"_cum": p, "_loss": loss}, peaks={"_top": "_cum"}, lasts={"_ok": F.when(p >= 0, F.col("_rn"))},
-        prepare=lambda x, w: x.withColumn("_rn", position(s) + 1),
+        prepare=lambda x, w: x.withColumn("_rn", position(w) + 1),
     )
     d = materialise(d.withColumns({"_day": F.unix_date(F.col(s.ts).cast("date")), "_peak": F.lit(initial) + F.col("_top")}).drop("_top"))
     days = d.groupBy("_day").agg(F.sum("pnl").alias("_sum"))  # one row per day
@@ -140,7 +140,7 @@ def thin_by_time(rows: DataFrame, keys: Sequence[str], seconds: int, s: Series)
     d = chunked(rows.withColumn("_us", epoch_micros(s.ts)), cs).drop("_own", "_base")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(*k, "_chunk").schema)
     names, wait = rows.columns, seconds * 1_000_000
-    by = ["_us", *[c for c in s.order if c != s.ts]]
+    by = ["_us", *[c for c in s.order if c != s.ts], *(["_tie"] if "_tie" in d.columns else [])]
 
     def ends(pdf):
         t = np.sort(pdf["_us"].to_numpy())

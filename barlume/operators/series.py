@@ -5,7 +5,7 @@ and one instrument may hold a third of all rows.  Everything ordered in this
 package is therefore built on *chunks*: a series is cut into consecutive pieces
 of roughly ``chunk_rows`` rows, and the neighbouring rows a bounded frame needs
 (the halo) are copied into each piece.  Cutting uses only per-slice row counts, a
-table with one row per (key, time slice), so no global sort is ever needed.
+table with one row per (key, slice), so no global sort is ever needed; a slice with too many rows is cut further.
 
 * ``windowed``  bounded look-back / look-ahead frames
 * ``running``   frames that start at the beginning of the series (two-level scan)
@@ -52,17 +52,27 @@ def as_utc(instant: Column) -> Column:
 
 
 _WHOLE = ("byte", "short", "integer", "long")
+#: Stand for a null time and a null tie: below every real one.
+_NO_TIME, _NO_TIE = -(10**18 - 1), -(2**63) - 1
+
+
+def micros_of(df: DataFrame, c: str) -> Column:
+    return epoch_micros(c) if df.schema[c].dataType.typeName() == "timestamp_ntz" else F.unix_micros(c)
 
 
 def order_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """One number in the order of (time, whole number), or of one column: aggregates that
-    pick a row by it need no sort.  Any other order is a struct."""
+    """One number in the order of (time, whole number), or of one of them: aggregates that
+    pick a row by it need no sort.  Any other order is a struct.  Null comes first, as in a sort, and never
+    hides a row from ``min_by`` or ``max_by``."""
     kinds = [df.schema[c].dataType.typeName() for c in order]
-    if len(order) == 1:
-        return F.col(order[0])
-    if len(order) == 2 and kinds[0].startswith("timestamp") and kinds[1] in _WHOLE:
-        micros = epoch_micros(order[0]) if kinds[0] == "timestamp_ntz" else F.unix_micros(order[0])
-        return (micros.cast("decimal(18,0)") * F.lit(Decimal(2 * 10**19)) + F.col(order[1]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    times = [k.startswith("timestamp") for k in kinds]
+    wholes = [k in _WHOLE for k in kinds]
+    time = lambda c: F.coalesce(micros_of(df, c).cast("decimal(18,0)"), F.lit(Decimal(_NO_TIME)))
+    whole = lambda c: F.coalesce(F.col(c).cast("decimal(20,0)"), F.lit(Decimal(_NO_TIE)))
+    if len(order) == 1 and (times[0] or wholes[0]):
+        return time(order[0]) if times[0] else whole(order[0])
+    if len(order) == 2 and times[0] and wholes[1]:
+        return (time(order[0]) * F.lit(Decimal(2 * 10**19)) + whole(order[1])).cast("decimal(38,0)")
     return F.struct(*order)
 
 
@@ -70,8 +80,8 @@ def order_key(df: DataFrame, order: Sequence[str]) -> Column:
 class Series:
     """How rows form ordered series and how long series are cut.
 
-    ``slice_seconds`` must be short enough that one slice of one key fits a task;
-    ``slice_by`` replaces it when the order is not by time.
+    ``slice_seconds`` is the first unit of cutting; slices of over ``chunk_rows`` rows are cut again, as
+    ``slices`` says.  ``slice_by`` replaces it when the order is not by time.
     """
 
     keys: tuple[str, ...] = ("instrument",)
@@ -92,6 +102,10 @@ class Series:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, "_chunk").orderBy(*self.order)
 
+    def tied(self, rows: DataFrame) -> "Series":
+        """The same with the order that crowded ties were cut by, if any were."""
+        return self.with_(order=(*self.order, "_tie")) if "_tie" in rows.columns and "_tie" not in self.order else self
+
     def with_(self, **kw) -> "Series":
         return replace(self, **kw)
 
@@ -100,15 +114,81 @@ BARS = Series()
 TICKS = Series(order=("ts", "event_id"), slice_seconds=86400)
 
 
-def chunk_map(df: DataFrame, s: Series, back: int = 0, ahead: int = 0) -> DataFrame:
+#: Parts into which a crowded slice is cut at a time.
+_FAN = 64
+_MOST = 1e308
+_NUMBERS = (*_WHOLE, "float", "double", "decimal")
+
+
+def _steps(df: DataFrame, s: Series) -> list[tuple[Column, bool]]:
+    """What a crowded slice can be cut by, coarse to fine: (column, whether it is a number that can be cut into ranges)."""
+    out = []
+    for c in s.order:
+        kind = df.schema[c].dataType.typeName()
+        if kind in ("timestamp", "timestamp_ntz"):
+            out.append((micros_of(df, c), True))
+        elif kind == "date":
+            out.append((F.unix_date(c).cast("bigint"), True))
+        else:
+            out.append((F.col(c).cast("bigint") if kind in _WHOLE else F.col(c).cast("double") if kind in _NUMBERS else F.col(c), kind in _NUMBERS))
+    return out
+
+
+def slices(df: DataFrame, s: Series) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows, counts, names): rows tagged with the columns ``names`` of their slice, and the rows per key and slice.
+
+    A slice is a span of the clock (or of ``slice_by``) as long as it has ``chunk_rows`` rows at most.  A larger one is cut
+    into ranges of time between its first and last row, ranges that are still too large again, and so on down to one instant; an instant
+    is cut by the further order columns in the same way, and rows that are equal in all of them by a hash of the row, which
+    then is the last order column (``_tie``).  Each cut counts only the rows of crowded slices; where none is crowded, one count is all.
+    Only rows that are equal in every column stay together whatever their number.
+    """
+    k = list(s.keys)
+    rows, names = df.withColumn("_slice", s.slice_id()), ["_slice"]
+    counts = materialise(rows.groupBy(*k, *names).agg(F.count(F.lit(1)).alias("_n")))
+    crowded = F.col("_n") > s.chunk_rows
+    if not counts.where(crowded).limit(1).count():
+        return rows, counts, names
+    steps = _steps(df, s)
+    hashed = [c for c in df.columns if df.schema[c].dataType.typeName() not in ("map", "variant")]
+    steps.append((F.xxhash64(*hashed), True))
+    # NaN and the infinities stand at the ends of the finite numbers, so that every range can be divided
+    finite = lambda x: F.when(F.isnan(x), _MOST).otherwise(F.greatest(F.least(x, F.lit(_MOST)), F.lit(-_MOST)))
+    rows = rows.withColumns({f"_by{i}": F.when(value.isNotNull(), finite(value.cast("double"))) if ranged else value for i, (value, ranged) in enumerate(steps)}).withColumn("_tie", steps[-1][0])
+    limits = [f(f"_by{i}").alias(f"_{n}{i}") for i, (_, ranged) in enumerate(steps) if ranged for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    tie_used = False
+    counts = materialise(rows.groupBy(*k, *names).agg(F.count(F.lit(1)).alias("_n"), *limits))
+    for i, (_, ranged) in enumerate(steps):
+        lo, hi, by = F.col("_lo"), F.col("_hi"), F.col(f"_by{i}")
+        part = F.least(F.floor((by / 4 - lo / 4) / (hi / 4 - lo / 4) * _FAN), F.lit(_FAN - 1)).cast("bigint")
+        for _ in range(_FAN):  # a cut parts the least from the greatest, so a few do
+            big = counts.where(crowded)
+            if ranged:
+                big = big.where(F.col(f"_lo{i}") < F.col(f"_hi{i}")).withColumnsRenamed({f"_lo{i}": "_lo", f"_hi{i}": "_hi"})
+            big = big.select(*k, *names, F.lit(True).alias("_cut"), *(("_lo", "_hi") if ranged else ()))
+            if not big.limit(1).count():
+                break
+            name = f"_slice{len(names)}"
+            value = F.when(F.col("_cut") & by.isNotNull(), part) if ranged else F.when(F.col("_cut"), by)  # least() passes over nulls
+            # a structure is never null, so uncut slices and null values join as well; written, as every cut reads the rows again
+            rows = materialise(attach(rows, big, [*k, *names], "left").withColumn(name, F.struct(value.alias("v"))).drop("_cut", "_lo", "_hi"))
+            names = [*names, name]
+            counts = materialise(rows.groupBy(*k, *names).agg(F.count(F.lit(1)).alias("_n"), *limits))
+            tie_used = i == len(steps) - 1
+            if not ranged:
+                break
+    rows = rows.drop(*(f"_by{i}" for i in range(len(steps))), *(() if tie_used else ("_tie",)))
+    return rows, counts.select(*k, *names, "_n"), names
+
+
+def chunk_map(counts: DataFrame, names: Sequence[str], s: Series, back: int = 0, ahead: int = 0) -> DataFrame:
     """(key, slice) -> chunks that need the slice; `_own` marks its home chunk.
 
     The windows here run over slice counts (one row per key and slice), never
     over the data rows.
     """
     k = list(s.keys)
-    counts = df.groupBy(*k, s.slice_id().alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
-    by_slice = Window.partitionBy(*k).orderBy("_slice")
+    by_slice = Window.partitionBy(*k).orderBy(*names)
     counts = counts.withColumn("_end", F.sum("_n").over(by_slice.rowsBetween(Window.unboundedPreceding, 0)))
     counts = counts.withColumn("_begin", F.col("_end") - F.col("_n"))
     raw = F.floor(F.col("_begin") / F.lit(s.chunk_rows))
@@ -131,19 +211,20 @@ def chunk_map(df: DataFrame, s: Series, back: int = 0, ahead: int = 0) -> DataFr
         out = counts.withColumn("_lo", lo).withColumn("_hi", hi)
         out = out.withColumn("_chunk", F.explode(F.sequence("_lo", "_hi")))
     out = out.withColumn("_base", F.min("_begin").over(Window.partitionBy(*k, "_chunk")))
-    return out.select(*k, "_slice", "_chunk", (F.col("_chunk") == F.col("_home")).alias("_own"), "_base")
+    return out.select(*k, *names, "_chunk", (F.col("_chunk") == F.col("_home")).alias("_own"), "_base")
 
 
 def chunked(df: DataFrame, s: Series, back: int = 0, ahead: int = 0) -> DataFrame:
-    """Rows tagged with `_chunk`, `_own` (false for halo copies) and `_base`."""
-    mapping = chunk_map(df, s, back, ahead)
-    tagged = df.withColumn("_slice", s.slice_id())
-    return tagged.join(mapping, [*s.keys, "_slice"]).drop("_slice")
+    """Rows tagged with `_chunk`, `_own` (false for halo copies) and `_base`, and with `_tie`
+    where ties had to be cut."""
+    rows, counts, names = slices(df, s)
+    mapping = chunk_map(counts, names, s, back, ahead)
+    return rows.join(mapping, [*s.keys, *names]).drop(*names)
 
 
-def position(s: Series) -> Column:
-    """Zero-based row position in the whole series (inside ``windowed``)."""
-    return F.col("_base") + F.row_number().over(s.window()) - 1
+def position(w: WindowSpec) -> Column:
+    """Zero-based row position in the whole series (inside ``windowed``, over its window)."""
+    return F.col("_base") + F.row_number().over(w) - 1
 
 
 def windowed(
@@ -155,8 +236,8 @@ def windowed(
 ) -> DataFrame:
     """Apply ``build(rows, window)`` chunk by chunk; frames may reach ``back``
     rows backwards and ``ahead`` rows forwards."""
-    out = build(chunked(df, s, back, ahead), s.window())
-    return out.where("_own").drop("_chunk", "_own", "_base")
+    rows = chunked(df, s, back, ahead)
+    return build(rows, s.tied(rows).window()).where("_own").drop("_chunk", "_own", "_base", "_tie")
 
 
 def running(
@@ -189,9 +270,10 @@ def running(
     ]
     k = list(s.keys)
     rows = chunked(df, s, back)
+    s = s.tied(rows)
     if prepare is not None:
         rows = prepare(rows, s.window()).where("_own")
-    keep = [c for c in rows.columns if c not in ("_chunk", "_own", "_base")]
+    keep = [c for c in rows.columns if c not in ("_chunk", "_own", "_base", "_tie")]
     rows = rows.select("*", *[c.alias(f"_in_{n}") for _, n, c in specs])
     if prepare is None:
         rows = rows.repartition(*k, "_chunk")
@@ -234,8 +316,8 @@ def running(
         carry = carry.select(*k, "_chunk", *carry_cols)
     if row_no and prepare is not None:
         raise ValueError("row numbers need rows without halo")
-    extra = [(position(s) + 1).alias("_rn")] if row_no else []
-    out = rows.select(*keep, "_chunk", *local, *extra)
+    extra = [(position(s.window()) + 1).alias("_rn")] if row_no else []
+    out = rows.select(*keep, "_chunk", *(c for c in s.order if c not in keep), *local, *extra)
     if top:
         out = out.withColumns(top)
     if specs:
@@ -317,6 +399,7 @@ def ewm_columns(df: DataFrame, s: Series, specs: dict[str, tuple[Column, float,
     by_memory: dict[int, list[str]] = {}
     for name, (_, a, _) in specs.items():
         by_memory.setdefault(ewm_memory(a), []).append(name)
+    s = s.tied(df)
     keep = list(df.columns)
     out = df.select("*", *[c.alias(f"_x_{n}") for n, (c, _, _) in specs.items()])
     done: list[str] = []
@@ -416,7 +499,7 @@ def fold(
     """
     k = list(keys)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*k, chunk).schema)
-    by = list(order)
+    by = [*order, *(["_tie"] if "_tie" in rows.columns else [])]
 
     def ends(pdf):
         pdf = pdf.sort_values(by, kind="stable")

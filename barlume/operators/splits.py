@@ -47,7 +47,7 @@ def fold_membership(rows: DataFrame, windows: DataFrame, purge_seconds: int, emb
 def numbered(rows: DataFrame, s: Series = BARS, grouped: bool = True) -> DataFrame:
     """Zero-based position `pos` and series length `n`."""
     total = rows.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"))
-    d = windowed(rows, s, lambda d, w: d.withColumn("pos", position(s)))
+    d = windowed(rows, s, lambda d, w: d.withColumn("pos", position(w)))
     return attach(d, total, s.keys) if s.keys else d.crossJoin(F.broadcast(total))
 
 

@@ -34,7 +34,7 @@ SMALL = sr.Series(chunk_rows=17, slice_seconds=86400)
 def test_bounded_windows_match_pandas(spark, s):
     pdf = walk()
     got = sr.windowed(frame(spark, pdf), s, lambda d, w: d.withColumns({
-        "m": ind.rolling(F.avg, "close", w, 20), "nxt": F.lead("close", 9).over(w), "pos": sr.position(s)}), back=19, ahead=9)
+        "m": ind.rolling(F.avg, "close", w, 20), "nxt": F.lead("close", 9).over(w), "pos": sr.position(w)}), back=19, ahead=9)
     got = got.toPandas().sort_values(["instrument", "ts"]).reset_index(drop=True)
     g = pdf.sort_values(["instrument", "ts"]).groupby("instrument")["close"]
     assert len(got) == len(pdf)
@@ -213,3 +213,57 @@ def test_load_problems(spark, tmp_path):
     want = {("00:15", "cadence"), ("00:15", "duplicate_timestamp"), ("00:15", "not_increasing"), ("01:00", "non_numeric_price"), ("02:00", "cadence"), ("02:00", "non_numeric_price"), ("", "missing_timestamp")}
     assert set(found) == want and len(found) == len(want)
     assert bars.count() == 8
+
+
+def crowded(n=600, seed=11):
+    """One key with most rows in one instant, in order by text and by a number with nulls, some rows equal in all of those."""
+    rng = np.random.default_rng(seed)
+    at = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 5000, n))
+    pdf = pd.DataFrame({"instrument": np.where(rng.random(n) < 0.8, "a", "b"), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(at, unit="us"), "name": rng.choice(["x", "y", "z"], n), "event_id": rng.integers(0, 30, n).astype(float), "x": rng.integers(1, 100, n)})
+    pdf.loc[pdf.index % 7 == 0, "event_id"] = None
+    return pdf
+
+
+@pytest.mark.parametrize("keys", [("instrument",), ()])
+def test_crowded_slices_are_cut_until_they_fit(spark, keys):
+    pdf = crowded()
+    df = frame(spark, pdf).withColumn("event_id", F.when(~F.isnan("event_id"), F.col("event_id")).cast("bigint"))
+    s = sr.Series(keys=keys, order=("ts", "name", "event_id"), chunk_rows=20, slice_seconds=86400)
+    sizes = sr.chunked(df, s, 5, 5).groupBy(*keys, "_chunk").agg(F.count("*").alias("all"), F.count_if("_own").alias("own")).toPandas()
+    assert sizes["own"].sum() == len(pdf) and sizes["own"].max() <= 2 * s.chunk_rows and sizes["all"].max() <= 4 * s.chunk_rows
+    # sums, positions and frames are those of one order of the whole series
+    got = sr.windowed(df, s, lambda d, w: d.withColumns({"pos": sr.position(w), "near": F.sum("x").over(w.rowsBetween(-3, 2))}), back=3, ahead=2).toPandas()
+    got["event_id"] = got["event_id"].fillna(-1)
+    for _, g in got.groupby(list(keys)) if keys else [(None, got)]:
+        g = g.sort_values("pos")
+        assert g["pos"].tolist() == list(range(len(g)))
+        assert g[["ts", "name", "event_id"]].apply(tuple, axis=1).is_monotonic_increasing
+        x = g["x"].to_numpy()
+        assert g["near"].tolist() == [x[max(0, i - 3) : i + 3].sum() for i in range(len(x))]
+    total = sr.running(df, s, sums={"c": F.col("x")}, peaks={"top": "c"}, row_no="n").toPandas()
+    for _, g in total.groupby(list(keys)) if keys else [(None, total)]:
+        g = g.sort_values("n")
+        assert (g["c"].to_numpy() == g["x"].cumsum().to_numpy()).all() and (g["top"] == g["c"]).all()
+
+
+def test_crowded_slices_give_what_whole_ones_give(spark):
+    pdf = crowded().drop_duplicates(["instrument", "ts", "name", "event_id"])
+    df = frame(spark, pdf)
+    whole, cut = sr.Series(order=("ts", "name", "event_id")), sr.Series(order=("ts", "name", "event_id"), chunk_rows=9, slice_seconds=3600)
+    build = lambda d, w: d.withColumn("near", F.sum("x").over(w.rowsBetween(-30, 4)))
+    a, b = (sorted(map(tuple, sr.windowed(df, s, build, back=30, ahead=4).fillna(-1.0).collect())) for s in (whole, cut))
+    assert a == b
+
+
+def test_null_order_keys_keep_their_rows(spark):
+    from barlume.operators import quality, resample
+
+    ticks = spark.createDataFrame([(1, 10.0), (None, 11.0), (None, 12.0)], "event_id long, price double").withColumns({"instrument": F.lit("a"), "ts": F.lit("2024-01-01 00:00:01").cast("timestamp_ntz"), "volume": F.lit(1)})
+    only = ticks.where("event_id IS NULL AND price = 11")
+    assert [tuple(r) for r in resample.ticks_to_bars(only, "1 hour").select("open", "high", "low", "close").collect()] == [(11.0,) * 4]
+    bar = resample.ticks_to_bars(ticks.where("price < 12"), "1 hour").first()
+    assert (bar.open, bar.close) == (11.0, 10.0)  # null comes first
+    for keep in ("first", "last"):
+        rows = quality.dedupe(only, ["instrument", "ts"], ["ts", "event_id"], keep=keep).collect()
+        assert [(r.price, r.volume) for r in rows] == [(11.0, 1)]
+    assert quality.dedupe(ticks.where("price > 10").withColumn("ts", F.lit(None).cast("timestamp_ntz")), ["instrument"], ["ts"]).first().price is not None
