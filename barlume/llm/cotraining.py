@@ -26,25 +26,45 @@ WHOLE = 1 << 30
 _UPPER, _DIGIT, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?.,;:"))
 
 
-def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each run of three bytes (A-Z as they are), its document, and how many each has."""
-    at = text.inside(off, 3)
-    b = buf.astype(np.uint32)
-    h = ((b[at] << 16 | b[at + 1] << 8 | b[at + 2]) * np.uint32(2654435761)) >> np.uint32(16) if len(at) else np.zeros(0, np.uint32)
+#: Classes of bytes that are counted together, two to a number.
+_CLASSES = [(np.arange(256) == 10, _UPPER), (_DIGIT, SYMBOL), (_MARK, np.arange(256) >= 128)]
+_COUNTERS = [a.astype(np.int64) | b.astype(np.int64) << 32 for a, b in _CLASSES]
+
+
+def per_document(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``x`` of the lengths ``n``."""
+    out = np.zeros(len(n), x.dtype)
+    full = n > 0
+    if full.any():
+        out[full] = np.add.reduceat(x, (np.cumsum(n) - n)[full])
+    return out
+
+
+def grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each run of three bytes (A-Z as they are), document by document, and how many each has."""
     n = np.maximum(np.diff(off) - 2, 0)
-    return h.astype(np.int64), np.repeat(np.arange(len(n)), n), n
+    if not n.any():
+        return np.zeros(0, np.int64), n
+    b = buf.astype(np.uint32)
+    h = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(16)
+    inside = np.ones(len(h), bool)
+    for back in (1, 2):  # runs over the end of a document
+        at = off[1:-1] - back
+        inside[at[(at >= 0) & (at < len(h))]] = False
+    return h[inside].astype(np.int64), n
 
 
 def metadata(rows: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, columns: list[str]) -> np.ndarray:
     """Category numbers of each document: its columns and the layout of its page, in bins."""
     s, e, first = text.words(buf, off)
-    total = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[off])
     size, words = np.diff(off), np.diff(first)
-    lines = total(buf == 10) + 1
-    long = np.diff(np.concatenate(([0], np.cumsum((e - s) > 14)))[first])
+    both = [per_document(c[buf], size) for c in _COUNTERS]
+    (ends, upper), (digit, symbol), (mark, beyond) = [(x & 0xFFFFFFFF, x >> 32) for x in both]
+    lines = ends + 1
+    long = per_document(((e - s) > 14).astype(np.int64), words)
     share = lambda x, of: np.floor(2 * np.log2(1 + 1000 * x / np.maximum(of, 1)))
     level = lambda x: np.floor(2 * np.log2(1 + x))
-    measured = [level(size), level(words), level(lines), level(size / lines), share(total(_UPPER[buf]), size), share(total(_DIGIT[buf]), size), share(total(SYMBOL[buf]), size), share(total(_MARK[buf]), size), share(total(buf >= 128), size), share(long, words)]
+    measured = [level(size), level(words), level(lines), level(size / lines), share(upper, size), share(digit, size), share(symbol, size), share(mark, size), share(beyond, size), share(long, words)]
     both = np.stack(measured, axis=1) if len(size) else np.zeros((0, MEASURES))
     both = np.clip(both, 0, BINS - 1).astype(np.int64) + BINS * np.arange(MEASURES)
     named = [BINS * MEASURES + NAMED * k + values_of(rows.column(c)) for k, c in enumerate(columns)]
@@ -96,8 +116,8 @@ class Views:
         strong = np.arange(len(doc)) - np.searchsorted(doc, doc) < STRONGEST
         return np.bincount(doc[strong], weights=w[strong], minlength=len(off) - 1)
 
-    def raw(self, h: np.ndarray, doc: np.ndarray, n: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        a = np.bincount(doc, weights=self.gram[h], minlength=len(n)) / np.maximum(n, 1)
+    def raw(self, h: np.ndarray, n: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        a = per_document(self.gram[h], n) / np.maximum(n, 1)
         return np.stack([a, self.category[meta].sum(axis=1)], axis=1)
 
     def probabilities(self, raw: np.ndarray) -> np.ndarray:
@@ -175,11 +195,11 @@ def train(docs: DataFrame, columns: list[str], mine: dict, given: dict, before:
         for rows, buf, off in text.blocks(batches):
             y = np.array([own.get(x, -1) for x in rows.column("_id").to_pylist()])
             labels = np.stack([y, y], axis=1)
-            h, doc, n = grams(buf, off)
+            h, n = grams(buf, off)
             meta = metadata(rows, buf, off, columns)
             free = outside(rows, known)
             for views, cuts in rounds:
-                at = ordered(views.raw(h, doc, n, meta))
+                at = ordered(views.raw(h, n, meta))
                 for view, other in ((0, 1), (1, 0)):  # each view teaches the other what it is sure of
                     low, high = cuts[view]
                     labels[free & (at[:, view] < low), other] = 0
@@ -187,8 +207,8 @@ def train(docs: DataFrame, columns: list[str], mine: dict, given: dict, before:
             taught += (free[:, None] & (labels >= 0)).sum(axis=0)
             weight = np.rint(WHOLE / np.maximum(n, 1))
             for y in (0, 1):
-                pick = (labels[:, 0] == y)[doc]
-                gram[y] += np.bincount(h[pick], weights=weight[doc[pick]], minlength=BUCKETS)
+                own_y = labels[:, 0] == y
+                gram[y] += np.bincount(h[np.repeat(own_y, n)], weights=np.repeat(weight[own_y], n[own_y]), minlength=BUCKETS)
                 category[y] += np.bincount(meta[labels[:, 1] == y].ravel(), minlength=width)
         return np.concatenate([gram.ravel(), category.ravel(), taught])
 

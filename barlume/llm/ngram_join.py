@@ -116,18 +116,28 @@ def tiles(docs: DataFrame, heads: DataFrame, n: int, percent: int, bits: int) ->
     level = docs.sparkSession.sparkContext.broadcast(level)
 
     def first_elements(batches):
+        """One row a document, so that its first elements and not its text move to meet ``heads``."""
         for rows, buf, off in text.blocks(batches):
             out = []
-            for i, group, s in zip(rows.column("_id").to_pylist(), rows.column("_group").to_pylist(), sets(buf, off, n), strict=True):
+            for i, s in zip(rows.column("_id").to_pylist(), sets(buf, off, n), strict=True):
                 size = len(s)
                 if size:
                     a, b = sketch.cells(s, bits)
                     order = np.lexsort((s, np.minimum(level.value[a], level.value[b])))
                     # a partner can be as small as ``percent`` of this document
-                    head = order[: size - -(-percent * size // 100) + 1]
-                    out.append((text.as_i64(s[head]), np.full(len(head), i), np.full(len(head), size), np.arange(len(head)), np.full(len(head), group)))
+                    out.append((i, size, s[order[: size - -(-percent * size // 100) + 1]].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["_key", "_id", "_size", "_at", "_group"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["_id", "_size", "_keys"])
+
+    def one_by_one(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("_keys")]
+            count = np.array([len(x) for x in keys])
+            row = pa.array(np.repeat(np.arange(len(keys)), count))
+            at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column("_id").take(row), b.column("_size").take(row), pa.array(at, pa.int32()), b.column("_group").take(row)], names=["_key", "_id", "_size", "_at", "_group"])
 
     def pairs(key, _id, size, at, group, fresh):
         """Pairs within each key of these rows (sorted by key and size), the later row among those from ``fresh`` on."""
@@ -165,7 +175,9 @@ def tiles(docs: DataFrame, heads: DataFrame, n: int, percent: int, bits: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
                 held = [x[part[0] == part[0][-1]] for x in part]
 
-    rows = docs.join(heads, "_id").mapInArrow(first_elements, "_key long, _id long, _size int, _at int, _group long")
+    firsts = docs.mapInArrow(first_elements, "_id long, _size int, _keys binary")
+    # merged at every size: ``heads`` grows with the documents
+    rows = firsts.join(heads.hint("merge"), "_id").mapInArrow(one_by_one, "_key long, _id long, _size int, _at int, _group long")
     return rows.repartition("_key").sortWithinPartitions("_key", "_size", "_id").mapInArrow(tile, "a long, b long").distinct()
 
 
