@@ -70,8 +70,8 @@ def least_overlap(na, nb, percent: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b) those that are similar enough: bitmaps bound the overlap, then the sorted
-    sets are intersected."""
-    docs = sketch.only(docs.select("_id", "_text"), pairs.select("a").union(pairs.select("b")).distinct())
+    sets are intersected.  Pairs grow with the documents, so both joins merge at every size."""
+    docs = sketch.only(docs.select("_id", "_text"), pairs.select("a").union(pairs.select("b")).distinct()).hint("merge")
     pairs = pairs.join(docs.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a").join(docs.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
 
     def run(batches):
