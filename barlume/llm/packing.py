@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -64,32 +66,63 @@ def pieces(docs: DataFrame, tokenizer: str, room: int) -> DataFrame:
     return docs.mapInArrow(run, "_id long, piece int, start long, length long, crc long, _chunk int, _rank long")
 
 
-def completions(sizes: list[int], counts: dict[int, int], room: int, most: int = 3, width: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by up to ``most`` of the items at hand, least waste
-    first.  ``sizes`` descends.  A filling with fewer, larger items dominates one of the same waste that
-    splits them, and one to which a further item could be added is dominated by the sum."""
-    found: dict[int, tuple[int, ...]] = {}
-
-    def grow(at: int, left: int, used: tuple[int, ...]):
-        if len(found) >= width and 0 in found:
+def reachable(sizes: list[int], counts: list[int], room: int) -> np.ndarray:
+    """For each sum up to ``room`` the last place in ``sizes`` from which on items at hand make that sum, or -1."""
+    last, sums, mask = np.full(room + 1, -1, np.int16), 1, (2 << room) - 1
+    last[0] = len(sizes)
+    for i in range(len(sizes) - 1, -1, -1):
+        s, more, n, k = sizes[i], sums, min(counts[i], room // sizes[i]), 1
+        while n > 0:
+            more |= more << s * min(k, n) & mask
+            n, k = n - k, 2 * k
+        new, sums = more & ~sums, more
+        while new:
+            last[(new & -new).bit_length() - 1] = i
+            new &= new - 1
+        if sums == mask:
+            break
+    return last
+
+
+def dominated(fill: tuple[int, ...], waste: int, spare: list[int]) -> bool:
+    """Whether an item left over (sizes ``spare``) fits in beside the filling, or in the place of several of its items
+    and their share of the waste: then the filling with that item is as good or better."""
+    if any(s <= waste for s in spare):
+        return True
+    one, several = 0, 0
+    for s in fill:
+        several |= several << s | one << s
+        one |= 1 << s
+    for w in range(waste + 1):
+        if any(several >> s - w & 1 for s in spare if s > w):
+            return True
+    return False
+
+
+def completions(left: dict[int, int], top: int, room: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of ``room`` around one item of size ``top``, by any number of further items, one by one: least waste
+    first, then larger items first.  None stands for a filling that is dominated.  ``left`` may change
+    while the caller holds a filling and must be as it was when the next is asked for."""
+    room -= top
+    sizes = sorted((s for s, n in left.items() if s <= room and n > (s == top)), reverse=True)
+    count = [left[s] - (s == top) for s in sizes]
+    last = reachable(sizes, count, room)
+
+    def fills(at: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
             return
-        grew = False
-        if len(used) < most:
-            tried = 0
-            for j in range(at, len(sizes)):
-                s = sizes[j]
-                if s > left or used.count(s) >= counts[s]:
-                    continue
-                grew = True
-                grow(j, left - s, (*used, s))
-                tried += 1
-                if tried >= (width if not used else 6):
-                    break
-        if not grew and used and (left not in found or len(used) < len(found[left])):
-            found[left] = used
+        for i in range(at, last[total] + 1):
+            s = sizes[i]
+            for k in range(min(total // s, count[i]), 0, -1):
+                if last[total - k * s] > i:
+                    for rest in fills(i + 1, total - k * s):
+                        yield (s,) * k + rest
 
-    grow(0, room, ())
-    return [u for _, u in sorted(found.items())]
+    for total in np.flatnonzero(last >= 0)[::-1].tolist():
+        for fill in fills(0, total):
+            used = Counter(fill)
+            yield None if dominated(fill, room - total, [s for s, n in zip(sizes, count, strict=True) if n > used[s]]) else fill
 
 
 def best_fit(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -120,29 +153,32 @@ def bins(plan) -> int:
 def plan(counts: dict[int, int], room: int, nodes: int = 3000) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how often each is used, for the given number of items by size.
 
-    Bin completion: the largest item left opens a sequence, the undominated fillings around
-    it are tried from the least waste up, each as often as the counts allow at a time, and a
+    Bin completion: the largest item left opens a sequence and the undominated fillings around
+    it are tried from the least waste up, first each as often as the counts allow at a time, then each once.  A
     branch ends where the waste so far leaves no way below the incumbent.  The incumbents are
-    best-fit solutions, from the start and from the nodes visited; ``nodes`` bounds the search, not the
-    result, which always places every item.  The work depends on the number of different sizes only.
+    best-fit solutions, from the start and from the nodes visited.  ``nodes`` bounds how many fillings are
+    looked at and nothing else does: a search that ends before gives the fewest sequences, and the result always
+    places every item.  The work depends on the number of different sizes only.
     """
     total = sum(s * n for s, n in counts.items())
     big = sum(n for s, n in counts.items() if 2 * s > room)
     least = max(-(-total // room), big)
     best = best_fit(counts, room)
 
-    def options(left: dict[int, int]) -> list[tuple[tuple[int, ...], dict[int, int], int]]:
-        sizes = sorted(left, reverse=True)
-        one = {**left, sizes[0]: left[sizes[0]] - 1}
-        out = []
-        for fill in (completions([x for x in sizes if one[x]], one, room - sizes[0]) or [()])[:6]:
-            need: dict[int, int] = {}
-            for x in (sizes[0], *fill):
-                need[x] = need.get(x, 0) + 1
-            out.append(((sizes[0], *fill), need, min(left[x] // k for x, k in need.items())))
-        return out[::-1]  # taken from the end
-
-    def move(need: dict[int, int], n: int) -> None:
+    def options() -> Iterator[tuple | None]:
+        """Ways to fill a sequence around the largest item; taken on only while ``left`` is what it was at first."""
+        top = max(left)
+        for once in (False, True):
+            for fill in completions(left, top, room):
+                if fill is None:
+                    yield None
+                    continue
+                need = Counter((top, *fill))
+                times = min(left[x] // k for x, k in need.items())
+                if not once or times > 1:
+                    yield (top, *fill), need, 1 if once else times
+
+    def move(need: Counter, n: int) -> None:
         for x, k in need.items():
             left[x] = left.get(x, 0) - k * n
             if not left[x]:
@@ -150,10 +186,14 @@ def plan(counts: dict[int, int], room: int, nodes: int = 3000) -> list[tuple[tup
 
     # depth first; what is left is one table that each step changes and undoes
     left, done, used, waste, visited = dict(counts), [], 0, 0, 0
-    open_options = [options(left)] if left else []
+    open_options = [options()] if left else []
     while open_options and bins(best) > least and visited < nodes:
-        if open_options[-1]:
-            fill, need, times = open_options[-1].pop()
+        option = next(open_options[-1], False)
+        if option is None:
+            visited += 1
+            continue
+        if option:
+            fill, need, times = option
             move(need, times)
             done.append((fill, need, times))
             used, waste, visited = used + times, waste + times * (room - sum(fill)), visited + 1
@@ -165,7 +205,7 @@ def plan(counts: dict[int, int], room: int, nodes: int = 3000) -> list[tuple[tup
                 if used + bins(rest) < bins(best):
                     best = [*so_far, *rest]
             if left and waste <= (bins(best) - 1) * room - total:
-                open_options.append(options(left))
+                open_options.append(options())
                 continue
         else:
             open_options.pop()
