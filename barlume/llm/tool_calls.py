@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Mapping
 
 import pyarrow as pa
@@ -13,20 +15,32 @@ from barlume.llm import common
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 _KEY = ["conv_id", "call_id"]
+#: Deepest nesting of a JSON text that is taken as JSON.
+DEPTH = 200
 
 
 def parsed(s: str | None):
-    """(value, error) of a JSON text."""
+    """(value, error) of a JSON text.  Numbers beyond the range of doubles, or of thousands of digits,
+    and nesting beyond ``DEPTH`` are errors."""
     if s is None:
         return None, "missing"
 
     def no_constant(x):
         raise ValueError(x)
 
+    def number(x):
+        return float(x) if math.isfinite(float(x)) else no_constant(x)
+
     try:
-        return json.loads(s, parse_constant=no_constant), None
+        v = json.loads(s, parse_constant=no_constant, parse_float=number)
     except (ValueError, RecursionError):
         return None, "not JSON"
+    row = [v]
+    for _ in range(DEPTH):
+        row = [x for y in row if isinstance(y, (dict, list)) for x in (y.values() if isinstance(y, dict) else y)]
+        if not row:
+            return v, None
+    return None, "nested too deeply"
 
 
 def plain(v):
@@ -38,9 +52,14 @@ def plain(v):
     return int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 2**53 else v
 
 
+def writable(s: str) -> str:
+    """Halves of surrogate pairs, which UTF-8 cannot hold, as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", s)
+
+
 def canonical(v) -> str:
     """Keys sorted, no spaces, no escapes beyond those needed."""
-    return json.dumps(plain(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return writable(json.dumps(plain(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def is_a(v, kind: str) -> bool:
@@ -48,7 +67,7 @@ def is_a(v, kind: str) -> bool:
     if kind == "number":
         return number
     if kind == "integer":
-        return number and float(v).is_integer()
+        return number and (isinstance(v, int) or v.is_integer())
     return isinstance(v, _TYPES[kind])
 
 
@@ -59,7 +78,7 @@ def violations(v, schema: Mapping, at: str = "$") -> list[str]:
     if kinds and not any(is_a(v, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
     out = []
-    if "enum" in schema and v not in schema["enum"]:
+    if "enum" in schema and canonical(v) not in map(canonical, schema["enum"]):  # true is not 1
         out.append(f"{at}: enum")
     if is_a(v, "number"):
         out += [f"{at}: {k}" for k, wrong in (("minimum", lambda x: v < x), ("maximum", lambda x: v > x)) if k in schema and wrong(schema[k])]
@@ -189,4 +208,4 @@ def serialised(r: dict, schemas: Mapping[str, Mapping]) -> tuple[str, bool, list
     record = {"arguments": r["_arguments"] if error else arguments, "depends": sorted({x for x in r["_depends"] or [] if x is not None}), "id": r["call_id"], "name": r["name"], "order": [r["level"], r["turn"]]}
     if r["n_results"]:
         record["result"] = result
-    return status, not errors, errors, canonical(record)
+    return status, not errors, [writable(x) for x in errors], canonical(record)
