@@ -35,7 +35,7 @@ class Dense:
     a partition's input.  Its shards travel compressed, most counters being very small."""
 
     def __init__(self, bits: int, most: int):
-        self.bits, self.most, self.at, self.n = bits, most, np.zeros(2 << bits, np.uint8), 0
+        self.bits, self.most, self.at, self.n = bits, min(most, 255), np.zeros(2 << bits, np.uint8), 0
 
     def add(self, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.n += len(h)
@@ -53,7 +53,7 @@ class Partial:
     """A partition's own sketch as a list of updates, for sketches larger than a task's share."""
 
     def __init__(self, bits: int, most: int):
-        self.bits, self.most, self.parts, self.n = bits, most, [], 0
+        self.bits, self.most, self.parts, self.n = bits, min(most, 255), [], 0
 
     def add(self, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(h)
@@ -87,21 +87,23 @@ def partials(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
 
 def merge(parts: DataFrame, bits: int, most: int, keep: Callable[[np.ndarray], bytes]) -> list[tuple[int, bytes]]:
     """Adds the updates of all partitions, shard by shard as a stream; ``keep`` turns a
-    shard's counters (saturated at ``most``) into what the lookup needs."""
+    shard's counters (saturated at ``most``) into what the lookup needs.  A task's own counters are bytes, so
+    beyond 255 a sum tells how many tasks met a cell often, which still orders cells."""
     shards = max(1, 2 << max(0, bits - SHARD_BITS))
     width = 1 << min(bits + 1, SHARD_BITS)
+    kind = np.uint8 if most <= 255 else np.uint32
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for shard, c, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                at = held.setdefault(shard, np.zeros(width, np.uint8))
+                at = held.setdefault(shard, np.zeros(width, kind))
                 if not c.is_valid:
                     n = np.frombuffer(zlib.decompress(n.as_buffer()), np.uint8)
-                    np.minimum(at.astype(np.uint16) + n, most, out=at, casting="unsafe")
+                    np.minimum(at.astype(np.int64) + n, most, out=at, casting="unsafe")
                     continue
                 c, n = np.frombuffer(c.as_buffer(), np.uint32), np.frombuffer(n.as_buffer(), np.uint8)
-                at[c] = np.minimum(at[c].astype(np.uint16) + n, most).astype(np.uint8)
+                at[c] = np.minimum(at[c].astype(np.int64) + n, most).astype(kind)
         for shard, at in held.items():
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "kept": pa.array([keep(at)], pa.binary())})
 
