@@ -107,8 +107,8 @@ def tiles(docs: DataFrame, heads: DataFrame, n: int, percent: int, bits: int) ->
             yield np.concatenate(sets(buf, off, n))
 
     # counters are kept on a scale of powers of the square root of two
-    steps = np.round(np.log2(np.maximum(np.arange(256), 1)) * 2).astype(np.uint8)
-    found = sketch.merge(sketch.partials(docs, hashes, bits, 255), bits, 255, lambda at: steps[at].tobytes())
+    most = 2**31
+    found = sketch.merge(sketch.partials(docs, hashes, bits, most), bits, most, lambda at: np.round(np.log2(np.maximum(at, 1)) * 2).astype(np.uint8).tobytes())
     width = 1 << min(bits + 1, sketch.SHARD_BITS)
     level = np.zeros(2 << bits, np.uint8)
     for shard, kept in found:
@@ -194,7 +194,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     different groups only, and find all of them, so no group is expanded into its pairs.
 
     Null, empty and blank texts have no shingles and are linked with nothing, whatever they
-    equal.  Rows with equal id must have equal text and give a row each.  A row without id is linked with
+    equal.  Rows with equal id give a row each; where their texts differ they count as one document with the links of
+    all its texts, and the smallest class and component are told.  A row without id is linked with
     nothing.  Other columns are ignored.
     """
     every = common.documents(df, id_col, text_col)
@@ -221,7 +222,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     heads = common.saved(heads.select("_id", F.coalesce("component", "_id").alias("_group")))
     more = common.saved(verified(common.saved(tiles(docs, heads, n, percent, bits)), docs, n, percent))
     component = common.components(links.union(more)).select(F.col("id").alias("class"), "component")
-    placed = member.join(component, "class", "left").select("_id", "class", F.coalesce("component", "class").alias("component")).dropDuplicates(["_id"])
+    placed = member.join(component, "class", "left").select("_id", "class", F.coalesce("component", "class").alias("component")).groupBy("_id").agg(F.min("class").alias("class"), F.min("component").alias("component"))
     out = about.select("_id", "n").join(placed, "_id", "left")
 
     def named(c: str):

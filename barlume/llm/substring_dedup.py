@@ -21,7 +21,7 @@ def runs(where: np.ndarray) -> list[tuple[int, int]]:
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of ``n`` items lie in a window of ``width`` that begins at one of ``starts``."""
     step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
+    np.add.at(step, np.minimum(starts, n), 1)
     np.add.at(step, np.minimum(starts + width, n), -1)
     return np.cumsum(step[:n]) > 0
 

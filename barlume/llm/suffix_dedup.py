@@ -209,7 +209,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     hashes of their single windows instead, so that no shard grows with a group.
 
     Null text counts as empty.  Two rows with one id and one text are two documents, each a
-    copy of the other; an id must not name different texts.  A row without id is
+    copy of the other; rows with one id and different texts lose the places found in any of them, as far as their text
+    reaches.  A row without id is
     returned whole and does not count.  Other columns are ignored.
     """
     docs = common.documents(df, id_col, text_col, carry)
@@ -226,8 +227,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                     out.append((len(raw), 0, [], raw))
                     continue
                 step = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(step, [x["_start"] for x in gone], 1)
-                np.add.at(step, [x["_start"] + x["_n"] - 1 + width for x in gone], -1)
+                np.add.at(step, [min(x["_start"], len(raw)) for x in gone], 1)
+                np.add.at(step, [min(x["_start"] + x["_n"] - 1 + width, len(raw)) for x in gone], -1)
                 mask = np.cumsum(step[:-1]) > 0
                 spans = runs(mask)
                 out.append((len(raw), int(mask.sum()), [{"from": x, "to": y} for x, y in spans], np.frombuffer(raw, np.uint8)[~mask].tobytes()))
