@@ -236,6 +236,49 @@ def test_plans_place_every_item_and_are_no_worse_than_best_fit():
     assert packing.bins(packing.plan(dict(Counter([6, 5, 5, 4, 3, 3, 2, 2])), 10)) == 3
 
 
+def fewest(sizes, room):
+    """Smallest number of sequences, by trying every place of every item."""
+    best = [len(sizes)]
+
+    def put(k, space):
+        if len(space) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(space)
+            return
+        for left in sorted({x for x in space if x >= sizes[k]}):
+            rest = list(space)
+            rest.remove(left)
+            put(k + 1, [*rest, left - sizes[k]])
+        put(k + 1, [*space, room - sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_plans_of_small_cases_are_the_fewest():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        room = int(rng.integers(8, 40))
+        sizes = sorted(rng.integers(1 + room // 8, 1 + room * 2 // 3, int(rng.integers(1, 11))).tolist(), reverse=True)
+        assert packing.bins(packing.plan(dict(Counter(sizes)), room)) == fewest(sizes, room), (room, sizes)
+
+
+def test_plans_fill_with_any_number_of_items():
+    assert packing.bins(packing.plan({700: 2400, 500: 2400, 300: 4800, 248: 2400}, 2048)) == 2400
+    assert packing.bins(packing.plan({100: 30, 13: 30 * 8, 12: 30 * 8}, 300)) == 30
+    rng = np.random.default_rng(6)
+    for low, high, spare in ((20, 400, 0), (100, 600, 2), (200, 900, 5)):  # planted: 500 sequences without waste
+        sizes = []
+        for _ in range(500):
+            left = 2048
+            while left > high:
+                sizes.append(int(rng.integers(low, min(high, left - low) + 1)))
+                left -= sizes[-1]
+            sizes.append(left)
+        assert packing.bins(packing.plan(dict(Counter(sizes)), 2048)) <= 500 + spare
+
+
 def test_lattice_points_are_nearest():
     x = np.random.default_rng(1).normal(size=(500, 8)) * 2
     e = lattice.nearest_e8(x)
@@ -318,6 +361,39 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.limit(0), r.limit(0), SCHEMAS).count() == 0
 
 
+def test_tool_calls_with_awkward_json(spark):
+    """Each is told apart by its arguments; none ends the task."""
+    given = {
+        "half": ('{"a": 1, "b": ["\\ud83d"], "\\udc00": 1}', ["$.b[0]: enum", "$.\\udc00: unknown"]), "digits": ('{"a": 1' + "0" * 400 + "}", []), "range": ('{"a": 1e400}', ["arguments: not JSON"]),
+        "deep": ("[" * 3000 + "]" * 3000, ["arguments: nested too deeply"]), "deeper": ("[" * 300_000, ["arguments: not JSON"]), "true": ('{"a": 1, "b": [true, 1, 1.0]}', ["$.b[0]: enum"]), "nan": ('{"a": NaN}', ["arguments: not JSON"]),
+        "long": ('{"a": ' + "9" * 5000 + "}", ["arguments: not JSON"]), "null": (None, ["arguments: missing"]), "empty": ("", ["arguments: not JSON"]),
+    }
+    c = spark.createDataFrame([(1, k, 0, "f", a, None) for k, (a, _) in given.items()], "conv_id long, call_id string, turn long, name string, arguments string, depends array<string>")
+    r = spark.createDataFrame([(1, k, 1, a) for k, (a, _) in given.items()], "conv_id long, call_id string, turn long, content string")
+    got = {x.call_id: x for x in tool_calls.link(c, r, SCHEMAS).collect()}
+    for k, (a, errors) in given.items():
+        record = json.loads(got[k].record)
+        assert got[k].errors == errors and got[k].status == "linked"
+        assert record["arguments"] == (a if errors and errors[0].startswith("arguments") else json.loads(a))
+
+
+def test_ids_that_name_different_texts(spark):
+    """No crash; texts of one id share what is found in any of them."""
+    rng = np.random.default_rng(9)
+    a, b = sentence(rng, 100), sentence(rng, 100)
+    df = spark.createDataFrame([(1, a), (1, "short"), (1, None), (2, b + " " + a), (3, b), (3, b), (4, "x y z")], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in suffix_dedup.dedup(df).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed))
+    assert sorted(got[1]) == [(0, 0), (5, 5), (len(a), len(a))] and got[4] == [(5, 0)] and got[3] == [(len(b), len(b))] * 2
+    got = defaultdict(list)
+    for r in substring_dedup.dedup(df).collect():
+        got[r.doc_id].append((r.n_words, r.n_removed))
+    assert sorted(got[1]) == [(0, 0), (1, 0), (100, 0)] and got[2] == [(200, 100)] and sorted(got[3]) == [(100, 100)] * 2
+    out = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()]
+    assert sorted(x for x in out if x[0] == 1) == [(1, 0, 1), (1, 1, 1), (1, 96, 1)] and len(out) == 7
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5)]
