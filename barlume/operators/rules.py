@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barlume.operators.align import align_many
 from barlume.operators.indicators import adx_simple_columns, ema_bounded, rolling, rsi_simple_columns, true_range
-from barlume.operators.series import BARS, TICKS, Series, asof, chunked, fold, materialise, running, windowed
+from barlume.operators.series import BARS, TICKS, Series, asof, chunked, fold, fold_moves, materialise, running, windowed
 
 Rule = Callable[[DataFrame, WindowSpec], DataFrame]
 
@@ -210,19 +211,23 @@ def cooldown(candidates: DataFrame, bars_apart: int, keys: Sequence[str] = ("ins
     names = candidates.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema)
 
-    def run(pdf, state):
-        last, since = divmod(state, cap + 1)
-        keep = []
-        for g, side in zip(pdf["_gap"], pdf["direction"]):
-            since = min(cap, since + int(g)) if g == g and g is not None else min(cap, since + 1)
-            code = 1 if side > 0 else 2
-            ok = since >= cap and not (skip_same and code == last)
-            if ok:
-                last, since = code, 0
-            keep.append(ok)
-        return pdf[names][keep], last * (cap + 1) + since
+    last, since = np.divmod(np.arange(3 * (cap + 1)), cap + 1)
+
+    def kept(pdf, last, since):
+        """The code of each row's side, the bars since the last kept signal, and whether the row is kept."""
+        gap = pdf["_gap"].to_numpy(dtype=float, na_value=np.nan)[:, None]
+        code = np.where(pdf["direction"].to_numpy() > 0, 1, 2)[:, None]
+        since = np.minimum(cap, since + np.where(np.isnan(gap), 1, np.minimum(gap, cap)).astype(np.int64))
+        return code, since, (since >= cap) & ~((code == last) & skip_same)
+
+    def moves(pdf):
+        code, after, ok = kept(pdf, last, since)
+        return np.where(ok, code * (cap + 1), last * (cap + 1) + after)
+
+    def emit(pdf, before, _):
+        return pdf[names][kept(pdf, last[before][:, None], since[before][:, None])[2][:, 0]]
 
-    return fold(rows, keys, "_chunk", ["bar_no"], 3 * (cap + 1), cap, run, schema)
+    return fold_moves(rows, keys, "_chunk", ["bar_no"], cap, moves, emit, schema)
 
 
 def bar_numbers(bars: DataFrame, s: Series = BARS) -> DataFrame:
@@ -359,39 +364,27 @@ def aggregator_score(d: DataFrame, gate: float = 0.5) -> DataFrame:
     return d.withColumn("score", F.when(c("p_trade") >= gate, raw).otherwise(0.0))
 
 
-def hysteresis_step(side: int, since: int, score: float, enter: float, leave: float, flip: float, wait: int) -> tuple[int, int]:
-    """One step of the side state: enter, hold, flatten or flip, with a wait after
-    each change that only flattening may break.  Shared by batch and stream."""
-    since = min(wait, since + 1)
-    sign, size = (score > 0) - (score < 0), abs(score)
-    if side == 0:
-        want = sign if size >= enter else 0
-    elif sign == side:
-        want = side
-    elif size <= leave:
-        want = 0
-    else:
-        want = sign if sign != 0 and size >= flip else side
-    if want != side and since < wait and want != 0:
-        want = side
-    return (want, 0) if want != side else (side, since)
-
-
 def side_state(rows: DataFrame, enter=0.05, leave=0.02, flip=0.08, wait=3, s: Series = BARS) -> DataFrame:
-    """Position side after hysteresis and cooldown, folded over each series."""
+    """Position side after hysteresis and cooldown, folded over each series: enter, hold, flatten or flip, with a
+    wait after each change that only flattening may break.  Null scores change nothing but the wait."""
     chunks = chunked(rows, s).drop("_own", "_base")
     names = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", side int"
+    side, since = np.divmod(np.arange(3 * (wait + 1)), wait + 1)
+    side, since = side - 1, np.minimum(wait, since + 1)
+
+    def moves(pdf):
+        score = pdf["score"].to_numpy(dtype=float, na_value=np.nan)[:, None]
+        size, sign = np.abs(score), np.nan_to_num(np.sign(score)).astype(np.int64)
+        held = np.where(sign == side, side, np.where(size <= leave, 0, np.where((sign != 0) & (size >= flip), sign, side)))
+        want = np.where(side == 0, np.where(size >= enter, sign, 0), held)
+        want = np.where((want != 0) & (since < wait), side, want)
+        return (want + 1) * (wait + 1) + np.where(want == side, since, 0)
 
-    def run(pdf, state):
-        side, since = state // (wait + 1) - 1, state % (wait + 1)
-        sides = []
-        for x in pdf["score"]:
-            side, since = hysteresis_step(side, since, x, enter, leave, flip, wait)
-            sides.append(side)
-        return pdf[names].assign(side=sides), (side + 1) * (wait + 1) + since
+    def emit(pdf, _, after):
+        return pdf[names].assign(side=after // (wait + 1) - 1)
 
-    return fold(chunks, list(s.keys), "_chunk", list(s.order), 3 * (wait + 1), 1 * (wait + 1) + wait, run, schema)
+    return fold_moves(chunks, list(s.keys), "_chunk", list(s.order), 1 * (wait + 1) + wait, moves, emit, schema)
 
 
 def gate_signal(p_trade: Column, p_long: Column, p_short: Column, gate: Column) -> Column:

@@ -25,6 +25,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -486,6 +487,81 @@ def asof_many(
     return res.select(*k, s.ts, *[F.col(f"_l.{c}").alias(c) for c in lcols], *got)
 
 
+#: Chunks, or blocks of them, whose state maps are composed together, and how often blocks are formed.
+_FAN, _LEVELS = 256, 2
+
+
+def state_scan(moves: np.ndarray, start: int | None = None) -> np.ndarray:
+    """Walk of a finite-state rule over rows, ``moves[i, state]`` being the state after row ``i``.
+
+    Without ``start`` the end state of every start state, else the state before each row.  Rows are laid out in
+    blocks, one step moves all blocks and all states at once, and only the blocks are chained one by one."""
+    n, n_states = moves.shape
+    size = max(1, math.isqrt(n))
+    own = np.arange(n_states, dtype=moves.dtype)
+    moves = np.concatenate([moves, np.tile(own, (-n % size, 1))]).reshape(-1, size, n_states)
+    ends = np.tile(own, (len(moves), 1))
+    for i in range(size):
+        ends = np.take_along_axis(moves[:, i], ends, axis=1)
+    if start is None:
+        for m in ends:
+            own = m[own]
+        return own
+    states = np.empty((len(moves), size), moves.dtype)
+    at = np.empty(len(moves), moves.dtype)
+    for j, m in enumerate(ends):
+        at[j], start = start, m[start]
+    for i in range(size):
+        states[:, i] = at
+        at = moves[np.arange(len(moves)), i, at]
+    return states.reshape(-1)[:n]
+
+
+def chunk_starts(maps: DataFrame, keys: Sequence[str], chunk: str, start: int) -> DataFrame:
+    """(keys, chunk, state): the state in which each chunk starts, from the ``ends`` of all start states per chunk.
+
+    Maps compose in any grouping, so blocks of chunks are composed first, then blocks of blocks; a key's last step reads
+    one row per ``_FAN ** _LEVELS`` chunks, and the start states go down the same way."""
+    k = list(keys)
+    flat = maps.select(F.struct(F.lit(0).alias("_"), *k).alias("_k"), F.col(chunk).cast("bigint").alias("_c"), "ends")
+    in_order = F.array_sort(F.collect_list(F.struct("_c", "ends"))).alias("_maps")
+    ups = []
+    for _ in range(_LEVELS):
+        block = flat.groupBy("_k", F.floor(F.col("_c") / F.lit(_FAN)).cast("bigint").alias("_b")).agg(in_order)
+        own = F.sequence(F.lit(0), F.size(F.col("_maps")[0]["ends"]) - 1)
+        ups.append(block)
+        flat = block.select("_k", F.col("_b").alias("_c"), F.aggregate("_maps", own, lambda acc, m: F.transform(acc, lambda st: F.get(m["ends"], st))).alias("ends"))
+
+    def down(lists: DataFrame, first: Column) -> DataFrame:
+        states = F.aggregate("_maps", F.array(first), lambda acc, m: F.concat(acc, F.array(F.get(m["ends"], F.element_at(acc, -1)))))
+        each = lists.select("_k", "_maps", states.alias("_states")).select("_k", F.explode(F.transform("_maps", lambda m, i: F.struct(m["_c"].alias("_c"), F.get("_states", i).alias("state")))).alias("_z"))
+        return each.select("_k", "_z._c", "_z.state")
+
+    states = down(flat.groupBy("_k").agg(in_order), F.lit(start))
+    for block in reversed(ups):
+        states = down(block.join(states.withColumnRenamed("_c", "_b"), ["_k", "_b"]), F.col("state"))
+    return states.select(*[F.col("_k")[c].alias(c) for c in k], F.col("_c").cast(maps.schema[chunk].dataType).alias(chunk), "state")
+
+
+def _folded(rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], start: int, ends_of: Callable, replay_from: Callable, schema: str) -> DataFrame:
+    k = list(keys)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*k, chunk).schema)
+    by = [*order, *(["_tie"] if "_tie" in rows.columns else [])]
+
+    def ends(pdf):
+        out = pdf[[*k, chunk]].head(1).copy()
+        out["ends"] = [[int(x) for x in ends_of(pdf.sort_values(by, kind="stable"))]]
+        return out
+
+    def replay(left, right):
+        state = start if left.empty else int(right["state"].iloc[0])
+        return replay_from(left.sort_values(by, kind="stable"), state)
+
+    maps = materialise(rows.groupBy(*k, chunk).applyInPandas(ends, f"{key_schema}, ends array<int>"))
+    starts = chunk_starts(maps, k, chunk, start)
+    return rows.groupBy(*k, chunk).cogroup(starts.groupBy(*k, chunk)).applyInPandas(replay, schema)
+
+
 def fold(
     rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], n_states: int, start: int,
     run: Callable, schema: str,
@@ -493,36 +569,28 @@ def fold(
     """Sequential rule with a small state over long series, chunk by chunk.
 
     ``run(pdf, state) -> (out_pdf, state)`` walks one sorted chunk.  Pass one asks
-    every chunk where each of the ``n_states`` start states would end; the chunk
-    tables (one row per chunk) are chained per key; pass two replays each chunk
-    from its now known start state.  No task holds more than one chunk.
+    every chunk where each of the ``n_states`` start states would end; these maps
+    are composed (``chunk_starts``); pass two replays each chunk
+    from its now known start state.  No task holds more than one chunk.  For rules whose state also
+    tells what a row does, ``fold_moves`` reads each row once a pass.
     """
-    k = list(keys)
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*k, chunk).schema)
-    by = [*order, *(["_tie"] if "_tie" in rows.columns else [])]
+    return _folded(rows, keys, chunk, order, start, lambda pdf: [run(pdf, st)[1] for st in range(n_states)], lambda pdf, st: run(pdf, st)[0], schema)
 
-    def ends(pdf):
-        pdf = pdf.sort_values(by, kind="stable")
-        out = pdf[[*k, chunk]].head(1).copy()
-        out["ends"] = [[int(run(pdf, st)[1]) for st in range(n_states)]]
-        return out
 
-    def chain(pdf):
-        pdf = pdf.sort_values(chunk)
-        state, starts = start, []
-        for m in pdf["ends"]:
-            starts.append(state)
-            state = int(m[state])
-        return pdf[[*k, chunk]].assign(state=starts)
+def fold_moves(
+    rows: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], start: int,
+    moves: Callable, emit: Callable, schema: str,
+) -> DataFrame:
+    """``fold`` for rules given as moves: ``moves(pdf)`` is an integer array (rows, states) of the state after each row,
+    for every state before it, and ``emit(pdf, before, after)`` makes the output from the states met.  All start
+    states are followed in one pass of array steps (``state_scan``)."""
 
-    def replay(left, right):
-        if left.empty:
-            return run(left, start)[0]
-        return run(left.sort_values(by, kind="stable"), int(right["state"].iloc[0]))[0]
+    def replay(pdf, state):
+        m = moves(pdf)
+        before = state_scan(m, state)
+        return emit(pdf, before, m[np.arange(len(m)), before])
 
-    maps = rows.groupBy(*k, chunk).applyInPandas(ends, f"{key_schema}, ends array<int>")
-    starts = maps.groupBy(*k).applyInPandas(chain, f"{key_schema}, state int")
-    return rows.groupBy(*k, chunk).cogroup(starts.groupBy(*k, chunk)).applyInPandas(replay, schema)
+    return _folded(rows, keys, chunk, order, start, lambda pdf: state_scan(moves(pdf)), replay, schema)
 
 
 # ---------------------------------------------------------------- order statistics

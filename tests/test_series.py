@@ -153,17 +153,65 @@ def test_cooldown_brute_force(spark, s):
     assert sorted(zip(got["instrument"], got["bar_no"])) == sorted(want)
 
 
+def hysteresis_step(side, since, score, enter, leave, flip, wait):
+    since = min(wait, since + 1)
+    sign, size = (score > 0) - (score < 0), abs(score)
+    if side == 0:
+        want = sign if size >= enter else 0
+    elif sign == side:
+        want = side
+    elif size <= leave:
+        want = 0
+    else:
+        want = sign if sign != 0 and size >= flip else side
+    if want != side and since < wait and want != 0:
+        want = side
+    return (want, 0) if want != side else (side, since)
+
+
+def test_state_scan_is_a_walk():
+    rng = np.random.default_rng(2)
+    for n, n_states in ((0, 3), (1, 1), (2, 4), (9, 5), (10, 2), (257, 13)):
+        moves = rng.integers(0, n_states, (n, n_states))
+        ends = []
+        for start in range(n_states):
+            at, before = start, []
+            for m in moves:
+                before.append(at)
+                at = m[at]
+            ends.append(at)
+            assert sr.state_scan(moves, start).tolist() == before
+        assert sr.state_scan(moves).tolist() == ends
+
+
+@pytest.mark.parametrize("fan", [2, 3, 256])
+def test_chunk_starts_compose_in_blocks(spark, monkeypatch, fan):
+    monkeypatch.setattr(sr, "_FAN", fan)
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for key, chunks in ((None, range(5)), ("a", range(-3, 60)), ("b", sorted(rng.choice(1000, 40, replace=False).tolist()))):
+        at = 1
+        for c in chunks:
+            want[key, c] = at
+            rows.append((key, c, rng.integers(0, 4, 4).tolist()))
+            at = rows[-1][2][at]
+    got = sr.chunk_starts(spark.createDataFrame(rows, "k string, c long, ends array<int>"), ["k"], "c", 1).collect()
+    assert {(r.k, r.c): r.state for r in got} == want and len(got) == len(want)
+    assert sr.chunk_starts(spark.createDataFrame([], "k string, c long, ends array<int>"), ["k"], "c", 1).count() == 0
+
+
 @pytest.mark.parametrize("s", [sr.BARS, SMALL])
 def test_hysteresis_brute_force(spark, s):
     pdf = walk(250)
     pdf["score"] = np.random.default_rng(1).normal(0, 0.07, len(pdf))
+    pdf.loc[::17, "score"] = np.nan
     d = frame(spark, pdf).select("instrument", "ts", "score")
     got = ru.side_state(d, s=s).toPandas().sort_values(["instrument", "ts"])
     want = []
     for _, g in pdf.sort_values(["instrument", "ts"]).groupby("instrument"):
         side, since = 0, 3
         for x in g["score"]:
-            side, since = ru.hysteresis_step(side, since, x, 0.05, 0.02, 0.08, 3)
+            side, since = hysteresis_step(side, since, x, 0.05, 0.02, 0.08, 3)
             want.append(side)
     assert got["side"].tolist() == want
 
