@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -127,22 +128,21 @@ def completions(left: dict[int, int], top: int, room: int) -> Iterator[tuple[int
 
 def best_fit(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on counts: sequences with the same filling are made at once."""
-    left, plan = dict(counts), []
-    while left:
-        sizes = sorted(left, reverse=True)
-        fill, space, need = [], room, {}
-        for s in sizes:  # the largest items that still fit, as best fit leaves them
-            k = min(space // s, left[s])
-            if k:
-                fill += [s] * k
-                need[s] = k
-                space -= s * k
+    left, plan, sizes = dict(counts), [], sorted(counts)
+    while sizes:
+        fill, space, need, at = [], room, {}, len(sizes)
+        while at := bisect_right(sizes, space, 0, at):  # the largest item that still fits, as best fit leaves it
+            at -= 1
+            s = sizes[at]
+            need[s] = k = min(space // s, left[s])
+            fill += [s] * k
+            space -= s * k
         times = min(left[s] // k for s, k in need.items())
         plan.append((tuple(fill), times))
         for s, k in need.items():
             left[s] -= k * times
             if not left[s]:
-                del left[s]
+                del sizes[bisect_right(sizes, s) - 1]
     return plan
 
 
