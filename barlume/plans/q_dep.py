@@ -170,7 +170,22 @@ def suppressed(t):
     return dp.suppress_redundant(candidates(t), pairs, limit=0.1)
 
 
-@query("e27_redundancy_suppression", "ts sleeve signal:i suppressed dependence_penalty:r")
+# the pairs at or over the limit are gone through one by one, each time's list of live sleeves getting shorter
+_SUP = {
+    "rsc": _RSC, "cand": _CAND, "pr": pair_sql("rsc"), "mx": _MX,
+    "sup_on": "SELECT ts, sleeve, expected_utility AS u, coalesce(recent_brier, 1e300) AS c FROM cand WHERE signal <> 0",
+    "sup_pairs": "SELECT a, b, abs(score_corr) + trigger_overlap + abs(pnl_corr) + coloss_freq AS p FROM mx",
+    "sup_pen": "SELECT o.ts, o.sleeve, any_value(o.u) AS u, any_value(o.c) AS c, coalesce(sum(p), 0) AS pen FROM sup_on o LEFT JOIN sup_on q ON q.ts = o.ts AND q.sleeve <> o.sleeve LEFT JOIN sup_pairs ON a = least(o.sleeve, q.sleeve) AND b = greatest(o.sleeve, q.sleeve) GROUP BY 1, 2",
+    "sup_rank": "SELECT ts, sleeve, pen, row_number() OVER (PARTITION BY ts ORDER BY u DESC, c, pen, sleeve DESC) AS rk FROM sup_pen",
+    "sup_steps": "SELECT row_number() OVER (ORDER BY a, b) AS k, a, b FROM sup_pairs WHERE p >= 0.1",
+    "sup_walk": """SELECT ts, CAST(0 AS BIGINT) AS k, list(sleeve) AS live FROM sup_on GROUP BY ts
+      UNION ALL SELECT w.ts, s.k, CASE WHEN list_contains(live, a) AND list_contains(live, b) THEN list_filter(live, lambda e: e <> CASE WHEN x.rk < y.rk THEN b ELSE a END) ELSE live END
+      FROM sup_walk w JOIN sup_steps s ON s.k = w.k + 1 LEFT JOIN sup_rank x ON x.ts = w.ts AND x.sleeve = a LEFT JOIN sup_rank y ON y.ts = w.ts AND y.sleeve = b""",
+}
+
+
+@query("e27_redundancy_suppression", "ts sleeve signal:i suppressed dependence_penalty:r", """SELECT c.ts, c.sleeve, CASE WHEN off THEN 0 ELSE signal END AS signal, off AS suppressed, dependence_penalty FROM (SELECT d.ts, d.sleeve, signal, signal <> 0 AND NOT list_contains(live, d.sleeve) AS off, coalesce(pen, 0) AS dependence_penalty
+   FROM cand d LEFT JOIN sup_rank r ON r.ts = d.ts AND r.sleeve = d.sleeve LEFT JOIN (SELECT * FROM sup_walk WHERE k = (SELECT count(*) FROM sup_steps)) f ON f.ts = d.ts) c""", **_SUP)
 def _(t):
     return suppressed(t)
 
