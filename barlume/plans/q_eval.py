@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barlume.operators import align, evaluate as ev, series as sr, trades as tr
 from barlume.plans import sqltext as q
-from barlume.plans.q_quality import INSTRUMENTS
+from barlume.plans.q_quality import INSTRUMENTS, RETURNS
 from barlume.plans.registry import query, view
 
 OVER = q.OVER
@@ -198,7 +198,23 @@ def _(t):
     return ev.ranked(summaries(t), 15, ["instrument", "strategy"])
 
 
-@query("e37_correlation_shortlist", "rank:i instrument strategy stability_score:r")
+# the list is gone through in rank order, each entry joining those picked so far unless it is close to one
+_LIST = {
+    "sl_bars": f"""SELECT instrument, ts, lead(close, 8) OVER ({OVER}) / nullif(close, 0) - 1 AS fwd, CASE WHEN close > max(high) OVER ({OVER} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) THEN 1
+      WHEN close < min(low) OVER ({OVER} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) THEN -1 END AS side FROM bars_h1""",
+    "wr": """SELECT instrument, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS strategy, week(ts) AS win, sum(side * fwd) AS net_pnl, sum(greatest(side * fwd, 0)) / nullif(sum(greatest(-side * fwd, 0)), 0) AS profit_factor,
+      count(*) AS trades, max(-side * fwd) AS max_drawdown FROM sl_bars WHERE side IS NOT NULL AND fwd IS NOT NULL GROUP BY 1, 2, 3""",
+    "ss": _SS,
+    "sl_best": f"SELECT * FROM ss WHERE stability_score >= 0 AND test_trades_mean >= 1 QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY {_ORDER}, strategy) = 1",
+    "sl_order": "SELECT *, row_number() OVER (ORDER BY stability_score DESC, test_net_pnl_mean DESC, test_profit_factor_mean DESC, test_max_drawdown_mean, strategy, instrument) AS k FROM sl_best",
+    "sl_ret": RETURNS,
+    "sl_close": "SELECT x.instrument AS a, y.instrument AS b FROM sl_ret x JOIN sl_ret y ON x.ts = y.ts AND x.instrument <> y.instrument GROUP BY 1, 2 HAVING abs(corr(x.ret, y.ret)) > 0.05",
+    "sl_walk": """SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS picked UNION ALL
+      SELECT o.k, CASE WHEN EXISTS (SELECT 1 FROM sl_close c WHERE c.a = o.instrument AND list_contains(picked, c.b)) THEN picked ELSE list_append(picked, o.instrument) END FROM sl_walk w JOIN sl_order o ON o.k = w.k + 1""",
+}
+
+
+@query("e37_correlation_shortlist", "rank:i instrument strategy stability_score:r", "SELECT list_position(picked, instrument) AS rank, instrument, strategy, stability_score FROM sl_best JOIN (SELECT picked FROM sl_walk ORDER BY k DESC LIMIT 1) ON list_contains(picked, instrument)", **_LIST)
 def _(t):
     """Breakout windows per instrument and week, shortlisted by return correlation."""
     bars = t.bars_h1

@@ -281,10 +281,10 @@ def _(t):
     return align.latest_tick(t.ticks)
 
 
-_RET = f"SELECT instrument, ts, close / nullif({q.lag('close')}, 0) - 1 AS ret FROM bars_h1"
+RETURNS = f"SELECT instrument, ts, close / nullif({q.lag('close')}, 0) - 1 AS ret FROM bars_h1"
 
 
-@query("j11_pairwise_alignment", "ts a b ra:r rb:r", "SELECT x.ts, x.instrument AS a, y.instrument AS b, x.ret AS ra, y.ret AS rb FROM r x JOIN r y ON x.ts = y.ts AND x.instrument < y.instrument WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL", r=_RET)
+@query("j11_pairwise_alignment", "ts a b ra:r rb:r", "SELECT x.ts, x.instrument AS a, y.instrument AS b, x.ret AS ra, y.ret AS rb FROM r x JOIN r y ON x.ts = y.ts AND x.instrument < y.instrument WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL", r=RETURNS)
 def _(t):
     return align.pairwise_aligned(align.wide_by_instrument(align.returns(t.bars_h1), "ret", INSTRUMENTS), INSTRUMENTS)
 
@@ -298,7 +298,7 @@ def _(t):
     return align.align_outcomes(pred, label, t.ticks.select("event_id", F.when(F.col("volume") % 5 != 2, px - 50).alias("pnl")), ["event_id"])
 
 
-@query("w41_return_correlation", "a b corr:r", "SELECT x.instrument AS a, y.instrument AS b, corr(x.ret, y.ret) AS corr FROM r x JOIN r y ON x.ts = y.ts AND x.instrument < y.instrument GROUP BY 1, 2", r=_RET)
+@query("w41_return_correlation", "a b corr:r", "SELECT x.instrument AS a, y.instrument AS b, corr(x.ret, y.ret) AS corr FROM r x JOIN r y ON x.ts = y.ts AND x.instrument < y.instrument GROUP BY 1, 2", r=RETURNS)
 def _(t):
     return align.pair_correlations(align.wide_by_instrument(align.returns(t.bars_h1), "ret", INSTRUMENTS), INSTRUMENTS)
 
