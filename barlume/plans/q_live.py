@@ -241,16 +241,23 @@ def _(t):
     return live.read_output(t.spark, path, d.schema)
 
 
-@query("t03_stream_bar_signals", "instrument ts direction:i entry_price:r", f"""SELECT instrument, ts, direction, close AS entry_price FROM (SELECT *, lag(direction) OVER ({OVER}) AS before FROM cbs WHERE direction IS NOT NULL) WHERE before IS NULL OR before <> direction""",
+_FROM = "(SELECT date_trunc('day', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) FROM ticks)"
+
+
+@query("t03_stream_bar_signals", "instrument ts direction:i entry_price:r", f"""SELECT instrument, ts, direction, close AS entry_price FROM (SELECT *, lag(direction) OVER ({OVER}) AS before FROM cbs WHERE direction IS NOT NULL AND ts >= {_FROM}) WHERE before IS NULL OR before <> direction""",
        cbs=f"""SELECT *, CASE WHEN n > 20 AND close > hi * 1.0002 THEN 1 WHEN n > 20 AND close < lo * 0.9998 THEN -1 END AS direction FROM (SELECT *, row_number() OVER ({OVER}) AS n, max(high) OVER ({OVER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS hi,
          min(low) OVER ({OVER} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS lo FROM bars_h1 WHERE ts + INTERVAL '1 hour' <= (SELECT max(ts) FROM ticks) - INTERVAL '10 minutes')""")
 def _(t):
-    """Closed hourly bars from the stream sink feed the stateful signal step."""
+    """Closed hourly bars from the stream sink feed the stateful signal step, which starts
+    from the bars stored before the middle day of the ticks."""
+    us = lambda f: F.unix_micros(f("ts").cast("timestamp"))
+    middle = t.ticks.agg(F.date_trunc("day", F.timestamp_micros(F.floor((us(F.min) + us(F.max)) / 2))).cast("timestamp_ntz").alias("_from"))
     bars = live.candles(tick_stream(t), "1 hour")
     path, _ = live.run_available(bars)
-    closed = t.spark.readStream.schema(bars.schema).parquet(path)
-    d = live.closed_bar_signals(closed)
-    out, _ = live.run_available(d)
+    stored = t.bars_h1.crossJoin(F.broadcast(middle)).where("ts < _from").drop("_from")
+    closed = t.spark.readStream.schema(bars.schema).parquet(path).crossJoin(F.broadcast(middle)).where("ts >= _from").drop("_from")
+    d = live.closed_bar_signals(closed, warm=live.last_bars(stored))
+    out, _ = live.run_available(d, store=live.ROCKS)
     return live.read_output(t.spark, out, d.schema)
 
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -17,14 +17,24 @@ from barlume.operators.risk import LIMITS, pre_trade
 from barlume.operators.series import as_instant, as_utc, order_key, shared_folder
 
 
-def run_available(df: DataFrame, mode: str = "append", schema: str | None = None, each: Callable | None = None) -> tuple[str, StreamingQuery]:
-    """Runs a stream over everything available; returns (output folder, query)."""
+#: State store of streams with list and map state.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(df: DataFrame, mode: str = "append", each: Callable | None = None, store: str | None = None) -> tuple[str, StreamingQuery]:
+    """Runs a stream over everything available; returns (output folder, query).
+    ``store`` is the state store of this stream alone."""
     base = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-    if each is not None:
-        q = w.foreachBatch(lambda batch, no: each(batch, no, f"{base}/out")).start()
-    else:
-        q = w.format("parquet").option("path", f"{base}/out").start()
+    w = w.format("parquet").option("path", f"{base}/out") if each is None else w.foreachBatch(lambda batch, no: each(batch, no, f"{base}/out"))
+    conf = df.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, store or before)
+    try:
+        q = w.start()
+    finally:
+        conf.set(_STORE, before)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -52,35 +62,65 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def closed_bar_signals(bars: DataFrame, lookback: int = 20, warm: dict[str, tuple[list[float], list[float]]] | None = None) -> DataFrame:
+def last_bars(bars: DataFrame, lookback: int = 20) -> DataFrame:
+    """The last ``lookback`` bars per instrument, the start of ``closed_bar_signals``.
+    Each task keeps that many rows per instrument before the shuffle."""
+    newest = Window.partitionBy("instrument").orderBy(F.desc("ts"))
+    return bars.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= lookback).select("instrument", "ts", "high", "low")
+
+
+class _Breakouts(StatefulProcessor):
+    """Per instrument the last highs and lows (list state) and the last side (value state)."""
+
+    def __init__(self, lookback: int):
+        self.lookback = lookback
+
+    def init(self, handle):
+        self.bars = handle.getListState("bars", "at bigint, high double, low double")
+        self.last = handle.getValueState("last", "side int")
+
+    def _rows(self, bars: pd.DataFrame) -> list[tuple[int, float, float]]:
+        at = bars["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        high, low = bars["high"].fillna(-np.inf), bars["low"].fillna(np.inf)
+        return list(zip(at.tolist(), high.astype(float).tolist(), low.astype(float).tolist(), strict=True))
+
+    def handleInitialState(self, key, initialState, timerValues):
+        self.bars.appendList(self._rows(initialState))
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = self.lookback
+        new = pd.concat(list(rows), ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
+        kept = sorted(self.bars.get()) if self.bars.exists() else []
+        bars = [tuple(x) for x in kept[-n:]] + self._rows(new)
+        skip = min(max(n - len(kept), 0), len(new))
+        side = np.zeros(len(new), dtype=np.int32)
+        if skip < len(new):
+            past = np.lib.stride_tricks.sliding_window_view(np.array(bars, dtype=float)[:-1, 1:], n, axis=0)
+            top, bottom = past[:, 0].max(axis=1), past[:, 1].min(axis=1)
+            close = new["close"].to_numpy(dtype=float)[skip:]
+            side[skip:] = (close > top * 1.0002).astype(np.int32) - ((close < bottom * 0.9998) & ~(close > top * 1.0002))
+        at = np.flatnonzero(side)
+        before = self.last.get()[0] if self.last.exists() else 0
+        turn = at[side[at] != np.concatenate([[before], side[at][:-1]])] if len(at) else at
+        self.bars.put(bars[-n:])
+        if len(at):
+            self.last.update((int(side[at[-1]]),))
+        yield pd.DataFrame({"instrument": key[0], "ts": new["ts"].iloc[turn], "direction": side[turn], "entry_price": new["close"].iloc[turn]})
+
+    def close(self):
+        pass
+
+
+def closed_bar_signals(bars: DataFrame, lookback: int = 20, warm: DataFrame | None = None) -> DataFrame:
     """Breakout signals on closed bars with kept highs, lows and last direction.
 
-    ``warm`` seeds an instrument's history from the batch table: its last
-    ``lookback`` highs and lows, so it stays small.
+    ``warm`` is the initial state, read in the first trigger: stored bars of the batch table that
+    ``last_bars`` has chosen.  Bars of a trigger are ordered in memory, so admission (files per trigger)
+    bounds a step.  Missing highs and lows count as no limit.  Needs the state store ``ROCKS``.
     """
-    warm = warm or {}
-
-    def step(key, batches, state):
-        if state.exists:
-            highs, lows, last = state.get
-            highs, lows = list(highs), list(lows)
-        else:
-            h, lo = warm.get(key[0], ([], []))
-            highs, lows, last = list(h), list(lo), 0
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts")
-        out = []
-        for ts, hi, lo, c in zip(rows["ts"], rows["high"], rows["low"], rows["close"]):
-            if len(highs) >= lookback:
-                side = 1 if c > max(highs[-lookback:]) * 1.0002 else (-1 if c < min(lows[-lookback:]) * 0.9998 else 0)
-                if side and side != last:
-                    last = side
-                    out.append((key[0], ts, side, c))
-            highs, lows = (highs + [hi])[-lookback:], (lows + [lo])[-lookback:]
-        state.update((highs, lows, last))
-        yield pd.DataFrame(out, columns=["instrument", "ts", "direction", "entry_price"])
-
-    return bars.groupBy("instrument").applyInPandasWithState(
-        step, "instrument string, ts timestamp_ntz, direction int, entry_price double", "highs array<double>, lows array<double>, last int", "append", GroupStateTimeout.NoTimeout
+    start = None if warm is None else warm.groupBy("instrument")
+    return bars.groupBy("instrument").transformWithStateInPandas(
+        _Breakouts(lookback), "instrument string, ts timestamp_ntz, direction int, entry_price double", "append", "none", start
     )
 
 

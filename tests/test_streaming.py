@@ -1,7 +1,9 @@
 """Streaming forms against their batch twins, and the late-data policy."""
 
 import tempfile
+import time
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -48,16 +50,57 @@ def test_stream_candles_equal_batch(spark):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_warm_start_of_bar_signals(spark):
+BARS = "instrument string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint"
+
+
+def hourly(spark, closes, start=0, name="x"):
+    t0 = pd.Timestamp("2024-01-01")
+    return spark.createDataFrame([(name, (t0 + pd.Timedelta(hours=start + i)).to_pydatetime(), c, c, c, c, 1) for i, c in enumerate(closes)], BARS)
+
+
+def signals_by_rule(closes, lookback):
+    """Direction changes told bar by bar; None counts as no limit."""
+    out, last = [], 0
+    for i in range(lookback, len(closes)):
+        past = [c for c in closes[i - lookback : i] if c is not None]
+        c = closes[i]
+        if c is None:
+            continue
+        side = 1 if c > max(past, default=-np.inf) * 1.0002 else (-1 if c < min(past, default=np.inf) * 0.9998 else 0)
+        if side and side != last:
+            out.append((i, side))
+            last = side
+    return out
+
+
+def test_bar_signals_over_many_triggers_equal_the_rule(spark):
     src = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rng = np.random.default_rng(5)
+    closes = (10 + rng.normal(size=60).cumsum() / 5).tolist()
+    closes[17] = closes[41] = None
+    at = 0
+    for n in (1, 2, 20, 3, 34):
+        hourly(spark, closes[at : at + n], at).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)
+        at += n
+    d = live.closed_bar_signals(spark.readStream.schema(BARS).option("maxFilesPerTrigger", 1).parquet(src), 6)
+    path, _ = live.run_available(d, store=live.ROCKS)
     t0 = pd.Timestamp("2024-01-01")
-    rows = [("x", (t0 + pd.Timedelta(hours=i)).to_pydatetime(), c, c, c, c, 1) for i, c in enumerate([10.0, 12.0, 13.0, 5.0])]
-    schema = "instrument string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint"
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-    d = live.closed_bar_signals(spark.readStream.schema(schema).parquet(src), 3, {"x": ([11.0] * 3, [9.0] * 3)})
-    path, _ = live.run_available(d)
+    got = sorted((int((pd.Timestamp(r["ts"]) - t0).total_seconds() // 3600), r["direction"]) for r in live.read_output(spark, path, d.schema).collect())
+    assert got == signals_by_rule(closes, 6) and len(got) > 3
+
+
+def test_bar_signals_start_from_stored_bars(spark):
+    src = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    hourly(spark, [10.0, 12.0, 13.0, 5.0]).coalesce(1).write.mode("append").parquet(src)
+    stored = hourly(spark, [50.0, 11.0, 9.0, 11.0], -4).union(hourly(spark, [1.0, 2.0], -2, "only stored"))
+    warm = live.last_bars(stored, 3)
+    assert warm.where("instrument = 'x'").count() == 3
+    d = live.closed_bar_signals(spark.readStream.schema(BARS).parquet(src), 3, warm)
+    path, _ = live.run_available(d, store=live.ROCKS)
     got = live.read_output(spark, path, d.schema).orderBy("ts").collect()
     assert [(r["direction"], r["entry_price"]) for r in got] == [(1, 12.0), (-1, 5.0)]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_backlog_and_staleness(spark):
