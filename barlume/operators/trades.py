@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -245,19 +247,67 @@ def cost_layers(rows: DataFrame, equity: float, spread_bps: float, slippage_bps:
     return per_bar.groupBy("layer", "session_bucket").agg(F.sum("pnl").alias("pnl_sum"), F.count(F.lit(1)).alias("trade_bars"))
 
 
-def permute_trades(trades: DataFrame, trade_key: Column, initial: float, n_sims: int = 10_000, seed: int = 42) -> DataFrame:
-    """Max drawdown and final equity of ``n_sims`` random trade orders.
+#: Prime and constants of the trade orders: small enough that products stay within 63 bits.
+_PRIME, _STEP, _MIX = 2**31 - 1, 1_103_515_245, (69_069, 12_345)
 
-    Each simulation is a series ordered by a hash; hash prefixes cut it evenly, so
-    both scans spread over all tasks whatever the number of simulations.
+
+def _place(h, sim, seed: int):
+    """Sort key of a trade (hash ``h`` under the prime) in a simulation, for columns and arrays alike."""
+    z = (h + (sim + 1) * _STEP + seed * _MIX[0]) % _PRIME
+    for _ in range(3):
+        z = (z * z % _PRIME + z * _MIX[0] + _MIX[1]) % _PRIME
+    return z
+
+
+def _hashed(trades: DataFrame, trade_key: Column) -> DataFrame:
+    """pnl, the order in which ties stand (_k) and the hash that the orders start from (_h)."""
+    d = trades.select(F.coalesce(F.col("pnl").cast("double"), F.lit(0.0)).alias("pnl"), F.md5(trade_key.cast("binary")).alias("_k"))
+    return d.withColumn("_h", F.conv(F.substring("_k", 1, 12), 16, 10).cast("bigint") % _PRIME)
+
+
+def permute_by_scans(trades: DataFrame, trade_key: Column, initial: float, n_sims: int = 10_000, seed: int = 42) -> DataFrame:
+    """Max drawdown and final equity of ``n_sims`` random trade orders, for any number of trades.
+
+    Each simulation is a series ordered by ``_place``; ranges of it cut the series evenly, so
+    both scans spread over all tasks.  Moves every trade once per simulation.
     """
     sims = trades.sparkSession.range(n_sims).withColumnRenamed("id", "sim")
-    d = trades.select("pnl", trade_key.alias("_k")).crossJoin(F.broadcast(sims))
-    d = d.withColumn("_o", F.md5(F.concat_ws("|", "sim", "_k", F.lit(seed)).cast("binary")))
-    prefix = F.conv(F.substring("_o", 1, 3), 16, 10).cast("bigint")
-    s = Series(keys=("sim",), order=("_o",), slice_by=prefix)
-    curve = equity_curve(d.select("sim", "pnl", "_o"), initial, s)
-    return curve.groupBy("sim").agg(F.max("drawdown").alias("max_drawdown"), F.max_by("equity", "_o").alias("final_equity"))
+    d = _hashed(trades, trade_key).crossJoin(F.broadcast(sims))
+    d = d.withColumn("_o", _place(F.col("_h"), F.col("sim"), seed))
+    s = Series(keys=("sim",), order=("_o", "_k", "pnl"), slice_by=F.shiftright("_o", 23).cast("bigint"))
+    curve = equity_curve(d.select("sim", "pnl", "_o", "_k"), initial, s)
+    return curve.groupBy("sim").agg(F.max("drawdown").alias("max_drawdown"), F.max_by("equity", F.struct("_o", "_k", "pnl")).alias("final_equity"))
+
+
+def permute_trades(trades: DataFrame, trade_key: Column, initial: float, n_sims: int = 10_000, seed: int = 42, most: int = 1 << 20, block: int = 50) -> DataFrame:
+    """sim, max_drawdown and final_equity of ``n_sims`` random orders of the trades (``trade_key`` names a trade, pnl).
+
+    A drawdown relative to its peak depends on the equity before it, so parts of an order do not merge to
+    a fixed size.  Up to ``most`` counted trades (16 bytes each) therefore go, packed in one row, to tasks of
+    ``block`` simulations, and nothing else moves; more trades go by ``permute_by_scans``.  Both
+    use the same orders.  Null pnl counts as 0; no trades give no rows.
+    """
+    d = _hashed(trades, trade_key)
+    if d.count() > most:
+        return permute_by_scans(trades, trade_key, initial, n_sims, seed)
+    listed = F.sort_array(F.collect_list(F.struct("_k", "pnl", "_h")))
+    packed = d.agg(listed.alias("_t")).select(F.col("_t.pnl").alias("pnl"), F.col("_t._h").alias("h"))
+    blocks = -(-n_sims // block)
+    work = trades.sparkSession.range(0, blocks, 1, blocks).crossJoin(F.broadcast(packed))
+
+    def simulate(batches):
+        for batch in batches:
+            for no, pnl, h in zip(batch["id"], batch["pnl"], batch["h"], strict=True):
+                sims = range(no * block, min((no + 1) * block, n_sims)) if len(pnl) else ()
+                rows = []
+                for sim in sims:
+                    equity = initial + np.cumsum(pnl[np.argsort(_place(h, sim, seed), kind="stable")])
+                    peak = np.maximum(np.maximum.accumulate(equity), initial)
+                    fall = np.divide(peak - equity, peak, out=np.zeros_like(peak), where=peak > 0)
+                    rows.append((sim, float(fall.max()), float(equity[-1])))
+                yield pd.DataFrame(rows, columns=["sim", "max_drawdown", "final_equity"])
+
+    return work.mapInPandas(simulate, "sim bigint, max_drawdown double, final_equity double")
 
 
 def simulation_summary(sims: DataFrame) -> DataFrame:

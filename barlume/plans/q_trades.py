@@ -198,11 +198,24 @@ def _(t):
     return tr.cost_layers(sleeve_rows(t).where("close > 0"), 100000.0, 2.0, 0.5, 0.3, ["instrument", "ts"])
 
 
-@query("b18_trade_permutation", "risk_of_ruin:r mean_max_drawdown:r max_drawdown_p95:r equity_lo95:r1 equity_hi95:r1 equity_lo99:r1 equity_hi99:r1", """SELECT avg(CASE WHEN fe < 0 THEN 1.0 ELSE 0 END) AS risk_of_ruin, avg(dd) AS mean_max_drawdown, quantile_cont(dd, 0.95) AS max_drawdown_p95,
-   quantile_cont(fe, 0.025) AS equity_lo95, quantile_cont(fe, 0.975) AS equity_hi95, quantile_cont(fe, 0.005) AS equity_lo99, quantile_cont(fe, 0.995) AS equity_hi99 FROM (SELECT sim, max((peak - equity) / peak) AS dd, arg_max(equity, o) AS fe FROM pm2 GROUP BY sim)""",
-       pm0="SELECT sim, pnl, md5(sim || '|' || instrument || '-' || exit_seq || '-' || entry_seq || '|42') AS o FROM trades CROSS JOIN range(100) r(sim)",
-       pm1="SELECT *, 1000000000.0 + sum(pnl) OVER (PARTITION BY sim ORDER BY o ROWS UNBOUNDED PRECEDING) AS equity FROM pm0",
-       pm2="SELECT *, greatest(1000000000.0, max(equity) OVER (PARTITION BY sim ORDER BY o ROWS UNBOUNDED PRECEDING)) AS peak FROM pm1")
-def _(t):
-    key = F.concat_ws("-", "instrument", "exit_seq", "entry_seq")
-    return tr.simulation_summary(tr.permute_trades(t.trades, key, 1000000000.0, 100))
+_ORDERS = "risk_of_ruin:r mean_max_drawdown:r max_drawdown_p95:r equity_lo95:r1 equity_hi95:r1 equity_lo99:r1 equity_hi99:r1"
+_TRADE_KEY = ("instrument", "exit_seq", "entry_seq")
+_ROUND = "(z * z % 2147483647 + z * 69069 + 12345) % 2147483647 AS z"
+
+
+@query("b18_trade_permutation", _ORDERS)
+def _(t):
+    """10,000 orders of all trades; the same orders have a SQL form in the next query."""
+    return tr.simulation_summary(tr.permute_trades(sr.materialise(t.trades), F.concat_ws("-", *_TRADE_KEY), 1000000000.0))
+
+
+@query("b18_permutation_by_scans", _ORDERS, """SELECT avg(CASE WHEN fe < 0 THEN 1.0 ELSE 0 END) AS risk_of_ruin, avg(dd) AS mean_max_drawdown, quantile_cont(dd, 0.95) AS max_drawdown_p95,
+   quantile_cont(fe, 0.025) AS equity_lo95, quantile_cont(fe, 0.975) AS equity_hi95, quantile_cont(fe, 0.005) AS equity_lo99, quantile_cont(fe, 0.995) AS equity_hi99 FROM (SELECT sim, max((peak - equity) / peak) AS dd, arg_max(equity, (z, k)) AS fe FROM pm2 GROUP BY sim)""",
+       pmk="SELECT pnl, md5(instrument || '-' || exit_seq || '-' || entry_seq) AS k FROM trades",
+       pm0="SELECT sim, pnl, k, (CAST('0x' || k[1:12] AS BIGINT) % 2147483647 + (sim + 1) * 1103515245 + 42 * 69069) % 2147483647 AS z FROM pmk CROSS JOIN range(100) r(sim)",
+       pmr=f"SELECT sim, pnl, k, {_ROUND} FROM (SELECT sim, pnl, k, {_ROUND} FROM (SELECT sim, pnl, k, {_ROUND} FROM pm0))",
+       pm1="SELECT *, 1000000000.0 + sum(pnl) OVER (PARTITION BY sim ORDER BY z, k ROWS UNBOUNDED PRECEDING) AS equity FROM pmr",
+       pm2="SELECT *, greatest(1000000000.0, max(equity) OVER (PARTITION BY sim ORDER BY z, k ROWS UNBOUNDED PRECEDING)) AS peak FROM pm1")
+def _(t):
+    """The form for any number of trades, with 100 orders for the sake of its SQL."""
+    return tr.simulation_summary(tr.permute_by_scans(t.trades, F.concat_ws("-", *_TRADE_KEY), 1000000000.0, 100))

@@ -1,5 +1,7 @@
 """Hand-computed values and small references for single operators."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -220,3 +222,38 @@ def test_fill_price_pips(spark):
     d = spark.createDataFrame([("EUR_USD", "BUY", 1.1), ("USD_JPY", "SELL", 150.0)], "i string, s string, m double")
     r = [x[0] for x in d.select(costs.fill_price(F.col("m"), F.col("s"), F.col("i"))).collect()]
     assert r == [pytest.approx(1.10007), pytest.approx(149.993)]
+
+
+def test_trade_orders_brute_force(spark):
+    """Both forms against one walk per order; repeated keys, equal and missing pnl."""
+    rng = np.random.default_rng(3)
+    rows = [(f"t{i % 37}", None if i == 5 else float(x)) for i, x in enumerate(rng.normal(0, 60, 40).round(0))]
+    d = spark.createDataFrame(rows, "name string, pnl double")
+    initial, sims = 100.0, 30
+    listed = sorted((hashlib.md5(k.encode()).hexdigest(), p or 0.0) for k, p in rows)
+    want = {}
+    for sim in range(sims):
+        order = sorted((tr._place(int(k[:12], 16) % (2**31 - 1), sim, 42), k, p) for k, p in listed)
+        equity = peak = initial
+        deepest = 0.0
+        for *_, p in order:
+            equity += p
+            peak = max(peak, equity)
+            deepest = max(deepest, (peak - equity) / peak)
+        want[sim] = (round(deepest, 9), round(equity, 6))
+    got = lambda df: {r["sim"]: (round(r["max_drawdown"], 9), round(r["final_equity"], 6)) for r in df.collect()}
+    key = F.col("name")
+    assert got(tr.permute_trades(d, key, initial, sims, block=7)) == want
+    assert got(tr.permute_by_scans(d, key, initial, sims)) == want
+    assert got(tr.permute_trades(d, key, initial, sims, most=39)) == want
+    assert tr.permute_trades(d.limit(0), key, initial, sims).count() == 0
+
+
+def test_trade_orders_are_even():
+    """Every trade comes first about equally often, and neighbours fall in either order."""
+    h = np.array([int(hashlib.md5(str(i).encode()).hexdigest()[:12], 16) % (2**31 - 1) for i in range(20)])
+    places = np.array([tr._place(h, sim, 42) for sim in range(10_000)])
+    first = np.bincount(places.argmin(axis=1), minlength=20)
+    assert ((first - 500) ** 2 / 500).sum() < 45
+    assert abs((places[:, 0] < places[:, 1]).mean() - 0.5) < 0.02
+    assert abs((places[:-1, 0] < places[1:, 0]).mean() - 0.5) < 0.02
