@@ -217,12 +217,6 @@ def _(t):
     return rk.route_alerts(t.ticks.select("event_id", F.when(v == 0, "critical").when(v < 4, "warning").otherwise("info").alias("severity")))
 
 
-@query("t11_backlog_alerts", "stream lag:i", "SELECT instrument AS stream, count(*) FILTER (volume >= 50) AS lag FROM ticks GROUP BY 1 HAVING count(*) FILTER (volume >= 50) > 1000")
-def _(t):
-    g = t.ticks.groupBy(F.col("instrument").alias("stream")).agg(F.count(F.lit(1)).alias("produced"), F.count(F.when(F.col("volume") < 50, 1)).alias("acknowledged"))
-    return rk.backlog_alerts(g)
-
-
 # ------------------------------------------------------------------ streaming
 
 
@@ -241,6 +235,37 @@ def _(t):
     return live.read_output(t.spark, path, d.schema)
 
 
+def deliver(t, name, parts, runs):
+    """Ticks written to one folder part by part; the stream ``punctual`` runs after each of the first ``runs``."""
+    src, base, ear = live.new_folder(t.spark), live.new_folder(t.spark), live.BacklogListener()
+    t.spark.streams.addListener(ear)
+    try:
+        for no, part in enumerate(parts):
+            t.ticks.where(part).write.mode("append").parquet(src)
+            if no < runs:
+                d = live.punctual(t.spark.readStream.schema(t.ticks.schema).parquet(src))
+                ear.wait(live.run_available(d, base=base, name=name)[1])
+    finally:
+        t.spark.streams.removeListener(ear)
+    written = t.spark.read.parquet(src).agg(F.lit(name).alias("stream"), F.count(F.lit(1)).alias("produced"))
+    return ear.stats(t.spark, written)
+
+
+_PARTS = ("volume < 50", "volume >= 50 OR volume IS NULL")
+
+
+@query("t02_late_ticks", "stream late:i acknowledged:i", f"""SELECT 'ticks' AS stream, count(*) AS acknowledged, count(*) FILTER (({_PARTS[1]}) AND epoch_us(ts) <= (SELECT (epoch_ms(max(ts)) - 600000) * 1000 FROM ticks WHERE {_PARTS[0]})) AS late FROM ticks""")
+def _(t):
+    """The second delivery meets the watermark of the first."""
+    return deliver(t, "ticks", _PARTS, 2)
+
+
+@query("t11_backlog_alerts", "stream lag:i", f"SELECT 'ticks' AS stream, count(*) AS lag FROM ticks WHERE {_PARTS[1]} HAVING count(*) > 1000")
+def _(t):
+    """The second delivery has not been read; the listener tells what has."""
+    return rk.backlog_alerts(deliver(t, "ticks", _PARTS, 1))
+
+
 _FROM = "(SELECT date_trunc('day', make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2)) FROM ticks)"
 
 

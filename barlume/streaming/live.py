@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -22,11 +23,15 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def run_available(df: DataFrame, mode: str = "append", each: Callable | None = None, store: str | None = None) -> tuple[str, StreamingQuery]:
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(df: DataFrame, mode: str = "append", each: Callable | None = None, store: str | None = None, base: str | None = None, name: str | None = None) -> tuple[str, StreamingQuery]:
     """Runs a stream over everything available; returns (output folder, query).
-    ``store`` is the state store of this stream alone."""
-    base = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    ``store`` is the state store of this stream alone; a stream given its earlier ``base`` goes on from there."""
+    base = base or new_folder(df.sparkSession)
+    w = df.writeStream.outputMode(mode).queryName(name or f"stream-{uuid.uuid4().hex}").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     w = w.format("parquet").option("path", f"{base}/out") if each is None else w.foreachBatch(lambda batch, no: each(batch, no, f"{base}/out"))
     conf = df.sparkSession.conf
     before = conf.get(_STORE)
@@ -57,8 +62,15 @@ def candles(ticks: DataFrame, every: str, delay: str = "10 minutes", tie: str =
     )
 
 
+def punctual(ticks: DataFrame, delay: str = "10 minutes", key: str = "event_id") -> DataFrame:
+    """Each tick once, unless it comes behind the watermark.  No rows merge before
+    the state, so ``late_rows`` of this stream counts single ticks."""
+    return ticks.withColumn("ts", as_instant("ts")).withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped as too late over a query's recorded progress."""
+    """Rows dropped as too late over a query's recorded progress; behind an
+    aggregation these are partial groups, not ticks."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
@@ -315,26 +327,44 @@ def unique_signals(signals: DataFrame, memory: str = "30 days", key: str = "sign
 
 
 class BacklogListener(StreamingQueryListener):
-    """Collects processed rows and the source's reported backlog per trigger, for
-    ``risk.backlog_alerts``."""
+    """Rows done per stream, late rows and the backlog that its sources report, as a table.
+
+    Sources that report no offsets (files) get their backlog from counts of what
+    was written.  Keeps one entry per stream, however long it runs.
+    """
 
     def __init__(self) -> None:
-        self.rows: list[tuple[str, int, int]] = []
+        self.seen: dict[str, tuple[int, int, int]] = {}
+        self._ended = threading.Condition()
+        self._over: set[str] = set()
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        done = int(p.numInputRows)
+        name = p.name or str(p.id)
+        done, late, _ = self.seen.get(name, (0, 0, 0))
         behind = sum(int(float((s.metrics or {}).get("maxOffsetsBehindLatest", 0))) for s in p.sources)
-        self.rows.append((p.name or str(p.id), done + behind, done))
+        self.seen[name] = (done + int(p.numInputRows), late + sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators), behind)
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
-
-    def stats(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "stream string, produced bigint, acknowledged bigint")
+        with self._ended:
+            self._over.add(str(event.runId))
+            self._ended.notify_all()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Returns when the last event of an ended query has arrived."""
+        with self._ended:
+            if not self._ended.wait_for(lambda: str(query.runId) in self._over, seconds):
+                raise TimeoutError(f"no end of stream {query.name} within {seconds} s")
+
+    def stats(self, spark: SparkSession, written: DataFrame | None = None) -> DataFrame:
+        """stream, produced, acknowledged and late for ``risk.backlog_alerts``; ``written`` (stream,
+        produced) replaces the backlog that sources report."""
+        rows = [(name, done + behind, done, late) for name, (done, late, behind) in self.seen.items()]
+        d = spark.createDataFrame(rows, "stream string, produced bigint, acknowledged bigint, late bigint")
+        return d if written is None else d.drop("produced").join(written, "stream").select("stream", "produced", "acknowledged", "late")

@@ -109,3 +109,21 @@ def test_backlog_and_staleness(spark):
     t = ticks(spark, [0, 1])
     now = F.lit("2024-01-01 00:01:20").cast("timestamp_ntz")
     assert rk.feed_staleness(t, now).first()["status"] == "warning"
+
+
+def test_listener_counts_rows_and_late_ticks(spark):
+    src, base, ear = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), live.new_folder(spark), live.BacklogListener()
+    spark.streams.addListener(ear)
+    try:
+        for minutes, start in (([1, 5, 20, 61], 0), ([2, 50.9, 62, 200], 10)):
+            ticks(spark, minutes, start).write.mode("append").parquet(src)
+            d = live.punctual(spark.readStream.schema(SCHEMA).parquet(src))
+            path, q = live.run_available(d, base=base, name="few")
+            ear.wait(q)
+    finally:
+        spark.streams.removeListener(ear)
+    written = spark.createDataFrame([("few", 2000)], "stream string, produced bigint")
+    assert ear.stats(spark, written).collect() == [("few", 2000, 8, 2)]
+    assert [(r["stream"], r["lag"]) for r in rk.backlog_alerts(ear.stats(spark, written)).collect()] == [("few", 1992)]
+    assert ear.stats(spark).first()["produced"] == 8
+    assert spark.read.parquet(path).count() == 6
