@@ -99,9 +99,29 @@ def _(t):
     return sp.apply_scaler(rows, session_scaler(t), ["quantity", "notional"], ["session"])
 
 
-@query("m08_ridge_fit", "feature:i mean:r std:r weight:r intercept:r")
+_RIDGE = ("score", "quantity", "notional")
+_G = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+
+
+def _det(m) -> str:
+    """Determinant of a 3 x 3 matrix of SQL names."""
+    (a, b, c), (d, e, f), (g, h, k) = m
+    return f"({a} * ({e} * {k} - {f} * {h}) - {b} * ({d} * {k} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cramer(col: int | None) -> str:
+    return _det([[f"b{i}" if j == col else _G(i, j) for j in range(3)] for i in range(3)])
+
+
+@query("m08_ridge_fit", "feature:i mean:r std:r weight:r intercept:r",
+       "SELECT f.feature, CASE f.feature WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END AS mean, CASE f.feature WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS std, CASE f.feature WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END AS weight, intercept FROM rg_m CROSS JOIN rg_w CROSS JOIN rg_i CROSS JOIN range(3) f(feature)",
+       rg_m="SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m{i}, coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)), 0), 1) AS s{i}" for i, c in enumerate(_RIDGE)) + " FROM scores",
+       rg_z="SELECT CASE WHEN coalesce(y_true, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS y, " + ", ".join(f"({c} - m{i}) / s{i} AS z{i}" for i, c in enumerate(_RIDGE)) + " FROM scores CROSS JOIN rg_m",
+       rg_g="SELECT " + ", ".join([f"sum(z{i} * z{j}){' + 0.001' if i == j else ''} AS g{i}{j}" for i in range(3) for j in range(i, 3)] + [f"sum(z{i} * y) AS b{i}" for i in range(3)]) + " FROM rg_z",
+       rg_w="SELECT " + ", ".join(f"{_cramer(j)} / {_cramer(None)} AS w{j}" for j in range(3)) + " FROM rg_g",
+       rg_i="SELECT avg(y - ln(p / (1 - p))) AS intercept FROM (SELECT y, least(greatest(1 / (1 + exp(-least(greatest(z0 * w0 + z1 * w1 + z2 * w2, -40), 40))), 1e-6), 1 - 1e-6) AS p FROM rg_z CROSS JOIN rg_w)")
 def _(t):
-    m = md.fit_ridge(t.score_rows, ["score", "quantity", "notional"], "y_true")
+    m = md.fit_ridge(t.score_rows, list(_RIDGE), "y_true")
     return t.spark.createDataFrame([(i, a, b, c, m["intercept"]) for i, (a, b, c) in enumerate(zip(m["mean"], m["std"], m["weights"]))], "feature int, mean double, std double, weight double, intercept double")
 
 
@@ -111,7 +131,14 @@ def _(t):
     return md.linear_score(t.scores, model, prob="prob_lin")
 
 
-@query("m10_platt_calibration", "session a:r b:r")
+_NEWTON = """SELECT session, step, a - sa AS a, b - sb AS b, sqrt(sa * sa + sb * sb) AS moved FROM (SELECT session, step, a, b, (bb * ga - ab * gb) / (aa * bb - ab * ab) AS sa, (aa * gb - ab * ga) / (aa * bb - ab * ab) AS sb
+  FROM (SELECT session, step, a, b, sum(e * s) AS ga, sum(e) AS gb, sum(w * s * s) + 1e-6 AS aa, sum(w * s) AS ab, sum(w) + 1e-6 AS bb FROM (SELECT session, step, a, b, s, (p - y) * m AS e, greatest(p * (1 - p), 1e-6) * m AS w
+    FROM (SELECT pl.session, pl.step + 1 AS step, pl.a, pl.b, pb.s, pb.y, pb.m, 1 / (1 + exp(-least(greatest(pl.a * pb.s + pl.b, -40), 40))) AS p FROM pl JOIN pb ON pb.session = pl.session WHERE pl.step < 50 AND pl.moved >= 1e-8)) GROUP BY session, step, a, b))"""
+
+
+@query("m10_platt_calibration", "session a:r b:r", "SELECT session, arg_max(a, step) AS a, arg_max(b, step) AS b FROM pl GROUP BY session",
+       pb="SELECT session, CAST(score AS DOUBLE) AS s, CASE WHEN y_true > 0 THEN 1.0::DOUBLE ELSE 0 END AS y, count(*) AS m FROM scores GROUP BY 1, 2, 3",
+       pl=f"SELECT session, 0 AS step, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 1.0::DOUBLE AS moved FROM (SELECT DISTINCT session FROM pb) UNION ALL {_NEWTON}")
 def _(t):
     return md.fit_platt(t.score_rows, "session")
 
