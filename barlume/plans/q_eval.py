@@ -190,10 +190,11 @@ def _(t):
     return summaries(t)
 
 
-_ORDER = "stability_score DESC, test_net_pnl_mean DESC, test_profit_factor_mean DESC, test_max_drawdown_mean, instrument, strategy"
+SUMMARIES = {"wr": _WR, "ss": _SS}
+RANKING = "stability_score DESC, test_net_pnl_mean DESC, test_profit_factor_mean DESC, test_max_drawdown_mean, instrument, strategy"
 
 
-@query("e36_ranking_top_k", SUMMARY, f"SELECT * FROM ss ORDER BY {_ORDER} LIMIT 15", wr=_WR, ss=_SS)
+@query("e36_ranking_top_k", SUMMARY, f"SELECT * FROM ss ORDER BY {RANKING} LIMIT 15", wr=_WR, ss=_SS)
 def _(t):
     return ev.ranked(summaries(t), 15, ["instrument", "strategy"])
 
@@ -205,7 +206,7 @@ _LIST = {
     "wr": """SELECT instrument, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS strategy, week(ts) AS win, sum(side * fwd) AS net_pnl, sum(greatest(side * fwd, 0)) / nullif(sum(greatest(-side * fwd, 0)), 0) AS profit_factor,
       count(*) AS trades, max(-side * fwd) AS max_drawdown FROM sl_bars WHERE side IS NOT NULL AND fwd IS NOT NULL GROUP BY 1, 2, 3""",
     "ss": _SS,
-    "sl_best": f"SELECT * FROM ss WHERE stability_score >= 0 AND test_trades_mean >= 1 QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY {_ORDER}, strategy) = 1",
+    "sl_best": f"SELECT * FROM ss WHERE stability_score >= 0 AND test_trades_mean >= 1 QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY {RANKING}, strategy) = 1",
     "sl_order": "SELECT *, row_number() OVER (ORDER BY stability_score DESC, test_net_pnl_mean DESC, test_profit_factor_mean DESC, test_max_drawdown_mean, strategy, instrument) AS k FROM sl_best",
     "sl_ret": RETURNS,
     "sl_close": "SELECT x.instrument AS a, y.instrument AS b FROM sl_ret x JOIN sl_ret y ON x.ts = y.ts AND x.instrument <> y.instrument GROUP BY 1, 2 HAVING abs(corr(x.ret, y.ret)) > 0.05",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barlume.operators import evaluate as ev, risk as rk, rules as ru, series as sr
 from barlume.plans import sqltext as q
-from barlume.plans.q_eval import summaries
+from barlume.plans.q_eval import RANKING, SUMMARIES, summaries
 from barlume.plans.registry import query
 from barlume.sources import files, messages, store
 from barlume.streaming import live
@@ -126,11 +126,12 @@ def _(t):
     return files.scan_scorecards(t.spark, path, "1998-03")
 
 
-@query("s16_report_table", "rank:i line")
+@query("s16_report_table", "rank:i line", f"""SELECT rank, '| ' || rank || ' | ' || instrument || ' | ' || strategy || ' | ' || windows_run || ' | ' || coalesce(printf('%.6f', CAST(stability_score AS DOUBLE)), '-') || ' |' AS line
+   FROM (SELECT *, row_number() OVER (ORDER BY {RANKING}) AS rank FROM ss) WHERE rank <= 15""", **SUMMARIES)
 def _(t):
     top = ev.ranked(summaries(t), 15, ["instrument", "strategy"])
-    rank = F.row_number().over(sr.Window.orderBy(F.col("stability_score").desc(), F.col("test_net_pnl_mean").desc(), "instrument", "strategy"))
-    d = top.withColumn("rank", rank)
+    order = [F.col(c).desc() for c in ev.RANK] + ["test_max_drawdown_mean", "instrument", "strategy"]
+    d = top.withColumn("rank", F.row_number().over(sr.Window.orderBy(*order)))
     files.save_report(d, folder(t, "report"))
     return files.report_lines(d, ["instrument", "strategy", "windows_run", "stability_score"])
 

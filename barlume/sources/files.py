@@ -125,9 +125,11 @@ def state_snapshots(rows: DataFrame, path: str, every: int, bar_no: str = "bar_n
     rows.where(F.col(bar_no) % every == 0).write.mode("append").json(path)
 
 
-def report_lines(ranked: DataFrame, columns: Sequence[str], rank: str = "rank") -> DataFrame:
-    """Markdown table rows of a ranked report."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+def report_lines(ranked: DataFrame, columns: Sequence[str], rank: str = "rank", digits: int = 6) -> DataFrame:
+    """Markdown table rows of a ranked report; doubles with ``digits`` places, nulls as a dash."""
+    types = dict(ranked.dtypes)
+    text = lambda c: F.format_string(f"%.{digits}f", c) if types[c] == "double" else F.col(c).cast("string")
+    cells = [F.when(F.col(c).isNull(), "-").otherwise(text(c)) for c in columns]
     return ranked.select(rank, F.concat(F.lit("| "), F.concat_ws(" | ", F.col(rank).cast("string"), *cells), F.lit(" |")).alias("line"))
 
 
