@@ -61,6 +61,11 @@ def micros_of(df: DataFrame, c: str) -> Column:
     return epoch_micros(c) if df.schema[c].dataType.typeName() == "timestamp_ntz" else F.unix_micros(c)
 
 
+def share_of(n: Column, ratio: float) -> Column:
+    """Whole part of ``n * ratio`` with the ratio as it is written: 0.7 of 720 is 504, not the 503 that doubles give."""
+    return F.floor(n.cast("decimal(19,0)") * F.lit(Decimal(str(ratio)))).cast("bigint")
+
+
 def order_key(df: DataFrame, order: Sequence[str]) -> Column:
     """One number in the order of (time, whole number), or of one of them: aggregates that
     pick a row by it need no sort.  Any other order is a struct.  Null comes first, as in a sort, and never

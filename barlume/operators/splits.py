@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from barlume.operators.align import plus_seconds
-from barlume.operators.series import BARS, Series, attach, materialise, position, quantiles, windowed
+from barlume.operators.series import BARS, Series, attach, materialise, position, quantiles, share_of, windowed
 
 
 def month_windows(spark: SparkSession, bounds: DataFrame, train: int = 18, val: int = 2, test: int = 2, step: int = 1, open_end: bool = False) -> DataFrame:
@@ -54,7 +54,7 @@ def numbered(rows: DataFrame, s: Series = BARS, grouped: bool = True) -> DataFra
 def expanding_windows(counts: DataFrame, ratio: float = 0.7, k: int = 3, least_train: int = 200, least_test: int = 50) -> DataFrame:
     """First ``ratio`` of rows as the first train part, then k test parts in a row.
     counts: keys and n."""
-    base = F.greatest(F.floor(F.col("n") * ratio), F.lit(least_train)).cast("bigint")
+    base = F.greatest(share_of(F.col("n"), ratio), F.lit(least_train)).cast("bigint")
     d = counts.withColumn("_b", base).where(F.col("n") > F.col("_b"))
     d = d.withColumn("_len", F.greatest(F.lit(least_test), F.floor((F.col("n") - F.col("_b")) / k)).cast("bigint"))
     d = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
