@@ -16,7 +16,7 @@ from barlume.operators.align import align_many
 from barlume.operators.indicators import (
     EPS, pct_change, rolling, rolling_rank, true_range, wilder_back, wilder_columns,
 )
-from barlume.operators.series import BARS, Series, ewm_columns, ewm_memory, position, windowed
+from barlume.operators.series import BARS, Series, ewm_columns, ewm_memory, position, share_of, windowed
 from barlume.operators.sessions import SESSION_NAMES, calendar_day_levels
 
 LONDON = ("london_open", "london_continuation")
@@ -539,6 +539,6 @@ def ordered_split(bars: DataFrame, ratio: float, s: Series = BARS) -> DataFrame:
     """First ``ratio`` of each series is train, the rest test."""
     total = bars.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("_n"))
     d = windowed(bars, s, lambda d, w: d.withColumn("_pos", position(w))).join(total, list(s.keys))
-    return d.withColumn("split", F.when(F.col("_pos") < F.floor(F.col("_n") * ratio), "train").otherwise("test")).drop("_pos", "_n")
+    return d.withColumn("split", F.when(F.col("_pos") < share_of(F.col("_n"), ratio), "train").otherwise("test")).drop("_pos", "_n")
 
 

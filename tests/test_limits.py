@@ -1,9 +1,17 @@
 """Results at exact limits, and steps that must stay bounded on larger tables."""
 
-from barlume.operators import splits as sp
+import pandas as pd
+
+from barlume.operators import features as fe, splits as sp
 
 
 def test_share_of_a_count_is_exact(spark):
     """0.7 of 720 is 504; doubles give 503.99."""
     w = sp.expanding_windows(spark.createDataFrame([("x", 720)], "instrument string, n bigint"), 0.7)
     assert [(r["train_to"], r["test_from"], r["test_to"]) for r in w.orderBy("fold").collect()] == [(503, 504, 575), (575, 576, 647), (647, 648, 719)]
+
+
+def test_ordered_split_share_is_exact(spark):
+    t0 = pd.Timestamp("2024-01-01")
+    bars = spark.createDataFrame([("x", (t0 + pd.Timedelta(hours=i)).to_pydatetime()) for i in range(720)], "instrument string, ts timestamp_ntz")
+    assert fe.ordered_split(bars, 0.7).where("split = 'train'").count() == 504
