@@ -18,16 +18,17 @@ LIMITS = {
 }
 
 
-def pre_trade(signals: DataFrame, limits: dict = LIMITS) -> DataFrame:
+def pre_trade(signals: DataFrame, limits: dict = LIMITS, value: Column | None = None) -> DataFrame:
     """Eight checks per signal, and one that nothing they need is missing: approved flag
     and the list of failed ones.
 
     signals: side, quantity, entry_price, stop, position, balance, exposure,
-    daily_pnl, breaker_active.
+    daily_pnl, breaker_active.  ``value`` replaces quantity * entry_price where the
+    order's value comes in another product, whose last bit may decide at a limit.
     """
     q, px = F.col("quantity"), F.col("entry_price")
     after = F.abs(F.col("position") + F.when(F.col("side") == "BUY", q).otherwise(-q))
-    value = q * px
+    value = q * px if value is None else value
     failed = reasons(
         ("order_size", q > limits["max_order_size"]), ("position_size", after > limits["max_position_size"]),
         ("stop_loss", F.col("stop").isNull() | (F.abs(px - F.col("stop")) > limits["max_stop_distance"])),

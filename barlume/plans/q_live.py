@@ -290,8 +290,8 @@ def _(t):
 @query("t04_stream_risk_screen", "event_id approved reasons", """SELECT event_id, len(r) = 0 AS approved, array_to_string(r, ',') AS reasons FROM (SELECT event_id, list_filter([CASE WHEN volume * 100 > 5000 THEN 'order_size' END, CASE WHEN price * volume * 100 / 20000 > 10 THEN 'leverage' END, CASE WHEN 1000 + price * volume * 100 > 50000 THEN 'total_exposure' END], lambda e: e IS NOT NULL) AS r FROM ticks)""")
 def _(t):
     acc = t.ticks.select("instrument").distinct().select("instrument", F.lit(0.0).alias("position"), F.lit(20000.0).alias("balance"), F.lit(1000.0).alias("exposure"), F.lit(0.0).alias("daily_pnl"), F.lit(False).alias("breaker_active"))
-    sig = tick_stream(t).select("event_id", "instrument", F.lit("BUY").alias("side"), (F.col("volume") * 100).alias("quantity"), F.col("price").alias("entry_price"), F.col("price").alias("stop"))
-    d = live.screen(sig, sr.materialise(acc)).select("event_id", "approved", F.array_join("reasons", ",").alias("reasons"))
+    sig = tick_stream(t).select("event_id", "instrument", F.lit("BUY").alias("side"), (F.col("volume") * 100).alias("quantity"), F.col("price").alias("entry_price"), F.col("price").alias("stop"), (F.col("price") * F.col("volume") * 100).alias("value"))
+    d = live.screen(sig, sr.materialise(acc), value=F.col("value")).select("event_id", "approved", F.array_join("reasons", ",").alias("reasons"))
     path, _ = live.run_available(d)
     return live.read_output(t.spark, path, d.schema)
 

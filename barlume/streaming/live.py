@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -136,9 +136,9 @@ def closed_bar_signals(bars: DataFrame, lookback: int = 20, warm: DataFrame | No
     )
 
 
-def screen(signals: DataFrame, accounts: DataFrame, limits: dict = LIMITS) -> DataFrame:
+def screen(signals: DataFrame, accounts: DataFrame, limits: dict = LIMITS, value: Column | None = None) -> DataFrame:
     """Pre-trade checks on streamed signals against the static account table."""
-    return pre_trade(signals.join(accounts, "instrument"), limits)
+    return pre_trade(signals.join(accounts, "instrument"), limits, value)
 
 
 #: Quotes looked at together by the position watch.

@@ -1,8 +1,9 @@
 """Results at exact limits, and steps that must stay bounded on larger tables."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from barlume.operators import features as fe, splits as sp
+from barlume.operators import features as fe, risk as rk, splits as sp
 
 
 def test_share_of_a_count_is_exact(spark):
@@ -15,3 +16,12 @@ def test_ordered_split_share_is_exact(spark):
     t0 = pd.Timestamp("2024-01-01")
     bars = spark.createDataFrame([("x", (t0 + pd.Timedelta(hours=i)).to_pydatetime()) for i in range(720)], "instrument string, ts timestamp_ntz")
     assert fe.ordered_split(bars, 0.7).where("split = 'train'").count() == 504
+
+
+def test_order_value_of_its_own_decides_at_the_limit(spark):
+    """price * lots * 100 may exceed price * (lots * 100) by the last bit."""
+    px, n = next((p / 100, n) for p in range(100, 9999) for n in range(1, 100) if p / 100 * n * 100 > p / 100 * (n * 100))
+    row = spark.createDataFrame([("BUY", n * 100.0, px, px, 0.0, 1e9, 0.0, 0.0, False, float(n))], "side string, quantity double, entry_price double, stop double, position double, balance double, exposure double, daily_pnl double, breaker_active boolean, lots double")
+    limits = {**rk.LIMITS, "max_order_size": 1e9, "max_position_size": 1e9, "max_exposure": px * (n * 100)}
+    assert rk.pre_trade(row, limits).first()["reasons"] == []
+    assert rk.pre_trade(row, limits, F.col("entry_price") * F.col("lots") * 100).first()["reasons"] == ["total_exposure"]
