@@ -209,7 +209,9 @@ def swing_levels(bars: DataFrame, lookback: int = 100, order: int = 5, proximity
     ).select("instrument", "_h.kind", "_h.price")
     wp = Window.partitionBy("instrument", "kind").orderBy("price")
     prev = F.lag("price").over(wp)
-    fresh = F.when(prev.isNull() | ~((F.col("price") - prev) / F.nullif(prev, F.lit(0.0)) < proximity), 1).otherwise(0)
+    # nothing is near a price of zero: a share of it is infinite or undefined
+    near = F.coalesce((F.col("price") - prev) / F.nullif(prev, F.lit(0.0)) < proximity, F.lit(False))
+    fresh = F.when(near, 0).otherwise(1)
     hits = hits.withColumn("_f", fresh)
     hits = hits.withColumn("level_no", F.sum("_f").over(wp.rowsBetween(Window.unboundedPreceding, 0)))
     return hits.groupBy("instrument", "kind", "level_no").agg(F.avg("price").alias("level"), F.count(F.lit(1)).alias("touches"))

@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from barlume.operators import features as fe, risk as rk, splits as sp
+from barlume.operators import features as fe, indicators as ind, risk as rk, splits as sp
 
 
 def test_share_of_a_count_is_exact(spark):
@@ -25,3 +25,12 @@ def test_order_value_of_its_own_decides_at_the_limit(spark):
     limits = {**rk.LIMITS, "max_order_size": 1e9, "max_position_size": 1e9, "max_exposure": px * (n * 100)}
     assert rk.pre_trade(row, limits).first()["reasons"] == []
     assert rk.pre_trade(row, limits, F.col("entry_price") * F.col("lots") * 100).first()["reasons"] == ["total_exposure"]
+
+
+def test_no_level_is_near_zero(spark):
+    """A low of zero is a level of its own, as in the SQL, where a share of zero is infinite."""
+    lows = [5.0] * 6 + [0.0] + [5.0] * 6 + [0.01] + [5.0] * 6
+    t0 = pd.Timestamp("2024-01-01")
+    bars = spark.createDataFrame([("x", (t0 + pd.Timedelta(hours=i)).to_pydatetime(), 6.0, x) for i, x in enumerate(lows)], "instrument string, ts timestamp_ntz, high double, low double")
+    got = ind.swing_levels(bars).where("kind = 'support'").orderBy("level_no").collect()
+    assert [(r["level_no"], r["level"], r["touches"]) for r in got] == [(1, 0.0, 1), (2, 0.01, 1)]
