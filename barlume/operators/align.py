@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from barlume.operators.series import BARS, Series, asof, asof_many, epoch_seconds, windowed
+from barlume.operators.series import BARS, Series, as_utc, asof, asof_many, attach, chunked, epoch_seconds, materialise, micros_of, windowed
 
 
 def plus_seconds(ts: Column, seconds: Column | int) -> Column:
@@ -65,75 +67,132 @@ def event_window(bars: DataFrame, events: DataFrame, pre_seconds: int, post_seco
     return j.withColumn(out, F.coalesce(hit, F.lit(False)).cast("int")).drop("ts", "_ev").withColumnRenamed("_at", "ts")
 
 
+def first_touch(low: np.ndarray, high: np.ndarray, start: np.ndarray, down: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Per query the first row from ``start`` on with ``low <= down`` or ``high >= up``, or -1; missing values touch nothing.
+
+    Extremes of pairs, of pairs of pairs and so on lead every query up to the first block that holds a touch and down again."""
+    n, found = len(low), np.full(len(start), -1)
+    if n == 0:
+        return found
+    depth = (n - 1).bit_length()
+    pad = np.full((1 << depth) - n, np.nan)
+    lows, highs = [np.concatenate([low, pad])], [np.concatenate([high, pad])]
+    for _ in range(depth):
+        lows.append(np.fmin(lows[-1][::2], lows[-1][1::2]))
+        highs.append(np.fmax(highs[-1][::2], highs[-1][1::2]))
+    touched = lambda k, node, q: (lows[k][node] <= down[q]) | (highs[k][node] >= up[q])
+    level = np.full(len(start), -1)
+    q = np.flatnonzero(start < n)
+    node = start[q]
+    for k in range(depth + 1):  # a left child waits for its parent, a right child is looked at alone
+        look = (node & 1 == 1) | (k == depth)
+        hit = np.zeros(len(q), dtype=bool)
+        hit[look] = touched(k, node[look], q[look])
+        level[q[hit]], found[q[hit]] = k, node[hit]
+        node, q = (node + look)[~hit] >> 1, q[~hit]
+        inside = node < 1 << max(depth - k - 1, 0)
+        node, q = node[inside], q[inside]
+    for k in range(depth, 0, -1):
+        q = np.flatnonzero(level == k)
+        left = found[q] * 2
+        found[q], level[q] = left + ~touched(k - 1, left, q), k - 1
+    return found
+
+
+def _first_touches(buy: np.ndarray, start: np.ndarray, down: np.ndarray, up: np.ndarray, path: Sequence[np.ndarray]) -> np.ndarray:
+    """``first_touch`` on the prices of each side; path: buy_lo, buy_hi, sell_lo, sell_hi."""
+    found = np.full(len(buy), -1)
+    for side, low, high in ((buy, path[0], path[1]), (~buy, path[2], path[3])):
+        found[side] = first_touch(low, high, start[side], down[side], up[side])
+    return found
+
+
 def first_crossing(
-    positions: DataFrame, path: DataFrame, strict: bool = True, tie: str = "event_id", levels: Sequence[int] = (3600, 30 * 86400),
+    positions: DataFrame, path: DataFrame, strict: bool = True, tie: str = "event_id", levels: Sequence[int] = (3600,), chunk_rows: int = 100_000,
 ) -> DataFrame:
     """First path row after the start at which a position's exit level is touched.
 
     positions: position_id, instrument, side, start_ts, stop, target.
     path: instrument, ts, ``tie``, and low/high seen by long (buy_lo, buy_hi) and
-    by short positions (sell_lo, sell_hi).
-
-    Extremes per time bucket, on widths ``levels`` (seconds, each a multiple of the
-    one before), lead to the first bucket that holds a touch; rows are compared
-    only in that bucket and in the opening one.  The lists looked through are as
-    long as one level fits into the next, so the work per position follows the
-    bucket grid and not the holding time; every join has an equality key of
-    instrument and bucket.  Denser paths take more levels, such as
-    (60, 3600, 86400, 30 * 86400).
+    by short positions (sell_lo, sell_hi).  NaN counts as infinite.
+
+    Positions stand in the series of their instrument's path rows, which is cut into chunks of about ``chunk_rows`` rows
+    (``levels[0]`` seconds are the first unit of cutting).  Each chunk finds the touches inside it and, for the positions left
+    open, the first later chunk whose extremes touch; only these positions move, once, to that chunk,
+    parted where a chunk ends very many of them.  No pair of a position and a row is ever made, so
+    the work follows the number of rows, however dense they are and however long positions are held.
     """
-    long = F.col("side") == "BUY"
-
-    def touched(lo_b: Column, hi_b: Column, lo_s: Column, hi_s: Column) -> Column:
-        buy = (lo_b <= F.col("stop")) | (hi_b >= F.col("target"))
-        sell = (hi_s >= F.col("stop")) | (lo_s <= F.col("target"))
-        return F.when(long, buy).otherwise(sell)
-
-    top = len(levels) - 1
-    p = path.withColumn("_b", F.floor(epoch_seconds("ts") / levels[0]))
-    ext = [F.min("buy_lo").alias("bl"), F.max("buy_hi").alias("bh"), F.min("sell_lo").alias("sl"), F.max("sell_hi").alias("sh")]
-    again = [F.min("bl").alias("bl"), F.max("bh").alias("bh"), F.min("sl").alias("sl"), F.max("sh").alias("sh")]
-    bucket = p.groupBy("instrument", "_b").agg(*ext)
-    lists = []
-    for i in range(top + 1):
-        row = F.sort_array(F.collect_list(F.struct("_b", "bl", "bh", "sl", "sh"))).alias("_list")
-        if i == top:
-            lists.append(bucket.groupBy("instrument").agg(row))
-        else:
-            parent = F.floor(F.col("_b") / (levels[i + 1] // levels[i])).alias("_p")
-            up = bucket.groupBy("instrument", parent).agg(row, *again)
-            lists.append(up.select("instrument", "_p", "_list"))
-            bucket = up.select("instrument", F.col("_p").alias("_b"), "bl", "bh", "sl", "sh")
-
-    def first_in(after: Column | None) -> Column:
-        hit = lambda e: touched(e["bl"], e["bh"], e["sl"], e["sh"])
-        test = hit if after is None else (lambda e: (e["_b"] > after) & hit(e))
-        return F.get(F.filter("_list", test), 0)["_b"]
-
-    q = positions.withColumn("_f0", F.floor(epoch_seconds("start_ts") / levels[0]))
-    for i in range(top):
-        q = q.withColumn(f"_f{i + 1}", F.floor(F.col(f"_f{i}") / (levels[i + 1] // levels[i])))
-    found = F.lit(False)
-    for i in range(top + 1):  # up: later buckets under the same parent
-        side = lists[i] if i == top else lists[i].withColumnRenamed("_p", f"_f{i + 1}")
-        q = q.join(side, ["instrument"] if i == top else ["instrument", f"_f{i + 1}"], "left")
-        q = q.withColumn(f"_h{i}", F.when(~found, first_in(F.col(f"_f{i}")))).drop("_list")
-        found = found | F.col(f"_h{i}").isNotNull()
-    for i in range(top - 1, -1, -1):  # down: first touched child of the bucket found above
-        side = lists[i].withColumnRenamed("_p", f"_h{i + 1}")
-        q = q.join(side, ["instrument", f"_h{i + 1}"], "left")
-        q = q.withColumn(f"_h{i}", F.coalesce(f"_h{i}", first_in(None))).drop("_list", f"_h{i + 1}")
-    q = q.withColumn("_b", F.explode(F.array_compact(F.array("_f0", "_h0")))).drop("_h0", *[f"_f{i}" for i in range(top + 1)])
-    after = F.col("_ts") > F.col("start_ts") if strict else F.col("_ts") >= F.col("start_ts")
-    rows = p.select("instrument", "_b", F.col("ts").alias("_ts"), F.col(tie).alias("_tie"), "buy_lo", "buy_hi", "sell_lo", "sell_hi")
-    hit = q.join(rows, ["instrument", "_b"]).where(after & touched(F.col("buy_lo"), F.col("buy_hi"), F.col("sell_lo"), F.col("sell_hi")))
-    first = hit.groupBy("position_id").agg(F.min(F.struct("_ts", "_tie", "buy_lo", "buy_hi", "sell_lo", "sell_hi")).alias("_x"))
-    out = positions.join(first, "position_id", "left")
-    stop_hit = F.when(long, F.col("_x.buy_lo") <= F.col("stop")).otherwise(F.col("_x.sell_hi") >= F.col("stop"))
+    long = F.coalesce(F.col("side") == "BUY", F.lit(False))
+    at_path, at_start = (0, 1) if strict else (1, 0)
+    kind, name_kind = path.schema["ts"].dataType, positions.schema["position_id"].dataType
+    number = lambda c: F.when(F.isnan(c), float("inf")).otherwise(c)
+    double = lambda c: number(F.col(c).cast("double"))
+    tied = path.schema[tie].dataType.typeName()
+    tie_value = F.coalesce(micros_of(path, tie), F.lit(0)) if tied.startswith("timestamp") else F.coalesce(F.col(tie).cast("bigint"), F.lit(0)) if tied in ("byte", "short", "integer", "long") else F.coalesce(F.col(tie).cast("string"), F.lit(""))
+    row = path.select("instrument", F.col("ts").alias("_at"), F.lit(at_path).alias("_tag"), tie_value.alias("_id"), *[double(c).alias(n) for c, n in (("buy_lo", "_a"), ("buy_hi", "_b"), ("sell_lo", "_c"), ("sell_hi", "_d"))])
+    id_kind = row.schema["_id"].dataType
+    down, up = F.when(long, double("stop")).otherwise(double("target")), F.when(long, double("target")).otherwise(double("stop"))
+    start = positions.where("position_id IS NOT NULL").select(
+        "instrument", F.col("start_ts").cast(kind).alias("_at"), F.lit(at_start).alias("_tag"), F.lit(0).cast(id_kind).alias("_id"), down.alias("_a"), up.alias("_b"), "position_id", long.alias("_buy"),
+    )
+    # no nulls in the columns of the other kind: they would turn whole numbers into doubles
+    row = row.withColumns({"position_id": F.lit(0).cast(name_kind), "_buy": F.lit(False)})
+    both = row.unionByName(start, allowMissingColumns=True).where(F.col("_at").isNotNull() & F.col("instrument").isNotNull())
+    rows = chunked(both, Series(ts="_at", order=("_at", "_tag", "_id"), slice_seconds=levels[0], chunk_rows=chunk_rows))
+    rows = rows.select("instrument", "_chunk", micros_of(rows, "_at").alias("_us"), "_tag", "_id", "_a", "_b", "_c", "_d", "position_id", "_buy")
+    is_path = F.col("_tag") == at_path
+    only = lambda c: F.when(is_path, F.col(c))
+    ext = materialise(rows.groupBy("instrument", "_chunk").agg(F.min(only("_a")).alias("_a"), F.max(only("_b")).alias("_b"), F.min(only("_c")).alias("_c"), F.max(only("_d")).alias("_d")))
+    lists = ext.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("_chunk", "_a", "_b", "_c", "_d"))).alias("_l"))  # one entry per chunk
+    heads = ext.select("instrument", "_chunk").join(lists, "instrument").select("instrument", "_chunk", *[F.col(f"_l.{c}").alias(f"_l{c}") for c in ("_chunk", "_a", "_b", "_c", "_d")])
+    prices = ["_a", "_b", "_c", "_d"]
+
+    def in_order(pdf):
+        return pdf.iloc[np.lexsort([pdf[c].to_numpy() for c in ("_d", "_c", "_b", "_a", "_id", "_tag", "_us")])]
+
+    def ended(pos, found, walked):
+        """Positions with the row that closes them."""
+        hit = np.flatnonzero(found >= 0)
+        out, x = pos.iloc[hit][["instrument", "position_id", "_buy", "_a", "_b"]].copy(), walked.iloc[found[hit]]
+        out["_next"], out["_us"], out["_id"] = 0, x["_us"].to_numpy(), x["_id"].to_numpy()
+        out["_quote"] = np.where(out["_buy"].to_numpy(dtype=bool), x["_a"].to_numpy(), x["_d"].to_numpy())
+        return out
+
+    def own_chunk(left, right):
+        left = in_order(left)
+        starts = (left["_tag"] == at_start).to_numpy()
+        pos, walked = left[starts], left[~starts]
+        limits = pos["_buy"].to_numpy(dtype=bool), pos["_a"].to_numpy(), pos["_b"].to_numpy()
+        found = _first_touches(limits[0], np.cumsum(~starts)[starts], *limits[1:], [walked[c].to_numpy() for c in prices])
+        chunks, *extremes = (np.asarray(right[f"_l{c}"].iloc[0], dtype=float) for c in ("_chunk", *prices))
+        open_ = pos[found < 0]
+        first = np.full(len(open_), np.searchsorted(chunks, left["_chunk"].iloc[0], "right"))
+        later = _first_touches(limits[0][found < 0], first, *(x[found < 0] for x in limits[1:]), extremes)
+        moved = open_[later >= 0].assign(_next=chunks[later[later >= 0]].astype(np.int64), _us=0, _quote=np.nan)
+        names = ["instrument", "position_id", "_buy", "_a", "_b", "_next", "_us", "_id", "_quote"]
+        return pd.concat([ended(pos, found, walked)[names], moved[names]]).astype({"_buy": bool, "_next": "int64", "_us": "int64"})
+
+    def next_chunk(left, right):
+        walked = in_order(right)
+        found = _first_touches(left["_buy"].to_numpy(dtype=bool), np.zeros(len(left), dtype=np.int64), left["_a"].to_numpy(), left["_b"].to_numpy(), [walked[c].to_numpy() for c in prices])
+        return ended(left, found, walked)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.select("instrument", "position_id", "_buy", "_a", "_b").schema) + f", _next bigint, _us bigint, _id {id_kind.simpleString()}, _quote double"
+    first = materialise(rows.groupBy("instrument", "_chunk").cogroup(heads.groupBy("instrument", "_chunk")).applyInPandas(own_chunk, schema))
+    moved = first.where("_next > 0")
+    parts = materialise(moved.groupBy("instrument", F.col("_next").alias("_chunk")).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("_parts")))
+    walked = attach(rows.where(is_path).select("instrument", "_chunk", "_us", "_tag", "_id", *prices), parts, ["instrument", "_chunk"]).withColumn("_part", F.explode(F.sequence(F.lit(1), F.col("_parts")))).drop("_parts")
+    moved = attach(moved.withColumn("_chunk", F.col("_next")), parts, ["instrument", "_chunk"]).withColumn("_part", F.pmod(F.xxhash64("position_id"), F.col("_parts")).cast("int") + 1).drop("_parts")
+    by = ("instrument", "_chunk", "_part")
+    second = moved.groupBy(*by).cogroup(walked.groupBy(*by)).applyInPandas(next_chunk, schema)
+    hits = first.where("_next = 0").unionByName(second).groupBy("position_id").agg(F.min(F.struct("_us", "_id", "_quote")).alias("_x"))
+    out = positions.join(hits, "position_id", "left")
+    when = F.timestamp_micros(F.col("_x._us"))
+    stop_hit = F.when(long, F.col("_x._quote") <= double("stop")).otherwise(F.col("_x._quote") >= double("stop"))
     return out.select(
-        *positions.columns, F.col("_x._ts").alias("exit_ts"),
+        *positions.columns, (as_utc(when) if kind.typeName() == "timestamp_ntz" else when.cast(kind)).alias("exit_ts"),
         F.when(F.col("_x").isNotNull(), F.when(stop_hit, "stop_loss").otherwise("take_profit")).alias("exit_reason"),
-        F.when(long, F.col("_x.buy_lo")).otherwise(F.col("_x.sell_hi")).alias("exit_quote"),
+        F.col("_x._quote").alias("exit_quote"),
     )
 
 

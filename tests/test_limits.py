@@ -1,9 +1,10 @@
 """Results at exact limits, and steps that must stay bounded on larger tables."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from barlume.operators import features as fe, indicators as ind, risk as rk, splits as sp
+from barlume.operators import align, features as fe, indicators as ind, risk as rk, splits as sp
 
 
 def test_share_of_a_count_is_exact(spark):
@@ -34,3 +35,38 @@ def test_no_level_is_near_zero(spark):
     bars = spark.createDataFrame([("x", (t0 + pd.Timedelta(hours=i)).to_pydatetime(), 6.0, x) for i, x in enumerate(lows)], "instrument string, ts timestamp_ntz, high double, low double")
     got = ind.swing_levels(bars).where("kind = 'support'").orderBy("level_no").collect()
     assert [(r["level_no"], r["level"], r["touches"]) for r in got] == [(1, 0.0, 1), (2, 0.01, 1)]
+
+
+def test_first_touch_is_a_walk():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 64, 77):
+        low = rng.integers(0, 40, n).astype(float)
+        high = low + rng.integers(0, 5, n)
+        low[rng.random(n) < 0.1] = np.nan
+        start, down, up = rng.integers(0, n + 2, 200), rng.integers(-5, 6, 200).astype(float), rng.integers(36, 50, 200).astype(float)
+        up[::7] = np.nan
+        want = [next((i for i in range(s, n) if low[i] <= d or high[i] >= u), -1) for s, d, u in zip(start, down, up)]
+        assert align.first_touch(low, high, start, down, up).tolist() == want
+
+
+def test_first_crossing_makes_no_pairs(spark):
+    """Dense quotes of one hour, small chunks: joins of positions with rows made a pair per row of the hour."""
+    rng = np.random.default_rng(7)
+    n = 3000
+    t0, big = pd.Timestamp("2024-01-01"), 2**53
+    px = 100 + np.cumsum(rng.normal(0, 1, n)).round(2)
+    pdf = pd.DataFrame({"instrument": "x", "ts": [t0 + pd.Timedelta(seconds=int(i)) for i in np.sort(rng.integers(0, 3600, n))], "event_id": big + np.arange(n), "px": px})
+    d = spark.createDataFrame(pdf, "instrument string, ts timestamp_ntz, event_id bigint, px double")
+    path = d.select("instrument", "ts", "event_id", *[F.col("px").alias(c) for c in ("buy_lo", "buy_hi", "sell_lo", "sell_hi")])
+    pos = d.select(F.col("event_id").alias("position_id"), "instrument", F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("ts").alias("start_ts"),
+                   (F.col("px") - F.when(F.col("event_id") % 2 == 0, 9).otherwise(-9)).alias("stop"), (F.col("px") + F.when(F.col("event_id") % 2 == 0, 9).otherwise(-9)).alias("target"))
+    for strict in (True, False):
+        crossed = align.first_crossing(pos, path, strict, chunk_rows=500)
+        got = {r["position_id"]: (r["exit_ts"], r["exit_reason"]) for r in crossed.collect()}
+        ts = pdf["ts"].to_numpy()
+        for i in range(0, n, 7):
+            after = np.flatnonzero((ts > ts[i]) if strict else (ts >= ts[i]))
+            hit = after[np.abs(px[after] - px[i]) >= 9 - 1e-12]
+            sign = 1 if (big + i) % 2 == 0 else -1
+            want = (pdf["ts"][hit[0]].to_pydatetime(), "stop_loss" if (px[hit[0]] - px[i]) * sign < 0 else "take_profit") if len(hit) else (None, None)
+            assert got[big + i] == want, i
