@@ -303,9 +303,8 @@ def _(t):
     long = F.col("event_id") % 2 == 0
     pos = ticks.select(F.col("event_id").alias("position_id"), "instrument", F.when(long, "BUY").otherwise("SELL").alias("side"), F.when(long, F.col("price") * 0.8).otherwise(F.col("price") * 1.2).alias("stop"),
                        F.when(long, F.col("price") * 1.2).otherwise(F.col("price") * 0.8).alias("target"), F.col("ts").alias("opened_at"))
-    d = live.position_hits(pos, tick_stream(t))
-    path, _ = live.run_available(d)
-    hits = live.read_output(t.spark, path, d.schema)
+    path, _ = live.run_available(live.position_watch(pos, tick_stream(t)), each=live.close_positions)
+    hits = live.read_batches(t.spark, path, live.HITS)
     return hits.groupBy("position_id").agg(F.min("exit_ts").alias("exit_ts"), F.min_by("exit_reason", "exit_ts").alias("exit_reason"))
 
 
@@ -319,9 +318,8 @@ def _(t):
 @query("t07_stream_tick_quality", "event_id instrument issues", """SELECT event_id, instrument, issues FROM (SELECT event_id, instrument, array_to_string(list_filter([CASE WHEN bid >= ask THEN 'bid_not_below_ask' END, CASE WHEN (ask - bid) / nullif(bid, 0) > 0.005 THEN 'wide_spread' END, CASE WHEN abs((mid - pm) / nullif(pm, 0)) > 0.02 THEN 'price_jump' END, CASE WHEN ts < pt THEN 'out_of_order' END], lambda e: e IS NOT NULL), ',') AS issues
   FROM (SELECT *, lag(mid) OVER (PARTITION BY instrument ORDER BY event_id) AS pm, lag(ts) OVER (PARTITION BY instrument ORDER BY event_id) AS pt FROM (SELECT *, (bid + ask) / 2 AS mid FROM ticks))) WHERE issues <> ''""")
 def _(t):
-    d = live.tick_quality(tick_stream(t))
-    path, _ = live.run_available(d)
-    return live.read_output(t.spark, path, d.schema)
+    path, _ = live.run_available(tick_stream(t), each=live.tick_quality)
+    return live.read_batches(t.spark, path, live.ISSUES)
 
 
 @query("t09_stream_alert_deduplication", "event_id instrument message:i ts", """SELECT a.event_id, a.instrument, a.message, a.ts FROM al1 a JOIN al2 s ON s.instrument = a.instrument AND s.message = a.message AND s.rn = a.rn WHERE s.kept""", **_ALERTS)

@@ -14,8 +14,10 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from barlume.operators.align import first_crossing
+from barlume.operators.quality import tick_issues
 from barlume.operators.risk import LIMITS, pre_trade
-from barlume.operators.series import as_instant, as_utc, order_key, shared_folder
+from barlume.operators.series import Series, as_instant, as_utc, materialise, order_key, shared_folder
 
 
 #: State store of streams with list and map state.
@@ -141,65 +143,50 @@ def screen(signals: DataFrame, accounts: DataFrame, limits: dict = LIMITS, value
     return pre_trade(signals.join(accounts, "instrument"), limits, value)
 
 
-#: Quotes looked at together by the position watch.
-_QUOTES = 1024
+def _exists(spark: SparkSession, path: str, delete: bool = False) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(at, True) if delete else fs.exists(at))
 
 
-def first_hits(pos: dict[str, np.ndarray], ts: np.ndarray, bid: np.ndarray, ask: np.ndarray) -> np.ndarray:
-    """Per open position the first quote (index, or -1) after its opening that touches
-    its stop or target.  Blocks whose extremes stay within a position's limits are passed over."""
-    found = np.full(len(pos["id"]), -1)
-    low, high = np.where(pos["buy"], pos["stop"], pos["target"]), np.where(pos["buy"], pos["target"], pos["stop"])
-    for lo in range(0, len(ts), _QUOTES):
-        at = slice(lo, lo + _QUOTES)
-        least, most = np.where(pos["buy"], bid[at].min(), ask[at].min()), np.where(pos["buy"], bid[at].max(), ask[at].max())
-        near = np.flatnonzero((found < 0) & (pos["opened"] < ts[at][-1]) & ((least <= low) | (most >= high)))
-        for k in range(0, len(near), 256):
-            p = near[k : k + 256]
-            quote = np.where(pos["buy"][p, None], bid[at], ask[at])
-            hit = (ts[at] > pos["opened"][p, None]) & ((quote <= low[p, None]) | (quote >= high[p, None]))
-            found[p] = np.where(hit.any(axis=1), lo + hit.argmax(axis=1), -1)
-    return found
+def _carried(spark: SparkSession, path: str, no: int, like: DataFrame) -> DataFrame:
+    """What the batch before ``no`` left for this one; what older batches left is deleted."""
+    _exists(spark, f"{path}-kept/batch={no - 2}", delete=True)
+    before = f"{path}-kept/batch={no - 1}"
+    return spark.read.schema(like.schema).parquet(before) if _exists(spark, before) else like.limit(0)
 
 
-def position_hits(positions: DataFrame, ticks: DataFrame, buckets: int = 16) -> DataFrame:
-    """The quote that closes each position, however long after its opening.
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that the batches of a stream wrote under their numbers."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    d = spark.read.option("basePath", path).parquet(path)
+    return d.drop("batch")
 
-    Open positions are the state of (instrument, bucket of positions) and leave it only when
-    they are hit; quotes go to every bucket, so a busy instrument's positions spread over ``buckets`` tasks.
-    A position meets the quotes of the trigger it arrives in and of those after it.
-    """
-    p = positions.select(
-        "instrument", F.pmod(F.xxhash64("position_id"), F.lit(buckets)).cast("int").alias("bucket"), F.col("opened_at").alias("at"), "position_id", (F.col("side") == "BUY").alias("buy"), "stop", "target",
-        F.lit(None).cast("double").alias("bid"), F.lit(None).cast("double").alias("ask"),
-    )
-    none = F.lit(None)
-    k = ticks.select(
-        "instrument", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.col("ts").alias("at"), none.cast("bigint").alias("position_id"), none.cast("boolean").alias("buy"),
-        none.cast("double").alias("stop"), none.cast("double").alias("target"), "bid", "ask",
-    )
-    names = ("id", "buy", "stop", "target", "opened")
 
-    def step(key, batches, state):
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows["at"] = rows["at"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        is_quote = rows["position_id"].isna()
-        new, quotes = rows[~is_quote], rows[is_quote].sort_values("at", kind="stable")
-        fresh = (new["position_id"].astype(np.int64), new["buy"].astype(bool), new["stop"].astype(float), new["target"].astype(float), new["at"])
-        kept = state.get if state.exists else ([], [], [], [], [])
-        pos = {n: np.concatenate([np.array(old, dtype=x.dtype), x.to_numpy()]) for n, old, x in zip(names, kept, fresh, strict=True)}
-        ts, bid, ask = (quotes[c].to_numpy() for c in ("at", "bid", "ask"))
-        found = first_hits(pos, ts, bid, ask)
-        hit = np.flatnonzero(found >= 0)
-        at = found[hit]
-        buy, stop = pos["buy"][hit], pos["stop"][hit]
-        stopped = np.where(buy, bid[at] <= stop, ask[at] >= stop)
-        state.update(tuple(pos[n][found < 0].tolist() for n in names))
-        yield pd.DataFrame({"position_id": pos["id"][hit], "exit_ts": ts[at].astype("datetime64[us]"), "exit_reason": np.where(stopped, "stop_loss", "take_profit")})
-
-    return p.union(k).groupBy("instrument", "bucket").applyInPandasWithState(
-        step, "position_id bigint, exit_ts timestamp_ntz, exit_reason string", "id array<bigint>, buy array<boolean>, stop array<double>, target array<double>, opened array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+HITS = "position_id bigint, exit_ts timestamp_ntz, exit_reason string"
+
+
+def position_watch(positions: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Positions and quotes as one stream, for ``close_positions``."""
+    p = positions.select(F.lit(False).alias("quote"), "instrument", F.col("opened_at").alias("ts"), "position_id", "side", "stop", "target")
+    return p.unionByName(ticks.select(F.lit(True).alias("quote"), "instrument", "ts", "bid", "ask"), allowMissingColumns=True)
+
+
+def close_positions(batch: DataFrame, no: int, path: str) -> None:
+    """Writes the quote that closes each position, however long after its opening; replays overwrite.
+
+    Positions that stay open are kept beside the output for the batch after; nothing else is carried. A position meets the quotes of the
+    trigger it arrives in and of those after it. ``first_crossing`` does the search in chunks, so no
+    task holds an instrument's quotes or positions.
+    """
+    spark = batch.sparkSession
+    rows = materialise(batch)
+    new = rows.where("NOT quote").select("instrument", F.col("ts").alias("start_ts"), "position_id", "side", "stop", "target")
+    quotes = rows.where("quote").select("instrument", "ts", *[F.col(c).alias(n) for c, n in (("bid", "buy_lo"), ("bid", "buy_hi"), ("ask", "sell_lo"), ("ask", "sell_hi"))])
+    done = materialise(first_crossing(_carried(spark, path, no, new).unionByName(new), quotes, tie="ts"))
+    done.where("exit_ts IS NULL").select(*new.columns).write.mode("overwrite").parquet(f"{path}-kept/batch={no}")
+    done.where("exit_ts IS NOT NULL").select("position_id", "exit_ts", "exit_reason").write.mode("overwrite").parquet(f"{path}/batch={no}")
 
 
 def journal_totals(executions: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -220,32 +207,24 @@ def latest_totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def tick_quality(ticks: DataFrame, max_spread: float = 0.005, max_jump: float = 0.02) -> DataFrame:
-    """Tick problems against the previous tick of the instrument, kept as state."""
+ISSUES = "event_id bigint, instrument string, issues string"
 
-    def step(key, batches, state):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("event_id")
-        mid0, ts0 = state.get if state.exists else (None, None)
-        mid = (rows["bid"] + rows["ask"]) / 2
-        before, before_ts = mid.shift(1), rows["ts"].shift(1)
-        if mid0 is not None:
-            before.iloc[0], before_ts.iloc[0] = mid0, ts0
-        bid, ask = rows["bid"], rows["ask"]
-        found = {
-            "bid_not_below_ask": bid >= ask,
-            "wide_spread": (bid != 0) & ((ask - bid) / bid.where(bid != 0) > max_spread),
-            "price_jump": (before.fillna(0) != 0) & (((mid - before) / before.where(before != 0)).abs() > max_jump),
-            "out_of_order": rows["ts"] < before_ts,
-        }
-        flags = pd.DataFrame(found)
-        bad = flags.any(axis=1)
-        issues = [",".join(n for n, x in zip(found, f, strict=True) if x) for f in flags[bad].to_numpy()]
-        state.update((float(mid.iloc[-1]), rows["ts"].iloc[-1]))
-        yield pd.DataFrame({"event_id": rows["event_id"][bad], "instrument": key[0], "issues": issues})
-
-    return ticks.groupBy("instrument").applyInPandasWithState(
-        step, "event_id bigint, instrument string, issues string", "mid double, ts timestamp_ntz", "append", GroupStateTimeout.NoTimeout
-    )
+
+def tick_quality(batch: DataFrame, no: int, path: str, max_spread: float = 0.005, max_jump: float = 0.02) -> None:
+    """Writes the tick problems of a batch against the previous tick of the instrument by event_id; replays overwrite.
+
+    The last tick per instrument is kept beside the output for the batch after and stands before all its ticks.  The ticks
+    of a batch are compared in chunks, so no task holds an instrument.
+    """
+    new = batch.select(F.lit(1).alias("_new"), "event_id", "instrument", "ts", "bid", "ask")
+    rows = materialise(new)
+    rows = _carried(batch.sparkSession, path, no, rows).withColumn("_new", F.lit(0)).unionByName(rows)
+    last = rows.groupBy("instrument").agg(F.max_by(F.struct(*rows.columns), F.struct("_new", "event_id")).alias("_r")).select("_r.*")
+    last.write.mode("overwrite").parquet(f"{path}-kept/batch={no}")
+    by = F.when(F.col("_new") == 0, -(2**62)).otherwise(F.shiftright("event_id", 16))
+    found = tick_issues(rows, max_spread, max_jump, s=Series(order=("_new", "event_id"), slice_by=by))
+    bad = found.where((F.col("_new") == 1) & (F.size("issues") > 0))
+    bad.select("event_id", "instrument", F.array_join("issues", ",").alias("issues")).write.mode("overwrite").parquet(f"{path}/batch={no}")
 
 
 def spaced_alerts(alerts: DataFrame, keys: list[str], seconds: int) -> DataFrame:

@@ -1,10 +1,13 @@
 """Results at exact limits, and steps that must stay bounded on larger tables."""
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from barlume.operators import align, features as fe, indicators as ind, risk as rk, splits as sp
+from barlume.streaming import live
 
 
 def test_share_of_a_count_is_exact(spark):
@@ -70,3 +73,42 @@ def test_first_crossing_makes_no_pairs(spark):
             sign = 1 if (big + i) % 2 == 0 else -1
             want = (pdf["ts"][hit[0]].to_pydatetime(), "stop_loss" if (px[hit[0]] - px[i]) * sign < 0 else "take_profit") if len(hit) else (None, None)
             assert got[big + i] == want, i
+
+
+QUOTES = "event_id bigint, instrument string, ts timestamp_ntz, bid double, ask double"
+
+
+def _quotes(spark, rows):
+    t0 = pd.Timestamp("2024-01-01")
+    return spark.createDataFrame([(i, "x", (t0 + pd.Timedelta(minutes=m)).to_pydatetime(), px, px + 0.001) for i, m, px in rows], QUOTES)
+
+
+def _in_batches(spark, parts, schema, each):
+    """Each part is a file and a trigger of its own."""
+    src = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = live.new_folder(spark)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        path, _ = live.run_available(spark.readStream.schema(schema).parquet(src), each=each, base=base)
+    return path
+
+
+def test_tick_quality_goes_on_over_batches(spark):
+    """The last tick of a batch is the previous one of the next batch, whatever its number; no step holds an instrument."""
+    parts = [_quotes(spark, [(7, 0, 10.0), (9, 1, 10.01), (8, 2, 10.0)]), _quotes(spark, [(20, 3, 11.0), (21, 2, 11.0)]), _quotes(spark, [(30, 9, 11.0), (31, 10, 12.0)])]
+    path = _in_batches(spark, parts, QUOTES, live.tick_quality)
+    got = live.read_batches(spark, path, live.ISSUES)
+    assert sorted((r["event_id"], r["issues"]) for r in got.collect()) == [(9, "out_of_order"), (20, "price_jump"), (21, "out_of_order"), (31, "price_jump")]
+
+
+def test_open_positions_wait_for_later_batches(spark):
+    schema = "quote boolean, instrument string, ts timestamp_ntz, position_id bigint, side string, stop double, target double, bid double, ask double"
+    at = lambda m: (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime()
+    pos = lambda i, m, side, stop, target: (False, "x", at(m), i, side, stop, target, None, None)
+    tick = lambda m, px: (True, "x", at(m), None, None, None, None, px, px + 0.1)
+    parts = [
+        [pos(1, 0, "BUY", 9.0, 11.0), pos(2, 0, "SELL", 13.0, 8.0), tick(1, 10.0)], [pos(3, 2, "BUY", 9.5, 99.0), tick(2, 9.0), tick(3, 10.5)], [tick(4, 9.2)], [tick(5, 7.0)],
+    ]
+    path = _in_batches(spark, [spark.createDataFrame(p, schema) for p in parts], schema, live.close_positions)
+    got = {r["position_id"]: (r["exit_ts"], r["exit_reason"]) for r in live.read_batches(spark, path, live.HITS).collect()}
+    assert got == {1: (at(2), "stop_loss"), 2: (at(5), "take_profit"), 3: (at(4), "stop_loss")}
