@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from barlume.operators import align, features as fe, indicators as ind, risk as rk, splits as sp
+from barlume.operators import align, features as fe, indicators as ind, risk as rk, splits as sp, trades as tr
 from barlume.streaming import live
 
 
@@ -112,3 +112,18 @@ def test_open_positions_wait_for_later_batches(spark):
     path = _in_batches(spark, [spark.createDataFrame(p, schema) for p in parts], schema, live.close_positions)
     got = {r["position_id"]: (r["exit_ts"], r["exit_reason"]) for r in live.read_batches(spark, path, live.HITS).collect()}
     assert got == {1: (at(2), "stop_loss"), 2: (at(5), "take_profit"), 3: (at(4), "stop_loss")}
+
+
+def test_an_order_is_walked_in_one_integer_sort():
+    """Same places, order and walk as by division and a stable sort, ties among the places included."""
+    rng = np.random.default_rng(11)
+    h = np.concatenate([rng.integers(0, 2**31 - 1, 40_000), [0, 1, 2**31 - 2] * 3])
+    pnl = rng.normal(0, 60, len(h)).round(0)
+    for sim in (0, 7, 9_999):
+        z = tr._place(h, sim, 42)
+        assert (tr._places(h, sim, 42) == z).all()
+        for initial in (1e6, -5.0):
+            equity = np.cumsum(pnl[np.argsort(z, kind="stable")]) + initial
+            peak = np.maximum(np.maximum.accumulate(equity), initial)
+            fall = np.divide(peak - equity, peak, out=np.zeros_like(peak), where=peak > 0)
+            assert tr.walk_order(pnl, h, sim, initial, 42) == (fall.max(), equity[-1])
