@@ -57,10 +57,7 @@ def circuit_breaker(trades: DataFrame, initial: float, s: Series, limits: dict =
     days = d.groupBy("_day").agg(F.sum("pnl").alias("_sum"))  # one row per day
     upto = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("_day", F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_start"))
-    hour = d.select(F.col(s.ts).alias("_at"), F.col("_loss").alias("_before"), "_rn")
-    shifted = d.withColumnRenamed(s.ts, "_now").withColumn(s.ts, plus_seconds(F.col("_now"), -seconds))
-    flat = Series(keys=(), ts=s.ts, order=(s.ts,), slice_seconds=s.slice_seconds)
-    d = _loss_before(shifted, hour, flat, s.ts)
+    d = d.join(_loss_before(d, s, seconds), s.ts, "left")
     d = d.join(days, "_day").withColumn("daily_pnl", F.col("_cum") - F.col("_start")).drop("_start")
     peak = F.greatest(F.col("_peak"), F.lit(initial))
     d = d.withColumns({
@@ -71,15 +68,19 @@ def circuit_breaker(trades: DataFrame, initial: float, s: Series, limits: dict =
         ("consecutive_losses", F.col("loss_streak") >= limits["loss_streak"]), ("loss_velocity", F.col("loss_1h") > limits["loss_velocity_1h"]),
         ("daily_loss", F.col("daily_pnl") <= -limits["max_daily_loss"]), ("drawdown", F.col("drawdown") > limits["max_drawdown_pct"]),
     )
-    d = materialise(d.withColumn("reasons", trip).withColumnRenamed("_now", s.ts))
+    d = materialise(d.withColumn("reasons", trip))
     d = running(d, s, maxs={"_on": (F.size("reasons") > 0).cast("int")})
     return d.withColumn("halted", F.col("_on") == 1).drop("_cum", "_loss", "_rn", "_peak", "_ok", "_before", "_on", "_day")
 
 
-def _loss_before(shifted: DataFrame, totals: DataFrame, s: Series, ts: str) -> DataFrame:
-    """Running loss total as of each shifted time; equal times take the last row."""
-    last = totals.groupBy("_at").agg(F.max_by("_before", "_rn").alias("_before"))
-    return asof(shifted, last, ["_before"], s, right_ts="_at", tie=("_rn",)).drop(ts)
+def _loss_before(d: DataFrame, s: Series, seconds: int) -> DataFrame:
+    """(time, _before): the running loss total ``seconds`` before each time; equal times take the last row.
+    It depends on the time alone, so the as-of step moves one row per time and not the trades."""
+    last = materialise(d.groupBy(s.ts).agg(F.max_by("_loss", "_rn").alias("_before")))
+    flat = Series(keys=(), ts=s.ts, order=(s.ts,), slice_seconds=s.slice_seconds)
+    shifted = last.select(F.col(s.ts).alias("_now"), plus_seconds(F.col(s.ts), -seconds).alias(s.ts))
+    found = asof(shifted, last.withColumnRenamed(s.ts, "_at"), ["_before"], flat, right_ts="_at")
+    return found.select(F.col("_now").alias(s.ts), "_before")
 
 
 def first_per_signal(signals: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

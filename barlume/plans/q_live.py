@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from barlume.operators import evaluate as ev, risk as rk, rules as ru, series as sr
+from barlume.operators import evaluate as ev, risk as rk, rules as ru, series as sr, trades as tr
 from barlume.plans import sqltext as q
 from barlume.plans.q_eval import RANKING, SUMMARIES, summaries
 from barlume.plans.registry import query
@@ -173,7 +173,8 @@ _LIM = {**rk.LIMITS, "loss_streak": 9, "loss_velocity_1h": 900000.0, "max_daily_
        kb2=f"SELECT *, rn - coalesce(ok, 0) AS loss_streak, sum(greatest(-pnl, 0)) OVER (PARTITION BY ts {_KW} ROWS UNBOUNDED PRECEDING) AS loss_1h, sum(pnl) OVER (PARTITION BY CAST(ts AS DATE) {_KW} ROWS UNBOUNDED PRECEDING) AS daily_pnl, (pk - 5000000 - cum) / pk AS drawdown FROM kb1")
 def _(t):
     s = sr.Series(keys=(), order=("ts", "instrument", "exit_seq", "entry_seq"), slice_seconds=86400)
-    d = rk.circuit_breaker(t.trades.select("ts", "instrument", "exit_seq", "entry_seq", "pnl"), 5000000.0, s, _LIM)
+    trades = sr.materialise(tr.fifo_trades(t.fills_table).select("ts", "instrument", "exit_seq", "entry_seq", "pnl"))
+    d = rk.circuit_breaker(trades, 5000000.0, s, _LIM)
     return d.withColumn("reasons", F.array_join("reasons", ","))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from barlume.operators import align, features as fe, indicators as ind, risk as rk, splits as sp, trades as tr
+from barlume.operators import align, features as fe, indicators as ind, risk as rk, series as sr, splits as sp, trades as tr
 from barlume.streaming import live
 
 
@@ -127,3 +127,12 @@ def test_an_order_is_walked_in_one_integer_sort():
             peak = np.maximum(np.maximum.accumulate(equity), initial)
             fall = np.divide(peak - equity, peak, out=np.zeros_like(peak), where=peak > 0)
             assert tr.walk_order(pnl, h, sim, initial, 42) == (fall.max(), equity[-1])
+
+
+def test_hourly_loss_moves_one_row_per_time(spark):
+    """4,000 trades of three times make three rows of the as-of step."""
+    t0 = pd.Timestamp("2024-01-01")
+    rows = [((t0 + pd.Timedelta(minutes=40 * (i // 1500))).to_pydatetime(), float(i), i + 1) for i in range(4000)]
+    d = spark.createDataFrame(rows, "ts timestamp_ntz, _loss double, _rn bigint")
+    got = rk._loss_before(d, sr.Series(keys=(), order=("ts",), slice_seconds=86400), 3600).orderBy("ts").collect()
+    assert [r["_before"] for r in got] == [None, None, 1499.0]
