@@ -129,12 +129,12 @@ _PSI_CTES = {
 
 @query("e21_psi_by_session", "session psi:r", _PSI, **{k: v.replace("{k}", "session") for k, v in _PSI_CTES.items()})
 def _(t):
-    return ev.psi(t.score_rows, ["session"], "notional", F.year("ts") < 2000)
+    return ev.psi(sr.materialise(t.scores.select("session", "ts", "notional")), ["session"], "notional", F.year("ts") < 2000)
 
 
 @query("e21_psi_global", "psi:r", f"SELECT psi FROM ({_PSI})", **{k: v.replace("{k}", "'all'") for k, v in _PSI_CTES.items()})
 def _(t):
-    return ev.psi(t.score_rows, [], "notional", F.year("ts") < 2000)
+    return ev.psi(sr.materialise(t.scores.select("ts", "notional")), [], "notional", F.year("ts") < 2000)
 
 
 @query("e22_calibration_threshold_drift", "session brier_ref:r brier_cur:r delta:r", "SELECT session, avg((prob - y_true) ** 2) FILTER (fold < 2000) AS brier_ref, avg((prob - y_true) ** 2) FILTER (fold >= 2000) AS brier_cur, avg((prob - y_true) ** 2) FILTER (fold >= 2000) - avg((prob - y_true) ** 2) FILTER (fold < 2000) AS delta FROM scores GROUP BY 1")
