@@ -155,7 +155,8 @@ _SCD = f"""SELECT *, eq - max(eq) OVER o AS dd FROM (SELECT *, {_SIG} AS sg, sum
 
 @query("e32_session_validation", "session bars:i trade_count:i abstain_rate:r expectancy:r pnl_sum:r4 drawdown_contribution:r4", "SELECT session, count(*) AS bars, count(*) FILTER (sg <> 0) AS trade_count, avg(CASE WHEN sg = 0 THEN 1.0 ELSE 0 END) AS abstain_rate, avg(pnl) AS expectancy, sum(pnl) AS pnl_sum, coalesce(sum(pnl) FILTER (round(dd, 6) < 0), 0) AS drawdown_contribution FROM scd GROUP BY 1", scd=_SCD)
 def _(t):
-    return ev.session_validation(signalled(t).select(*SCORE_S.order, "session", "signal", "pnl"), SCORE_S, digits=6)
+    rows = sr.materialise(signalled(t).select(*SCORE_S.order, "session", "signal", "pnl"))  # the join runs once, not in every pass
+    return ev.session_validation(rows, SCORE_S, digits=6)
 
 
 @query("e31_threshold_usage", "session state:i bars:i trade_bars:i trade_freq:r", f"SELECT session, state, count(*) AS bars, count(*) FILTER (sg <> 0) AS trade_bars, count(*) FILTER (sg <> 0) / count(*) AS trade_freq FROM (SELECT session, CAST(floor(spread_proxy * 40) AS BIGINT) AS state, {_SIG} AS sg FROM scores) GROUP BY 1, 2")
