@@ -1,5 +1,6 @@
 """Results at exact limits, and steps that must stay bounded on larger tables."""
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -136,3 +137,30 @@ def test_hourly_loss_moves_one_row_per_time(spark):
     d = spark.createDataFrame(rows, "ts timestamp_ntz, _loss double, _rn bigint")
     got = rk._loss_before(d, sr.Series(keys=(), order=("ts",), slice_seconds=86400), 3600).orderBy("ts").collect()
     assert [r["_before"] for r in got] == [None, None, 1499.0]
+
+
+def test_scans_send_packed_ranges_of_places(spark, monkeypatch):
+    """No row per trade and simulation: eight ranges an order, several jobs, the same walks; equity may be negative, pnl null."""
+    rng = np.random.default_rng(5)
+    names, pnl = [f"t{i % 3990}" for i in range(4000)], rng.normal(0, 60, 4000).round(1)
+    pnl[7] = np.nan
+    d = spark.createDataFrame([(k, None if np.isnan(p) else float(p)) for k, p in zip(names, pnl)], "name string, pnl double")
+    listed = pd.DataFrame({"k": [hashlib.md5(k.encode()).hexdigest() for k in names], "p": np.nan_to_num(pnl)}).sort_values(["k", "p"])
+    h = np.array([int(k[:12], 16) % (2**31 - 1) for k in listed["k"]])
+    for initial in (1e4, 100.0, -50.0):
+        want = {sim: tr.walk_order(listed["p"].to_numpy(), h, sim, initial, 42) for sim in range(12)}
+        with monkeypatch.context() as m:
+            m.setattr(tr, "equity_curve", lambda *_: 1 / 0)
+            m.setattr(tr, "_PLACES_A_JOB", 20_000)
+            got = {r["sim"]: (r["max_drawdown"], r["final_equity"]) for r in tr.permute_by_scans(d, F.col("name"), initial, 12, rows=500).collect()}
+        assert got.keys() == want.keys()
+        assert np.allclose([got[s] for s in want], list(want.values()), rtol=1e-9, atol=1e-9)
+
+
+def test_scans_cut_places_of_one_key(spark):
+    """A key of more trades than a range holds goes by the series engine, with the same orders."""
+    rows = [("same" if i % 2 else f"t{i}", float(i % 11 - 5)) for i in range(120)]
+    d = spark.createDataFrame(rows, "name string, pnl double")
+    one, many = ({r["sim"]: (round(r["max_drawdown"], 9), r["final_equity"]) for r in tr.permute_by_scans(d, F.col("name"), 50.0, 5, rows=n).collect()} for n in (500, 50))
+    assert len(one) == 5 and one == many
+    assert tr.permute_by_scans(d.limit(0), F.col("name"), 50.0, 5).count() == 0
