@@ -12,9 +12,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SHARD_BITS = 18
 _FLUSH = 2_000_000
@@ -126,9 +128,9 @@ def repeated(docs: DataFrame, hashes: Callable, bits: int) -> Broadcast:
     return bitmap(docs, hashes, bits, 2)
 
 
-def only(docs: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
-    """The rows of ``docs`` whose _id is in ``wanted`` (one long column), and few others: a bitmap of
-    fixed size, so that a join does not have to move every text for a few."""
+def among(wanted: DataFrame, bits: int = 24) -> Callable[[Column], Column]:
+    """For a column of ids: whether each is in ``wanted`` (one long column), true for few others: a bitmap of fixed
+    size, so that a join moves few texts besides those it is for.  Only the ids go to Python."""
 
     def hashes(batches):
         for b in batches:
@@ -137,12 +139,16 @@ def only(docs: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
 
     found = bitmap(wanted, hashes, bits, 1)
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(is_hit(found.value, _spread(b.column("_id")), bits)))
+    @F.pandas_udf("boolean")
+    def hit(ids: pd.Series) -> pd.Series:
+        return pd.Series(is_hit(found.value, _spread(pa.Array.from_pandas(ids)), bits))
 
-    return docs.mapInArrow(run, docs.schema)
+    return hit
+
+
+def only(docs: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows of ``docs`` whose _id is in ``wanted``, and few others."""
+    return docs.where(among(wanted, bits)(F.col("_id")))
 
 
 def _spread(ids: pa.Array) -> np.ndarray:

@@ -215,6 +215,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """
     docs = common.documents(df, id_col, text_col, carry)
     found = repeated_windows(docs.select("_id", "_text").where(F.col("_id") != common.NO_ID), width, bits).groupBy("_id").agg(F.collect_list(F.struct("_start", "_n")).alias("_gone"))
+    found = common.saved(found)
+    maybe = sketch.among(found.select("_id"))
 
     carried = [f"_x{k}" for k in range(len(carry))]
 
@@ -243,5 +245,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
     own = T.StructType.fromDDL(f"n_bytes long, n_removed long, spans array<struct<from: long, to: long>>, kept {'string' if as_text else 'binary'}")
     schema = T.StructType([*docs.select(*carried, "_id").schema, *own])
-    out = docs.join(found, "_id", "left").mapInArrow(cut, schema)
+    # only texts that lose something move to meet their places; merged at every size, as both sides grow
+    lose = docs.where(maybe("_id")).join(found.hint("merge"), "_id", "left").mapInArrow(cut, schema)
+    whole = F.coalesce("_text", F.lit(""))
+    kept = {"n_bytes": F.octet_length(whole).cast("long"), "n_removed": F.lit(0).cast("long"), "spans": F.array().cast(own["spans"].dataType), "kept": whole if as_text else whole.cast("binary")}
+    out = lose.unionByName(docs.where(~maybe("_id")).select(*carried, "_id", *[c.alias(k) for k, c in kept.items()]))
     return out.select(common.real_id().alias(id_col), *[F.col(x).alias(c) for x, c in zip(carried, carry, strict=True)], "n_bytes", "n_removed", "spans", "kept")

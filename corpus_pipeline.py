@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlume.llm import common, cotraining, line_dedup, ngram_join, packing, suffix_dedup
+from barlume.llm import common, cotraining, line_dedup, ngram_join, packing, sketch, suffix_dedup
 
 #: Columns of ``documents``; all stages but the last hand them on.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,8 +35,11 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by shingles the one with the smallest id.  Documents without
     words or without id are linked with nothing and stay; rows of one id stay or go together."""
-    found = common.saved(ngram_join.join(docs.select("doc_id", "text")).where("component_id = doc_id").select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_semi").union(docs.where("doc_id is null")).select(*COLUMNS)
+    gone = common.saved(ngram_join.join(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id").distinct())
+    maybe, known = sketch.among(gone), docs.where("doc_id is not null")
+    # few documents go, so only those and few others move; merged at every size, as both sides grow
+    stay = known.where(maybe("doc_id")).join(gone.hint("merge"), "doc_id", "left_anti")
+    return stay.select(*COLUMNS).union(known.where(~maybe("doc_id")).select(*COLUMNS)).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
