@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, on NumPy arrays."""
+"""Suffix arrays by induced sorting over ranked prefixes, and permuted common prefixes, on NumPy arrays."""
 
 from __future__ import annotations
 
@@ -57,6 +57,8 @@ class Buckets:
 
 #: Symbols looked at together in a sweep.
 AHEAD = 512
+#: Bits of a key of ranks.
+KEY = 63
 
 
 def in_order(symbols: np.ndarray, *parts: np.ndarray) -> np.ndarray:
@@ -107,11 +109,37 @@ def induced(t: np.ndarray, sigma: int, small: np.ndarray, lms: np.ndarray) -> np
     return out
 
 
+def ranked(t: np.ndarray) -> np.ndarray:
+    """Suffix array of ``t``, whose last symbol is 0 and occurs only there, by ranks of prefixes.
+
+    Names of substrings are far too many symbols for sweeps.  A round sorts the suffixes that are
+    still level by the ranks of their first three runs of ``h`` symbols (two, where three ranks exceed
+    ``KEY`` bits).  A suffix with the last symbol in its first run is level with no other."""
+    n, h = len(t), 1
+    bits = n.bit_length()
+    times = 3 if 3 * bits <= KEY else 2
+    rank, sa, live = t.astype(np.int64), np.arange(n), np.arange(n)
+    while len(live):
+        at = sa[live]
+        key = rank[at]
+        for k in range(1, times):
+            key = key << bits | rank[np.minimum(at + k * h, n - 1)]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        lead = np.concatenate(([True], key[1:] != key[:-1]))
+        sa[live] = at
+        rank[at] = live[np.maximum.accumulate(np.where(lead, np.arange(len(live)), 0))]
+        live = live[~(lead & np.append(lead[1:], True))]
+        h *= times
+    return sa
+
+
 def build(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of ``t``, whose last symbol is 0 and occurs only there."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
+    t = t.astype(np.int16 if sigma < 1 << 15 else np.int64, copy=False)  # short symbols are sorted by radix
     small = types(t)
     lms = leftmost(small)
     if len(lms) > 1:
@@ -135,11 +163,7 @@ def build(t: np.ndarray, sigma: int) -> np.ndarray:
         name = np.empty(n, np.int64)
         name[order] = np.concatenate(([0], np.cumsum(~same)))
         reduced = name[lms]
-        distinct = int(reduced.max()) + 1
-        if distinct < len(lms):
-            lms = lms[build(reduced, distinct)]
-        else:
-            lms = order
+        lms = order if name[order[-1]] == len(lms) - 1 else lms[ranked(reduced)]
     return induced(t, sigma, small, lms)
 
 
@@ -147,24 +171,27 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each position, the common prefix of its suffix and the one before it in the array.
 
     Where both are preceded by the same symbol the value is that of the position before, less one;
-    only the others are compared, eight symbols at a time."""
+    only the others are compared, four symbols (of at most 16 bits) at a time.  No comparison passes the
+    last symbol, which occurs only there."""
     n = len(t)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    i = np.arange(n)
-    fresh = (phi < 1) | (i == 0)
-    fresh[~fresh] = t[i[~fresh] - 1] != t[phi[~fresh] - 1]
-    fresh[1:] |= (phi[1:] - 1 != phi[:-1])
+    fresh = np.ones(n, bool)
+    fresh[1:] = (phi[1:] < 1) | (phi[1:] - 1 != phi[:-1])
+    same = np.flatnonzero(~fresh)
+    fresh[same] = t[same - 1] != t[phi[same] - 1]
+    four = np.zeros(n + 3, np.uint64)
+    four[:n] = t
+    four = four[:n] | four[1 : n + 1] << np.uint64(16) | four[2 : n + 2] << np.uint64(32) | four[3:] << np.uint64(48)
     out = np.zeros(n, np.int64)
     live = np.flatnonzero(fresh & (phi >= 0))
-    k = np.zeros(n, np.int64)
+    a, b = live.copy(), phi[live]
     while len(live):
-        a, b = live + k[live], phi[live] + k[live]
-        inside = (a < n) & (b < n)
-        live, a, b = live[inside], a[inside], b[inside]
-        same = t[a] == t[b]
-        live = live[same]
-        k[live] += 1
-    out[fresh] = k[fresh]
+        differ = four[a] ^ four[b]
+        last = differ != 0
+        end = differ[last]
+        out[live[last]] = a[last] - live[last] + sum(((end & np.uint64((1 << 16 * k) - 1)) == 0).astype(np.int64) for k in (1, 2, 3))
+        live, a, b = live[~last], a[~last] + 4, b[~last] + 4
+    i = np.arange(n)
     lead = np.maximum.accumulate(np.where(fresh, i, 0))
     return np.maximum(out[lead] - (i - lead), 0)

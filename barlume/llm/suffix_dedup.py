@@ -119,11 +119,14 @@ def repeats_in(segments: list[tuple[int, int, int, bool, bytes]], width: int) ->
     hit = np.flatnonzero(prefix[sa[1:]] >= width)
     long[sa[1:][hit]] = True
     long[sa[:-1][hit]] = True
-    out = []
-    for (_id, start, n, many, _), a in zip(segments, begin[:-1].tolist(), strict=True):
-        if not many:  # the others are known to be repeated
-            out += [(_id, start + lo, hi - lo) for lo, hi in runs(long[a : a + n])]
-    return out
+    _id, start, n, many = (np.array(x) for x in zip(*[x[:4] for x in segments], strict=True))
+    open_ = np.flatnonzero(~many)  # the others are known to be repeated
+    step = np.zeros(len(t), np.int8)
+    step[begin[open_]] = 1
+    step[begin[open_] + n[open_]] = -1
+    lo, hi = np.array(runs(long & (np.cumsum(step, dtype=np.int8) > 0)), np.int64).reshape(-1, 2).T
+    of = np.searchsorted(begin, lo, "right") - 1
+    return list(zip(_id[of].tolist(), (start[of] + lo - begin[of]).tolist(), (hi - lo).tolist(), strict=True))
 
 
 def repeated_windows(docs: DataFrame, width: int, bits: int) -> DataFrame:

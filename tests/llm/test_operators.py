@@ -90,6 +90,42 @@ def test_suffix_arrays():
             assert prefix[b] == k
 
 
+@pytest.mark.parametrize("key", [20, 63])
+def test_suffix_arrays_take_few_steps(key, monkeypatch):
+    """Names of substrings are ranked together; swept one by one they took a step and more for each name."""
+    monkeypatch.setattr(suffix_array, "KEY", key)
+    steps, put = [], suffix_array.Buckets.put
+    monkeypatch.setattr(suffix_array.Buckets, "put", lambda *a: steps.append(1) or put(*a))
+    rng = np.random.default_rng(4)
+    base = [rng.integers(1, 3, 300) for _ in range(4)]
+    t = np.concatenate([x for k in range(24) for x in (base[k % 4][: 200 + 4 * k], [3], rng.integers(1, 3, 60))] + [[0]])
+    sa = suffix_array.build(t, 4)
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert len(steps) <= 40 * 4
+    prefix = suffix_array.permuted_prefixes(t, sa)
+    assert max(prefix) >= 200
+    for a, b in zip(sa[:-1], sa[1:], strict=True):
+        k = prefix[b]
+        assert t[a : a + k].tolist() == t[b : b + k].tolist() and t[a + k] != t[b + k]
+
+
+def test_repeats_among_segments():
+    """Places of windows found by their suffix array, against a count of the windows."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, 90).astype(np.uint8).tobytes()
+    segments = []
+    for k in range(40):
+        lo, hi = sorted(rng.choice(91, 2, replace=False).tolist())
+        x = rng.integers(0, 256, 7).astype(np.uint8).tobytes() + base[lo:hi] + bytes([k]) * 30
+        segments.append((k // 3, 100 * k, len(x) - 19, k % 5 == 0, x))
+    count = Counter(x[i : i + 20] for *_, n, _, x in segments for i in range(n))
+    want = {(j, start + i) for j, start, n, many, x in segments if not many for i in range(n) if count[x[i : i + 20]] > 1}
+    got = suffix_dedup.repeats_in(segments, 20)
+    assert {(j, a + i) for j, a, n in got for i in range(n)} == want
+    assert sum(n for *_, n in got) == len(want)
+    assert suffix_dedup.repeats_in([(*x[:3], True, x[4]) for x in segments], 20) == []
+
+
 @pytest.mark.parametrize("crowd", [1, 64])
 def test_suffix_dedup(docs, corpus, nothing, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
