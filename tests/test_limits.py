@@ -164,3 +164,16 @@ def test_scans_cut_places_of_one_key(spark):
     one, many = ({r["sim"]: (round(r["max_drawdown"], 9), r["final_equity"]) for r in tr.permute_by_scans(d, F.col("name"), 50.0, 5, rows=n).collect()} for n in (500, 50))
     assert len(one) == 5 and one == many
     assert tr.permute_by_scans(d.limit(0), F.col("name"), 50.0, 5).count() == 0
+
+
+def test_trade_orders_of_a_million_stay_in_tasks(spark, monkeypatch):
+    """Over 2**20 trades: the list goes to the tasks, no place is shuffled; places that trades share keep the order of keys."""
+    n, initial = 1_100_000, 1e6
+    pnl = (np.arange(n) * 7919 % 2001 - 1000.0)
+    d = spark.range(n).select(F.concat(F.lit("t"), "id").alias("name"), (F.col("id") * 7919 % 2001 - 1000).cast("double").alias("pnl"))
+    keys = [hashlib.md5(b"t%d" % i).digest() for i in range(n)]
+    order = sorted(range(n), key=keys.__getitem__)
+    h = np.array([int.from_bytes(keys[i][:6], "big") % (2**31 - 1) for i in order])
+    monkeypatch.setattr(tr, "permute_by_scans", lambda *_: 1 / 0)
+    got = {r["sim"]: (r["max_drawdown"], r["final_equity"]) for r in tr.permute_trades(d, F.col("name"), initial, 3, block=2).collect()}
+    assert got == {sim: tr.walk_order(pnl[order], h, sim, initial, 42) for sim in range(3)}
