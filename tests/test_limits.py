@@ -1,10 +1,13 @@
 """Results at exact limits, and steps that must stay bounded on larger tables."""
 
 import hashlib
+import os
 import tempfile
+import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from barlume.operators import align, features as fe, indicators as ind, risk as rk, series as sr, splits as sp, trades as tr
@@ -177,3 +180,26 @@ def test_trade_orders_of_a_million_stay_in_tasks(spark, monkeypatch):
     monkeypatch.setattr(tr, "permute_by_scans", lambda *_: 1 / 0)
     got = {r["sim"]: (r["max_drawdown"], r["final_equity"]) for r in tr.permute_trades(d, F.col("name"), initial, 3, block=2).collect()}
     assert got == {sim: tr.walk_order(pnl[order], h, sim, initial, 42) for sim in range(3)}
+
+
+def test_scans_leave_no_places_on_disk(spark, monkeypatch):
+    """Eight jobs of 8,000 places, 96 KB each: their shuffle files go with them."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    monkeypatch.setattr(tr, "_PLACES_A_JOB", 8_000)
+    d = spark.range(4000).select(F.col("id").cast("string").alias("name"), (F.col("id") * 7919 % 2001 - 1000.5).alias("pnl"))
+    before = files()
+    walks = tr.permute_by_scans(d, F.col("name"), 1e5, 16, rows=500)
+    for _ in range(50):  # files go in the background
+        left = sum(os.path.getsize(f) for f in files() - before if os.path.exists(f))
+        if left < 96_000:
+            break
+        time.sleep(0.1)
+    assert left < 96_000 and walks.count() == 16
+
+
+def test_ranges_keep_only_falls_that_may_be_deepest():
+    pnl = np.array([5.0, -3, 8, -2, 1, -1, 9, -12, 20, -1])
+    found = pa.table({"no": [0], "places": [np.arange(10, dtype=np.int32).tobytes()], "pnl": [pnl.tobytes()]})
+    got = [tr._walk_range(p)([pa.scalar(0), pa.scalar(0)], found)["falls"][0].as_py() for p in (False, True)]
+    assert [(f["peak"], f["low"]) for f in got[1]] == [(5, 2), (17, 5)] and len(got[0]) == 4
